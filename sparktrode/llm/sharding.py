@@ -37,44 +37,35 @@ def grow(tree: list[Leaf], weight: float = 1.0) -> list[Leaf]:
     return [*tree, Leaf(max(x.region for x in tree) + 1, max(x.rack for x in tree) + 1, max(x.shard for x in tree) + 1, weight)]
 
 
-def _draw(key: Column, level: str, child: int, weight: float) -> Column:
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{level}:{child}:"), key)), 1, 13), 16, 10).cast("double")
+def _draw(key: Column, level: str, child: Column, weight: Column) -> Column:
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{level}:"), child.cast("string"), F.lit(":"), key)), 1, 13), 16, 10).cast("double")
     return -F.log((bits + 0.5) / float(2**52)) / weight
 
 
-def _choose(key: Column, level: str, weights: dict[int, float]) -> Column:
-    children = sorted(weights)
-    if len(children) == 1:
-        return F.lit(children[0])
-    return F.least(*[F.struct(_draw(key, level, c, weights[c]).alias("d"), F.lit(c).alias("c")) for c in children])["c"]
+def _choose(key: Column, level: str, children: Column) -> Column:
+    """The child with the least draw, of an array of (child, weight)."""
+    draws = F.transform(children, lambda x: F.struct(_draw(key, level, x["child"], x["weight"]).alias("draw"), x["child"].alias("child")))
+    return F.array_min(draws)["child"]
 
 
-def _branch(chosen: Column, by: dict[int, Column]) -> Column:
-    out = F.lit(None).cast("int")
-    for k, then in by.items():
-        out = F.when(chosen == k, then).otherwise(out)
-    return out
+def _children(leaves: list[Leaf], level: str) -> Column:
+    weights: dict[int, float] = {}
+    for x in leaves:
+        weights[getattr(x, level)] = weights.get(getattr(x, level), 0.0) + x.weight
+    return F.array(*[F.struct(F.lit(c).alias("child"), F.lit(float(w)).alias("weight")) for c, w in sorted(weights.items())])
 
 
 def place(key: Column, tree: list[Leaf]) -> Column:
     """The shard of a key, as one expression: a draw at each of the three levels."""
+    tree = [x for x in tree if x.weight > 0]
 
-    def weights(leaves: list[Leaf], level: str) -> dict[int, float]:
-        out: dict[int, float] = {}
-        for x in leaves:
-            if x.weight > 0:
-                out[getattr(x, level)] = out.get(getattr(x, level), 0.0) + x.weight
-        return out
-
-    def under(level: str, node: int) -> list[Leaf]:
-        return [x for x in tree if getattr(x, level) == node and x.weight > 0]
-
-    racks = {r: _choose(key, "shard", weights(under("rack", r), "shard")) for r in {x.rack for x in tree if x.weight > 0}}
-    regions = {}
-    for g in {x.region for x in tree if x.weight > 0}:
-        own = weights(under("region", g), "rack")
-        regions[g] = _branch(_choose(key, "rack", own), {r: racks[r] for r in own})
-    return _branch(_choose(key, "region", weights(tree, "region")), regions)
+    def under(level: str, below: str) -> Column:
+        nodes = sorted({getattr(x, level) for x in tree})
+        return F.create_map(*[y for n in nodes for y in (F.lit(n), _children([x for x in tree if getattr(x, level) == n], below))])
+
+    region = _choose(key, "region", _children(tree, "region"))
+    rack = _choose(key, "rack", F.element_at(under("region", "rack"), region))
+    return _choose(key, "shard", F.element_at(under("rack", "shard"), rack))
 
 
 def shard_documents(docs: DataFrame, tree: list[Leaf], key: str = "doc_id", text: str = "text") -> DataFrame:
