@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, crc_mod, written
 from .labelled import LABEL_SAMPLE, training_rows
 
-#: Features of the model: terms of the largest chi-squared value in at least MIN_DOCS documents.
+#: Features of the model: terms of the largest chi-squared value, MIN_GAIN at least, in at least MIN_DOCS documents.
 TERMS = 2048
 MIN_DOCS = 4
+MIN_GAIN = 10.8
 FACTORS = 8
-ROUNDS, EPOCHS, BATCH = 6, 4, 64
-RATE, L2 = 0.05, 1e-4
+ROUNDS, STEPS, BATCH = 6, 80, 64
+RATE, L2, L2_FACTORS = 0.15, 1e-4, 1e-4
 SHARDS = 6
+PREFIXES = (4, 5)
 SEED = 11
 THRESHOLD = 0.5
 HELD_OUT, FOLDS = 0, 5
@@ -36,8 +38,13 @@ TERM = re.compile(r"[^\W_]+")
 
 
 def hashed_terms(text: str) -> list[int]:
-    """Distinct terms in lower case, as 32-bit hashes."""
-    return [zlib.crc32(w.encode()) for w in set(TERM.findall(text.lower()))]
+    """Distinct terms in lower case and the first letters of longer ones, as 32-bit hashes.
+
+    The first letters let an inflected insult count that training has not met.
+    """
+    words = set(TERM.findall(text.lower()))
+    starts = {"^" + w[:k] for k in PREFIXES for w in words if len(w) > k}
+    return [zlib.crc32(w.encode()) for w in words | starts]
 
 
 @dataclass(frozen=True)
@@ -75,7 +82,8 @@ def margins(index: np.ndarray, row: np.ndarray, n: int, bias: float, weights: np
 
 
 def _train(bias: float, weights: np.ndarray, factors: np.ndarray, seed: int):
-    """Adam on the logistic loss over one partition's rows; yields its parameters and row count."""
+    """Adam on the logistic loss over one partition's rows, for a fixed number of steps whatever
+    their number; yields the parameters and the row count. seed is the round."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, y = [], []
@@ -86,20 +94,22 @@ def _train(bias: float, weights: np.ndarray, factors: np.ndarray, seed: int):
         p = np.concatenate([[bias], weights, factors.ravel()])
         m, s, t = np.zeros_like(p), np.zeros_like(p), 0
         labels = np.array(y)
-        for _ in range(EPOCHS):
-            order = rng.permutation(len(rows))
-            for at in range(0, len(order), BATCH):
-                take = order[at : at + BATCH]
-                index, row, n = _flat([rows[i] for i in take])
-                v_all = p[1 + n_terms :].reshape(n_terms, FACTORS)
-                err = (1 / (1 + np.exp(-margins(index, row, n, p[0], p[1 : 1 + n_terms], v_all))) - labels[take]) / n
-                v = v_all[index]
-                slope = err[row][:, None] * (_by_row(v, row, n)[row] - v)
-                g = np.concatenate([[err.sum()], np.bincount(index, err[row], n_terms), _by_row(slope, index, n_terms).ravel()])
-                g[1:] += L2 * p[1:]
-                t += 1
-                m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
-                p = p - RATE / (1 + 0.05 * seed) * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
+        v_at, order = 1 + n_terms, np.zeros(0, dtype=int)
+        while len(rows) and t < STEPS:
+            if len(order) < min(BATCH, len(rows)):
+                order = rng.permutation(len(rows))
+            take, order = order[:BATCH], order[BATCH:]
+            index, row, n = _flat([rows[i] for i in take])
+            factors_now = p[v_at:].reshape(n_terms, FACTORS)
+            err = (1 / (1 + np.exp(-margins(index, row, n, p[0], p[1:v_at], factors_now))) - labels[take]) / n
+            v = factors_now[index]
+            slope = err[row][:, None] * (_by_row(v, row, n)[row] - v)
+            g = np.concatenate([[err.sum()], np.bincount(index, err[row], n_terms), _by_row(slope, index, n_terms).ravel()])
+            g[1:v_at] += L2 * p[1:v_at]
+            g[v_at:] += L2_FACTORS * p[v_at:]
+            t += 1
+            m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
+            p = p - RATE / (1 + 0.3 * seed) * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
         if len(rows):
             yield pa.RecordBatch.from_pydict({"n": [len(rows)], "p": pa.array([p.tobytes()], pa.binary())})
 
@@ -115,7 +125,7 @@ def choose_terms(rows: DataFrame, terms: int = TERMS, min_docs: int = MIN_DOCS)
     counts = rows.select(F.explode("terms").alias("term"), "y").groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("c"), F.sum("y").alias("a"))
     expected = F.col("c") * pos / n
     gain = (F.col("a") - expected) ** 2 * n * n / (F.col("c") * (n - F.col("c") + 1e-9) * pos * (n - pos) / n)
-    best = counts.filter(F.col("c") >= min_docs).filter(F.col("c") < n).orderBy(gain.desc(), "term").limit(terms)
+    best = counts.filter((F.col("c") >= min_docs) & (F.col("c") < n) & (gain >= MIN_GAIN)).orderBy(gain.desc(), "term").limit(terms)
     return [r["term"] for r in best.select("term").collect()]
 
 
