@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, quality, sharding, simhash, toxicity, url_filter, warc
+from . import imatch, langid, quality, sharding, simhash, toxicity, url_filter, warc
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_simhash, op4_toxicity, op6_langid, op8_warc, op9_url_filter, op10_quality)}
+    return {f.__name__: f for f in (op1_sharding, op3_simhash, op4_toxicity, op5_fingerprints, op6_langid, op8_warc, op9_url_filter, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
