@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, langid, quality, sharding, simhash, toxicity, url_filter, warc
+from . import decontaminate, imatch, langid, quality, sharding, simhash, toxicity, url_filter, warc
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
@@ -43,7 +47,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_simhash, op4_toxicity, op5_fingerprints, op6_langid, op8_warc, op9_url_filter, op10_quality)}
+    return {f.__name__: f for f in (op1_sharding, op3_simhash, op4_toxicity, op5_fingerprints, op6_langid, op7_decontamination, op8_warc, op9_url_filter, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
