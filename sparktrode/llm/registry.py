@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, imatch, langid, quality, sharding, simhash, toxicity, url_filter, warc
+import corpus_pipeline
+
+from . import decontaminate, imatch, langid, quality, sentencepiece_lattice, sharding, simhash, toxicity, url_filter, warc
 from .common import table
 
 
@@ -14,6 +16,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.uniform_tree(16))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_lattice.encode_documents(docs, sentencepiece_lattice.load_model(), decoded=True).drop("text")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -46,8 +53,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_simhash, op4_toxicity, op5_fingerprints, op6_langid, op7_decontamination, op8_warc, op9_url_filter, op10_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_sentencepiece, op3_simhash, op4_toxicity, op5_fingerprints, op6_langid, op7_decontamination, op8_warc, op9_url_filter, op10_quality, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
