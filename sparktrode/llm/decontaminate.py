@@ -1,15 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages of the corpus are TF-IDF vectors over hashed terms. A randomised SVD, whose products are
-summed over partitions, gives latent factors. Overlapping windows of every text are compared with
-the benchmark items by cosine in the latent space; each candidate is then checked with the longest
-common subsequence of words, and paraphrases also with the item's answer.
+summed over partitions, gives latent factors. Windows of every text, at a few lengths, are compared
+with the benchmark items of about that length by cosine in the latent space. A candidate that holds
+enough of the item's terms is then checked with the longest common subsequence of words, and a
+paraphrase also with the item's answer.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -21,35 +21,87 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, written
 
 TERMS = 1 << 14
-RANK, OVERSAMPLE = 56, 8
-#: Words in half a window; a window is two neighbouring halves, a corpus passage is one window.
-HALF = 16
-COSINE = 0.55
+#: Latent factors: the first few, which tell languages apart and not passages, are left out.
+RANK, SKIPPED, OVERSAMPLE = 42, 6, 6
+#: Words in a corpus passage; in a step between windows; steps in a window, by length of item.
+PASSAGE, STEP, SCALES = 32, 8, (2, 4, 6, 8)
+COSINE = 0.65
 #: Longest common subsequence as a share of the item's words: a copy, or a paraphrase if the
 #: item's answer is there too. The tables give no answers, so the end of an item counts as one.
 COPY, PARAPHRASE, ANSWER = 0.75, 0.55, 0.8
 SHORT_ITEM = 8
 SEED = 5
-ITEM_BLOCK = 512
-WORD = re.compile(r"[^\W_]+")
+ITEM_BLOCK = 1024
+#: Words handled at once; a text is never cut, so a longer one makes a longer group.
+GROUP_CHARS = 400_000
 FOUND = "doc_id long, item_id string, cosine double, lcs double, kind string"
+BASE = 0x9E3779B97F4A7C15
 
 
-class Buckets(dict):
-    """Word to hashed term; holds a bounded number of words."""
+@functools.cache
+def _letters() -> np.ndarray:
+    """For each code point its lower-case letter or digit, or 0."""
+    out = np.zeros(0x110000, dtype=np.uint64)
+    for c in range(0x110000):
+        if (x := chr(c)).isalnum():
+            low = x.lower()
+            out[c] = ord(low) if len(low) == 1 else c
+    return out
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = found = zlib.crc32(word.encode()) % TERMS
-        return found
 
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.array([self[w] for w in words], dtype=np.int32)
+@functools.lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2 ** 64."""
+    inverse = pow(BASE, -1, 1 << 64)
+    with np.errstate(over="ignore"):
+        up, down = (np.cumprod(np.r_[np.uint64(1), np.full(n, b, dtype=np.uint64)]) for b in (BASE, inverse))
+    return up, down
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and where each text's words start.
+
+    A word is a run of letters and digits, in lower case; its hash is a polynomial of its letters.
+    """
+    joined = "\n".join(x or "" for x in texts)
+    points = _letters()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+    lengths = np.array([len(x or "") + 1 for x in texts], dtype=np.int64)
+    inside = points > 0
+    edges = np.diff(np.r_[False, inside, False].astype(np.int8))
+    first, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    up, down = _powers(1 << max(12, int(len(points)).bit_length()))
+    with np.errstate(over="ignore"):
+        sums = np.r_[np.uint64(0), np.cumsum(points * up[: len(points)])]
+        hashes = (sums[end] - sums[first]) * down[first]
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes ^= hashes >> np.uint64(29)
+    return hashes, np.searchsorted(first, np.r_[0, np.cumsum(lengths)])
+
+
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str | None]]]:
+    """Rows in groups of about GROUP_CHARS characters: ids (if there) and texts."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        keys = batch.column("doc_id").to_pylist() if "doc_id" in batch.schema.names else [None] * batch.num_rows
+        for key, text in zip(keys, batch.column("text").to_pylist(), strict=True):
+            ids.append(key)
+            texts.append(text)
+            size += len(text or "")
+            if size >= GROUP_CHARS:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if texts:
+        yield ids, texts
+
+
+def terms_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(TERMS - 1)).astype(np.int64)
+
+
+def _runs(starts: np.ndarray, width: int) -> np.ndarray:
+    """Starts of runs of `width` words that don't cross texts; shorter ones at a text's end."""
+    at = np.arange(starts[-1]) - np.repeat(starts[:-1], np.diff(starts))
+    return np.flatnonzero(at % width == 0)
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,16 +114,18 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
-def summed(docs: DataFrame, shape: tuple[int, ...], add: Callable[[np.ndarray, list[np.ndarray]], None], fan_in: int = 16) -> np.ndarray:
-    """Sum over all texts of what `add` puts into an array of this shape, added in a tree."""
+def summed(docs: DataFrame, shape: tuple[int, ...], add: Callable[[np.ndarray, np.ndarray, np.ndarray], None], fan_in: int = 16) -> np.ndarray:
+    """Sum over all texts of what `add` puts into an array of this shape, added in a tree.
+
+    `add` gets the array, the terms of some texts and the starts of their passages.
+    """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, buckets = np.zeros(shape), Buckets()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                ids = buckets.of(words_of(text))
-                if len(ids):
-                    add(total, ids)
+        total = np.zeros(shape)
+        for _, texts in groups(batches):
+            hashes, starts = tokens(texts)
+            if len(hashes):
+                add(total, terms_of(hashes), _runs(starts, PASSAGE))
         yield pa.RecordBatch.from_pydict({"part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
     parts, n = docs.select("text").mapInArrow(partial, "part binary"), docs.rdd.getNumPartitions()
@@ -81,82 +135,71 @@ def summed(docs: DataFrame, shape: tuple[int, ...], add: Callable[[np.ndarray, l
     return sum((np.frombuffer(r["part"], dtype=np.float32).reshape(shape).astype(float) for r in parts.toLocalIterator()), np.zeros(shape))
 
 
-def _passages(ids: np.ndarray) -> np.ndarray:
-    """The start of each corpus passage: windows that don't overlap."""
-    return np.arange(0, len(ids), 2 * HALF)
-
-
-def _scatter(total: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
-    """total[ids] += rows, for repeated ids too."""
-    order = np.argsort(ids, kind="stable")
-    sorted_ids = ids[order]
-    starts = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
-    total[sorted_ids[starts]] += np.add.reduceat(rows[order], starts, axis=0)
-
-
 @dataclass(frozen=True)
 class Latent:
-    """Rows of weighted factors of the hashed terms."""
+    """Weighted factors of the hashed terms, a row for each."""
 
     factors: np.ndarray
 
-    def windows(self, ids: np.ndarray) -> np.ndarray:
-        """Unit vectors of the windows that start at each half."""
-        halves = np.add.reduceat(self.factors[ids], np.arange(0, len(ids), HALF), axis=0)
-        both = halves[:-1] + halves[1:] if len(halves) > 1 else halves
-        return both / np.maximum(np.linalg.norm(both, axis=1, keepdims=True), 1e-12)
+    def of(self, terms: np.ndarray) -> np.ndarray:
+        total = self.factors[terms].sum(0)
+        return total / max(float(np.linalg.norm(total)), 1e-12)
 
 
 def fit(docs: DataFrame) -> Latent:
-    """Idf over all passages, then two passes of a randomised SVD over all passages."""
+    """Idf over all passages, then a randomised SVD of them in one pass (Nystrom's form).
 
-    def count(total: np.ndarray, ids: np.ndarray) -> None:
-        starts = _passages(ids)
-        passage = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(ids)]))
-        seen = np.unique(passage * TERMS + ids) % TERMS
-        total[:TERMS] += np.bincount(seen, minlength=TERMS)
-        total[TERMS] += len(starts)
+    With A the passages by terms and W the random sketch, A'AW is summed over partitions; the
+    right factors of A are those of A'AW (W'A'AW)^(-1/2).
+    """
+
+    def count(total: np.ndarray, terms: np.ndarray, first: np.ndarray) -> None:
+        passage = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(terms)]))
+        total[:TERMS] += np.bincount(np.unique(passage * TERMS + terms) % TERMS, minlength=TERMS)
+        total[TERMS] += len(first)
 
     df = summed(docs, (TERMS + 1,), count)
     idf = np.log((1 + df[TERMS]) / (1 + df[:TERMS])).astype(np.float32)
     sketch = np.random.default_rng(SEED).normal(size=(TERMS, RANK + OVERSAMPLE)).astype(np.float32)
 
-    def project(ids: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts = _passages(ids)
-        norm = np.sqrt(np.maximum(np.add.reduceat(idf[ids] ** 2, starts), 1e-12))
-        return np.add.reduceat(by[ids], starts, axis=0) / norm[:, None], norm
-
     weighted = idf[:, None] * sketch
 
-    def spread(total: np.ndarray, ids: np.ndarray) -> None:
-        rows, norm = project(ids, weighted)
-        lengths = np.diff(np.r_[_passages(ids), len(ids)])
-        _scatter(total, ids, np.repeat(rows / norm[:, None], lengths, axis=0) * idf[ids][:, None])
+    def spread(total: np.ndarray, terms: np.ndarray, first: np.ndarray) -> None:
+        square = np.maximum(np.add.reduceat(idf[terms] ** 2, first), 1e-12)
+        rows = np.add.reduceat(weighted[terms], first, axis=0) / square[:, None]  # unit rows, twice
+        passage = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(terms)]))
+        order = np.argsort(terms.astype(np.uint16), kind="stable")
+        sorted_terms = terms[order]
+        at = np.flatnonzero(np.r_[True, sorted_terms[1:] != sorted_terms[:-1]])
+        found = sorted_terms[at]
+        total[found] += np.add.reduceat(rows[passage[order]], at, axis=0) * idf[found][:, None]
 
-    basis = np.linalg.qr(summed(docs, weighted.shape, spread))[0].astype(np.float32)
-    weighted_basis = idf[:, None] * basis
-
-    def gram(total: np.ndarray, ids: np.ndarray) -> None:
-        rows, _ = project(ids, weighted_basis)
-        total += rows.T @ rows
-
-    values, vectors = np.linalg.eigh(summed(docs, (RANK + OVERSAMPLE,) * 2, gram))
-    return Latent((weighted_basis @ vectors[:, np.argsort(-values)[:RANK]]).astype(np.float32))
+    product = summed(docs, weighted.shape, spread)  # A'A times the sketch
+    core = sketch.T.astype(float) @ product
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    keep = values > 1e-9 * max(values.max(), 1e-300)
+    factors, _, _ = np.linalg.svd(product @ vectors[:, keep] / np.sqrt(values[keep]), full_matrices=False)
+    return Latent((idf[:, None] * factors[:, SKIPPED:RANK]).astype(np.float32))
 
 
 @dataclass(frozen=True)
 class Item:
     item_id: str
-    words: list[str]
+    words: list[int]
+
+    @property
+    def scale(self) -> int:
+        return min(SCALES, key=lambda s: (abs(s * STEP - len(self.words)), s))
 
-    def masks(self, words: list[str]) -> dict[str, int]:
-        out: dict[str, int] = {}
-        for k, w in enumerate(words):
-            out[w] = out.get(w, 0) | 1 << k
-        return out
 
+def masks(words: list[int]) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for k, w in enumerate(words):
+        out[w] = out.get(w, 0) | 1 << k
+    return out
 
-def common_subsequence(masks: dict[str, int], length: int, region: list[str]) -> int:
+
+def common_subsequence(masks: dict[int, int], length: int, region: list[int]) -> int:
     """Length of the longest common subsequence, by bits of one number."""
     full = (1 << length) - 1
     v = full
@@ -166,43 +209,80 @@ def common_subsequence(masks: dict[str, int], length: int, region: list[str]) ->
     return length - v.bit_count()
 
 
+class Search:
+    """All windows of a group of texts against all items, in blocks."""
+
+    def __init__(self, latent: Latent, items: list[Item]):
+        self.latent, self.items = latent, items
+        self.query = np.array([latent.of(terms_of(np.array(i.words, dtype=np.uint64))) for i in items], dtype=np.float32)
+        self.scale = np.array([i.scale for i in items])
+        self.needed = np.array([(1.0 if len(i.words) < SHORT_ITEM else PARAPHRASE) * len(i.words) for i in items])
+        self.masks = [masks(i.words) for i in items]
+        self.answers = [i.words[-max(3, len(i.words) // 4) :] for i in items]
+        self.answer_masks = [masks(a) for a in self.answers]
+
+    def candidates(self, terms: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+        """(text, item, begin, end, cosine) of regions that hold enough of the item's terms."""
+        first = _runs(starts, STEP)
+        rows = self.latent.factors[terms]
+        rows[1:][terms[1:] == terms[:-1]] = 0  # one word many times in a row must not drown its window
+        sums = np.vstack([np.zeros(rows.shape[1]), np.cumsum(np.add.reduceat(rows, first, axis=0), axis=0, dtype=np.float64)])
+        text = np.searchsorted(starts, first, side="right") - 1
+        text_start, text_end = np.searchsorted(first, starts[:-1])[text], np.searchsorted(first, starts[1:])[text]
+        step = np.arange(len(first))
+        padded = np.r_[terms, TERMS]
+        for scale in SCALES:
+            own = np.flatnonzero(self.scale == scale)
+            if not len(own):
+                continue
+            at = np.flatnonzero((step + scale <= text_end) | (step == text_start))
+            stop = np.minimum(at + scale, text_end[at])
+            windows = sums[stop] - sums[at]
+            windows = (windows / np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+            for lot in range(0, len(own), ITEM_BLOCK):
+                block = own[lot : lot + ITEM_BLOCK]
+                cosine = windows @ self.query[block].T
+                which, item = np.nonzero(cosine >= COSINE)
+                if not len(which):
+                    continue
+                member = np.zeros((len(block), TERMS + 1), dtype=bool)
+                for k, i in enumerate(block):
+                    member[k, terms_of(np.array(self.items[i].words, dtype=np.uint64))] = True
+                begin = np.maximum(first[at[which]] - STEP, starts[text[at[which]]])
+                end = np.minimum(first[at[which]] + (scale + 1) * STEP, starts[text[at[which]] + 1])
+                for part in range(0, len(which), 20_000):
+                    cut = slice(part, part + 20_000)
+                    place = begin[cut, None] + np.arange((scale + 2) * STEP)
+                    place = np.where(place < end[cut, None], place, len(terms))
+                    held = member[item[cut, None], padded[place]].sum(1)
+                    for c in np.flatnonzero(held >= self.needed[block[item[cut]]]) + part:
+                        yield int(text[at[which[c]]]), int(block[item[c]]), int(begin[c]), int(end[c]), float(cosine[which[c], item[c]])
+
+    def __call__(self, hashes: np.ndarray, starts: np.ndarray) -> dict[tuple[int, int], tuple[float, float, str]]:
+        """(share, cosine, kind) of the best region of each (text, item) that passes the checks."""
+        best: dict[tuple[int, int], tuple[float, float, str]] = {}
+        for text, k, begin, end, cosine in self.candidates(terms_of(hashes), starts):
+            n, region = len(self.items[k].words), hashes[begin:end].tolist()
+            shared = common_subsequence(self.masks[k], n, region)
+            if shared < self.needed[k]:
+                continue
+            copy, answer = shared >= COPY * n, self.answers[k]
+            if copy or common_subsequence(self.answer_masks[k], len(answer), region) >= ANSWER * len(answer):
+                now = (shared / n, cosine, "copy" if copy else "paraphrase")
+                best[text, k] = max(best.get((text, k), now), now)
+        return best
+
+
 def _search(latent: Latent, items: list[Item]):
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.string()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("kind", pa.string())])
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = Buckets()
-        vectors, owner = [], []
-        for k, item in enumerate(items):
-            v = latent.windows(buckets.of(item.words))
-            vectors.append(v)
-            owner += [k] * len(v)
-        query, owner = np.vstack(vectors).astype(np.float32), np.array(owner)
-        masks = [i.masks(i.words) for i in items]
-        answers = [i.words[-max(3, len(i.words) // 4) :] for i in items]
-        answer_masks = [i.masks(a) for i, a in zip(items, answers, strict=True)]
-        for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = words_of(text)
-                if not words:
-                    continue
-                windows = latent.windows(buckets.of(words))
-                best: dict[int, tuple] = {}
-                for at in range(0, len(query), ITEM_BLOCK):
-                    cosine = windows @ query[at : at + ITEM_BLOCK].T
-                    hit, which = np.nonzero(cosine >= COSINE)
-                    for w, q in zip(hit.tolist(), which.tolist(), strict=True):
-                        k = int(owner[at + q])
-                        item, n = items[k], len(items[k].words)
-                        region = words[max(0, w * HALF - n) : w * HALF + 2 * HALF + n]
-                        share = common_subsequence(masks[k], n, region) / n
-                        if share < (1.0 if n < SHORT_ITEM else PARAPHRASE):
-                            continue
-                        copy = share >= COPY
-                        if not copy and common_subsequence(answer_masks[k], len(answers[k]), region) < ANSWER * len(answers[k]):
-                            continue
-                        now = (share, float(cosine[w, q]), "copy" if copy else "paraphrase")
-                        best[k] = max(best.get(k, now), now)
-                out += [{"doc_id": doc_id, "item_id": items[k].item_id, "cosine": c, "lcs": s, "kind": kind} for k, (s, c, kind) in sorted(best.items())]
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.string()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("kind", pa.string())]))
+        look = Search(latent, items)
+        for ids, texts in groups(batches):
+            hashes, starts = tokens(texts)
+            if len(hashes):
+                found = sorted(look(hashes, starts).items())
+                yield pa.RecordBatch.from_pylist([{"doc_id": ids[t], "item_id": items[k].item_id, "cosine": c, "lcs": s, "kind": kind} for (t, k), (s, c, kind) in found], schema=schema)
 
     return search
 
@@ -217,7 +297,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     rows = benchmark.select(F.col("item_id").cast("string"), "text").orderBy("item_id", "text").collect()
-    items = [Item(r["item_id"], w) for r in rows if (w := words_of(r["text"]))]
+    items = [Item(r["item_id"], w) for r in rows if (w := tokens([r["text"]])[0].tolist())]
     base = docs.select(F.col("doc_id").cast("long"), "text").filter("text is not null")
     if not items:
         return docs.sparkSession.createDataFrame([], FOUND)
