@@ -71,7 +71,7 @@ def _offsets(radius: int, parts: int) -> list[tuple[int, ...]]:
 
 
 def tile_pairs(prints: DataFrame, radius: int, parts: int, tile: int = TILE) -> DataFrame:
-    """(a, b, same): tiles of (node, lanes) whose parts' population counts are within the radius.
+    """Pairs of tiles (nodes and lanes of each) whose parts' counts are within the radius.
 
     prints has node, lanes (array<long>) and band; only rows of the same or the next band meet.
     """
@@ -84,12 +84,22 @@ def tile_pairs(prints: DataFrame, radius: int, parts: int, tile: int = TILE) ->
     cells = prints.select("node", "lanes", "band", F.array(*counts).alias("cell"))
     sizes = cells.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("n"))
     tiles = cells.join(sizes, ["band", "cell"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / tile)).cast("int"))
-    tiles = written(tiles.groupBy("band", "cell", "tile").agg(F.collect_list(F.struct("node", "lanes")).alias("rows")), "tiles")
-    steps = F.array(*[F.struct(F.lit(b).alias("band"), F.array(*map(F.lit, x)).alias("by")) for b in (0, 1) for x in (_offsets(radius, parts) if b == 0 else _all_offsets(radius, parts))])
-    left = tiles.select("band", "cell", F.col("tile").alias("tile_a"), F.col("rows").alias("a"), F.explode(steps).alias("step"))
-    left = left.select((F.col("band") + F.col("step.band")).alias("band"), F.zip_with("cell", "step.by", lambda x, y: x + y).alias("cell"), "tile_a", "a", ((F.col("step.band") == 0) & F.forall("step.by", lambda x: x == 0)).alias("home"))
-    pairs = left.join(tiles.select("band", "cell", F.col("tile").alias("tile_b"), F.col("rows").alias("b")), ["band", "cell"])
-    return pairs.filter(~F.col("home") | (F.col("tile_a") <= F.col("tile_b"))).select("a", "b", (F.col("home") & (F.col("tile_a") == F.col("tile_b"))).alias("same"))
+    packed = tiles.groupBy("band", "cell", "tile").agg(F.collect_list(F.struct("node", "lanes")).alias("rows"))
+    tiles = written(packed.select("band", "cell", "tile", F.col("rows.node").alias("nodes"), F.flatten("rows.lanes").alias("lanes")), "tiles")
+    steps = [(0, x) for x in _offsets(radius, parts)]
+    if prints.agg(F.min("band") < F.max("band")).first()[0]:
+        steps += [(1, x) for x in _all_offsets(radius, parts)]
+    steps = F.array(*[F.struct(F.lit(b).alias("band"), F.array(*map(F.lit, x)).alias("by")) for b, x in steps])
+    left = tiles.select("band", "cell", F.col("tile").alias("tile_a"), F.col("nodes").alias("nodes_a"), F.col("lanes").alias("lanes_a"), F.explode(steps).alias("step"))
+    left = left.select(
+        (F.col("band") + F.col("step.band")).alias("band"),
+        F.zip_with("cell", "step.by", lambda x, y: x + y).alias("cell"),
+        ((F.col("step.band") == 0) & F.forall("step.by", lambda x: x == 0)).alias("home"),
+        *("tile_a", "nodes_a", "lanes_a"),
+    )
+    pairs = left.join(tiles.select("band", "cell", F.col("tile").alias("tile_b"), F.col("nodes").alias("nodes_b"), F.col("lanes").alias("lanes_b")), ["band", "cell"])
+    pairs = pairs.filter(~F.col("home") | (F.col("tile_a") <= F.col("tile_b")))
+    return pairs.select("nodes_a", "lanes_a", "nodes_b", "lanes_b", (F.col("home") & (F.col("tile_a") == F.col("tile_b"))).alias("same"))
 
 
 def _all_offsets(radius: int, parts: int) -> list[tuple[int, ...]]:
@@ -140,16 +150,16 @@ def spanning_links(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _compare(radius: int):
-    def unpack(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rows = column.flatten()
-        nodes = rows.field("node").to_numpy(zero_copy_only=False)
-        lanes = rows.field("lanes").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(nodes), -1) if len(nodes) else np.zeros((0, 1), np.uint64)
-        return nodes, lanes, np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]
+    def unpack(batch: pa.RecordBatch, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        nodes, lanes = batch.column(f"nodes_{side}"), batch.column(f"lanes_{side}")
+        ids = nodes.flatten().to_numpy(zero_copy_only=False)
+        bits = lanes.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1), np.uint64)
+        return ids, bits, np.r_[0, np.cumsum(nodes.value_lengths().to_numpy(zero_copy_only=False))]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes_a, a, at_a = unpack(batch.column("a"))
-            nodes_b, b, at_b = unpack(batch.column("b"))
+            nodes_a, a, at_a = unpack(batch, "a")
+            nodes_b, b, at_b = unpack(batch, "b")
             found_u, found_v = [], []
             for k, same in enumerate(batch.column("same").to_pylist()):
                 i, j = _close(a[at_a[k] : at_a[k + 1]], b[at_b[k] : at_b[k + 1]], radius, same)
