@@ -1,11 +1,16 @@
-"""The queries of the recordings library and their SQL."""
+"""All queries of the recordings library and their SQL."""
+
+from __future__ import annotations
+
+from . import counts, stats  # noqa: F401
+from .base import ORACLES, QUERIES
 
 FLAGSHIP = "e5_part_table"
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
