@@ -57,7 +57,7 @@ def signal(spark: SparkSession, sf_dir: str, rate: float = 100.0, holes: bool =
     """recording_index, channel, n, t_s, x_uv; with holes every 17th event is missing."""
     x = F.col("value") - 50
     x = F.when(F.col("event_id") % 17 == 0, None).otherwise(x) if holes else x
-    n = F.row_number().over(W.partitionBy("recording_index", "channel").orderBy("ts", "event_id")) - 1
+    n = F.row_number().over(W.partitionBy("recording_index", "channel").orderBy("ts", "event_id")).cast("long") - 1
     return events(spark, sf_dir).withColumn("n", n).select("recording_index", "recording_name", "channel", "n", (F.col("n") / F.lit(rate)).alias("t_s"), x.alias("x_uv"))
 
 
@@ -65,7 +65,7 @@ def raw_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """recording, n, tick, word from lineitem."""
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     base = table(spark, sf_dir, "lineitem").withColumn("recording", (F.col("l_suppkey") % 4).cast("int"))
-    n = F.row_number().over(W.partitionBy("recording").orderBy(*order)) - 1
+    n = F.row_number().over(W.partitionBy("recording").orderBy(*order)).cast("long") - 1
     return base.withColumn("n", n).select("recording", "n", (F.col("n") + F.floor(F.col("n") / 100)).alias("tick"), (F.floor("l_extendedprice") % 65536).cast("int").alias("word"))
 
 
