@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import counts, signals, spectra, stats, trains  # noqa: F401
+from . import counts, files, signals, spectra, stats, trains  # noqa: F401
 from .base import ORACLES, QUERIES
 
 FLAGSHIP = "e5_part_table"
