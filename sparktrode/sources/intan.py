@@ -160,7 +160,9 @@ class RecordingReader(DataSourceReader):
             out += [Blocks(f, b, min(step, blocks - b)) for b in range(0, blocks, step)]
         return out
 
-    def read(self, part: Blocks) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Blocks | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no file, or none with data blocks
+            return
         h, blocks = self.header(part.path)
         name = part.path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
         if self.table == "metadata":
