@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, imatch, langid, quality, sentencepiece_lattice, sharding, simhash, toxicity, url_filter, warc
+from . import decontaminate, imatch, langid, quality, sentencepiece_lattice, sharding, simhash, sql, toxicity, url_filter, warc
 from .common import table
 
 
@@ -42,7 +42,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return warc.round_trip(spark, table(spark, sf_dir, "pages")).drop("archive")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_sharding": sql.SHARDING, "op8_warc": sql.WARC, "op9_url_filter": sql.URL_FILTER}
