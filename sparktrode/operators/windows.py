@@ -13,9 +13,9 @@ def tumbling_ceil(bounds: DataFrame, window_s: float) -> DataFrame:
     bounds has t0 and t1 beside its keys; adds window_index (from 1), window_start_s, window_end_s.
     """
     n = F.greatest(F.ceil((F.col("t1") - F.col("t0")) / window_s), F.lit(1)).cast("int")
-    out = bounds.withColumn("k", F.explode(F.sequence(F.lit(0), n - 1)))
-    start = F.col("t0") + F.col("k") * window_s
-    return out.select(*bounds.columns, (F.col("k") + 1).alias("window_index"), start.alias("window_start_s"), F.least(start + window_s, F.col("t1") + 1e-12).alias("window_end_s"))
+    out = bounds.withColumn("__k", F.explode(F.sequence(F.lit(0), n - 1)))
+    start = F.col("t0") + F.col("__k") * window_s
+    return out.select(*bounds.columns, (F.col("__k") + 1).alias("window_index"), start.alias("window_start_s"), F.least(start + window_s, F.col("t1") + 1e-12).alias("window_end_s"))
 
 
 def tumbling_folded(bounds: DataFrame, window_s: float, sample_s: float | Column = 0.0) -> DataFrame:
@@ -24,10 +24,10 @@ def tumbling_folded(bounds: DataFrame, window_s: float, sample_s: float | Column
     full = F.floor(total / window_s)
     # a duration just short of a multiple counts as the floor says; the fold is the same either way
     n = F.greatest(full, F.lit(1)).cast("int")
-    out = bounds.withColumn("total", total).filter("total > 0").withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    start = F.col("t0") + F.col("k") * window_s
-    end = F.when(F.col("k") == F.col("n") - 1, F.col("t0") + F.col("total")).otherwise(F.col("t0") + (F.col("k") + 1) * window_s)
-    return out.select(*bounds.columns, (F.col("k") + 1).alias("window_index"), start.alias("window_start_s"), end.alias("window_end_s"))
+    out = bounds.withColumn("__total", total).filter("__total > 0").withColumn("__n", n).withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    start = F.col("t0") + F.col("__k") * window_s
+    end = F.when(F.col("__k") == F.col("__n") - 1, F.col("t0") + F.col("__total")).otherwise(F.col("t0") + (F.col("__k") + 1) * window_s)
+    return out.select(*bounds.columns, (F.col("__k") + 1).alias("window_index"), start.alias("window_start_s"), end.alias("window_end_s"))
 
 
 def count_in_windows(spikes: DataFrame, windows: DataFrame, keys: list[str], window_s: float) -> DataFrame:
