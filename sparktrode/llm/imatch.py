@@ -26,9 +26,9 @@ from .common import bounded_batches, written
 #: at most (mean distinct terms of a document) / LEAST_SHARE terms.
 LEAST_SHARE, MOST_SHARE = 1 / 2000, 1 / 5
 #: Level k holds each term in a subset with chance 4 ** -k.
-LEVELS, SUBSETS = 5, 24
+LEVELS, SUBSETS = 5, 16
 #: A likeness is taken at the sparsest level where so many subsets hold terms of either document.
-ENOUGH = 8
+ENOUGH = 6
 TERM = re.compile(r"[^\W_]+")
 COUNTER_TERMS = 500_000
 
@@ -37,7 +37,8 @@ RESULT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, e
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(held: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"term": pa.array(list(held.keys()), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
+        terms = sorted(held)  # neighbours share their first letters, which the shuffle compresses
+        return pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "n": pa.array([held[t] for t in terms], pa.int64())})
 
     held: Counter = Counter()
     for batch in batches:
