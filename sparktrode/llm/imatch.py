@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -140,7 +141,8 @@ def _along(terms: frozenset[str]):
         prints, part, last = Prints(terms), TaskContext.get().partitionId(), None
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc_id, packed in zip(batch.column("doc_id").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                text = zlib.decompress(packed).decode("utf-8", "surrogatepass")
                 doc = (doc_id, text, prints.fingerprint(text))
                 rows.append(edge(part, 1, doc) if last is None else _row(prints, last, doc))
                 last = doc
@@ -174,9 +176,11 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     terms = lexicon(base)
-    order = [F.desc_nulls_last("doc_id"), F.xxhash64("text")]
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = base.repartitionByRange(count, *order).sortWithinPartitions(*order)
+    pack = F.pandas_udf(lambda s: s.map(lambda x: zlib.compress(x.encode("utf-8", "surrogatepass"), 1)), "binary")
+    order = [F.desc_nulls_last("doc_id"), F.col("hash")]
+    packed = base.select("doc_id", F.xxhash64("text").alias("hash"), pack("text").alias("packed"))  # texts are the bulk of the shuffle
+    dealt = packed.repartitionByRange(count, *order).sortWithinPartitions(*order)
     found = written(dealt.mapInArrow(_along(terms), RESULT), "fingerprints")
     edges = found.filter("edge > 0").select("part", "edge", "doc_id", "text")  # two rows a partition
     line = Window.orderBy("part", "edge")
