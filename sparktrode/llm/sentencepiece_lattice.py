@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from itertools import chain
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +39,13 @@ LATTICE_CHARS = 60
 NONE = 2**31 - 1
 #: No piece has a line break, or another character before a space mark, so no merge crosses these.
 WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+#: Nor has any piece a Latin letter before a character that is no letter, digit or space mark.
+CUT = re.compile(f"(?<=[A-Za-zÀ-ɏ])(?=[^\\w{SPACE}]|_)")
 WORDS_HELD = 1_000_000
+#: An edge is packed into an int, so ranks stay below this; a task groups the edges of so many
+#: words by hash before it sorts.
+RANKS = 1 << 16
+HASHED_WORDS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -62,7 +69,7 @@ def load_model(path: str = MODEL) -> Model:
     pieces = [read.id_to_piece(i) for i in range(n)]
     plain = [i for i in range(n) if not (read.is_control(i) or read.is_unknown(i) or read.is_byte(i) or read.is_unused(i))]
     order = {s: k for k, s in enumerate(sorted({read.get_score(i) for i in plain}, reverse=True))}
-    bad = [pieces[i] for i in plain if "\n" in pieces[i] or re.search(f"[^{SPACE}]{SPACE}", pieces[i])]
+    bad = [pieces[i] for i in plain if "\n" in pieces[i] or re.search(f"[^{SPACE}]{SPACE}", pieces[i]) or CUT.search(pieces[i])]
     if bad:
         raise ValueError(f"pieces cross word borders: {bad[:3]}")
     return Model(pieces, {pieces[i]: order[read.get_score(i)] for i in plain}, {pieces[i]: i for i in plain}, pieces.index("<0x00>"))
@@ -70,7 +77,28 @@ def load_model(path: str = MODEL) -> Model:
 
 def words_of(text: str) -> list[str]:
     """The text with its leading space mark, cut where no merge can cross."""
-    return WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    return [x for w in runs_of(text) for x in CUT.split(w)] if text else []
+
+
+def runs_of(text: str) -> list[str]:
+    return WORD.findall(SPACE + text.replace(" ", SPACE))
+
+
+def split(text: str) -> Iterator[tuple[str, list[str]]]:
+    """The runs of a text as (prefix, bare runs); each run is one word or several to be cut.
+
+    Plain splits serve where spaces and line breaks are single.
+    """
+    odd = text[0] == " " or text[-1] == " " or SPACE in text or "  " in text or "\n " in text or " \n" in text
+    if odd or "\n\n" in text or text[0] == "\n" or text[-1] == "\n":
+        yield "", runs_of(text)
+        return
+    for k, line in enumerate(text.split("\n")):
+        found = line.split(" ")
+        if k:
+            yield "", ["\n", found[0]]
+            found = found[1:]
+        yield SPACE, found
 
 
 def merged(word: str, ranks: dict[str, int]) -> list[str]:
@@ -131,18 +159,20 @@ def _cuts(n: Column, keys: Column, ranks: Column) -> Column:
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, held = TaskContext.get().partitionId(), set()
+    part, held, bare = TaskContext.get().partitionId(), set(), set()
 
     def out() -> pa.RecordBatch:
-        words = sorted(w for w in held if 2 <= len(w) <= LATTICE_CHARS)
+        words = {x for w in chain(held, [SPACE + b for b in bare]) for x in CUT.split(w)}
+        words = sorted(w for w in words if 2 <= len(w) <= LATTICE_CHARS)
         return pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(words), part), pa.int32()), "word": pa.array(words, pa.string())})
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            held.update(words_of(text or ""))
-            if len(held) > WORDS_HELD:
+            for prefix, words in split(text) if text else ():
+                (bare if prefix else held).update(words)
+            if len(held) + len(bare) > WORDS_HELD:
                 yield out()
-                held = set()
+                held, bare = set(), set()
     yield out()
 
 
@@ -158,8 +188,10 @@ def lattice(words: DataFrame, model: Model) -> DataFrame:
     starts = words.select("word", "parts", F.explode(F.sequence(F.lit(0), n - 2)).alias("s"))
     spans = starts.select("word", "parts", "s", F.explode(F.sequence(F.col("s") + 2, F.least(n, F.col("s") + model.longest))).alias("e"))
     edges = spans.withColumn("piece", F.expr("substring(word, s + 1, e - s)")).join(pieces, "piece")
-    grouped = edges.groupBy("word").agg(F.first("parts").alias("parts"), F.collect_list(F.struct((F.col("s") * 64 + F.col("e")).alias("k"), "rank")).alias("edges"))
-    return grouped.select("word", "parts", F.col("edges.k").alias("keys"), F.col("edges.rank").alias("ranks"))
+    packed = ((F.col("s") * 64 + F.col("e")) * RANKS + F.col("rank")).cast("int")
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(HASHED_WORDS))
+    grouped = edges.groupBy("word").agg(F.first("parts").alias("parts"), F.collect_list(packed).alias("edges"))
+    return grouped.select("word", "parts", F.transform("edges", lambda x: F.floor(x / RANKS).cast("int")).alias("keys"), F.transform("edges", lambda x: (x % RANKS).cast("int")).alias("ranks"))
 
 
 def cut_words(docs: DataFrame, model: Model, text: str = "text") -> str:
@@ -173,37 +205,52 @@ def cut_words(docs: DataFrame, model: Model, text: str = "text") -> str:
     return path
 
 
-class Encoder:
-    """Words of one partition to ids, by the cuts that the lattice gave."""
-
-    def __init__(self, model: Model, folder: str, part: int):
-        self.model, self.known, self.cuts = model, {}, {}
-        store, at = pafs.FileSystem.from_uri(folder)
-        where = pafs.FileSelector(f"{at}/part={part}", allow_not_found=True)
-        for file in store.get_file_info(where):
-            if file.path.endswith(".parquet"):
-                with store.open_input_file(file.path) as source:
-                    t = pq.read_table(source, columns=["hash", "cuts"])
-                self.cuts.update(zip(t.column("hash").to_numpy().tolist(), t.column("cuts").to_numpy().tolist(), strict=True))
-
-    def piece_ids(self, piece: str) -> list[int]:
-        found = self.model.ids.get(piece)
-        return [found] if found is not None else [self.model.first_byte + x for x in piece.encode()]
-
-    def __call__(self, word: str) -> tuple[int, ...]:
-        if (found := self.known.get(word)) is None:
-            cuts = self.cuts.get((xxhash.xxh64_intdigest(word, 42) + 2**63) % 2**64 - 2**63) if 1 < len(word) <= LATTICE_CHARS else None
-            if cuts is None:
-                parts = merged(word, self.model.ranks)
-            else:
-                at = [i for i in range(len(word) + 1) if cuts >> i & 1]
-                parts = [word[s:e] for s, e in zip(at, at[1:], strict=False)]
-            found = tuple(i for p in parts for i in self.piece_ids(p))
-            if len(word) <= LATTICE_CHARS:
-                if len(self.known) > WORDS_HELD:
-                    self.known.clear()
-                self.known[word] = found
-        return found
+class Encoder(dict):
+    """Words of one partition to ids, by the cuts that the lattice gave; prefix is put before each."""
+
+    def __init__(self, model: Model, cuts: dict[int, int], prefix: str):
+        super().__init__()
+        self.model, self.cuts, self.prefix = model, cuts, prefix
+
+    def pieces(self, word: str) -> list[str]:
+        cuts = self.cuts.get((xxhash.xxh64_intdigest(word, 42) + 2**63) % 2**64 - 2**63) if 1 < len(word) <= LATTICE_CHARS else None
+        if cuts is None:
+            return merged(word, self.model.ranks)
+        parts, at = [], 0
+        cuts >>= 1
+        for end in range(1, len(word) + 1):
+            if cuts & 1:
+                parts.append(word[at:end])
+                at = end
+            cuts >>= 1
+        return parts
+
+    def __missing__(self, bare: str) -> tuple[int, ...]:
+        ids, found = self.model.ids, []
+        for word in CUT.split(self.prefix + bare):
+            for p in self.pieces(word):
+                if (i := ids.get(p)) is not None:
+                    found.append(i)
+                else:
+                    found += [self.model.first_byte + x for x in p.encode()]
+        out = tuple(found)
+        if len(bare) <= LATTICE_CHARS:
+            if len(self) > WORDS_HELD:
+                self.clear()
+            self[bare] = out
+        return out
+
+
+def read_cuts(folder: str, part: int) -> dict[int, int]:
+    """Hash of a word to its cuts, from one partition's files."""
+    store, at = pafs.FileSystem.from_uri(folder)
+    cuts: dict[int, int] = {}
+    for file in store.get_file_info(pafs.FileSelector(f"{at}/part={part}", allow_not_found=True)):
+        if file.path.endswith(".parquet"):
+            with store.open_input_file(file.path) as source:
+                t = pq.read_table(source, columns=["hash", "cuts"])
+            cuts.update(zip(t.column("hash").to_numpy().tolist(), t.column("cuts").to_numpy().tolist(), strict=True))
+    return cuts
 
 
 def decode(ids: list[int], model: Model) -> str:
@@ -215,15 +262,16 @@ def decode(ids: list[int], model: Model) -> str:
 
 def _encode(model: Model, folder: str, text: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model, folder, TaskContext.get().partitionId())
+        cuts = read_cuts(folder, TaskContext.get().partitionId())
+        encoders = {prefix: Encoder(model, cuts, prefix).__getitem__ for prefix in ("", SPACE)}
         first = model.first_byte
         raw = [bytes([i - first]) if first <= i < first + 256 else p.encode() for i, p in enumerate(model.pieces)]
         for batch in batches:
             flat, ends, texts = array("i"), [0], []
             for t in batch.column(text).to_pylist():
                 begin = len(flat)
-                for w in words_of(t or ""):
-                    flat.extend(encoder(w))
+                for prefix, words in split(t) if t else ():
+                    flat.extend(chain.from_iterable(map(encoders[prefix], words)))
                 ends.append(len(flat))
                 if decoded:
                     back = b"".join(map(raw.__getitem__, flat[begin:])).decode("utf-8", "replace").replace(SPACE, " ")
