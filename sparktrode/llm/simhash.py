@@ -9,6 +9,7 @@ near copies gives about n rows and not their square.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 from collections.abc import Iterator
@@ -46,8 +47,12 @@ def shingles(words: list[bytes], width: int) -> list[bytes]:
 
 
 def fingerprint(text: str | None, width: int = SHINGLE, lanes: int = 1) -> list[int]:
-    """Signed 64-bit lanes; lane k takes XXH64 with seed 42 + k. A bit is set if over half have it."""
-    grams = shingles(words_of(text), width)
+    """Signed 64-bit lanes of all shingles, repeats included."""
+    return majority(shingles(words_of(text), width), lanes)
+
+
+def majority(grams: list[bytes], lanes: int) -> list[int]:
+    """Lane k takes XXH64 with seed 42 + k. A bit is set if over half have it."""
     if not grams:
         return [0] * lanes
     out = []
@@ -211,29 +216,42 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+def _set_stats(texts: pd.Series) -> pd.DataFrame:
+    """Of the distinct shingles of each text: a digest that names the set, lanes and their number."""
+    rows = []
+    for text in texts:
+        grams = sorted(set(shingles(words_of(text), DEDUP_SHINGLE)))
+        rows.append((hashlib.blake2b(b"\n".join(grams), digest_size=16).digest(), majority(grams, DEDUP_LANES), max(1, len(grams))))
+    return pd.DataFrame(rows, columns=["shingles", "lanes", "n"])
+
+
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) of every non-null doc_id whose text has near copies.
 
-    Fingerprints of 4 x 64 bits over five-word shingles link within the radius; bands of the count
-    of distinct shingles keep apart texts whose lengths rule out the similarity. Then the links kept are
-    checked exactly. Copies of one fingerprint are taken as one node.
+    A node is a distinct set of five-word shingles; only texts of one set are taken as one without
+    a check. Fingerprints of 4 x 64 bits over the sets link within the radius, equal ones too;
+    bands of the sets' sizes keep apart texts whose lengths rule out the similarity. Then the links
+    kept are checked exactly.
     """
     bounded_batches(docs.sparkSession)
-    stats = F.pandas_udf(
-        lambda s: pd.DataFrame({"lanes": [fingerprint(x, DEDUP_SHINGLE, DEDUP_LANES) for x in s], "n": [max(1, len(set(shingles(words_of(x), DEDUP_SHINGLE)))) for x in s]}), "lanes array<long>, n int"
-    )
-    prints = docs.filter("doc_id is not null").select("doc_id", stats("text").alias("s")).select("doc_id", "s.lanes", "s.n")
+    stats = F.pandas_udf(_set_stats, "shingles binary, lanes array<long>, n int")
+    prints = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("hash"), stats("text").alias("s")).select("doc_id", "hash", "s.*")
     prints = written(prints, "wide_fingerprints")
-    nodes = prints.groupBy("lanes").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"))
-    nodes = nodes.withColumn("band", F.floor(F.log("n") / math.log(1 / similarity)).cast("int"))
+    least = F.min(F.struct("doc_id", "hash"))
+    nodes = prints.groupBy("shingles").agg(least.alias("least"), F.first("lanes").alias("lanes"), F.first("n").alias("n"))
+    nodes = nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("band", F.floor(F.log("n") / math.log(1 / similarity)).cast("int"))
+    nodes = written(nodes.select("node", "shingles", "least.doc_id", "least.hash", "lanes", "band"), "shingle_sets")
     links = written(near_links(nodes.select("node", "lanes", "band"), DEDUP_RADIUS, 1), "near_links")
-    ends = links.select(F.col("u").alias("doc_id")).union(links.select("v")).distinct()
-    texts = docs.join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    pairs = links.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
+    ends = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
+    ends = nodes.join(ends, "node", "left_semi").select("node", "doc_id", "hash")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").join(ends, ["doc_id", "hash"]).groupBy("node").agg(F.min("text").alias("text"))
+    pairs = links.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
     alike = pairs.filter(F.pandas_udf(_similar, "double")("a", "b") >= similarity).select("u", "v")
     groups = connected_components(alike)
-    named = nodes.join(groups, "node", "left").select("lanes", F.coalesce("component", "node").alias("component_id"))
-    return written(prints.join(named, "lanes").select("doc_id", "component_id"), "near_copies")
+    labelled = nodes.join(groups, "node", "left").select("shingles", F.coalesce("component", "node").alias("label"), "doc_id")
+    component = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = labelled.join(component, "label").select("shingles", "component_id")
+    return written(prints.join(named, "shingles").select("doc_id", "component_id"), "near_copies")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

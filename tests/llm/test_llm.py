@@ -185,6 +185,23 @@ def test_near_copies_leave_one(spark, odd, empty):
     assert kept.columns == odd.columns and kept.filter("doc_id is null").count() == 2 and simhash.drop_near_copies(empty).count() == 0
 
 
+def test_repeated_lines_do_not_merge_texts(spark):
+    rng = random.Random(12)
+    voc = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    line = words(rng, 7, voc)
+    texts = [" ".join([line] * 120) + " " + words(rng, 400, voc) for _ in range(4)]
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs_of(spark, texts)).collect()} == {i: i for i in range(4)}
+    again = docs_of(spark, [line, line + " " + line, "  " + line.upper(), " ".join([line] * 3)])  # 3, 7, 3 and 7 distinct shingles
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(again).collect()}
+    assert got[2] == got[0] == 0 and got[1] != 0 and got[3] == got[1]
+
+
+def test_equal_fingerprints_are_linked_not_merged(spark):
+    nodes = spark.createDataFrame([(i, [5, 6, 7, 8], 0) for i in (1, 2, 3)], "node long, lanes array<long>, band int")
+    links = {frozenset((r["u"], r["v"])) for r in simhash.near_links(nodes, simhash.DEDUP_RADIUS, 1).collect()}
+    assert links == {frozenset((1, 2)), frozenset((1, 3))}
+
+
 def test_classifiers_on_odd_rows(spark, odd, empty, labels, none):
     for m in (quality, toxicity):
         got = m.score_documents(odd, labels)
