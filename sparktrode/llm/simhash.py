@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, discard, written
 from .components import connected_components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -29,6 +29,8 @@ TILE = 1024
 STRIP = 64
 #: The pipeline's stage: wider fingerprints of five-word shingles, then the exact similarity.
 DEDUP_SHINGLE, DEDUP_LANES, DEDUP_RADIUS, SIMILARITY = 5, 4, 50, 0.8
+#: Shingles in a tile of texts, and tiles in an Arrow batch.
+TEXT_TILE, TEXT_BATCH = 100_000, 32
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -208,12 +210,68 @@ def simhash_groups(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS)
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
-    def jaccard(x: str, y: str) -> float:
-        p, q = set(shingles(words_of(x), DEDUP_SHINGLE)), set(shingles(words_of(y), DEDUP_SHINGLE))
-        return len(p & q) / len(p | q) if p or q else 1.0
+def _alike(similarity: float):
+    """Spanning links of the true links inside a tile of texts, or between two tiles."""
 
-    return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+    def unpack(rows: list[dict], ids: dict[bytes, int]) -> tuple[list[int], np.ndarray, list[set[int]]]:
+        sets = [{ids.setdefault(g, len(ids)) for g in shingles(words_of(r["text"]), DEDUP_SHINGLE)} for r in rows]
+        return [r["node"] for r in rows], np.array([r["lanes"] for r in rows], dtype=np.int64).view(np.uint64), sets
+
+    def links(rows_a: list[dict], rows_b: list[dict] | None) -> Iterator[tuple[int, int]]:
+        ids: dict[bytes, int] = {}
+        nodes_a, bits_a, sets_a = unpack(rows_a, ids)
+        nodes_b, bits_b, sets_b = (nodes_a, bits_a, sets_a) if rows_b is None else unpack(rows_b, ids)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        for i, j in zip(*(x.tolist() for x in _close(bits_a, bits_b, DEDUP_RADIUS, rows_b is None)), strict=True):
+            p, q = sets_a[i], sets_b[j]
+            if min(len(p), len(q)) < similarity * max(len(p), len(q)) or (u := find(nodes_a[i])) == (v := find(nodes_b[j])):
+                continue
+            shared = len(p & q)
+            if shared >= similarity * (len(p) + len(q) - shared):
+                root[u] = v
+                yield nodes_a[i], nodes_b[j]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows_a, rows_b in zip(batch.column("rows_a"), batch.column("rows_b"), strict=True):
+                if found := list(links(rows_a.as_py(), rows_b.as_py())):
+                    u, v = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return compare
+
+
+def true_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links within the radius and of at least this similarity that join the same nodes as all such links.
+
+    nodes has node, doc_id and hash (the text that stands for it), lanes and n; candidates has node
+    and component of the links within the radius. The texts of a component go into tiles, and each
+    pair of its tiles is compared whole, so no link is left out before its check.
+    """
+    spark = docs.sparkSession
+    members = nodes.join(candidates, "node")
+    sizes = members.groupBy("component").agg(F.ceil(F.greatest(F.sum("n") / TEXT_TILE, F.count(F.lit(1)) / TILE)).cast("int").alias("tiles"))
+    members = members.join(F.broadcast(sizes.filter("tiles > 1")), "component", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    members = members.select("node", "doc_id", "hash", "lanes", "component", "tiles", F.pmod(F.xxhash64("node"), "tiles").cast("int").alias("tile"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").join(members, ["doc_id", "hash"])
+    texts = texts.groupBy("doc_id", "hash", "node", "component", "tiles", "tile").agg(F.first("lanes").alias("lanes"), F.min("text").alias("text"))
+    packed = texts.groupBy("component", "tiles", "tile").agg(F.collect_list(F.struct("node", "lanes", "text")).alias("rows"))
+    tiles = written(packed, "text_tiles")
+    inside = tiles.select(F.col("rows").alias("rows_a"), F.lit(None).cast(tiles.schema["rows"].dataType).alias("rows_b"))
+    left = tiles.filter("tile < tiles - 1").select("component", F.explode(F.sequence(F.col("tile") + 1, F.col("tiles") - 1)).alias("tile"), F.col("rows").alias("rows_a"))
+    across = left.join(tiles.filter("tiles > 1").select("component", "tile", F.col("rows").alias("rows_b")), ["component", "tile"]).select("rows_a", "rows_b")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+    links = written(inside.unionByName(across).mapInArrow(_alike(similarity), "u long, v long"), "true_links")
+    bounded_batches(spark)
+    discard(tiles)
+    return links
 
 
 def _set_stats(texts: pd.Series) -> pd.DataFrame:
@@ -230,8 +288,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     A node is a distinct set of five-word shingles; only texts of one set are taken as one without
     a check. Fingerprints of 4 x 64 bits over the sets link within the radius, equal ones too;
-    bands of the sets' sizes keep apart texts whose lengths rule out the similarity. Then the links
-    kept are checked exactly.
+    bands of the sets' sizes keep apart texts whose lengths rule out the similarity. In each
+    component of these links every link is checked exactly, unless links found true join its ends.
     """
     bounded_batches(docs.sparkSession)
     stats = F.pandas_udf(_set_stats, "shingles binary, lanes array<long>, n int")
@@ -240,14 +298,9 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     least = F.min(F.struct("doc_id", "hash"))
     nodes = prints.groupBy("shingles").agg(least.alias("least"), F.first("lanes").alias("lanes"), F.first("n").alias("n"))
     nodes = nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("band", F.floor(F.log("n") / math.log(1 / similarity)).cast("int"))
-    nodes = written(nodes.select("node", "shingles", "least.doc_id", "least.hash", "lanes", "band"), "shingle_sets")
-    links = written(near_links(nodes.select("node", "lanes", "band"), DEDUP_RADIUS, 1), "near_links")
-    ends = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
-    ends = nodes.join(ends, "node", "left_semi").select("node", "doc_id", "hash")
-    texts = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").join(ends, ["doc_id", "hash"]).groupBy("node").agg(F.min("text").alias("text"))
-    pairs = links.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
-    alike = pairs.filter(F.pandas_udf(_similar, "double")("a", "b") >= similarity).select("u", "v")
-    groups = connected_components(alike)
+    nodes = written(nodes.select("node", "shingles", "least.doc_id", "least.hash", "lanes", "n", "band"), "shingle_sets")
+    candidates = connected_components(near_links(nodes.select("node", "lanes", "band"), DEDUP_RADIUS, 1))
+    groups = connected_components(true_links(docs, nodes, candidates, similarity))
     labelled = nodes.join(groups, "node", "left").select("shingles", F.coalesce("component", "node").alias("label"), "doc_id")
     component = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = labelled.join(component, "label").select("shingles", "component_id")

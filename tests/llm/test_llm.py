@@ -202,6 +202,30 @@ def test_equal_fingerprints_are_linked_not_merged(spark):
     assert links == {frozenset((1, 2)), frozenset((1, 3))}
 
 
+@pytest.mark.parametrize("tile", [100_000, 700])
+def test_every_near_link_is_checked(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TEXT_TILE", tile)
+    rng = random.Random(14)
+    voc = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    texts = []
+    for _ in range(8):
+        base = words(rng, 200, voc).split()
+        for _ in range(4):  # branches about 0.7 from each other, leaves about 0.9 from their branch
+            branch = list(base)
+            for k in rng.sample(range(200), 4):
+                branch[k] = rng.choice(voc)
+            for _ in range(3):
+                leaf = list(branch)
+                leaf[rng.randrange(200)] = rng.choice(voc)
+                texts.append(" ".join(leaf))
+    rng.shuffle(texts)
+    sets = [set(simhash.shingles(simhash.words_of(t), 5)) for t in texts]
+    lanes = [simhash.majority(sorted(x), 4) for x in sets]
+    bits = lambda i, j: sum(bin((a ^ b) & (2**64 - 1)).count("1") for a, b in zip(lanes[i], lanes[j], strict=True))
+    want = brute_components(range(len(texts)), lambda i, j: bits(i, j) <= 50 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs_of(spark, texts)).collect()} == want
+
+
 def test_classifiers_on_odd_rows(spark, odd, empty, labels, none):
     for m in (quality, toxicity):
         got = m.score_documents(odd, labels)
