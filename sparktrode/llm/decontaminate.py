@@ -23,15 +23,18 @@ from .common import bounded_batches, written
 TERMS = 1 << 14
 #: Latent factors: the first few, which tell languages apart and not passages, are left out.
 RANK, SKIPPED, OVERSAMPLE = 42, 6, 6
-#: Words in a corpus passage; in a step between windows; steps in a window, by length of item.
-PASSAGE, STEP, SCALES = 32, 8, (2, 4, 6, 8)
-COSINE = 0.65
+#: Words in a corpus passage; windows of a width are an eighth of it apart; least words that a
+#: region takes on each side of its window (a third of the width, if more).
+PASSAGE, STEPS, MARGIN = 32, 8, 8
+#: Set by the recall of planted copies with a quarter of the words replaced (README).
+COSINE = 0.15
 #: Longest common subsequence as a share of the item's words: a copy, or a paraphrase if the
 #: item's answer is there too. The tables give no answers, so the end of an item counts as one.
 COPY, PARAPHRASE, ANSWER = 0.75, 0.55, 0.8
 SHORT_ITEM = 8
 SEED = 5
-ITEM_BLOCK = 1024
+#: Counts of words by items held at once.
+CELLS = 4_000_000
 #: Words handled at once; a text is never cut, so a longer one makes a longer group.
 GROUP_CHARS = 400_000
 FOUND = "doc_id long, item_id string, cosine double, lcs double, kind string"
@@ -188,8 +191,12 @@ class Item:
     words: list[int]
 
     @property
-    def scale(self) -> int:
-        return min(SCALES, key=lambda s: (abs(s * STEP - len(self.words)), s))
+    def width(self) -> int:
+        """Words in a window: of 8, 12, 16, 24, 32, 48, ..., without end, the nearest by ratio."""
+        n, w = len(self.words), 8
+        while w * 2 <= n:
+            w *= 2
+        return min((w, w * 3 // 2, w * 2), key=lambda x: max(x, n) / min(x, n))
 
 
 def masks(words: list[int]) -> dict[int, int]:
@@ -204,8 +211,9 @@ def common_subsequence(masks: dict[int, int], length: int, region: list[int]) ->
     full = (1 << length) - 1
     v = full
     for w in region:
-        u = v & masks.get(w, 0)
-        v = ((v + u) | (v - u)) & full
+        if m := masks.get(w):
+            u = v & m
+            v = ((v + u) | (v - u)) & full
     return length - v.bit_count()
 
 
@@ -215,48 +223,46 @@ class Search:
     def __init__(self, latent: Latent, items: list[Item]):
         self.latent, self.items = latent, items
         self.query = np.array([latent.of(terms_of(np.array(i.words, dtype=np.uint64))) for i in items], dtype=np.float32)
-        self.scale = np.array([i.scale for i in items])
+        self.width = np.array([i.width for i in items])
         self.needed = np.array([(1.0 if len(i.words) < SHORT_ITEM else PARAPHRASE) * len(i.words) for i in items])
+        self.least = np.ceil(self.needed - 1e-9).astype(np.int32)
         self.masks = [masks(i.words) for i in items]
         self.answers = [i.words[-max(3, len(i.words) // 4) :] for i in items]
         self.answer_masks = [masks(a) for a in self.answers]
 
     def candidates(self, terms: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
         """(text, item, begin, end, cosine) of regions that hold enough of the item's terms."""
-        first = _runs(starts, STEP)
         rows = self.latent.factors[terms]
         rows[1:][terms[1:] == terms[:-1]] = 0  # one word many times in a row must not drown its window
-        sums = np.vstack([np.zeros(rows.shape[1]), np.cumsum(np.add.reduceat(rows, first, axis=0), axis=0, dtype=np.float64)])
-        text = np.searchsorted(starts, first, side="right") - 1
-        text_start, text_end = np.searchsorted(first, starts[:-1])[text], np.searchsorted(first, starts[1:])[text]
-        step = np.arange(len(first))
+        sums = np.vstack([np.zeros(rows.shape[1]), np.cumsum(rows, axis=0, dtype=np.float64)])
         padded = np.r_[terms, TERMS]
-        for scale in SCALES:
-            own = np.flatnonzero(self.scale == scale)
-            if not len(own):
-                continue
-            at = np.flatnonzero((step + scale <= text_end) | (step == text_start))
-            stop = np.minimum(at + scale, text_end[at])
-            windows = sums[stop] - sums[at]
-            windows = (windows / np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-            for lot in range(0, len(own), ITEM_BLOCK):
-                block = own[lot : lot + ITEM_BLOCK]
-                cosine = windows @ self.query[block].T
-                which, item = np.nonzero(cosine >= COSINE)
-                if not len(which):
-                    continue
-                member = np.zeros((len(block), TERMS + 1), dtype=bool)
+        begins, ends = starts[:-1], starts[1:]
+        for width in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == width)
+            step, margin = max(1, width // STEPS), max(MARGIN, width // 3)
+            # the last window of a text ends with it
+            count = np.where(ends > begins, -(-np.maximum(ends - begins - width, 0) // step) + 1, 0)
+            text = np.repeat(np.arange(len(begins)), count)
+            nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+            at = np.minimum(begins[text] + nth * step, np.maximum(ends[text] - width, begins[text]))
+            stop = np.minimum(at + width, ends[text])
+            begin, end = np.maximum(at - margin, begins[text]), np.minimum(stop + margin, ends[text])
+            size = max(1, CELLS // (len(terms) + 1))
+            for lot in range(0, len(own), size):
+                block = own[lot : lot + size]
+                member = np.zeros((TERMS, len(block)), dtype=bool)
                 for k, i in enumerate(block):
-                    member[k, terms_of(np.array(self.items[i].words, dtype=np.uint64))] = True
-                begin = np.maximum(first[at[which]] - STEP, starts[text[at[which]]])
-                end = np.minimum(first[at[which]] + (scale + 1) * STEP, starts[text[at[which]] + 1])
+                    member[terms_of(np.array(self.items[i].words, dtype=np.uint64)), k] = True
+                # differences of counts that wrap are right up to the longest region
+                held = np.zeros((len(terms) + 1, len(block)), dtype=np.uint16 if width + 2 * margin < 1 << 16 else np.int64)
+                np.cumsum(member[terms], axis=0, dtype=held.dtype, out=held[1:])
+                which, item = np.divmod(np.flatnonzero(held[end] - held[begin] >= self.least[block].astype(held.dtype)), len(block))
                 for part in range(0, len(which), 20_000):
-                    cut = slice(part, part + 20_000)
-                    place = begin[cut, None] + np.arange((scale + 2) * STEP)
-                    place = np.where(place < end[cut, None], place, len(terms))
-                    held = member[item[cut, None], padded[place]].sum(1)
-                    for c in np.flatnonzero(held >= self.needed[block[item[cut]]]) + part:
-                        yield int(text[at[which[c]]]), int(block[item[c]]), int(begin[c]), int(end[c]), float(cosine[which[c], item[c]])
+                    w, k = which[part : part + 20_000], block[item[part : part + 20_000]]
+                    windows = sums[stop[w]] - sums[at[w]]
+                    cosine = (windows * self.query[k]).sum(1) / np.maximum(np.linalg.norm(windows, axis=1), 1e-12)
+                    for c in np.flatnonzero(cosine >= COSINE):
+                        yield int(text[w[c]]), int(k[c]), int(begin[w[c]]), int(end[w[c]]), float(cosine[c])
 
     def __call__(self, hashes: np.ndarray, starts: np.ndarray) -> dict[tuple[int, int], tuple[float, float, str]]:
         """(share, cosine, kind) of the best region of each (text, item) that passes the checks."""

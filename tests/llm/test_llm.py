@@ -334,6 +334,24 @@ def test_leaks_planted_and_paraphrased(spark, odd, empty):
     assert decontaminate.leaks(odd, bench.limit(0)).count() == 0 and decontaminate.drop_leaks(odd, bench).columns == odd.columns
 
 
+def test_edited_items_are_found_at_every_alignment():
+    rng = np.random.default_rng(6)
+    latent = decontaminate.Latent(rng.normal(size=(decontaminate.TERMS, 36)).astype(np.float32))
+    word = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    items = [decontaminate.Item(str(n), word(n).tolist()) for n in (9, 13, 19, 22, 40, 90, 150, 400)]
+    look = decontaminate.Search(latent, items)
+    texts, planted = [], []
+    for k, item in enumerate(items):
+        for offset in range(16):
+            copy = np.array(item.words, dtype=np.uint64)
+            gone = rng.choice(len(copy), len(copy) // 5, replace=False)
+            copy[gone] = word(len(gone))
+            texts.append(np.r_[word(60 + offset), copy, word(70)])
+            planted.append((len(planted), k))
+    found = look(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
+    assert set(found) == set(planted) and all(x[2] == "copy" for x in found.values())
+
+
 def test_common_subsequence_equals_table():
     rng = random.Random(1)
     for _ in range(100):
