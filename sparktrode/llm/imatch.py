@@ -27,9 +27,9 @@ from .common import bounded_batches, written
 #: at most (mean distinct terms of a document) / LEAST_SHARE terms.
 LEAST_SHARE, MOST_SHARE = 1 / 2000, 1 / 5
 #: Level k holds each term in a subset with chance 4 ** -k.
-LEVELS, SUBSETS = 5, 16
+LEVELS, SUBSETS = 5, 24
 #: A likeness is taken at the sparsest level where so many subsets hold terms of either document.
-ENOUGH = 6
+ENOUGH = 8
 TERM = re.compile(r"[^\W_]+")
 COUNTER_TERMS = 500_000
 

@@ -291,6 +291,11 @@ def test_fingerprints_against_their_definition(spark, odd, empty):
     assert one["near_next"] == 1.0
 
 
+def test_fingerprints_keep_all_subsets():
+    assert imatch.SUBSETS == 24 and imatch.ENOUGH == 8
+    assert len(imatch.Prints(frozenset(["a", "b"])).fingerprint("a b c")) == 24 * imatch.LEVELS
+
+
 def test_langid(spark, odd, empty):
     got = {r["doc_id"]: r for r in langid.predict_languages(odd).collect()}
     assert len(got) and langid.predict_languages(empty).count() == 0
