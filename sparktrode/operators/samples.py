@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from sparktrode.functions.labels import is_marker
+
 SERIES = ["recording_index", "channel"]
 #: Samples in a block: the unit of parallel work, so a long series is never one task.
 BLOCK = 1 << 18
@@ -15,11 +19,11 @@ TIME_NAMES = ["time_s", "time", "t", "seconds"]
 
 
 def blocked(samples: DataFrame, halo: int = 0, block: int = BLOCK) -> DataFrame:
-    """Adds block; with a halo, rows near a border are also in the next block, with own = false."""
+    """Adds block; with a halo, rows near a border are also in the blocks beyond it, with own = false."""
     at = F.floor(F.col("n") / block)
     if not halo:
         return samples.withColumns({"block": at, "own": F.lit(True)})
-    near = F.array_distinct(F.array(F.floor((F.col("n") - halo) / block), at, F.floor((F.col("n") + halo) / block)))
+    near = F.sequence(F.greatest(F.floor((F.col("n") - halo) / block), F.lit(0)), F.floor((F.col("n") + halo) / block))
     return samples.withColumn("block", F.explode(near)).withColumn("own", F.col("block") == at)
 
 
@@ -30,28 +34,128 @@ def with_previous(samples: DataFrame, column: str, keys: list[str] | None = None
 
 
 def time_column(df: DataFrame) -> str:
-    """The time column's name: a known name, else the first numeric column that strictly rises."""
+    """The time column's name: a known name, else the first numeric column that strictly rises.
+
+    A column with a missing or infinite value doesn't count. Rows are in the order in which they
+    are read: each partition is checked alone, and a row a partition tells whether they follow on.
+    """
     by_name = {c.lower(): c for c in df.columns}
     for name in TIME_NAMES:
         if name in by_name:
             return by_name[name]
     numeric = [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint", "smallint")]
-    rows = df.select(F.monotonically_increasing_id().alias("n"), *numeric)
-    for c in numeric:
-        step = F.col(c) - F.lag(c).over(W.orderBy("n"))
-        found = rows.select(c, step.alias("step")).agg(F.min("step").alias("least"), F.count(c).alias("n"), F.count(F.lit(1)).alias("all")).first()
-        if found["n"] == found["all"] and found["least"] is not None and found["least"] > 0:
-            return c
+    rows = df.select(F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__n"), *[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(numeric)])
+    line = W.partitionBy("__part").orderBy("__n")
+    cols = [f"c{i}" for i in range(len(numeric))]
+    rows = rows.withColumns({f"s_{c}": F.col(c) - F.lag(c).over(line) for c in cols})
+    bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf")) | (F.col(f"s_{c}") <= 0)
+    parts = rows.groupBy("__part").agg(*[x for c in cols for x in (F.count_if(bad(c)).alias(f"b_{c}"), F.min_by(c, "__n").alias(f"f_{c}"), F.max_by(c, "__n").alias(f"l_{c}"))])
+    across = W.orderBy("__part")  # a row a partition
+    parts = parts.withColumns({f"g_{c}": F.coalesce(F.col(f"f_{c}") <= F.lag(f"l_{c}").over(across), F.lit(False)) for c in cols})
+    found = parts.agg(F.count(F.lit(1)).alias("parts"), *[(F.sum(f"b_{c}") + F.count_if(f"g_{c}")).alias(c) for c in cols]).first()
+    for c, name in zip(cols, numeric, strict=True):
+        if found["parts"] and found[c] == 0:
+            return name
     raise ValueError("no time column")
 
 
+def medians(df: DataFrame, keys: list[str], value: Column, accuracy: int = 100_000) -> DataFrame:
+    """(keys, median) of the values that aren't null, exact, without a group in one task.
+
+    Approximate quantiles bound the middle; the values between the bounds are few, and with the
+    count of those below they give the middle ones.
+    """
+    rows = df.select(*keys, value.alias("__v")).filter("__v is not null")
+    near = 4.0 / accuracy
+    bounds = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("__v", [0.5 - near, 0.5 + near], accuracy).alias("q"))
+    v, low, high = F.col("__v"), F.col("q")[0], F.col("q")[1]
+    side = F.when(v < low, -1).when(v > high, 1).otherwise(0)
+    both = rows.join(bounds, keys) if keys else rows.crossJoin(F.broadcast(bounds))  # without keys one row
+    counts = both.select(*keys, "n", side.alias("side"), F.when(side == 0, v).alias("__v")).groupBy(*keys, "n", "side", "__v").agg(F.count(F.lit(1)).alias("c"))
+    line = W.partitionBy(*keys).orderBy("side", "__v")
+    upto = counts.withColumn("upto", F.sum("c").over(line)).filter("side = 0")
+    first, second = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("__v")))
+    return upto.groupBy(*keys).agg((0.5 * at(first) + 0.5 * at(second)).alias("median"))
+
+
 def sampling_rate(samples: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """fs_hz of each series: 1 / median step; an error where the step isn't positive."""
     keys = keys or SERIES
-    step = with_previous(samples, "t_s", keys).filter("previous is not null").groupBy(*keys).agg(F.median(F.col("t_s") - F.col("previous")).alias("dt"))
+    step = medians(with_previous(samples, "t_s", keys), keys, F.col("t_s") - F.col("previous")).withColumnRenamed("median", "dt")
     return step.select(*keys, F.when(F.col("dt") > 0, 1 / F.col("dt")).otherwise(F.raise_error(F.lit("time does not rise")).cast("double")).alias("fs_hz"))
 
 
+def drop_markers(rows: DataFrame, channel: str = "channel") -> DataFrame:
+    """Rows of channels whose name holds no marker term."""
+    return rows.filter(~is_marker(F.col(channel)))
+
+
+def target_channels(samples: DataFrame, targets: list[str] | None) -> DataFrame:
+    """Samples of the requested channels, with `place`, that of the channel in the request.
+
+    Channels that a recording lacks are left out; without a request all stay, in order of names.
+    """
+    if targets is None:
+        names = samples.select("channel").distinct()
+        place = names.withColumn("place", F.row_number().over(W.orderBy("channel")) - 1)  # a row a channel
+        return samples.join(F.broadcast(place), "channel")
+    return samples.filter(F.col("channel").isin(targets)).withColumn("place", (F.array_position(F.lit(targets), F.col("channel")) - 1).cast("int"))
+
+
+def same_rates(rates: DataFrame) -> DataFrame:
+    """rates (recording_name, fs_hz) unchanged, but an error for a rate that isn't the first recording's."""
+    first = rates.agg(F.min_by("fs_hz", "recording_name").alias("first_hz"))  # one row
+    apart = F.abs(F.col("fs_hz") - F.col("first_hz")) > F.greatest(1e-9 * F.greatest(F.abs("fs_hz"), F.abs("first_hz")), F.lit(1e-9))
+    why = F.concat(F.lit("sample rate of "), "recording_name", F.lit(" differs: "), F.col("fs_hz").cast("string"))
+    return rates.crossJoin(F.broadcast(first)).withColumn("fs_hz", F.when(apart, F.raise_error(why).cast("double")).otherwise(F.col("fs_hz"))).drop("first_hz")
+
+
+def channel_union(samples: DataFrame, rates: DataFrame, targets: list[str] | None = None, pairs: list[tuple[str, str]] = ()) -> DataFrame:
+    """channel, the number of recordings that have it, and the one sample rate of all recordings.
+
+    Differences A-B are columns too, whether or not a recording has both. rates is checked.
+    """
+    has = samples.select("recording_name", "channel").distinct()
+    has = has.filter(F.col("channel").isin(targets)) if targets is not None else has
+    counts = has.groupBy("channel").agg(F.count(F.lit(1)).alias("files"))
+    if pairs:
+        sides = samples.sparkSession.createDataFrame([(f"{a}-{b}", a, b) for a, b in pairs], "pair string, a string, b string")
+        every = samples.select("recording_name", "channel").distinct()
+        left = F.broadcast(sides).join(every.withColumnRenamed("channel", "a"), "a", "left").select("pair", "b", "recording_name")
+        both = left.join(every.withColumnRenamed("channel", "b").withColumn("there", F.lit(1)), ["recording_name", "b"], "left")
+        counts = counts.unionByName(both.groupBy(F.col("pair").alias("channel")).agg(F.count("there").alias("files")))
+    rate = same_rates(rates).agg(F.min("fs_hz").alias("fs_hz"))  # one row
+    return counts.crossJoin(F.broadcast(rate))
+
+
+def conversion_summary(samples: DataFrame, rates: DataFrame, targets: list[str] | None = None, pairs: list[tuple[str, str]] = ()) -> DataFrame:
+    """A row for each recording, and one named 'all': samples, rate, duration, start and end,
+    channels in the file and exported, their names, and difference columns."""
+    ends = samples.groupBy("recording_name", "channel").agg((F.max("n") + 1).alias("samples"), F.min("t_s").alias("start_s"), F.max("t_s").alias("end_s"))
+    chosen = F.col("channel").isin(targets) if targets is not None else F.lit(True)
+    names = F.collect_set("channel")
+    files = ends.groupBy("recording_name").agg(
+        F.max("samples").alias("samples"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count(F.lit(1)).alias("channels"), F.count_if(chosen).alias("exported"),
+        F.array_join(F.array_sort(F.collect_set(F.when(chosen, F.col("channel")))), ", ").alias("exported_names"), names.alias("__names"),
+    )
+    added = [F.array_contains("__names", a) & F.array_contains("__names", b) for a, b in pairs]
+    files = files.withColumn("differences", reduce(Column.__add__, [x.cast("long") for x in added], F.lit(0).cast("long"))).drop("__names")
+    files = files.join(same_rates(rates).select("recording_name", "fs_hz"), "recording_name").withColumn("duration_s", F.col("samples") / F.col("fs_hz"))
+    total = files.agg(
+        F.sum("samples").alias("samples"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.sum("duration_s").alias("duration_s"), F.min("fs_hz").alias("fs_hz"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (("channels", "long"), ("exported", "long"), ("exported_names", "string"), ("differences", "long"))],
+    ).withColumn("recording_name", F.lit("all"))
+    return files.unionByName(total)
+
+
+def continuous_time(samples: DataFrame, fs_hz: float) -> DataFrame:
+    """Adds t_all_s: recordings follow on one another, each a sample after the end of the last."""
+    counts = samples.groupBy("recording_index").agg((F.max("n") + 1).alias("c"))
+    before = counts.select("recording_index", (F.sum("c").over(W.orderBy("recording_index")) - F.col("c")).alias("before"))  # a row a file
+    return samples.join(before, "recording_index").withColumn("t_all_s", (F.col("before") + F.col("n")) / fs_hz).drop("before")
+
+
 def pick_channels(samples: DataFrame, include: str = "", exclude: str = "") -> DataFrame:
     """Channels of comma-separated lists; an empty include list takes all."""
     split = lambda x: [c.strip() for c in x.split(",") if c.strip()]
@@ -150,9 +254,9 @@ def sparse_policy(samples: DataFrame, policy: str, least: int = 2) -> DataFrame:
 
 def robust_z(samples: DataFrame, variant: str = "A", column: str = "x_uv") -> DataFrame:
     """z by median and median deviation; A: / 1.4826 (MAD + 1e-12), B: 0.6745 / MAD, 0 if MAD is."""
-    med = samples.groupBy(*SERIES).agg(F.median(column).alias("med"))
+    med = medians(samples, SERIES, F.col(column)).withColumnRenamed("median", "med")
     dev = samples.join(med, SERIES).withColumn("dev", F.col(column) - F.col("med"))
-    mad = dev.groupBy(*SERIES).agg(F.median(F.abs("dev")).alias("mad"))
+    mad = medians(dev, SERIES, F.abs("dev")).withColumnRenamed("median", "mad")
     out = dev.join(mad, SERIES)
     z = F.col("dev") / (1.4826 * (F.col("mad") + 1e-12)) if variant == "A" else F.when(F.col("mad") == 0, 0.0).otherwise(0.6745 * F.col("dev") / F.col("mad"))
     return out.withColumn("z", z).drop("dev", "mad", "med")
@@ -170,16 +274,23 @@ def histogram(samples: DataFrame, bins: int = 300) -> DataFrame:
 
 
 def autocorrelation(samples: DataFrame, max_lag: int, block: int = BLOCK) -> DataFrame:
-    """Sum of products at each lag, mean removed, over that at lag 0; block by block with a halo."""
+    """Sum of products at each lag, mean removed, over that at lag 0; block by block with a halo.
+
+    Missing samples have no products.
+    """
     mean = samples.groupBy(*SERIES).agg(F.avg("x_uv").alias("m"))
-    c = samples.join(mean, SERIES).select(*SERIES, "n", (F.col("x_uv") - F.col("m")).alias("c"))
-    at = F.floor(F.col("n") / block)
-    later = c.withColumn("block", F.explode(F.array_distinct(F.array(at, F.floor((F.col("n") - max_lag) / block)))))
-    rows = later.groupBy(*SERIES, "block").agg(F.array_sort(F.collect_list(F.struct("n", "c"))).alias("v"))
-    one = rows.select(*SERIES, "block", "v", F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"))
-    own = F.filter("v", lambda s: F.floor(s["n"] / block) == F.col("block"))
-    value = lambda i: F.get("v", (i - F.col("v")[0]["n"]).cast("int"))["c"]
-    products = F.aggregate(own, F.lit(0.0), lambda acc, s: acc + F.coalesce(s["c"] * value(s["n"] + F.col("lag")), F.lit(0.0)))
-    sums = one.select(*SERIES, "lag", products.alias("p")).groupBy(*SERIES, "lag").agg(F.sum("p").alias("s"))
+    c = blocked(samples.join(mean, SERIES).select(*SERIES, "n", (F.col("x_uv") - F.col("m")).alias("c")), max_lag, block)
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(pdf["block"].iloc[0]) * block
+        line = np.zeros(block + max_lag)
+        at = pdf["n"].to_numpy() - first
+        inside = (at >= 0) & (at < len(line))
+        line[at[inside]] = np.nan_to_num(pdf["c"].to_numpy(float)[inside])
+        lags = np.arange(max_lag + 1)
+        return pd.DataFrame({k: [pdf[k].iloc[0]] * len(lags) for k in SERIES} | {"lag": lags, "p": [float(line[:block] @ line[k : block + k]) for k in lags]})
+
+    parts = c.filter(F.col("own") | (F.col("n") >= F.col("block") * block)).groupBy(*SERIES, "block").applyInPandas(products, "recording_index int, channel string, lag int, p double")
+    sums = parts.groupBy(*SERIES, "lag").agg(F.sum("p").alias("s"))
     zero = sums.filter("lag = 0").select(*SERIES, F.col("s").alias("s0"))
     return sums.join(zero, SERIES).select(*SERIES, "lag", F.when(F.col("s0") != 0, F.col("s") / F.col("s0")).otherwise(F.col("s")).alias("acg"))

@@ -1,11 +1,12 @@
 """Spike detection on filtered samples, and the statistics of spike trains.
 
-Detection first keeps the few samples above the threshold; islands, suppression and refractory
-rules then work on that reduced table, so no window runs over a whole recording's samples.
+All steps work by blocks of samples. What must cross a border travels as a row a block: the runs
+that touch it, the spike kept last, or a block's largest and smallest value.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,81 +14,134 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from sparktrode.sources.tables import written
+
+from .filtering import zero_phase
 from .samples import BLOCK, SERIES, blocked, robust_z
 
+#: Suppression looks so many distances beyond a block's borders; what that leaves open is settled
+#: in further rounds.
+HALO = 32
+
+
+def series_ends(samples: DataFrame) -> DataFrame:
+    return samples.groupBy(*SERIES).agg(F.min("n").alias("n0"), F.max("n").alias("n1"))
 
-def peaks(z: DataFrame, threshold: float, polarity: str = "abs") -> DataFrame:
+
+def peaks(z: DataFrame, threshold: float, polarity: str = "abs", ends: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """Local maxima of at least the threshold: (series, n, height); a plateau counts at its middle.
 
-    z has n and z. polarity takes |z|, z ('pos'), -z ('neg'), or both of the latter, each sample
-    once with the larger height. The first and last sample of a series are no peaks.
+    z has n and z; samples below the threshold may be absent if `ends` has the series' first and
+    last n. polarity takes |z|, z ('pos'), -z ('neg'), or both of the latter, each sample once with
+    the larger height. The first and last sample of a series are no peaks.
     """
+    ends = series_ends(z) if ends is None else ends
     if polarity == "both":
-        both = peaks(z, threshold, "pos").unionByName(peaks(z, threshold, "neg"))
+        both = peaks(z, threshold, "pos", ends, block).unionByName(peaks(z, threshold, "neg", ends, block))
         return both.groupBy(*SERIES, "n").agg(F.max("height").alias("height"))
     v = {"abs": F.abs("z"), "pos": F.col("z"), "neg": -F.col("z")}[polarity]
-    ends = z.groupBy(*SERIES).agg(F.min("n").alias("n0"), F.max("n").alias("n1"))
-    line = W.partitionBy(*SERIES).orderBy("n")
-    over = z.select(*SERIES, "n", v.alias("v")).filter(F.col("v") >= threshold)
+    line = W.partitionBy(*SERIES, "block").orderBy("n")
+    over = z.select(*SERIES, "n", v.alias("v"), F.floor(F.col("n") / block).alias("block")).filter(F.col("v") >= threshold)
     near = lambda f, k: F.when(f("n").over(line) == F.col("n") + k, f("v").over(line))
-    steps = over.withColumns({"before": near(F.lag, -1), "fresh": ~F.coalesce(near(F.lag, -1) == F.col("v"), F.lit(False))})
-    runs = steps.withColumn("run", F.sum(F.col("fresh").cast("int")).over(line))
-    runs = runs.withColumn("after", near(F.lead, 1)).groupBy(*SERIES, "run").agg(
-        F.min("n").alias("a"), F.max("n").alias("b"), F.first("v").alias("height"), F.min_by(F.struct("before"), "n").alias("first"), F.max_by(F.struct("after"), "n").alias("last")
+    steps = over.withColumns({"before": near(F.lag, -1), "after": near(F.lead, 1)}).withColumn("fresh", ~F.coalesce(F.col("before") == F.col("v"), F.lit(False)))
+    runs = steps.withColumn("run", F.sum(F.col("fresh").cast("int")).over(line)).groupBy(*SERIES, "block", "run").agg(
+        F.min("n").alias("a"), F.max("n").alias("b"), F.first("v").alias("height"), F.min_by(F.struct("before"), "n")["before"].alias("before"), F.max_by(F.struct("after"), "n")["after"].alias("after")
+    )
+    # at most two runs of a block touch its borders; equal ones on both sides of a border are one
+    at_border = (F.col("a") % block == 0) | (F.col("b") % block == block - 1)
+    across = W.partitionBy(*SERIES).orderBy("a")
+    prior = F.when(F.lag("b").over(across) == F.col("a") - 1, F.lag("height").over(across))
+    later = F.when(F.lead("a").over(across) == F.col("b") + 1, F.lead("height").over(across))
+    border = runs.filter(at_border).withColumns({"before": F.coalesce("before", prior), "after": F.coalesce("after", later)})
+    border = border.withColumn("run", F.sum((~F.coalesce(F.col("before") == F.col("height"), F.lit(False))).cast("int")).over(across))
+    border = border.groupBy(*SERIES, "run").agg(
+        F.min("a").alias("a"), F.max("b").alias("b"), F.first("height").alias("height"), F.min_by(F.struct("before"), "a")["before"].alias("before"), F.max_by(F.struct("after"), "a")["after"].alias("after")
     )
-    rising = F.coalesce(F.col("first.before") < F.col("height"), F.lit(True))
-    falling = F.coalesce(F.col("last.after") < F.col("height"), F.lit(True))
-    out = runs.filter(rising & falling).join(ends, SERIES).filter((F.col("a") > F.col("n0")) & (F.col("b") < F.col("n1")))
+    whole = runs.filter(~at_border).drop("block").unionByName(border)
+    lower = lambda c: F.coalesce(F.col(c) < F.col("height"), F.lit(True))
+    out = whole.filter(lower("before") & lower("after")).join(ends, SERIES).filter((F.col("a") > F.col("n0")) & (F.col("b") < F.col("n1")))
     return out.select(*SERIES, F.floor((F.col("a") + F.col("b")) / 2).alias("n"), "height")
 
 
-def _islands(rows: DataFrame, distance: int) -> DataFrame:
-    line = W.partitionBy(*SERIES).orderBy("n")
-    new = F.coalesce(F.col("n") - F.lag("n").over(line) >= distance, F.lit(True))
-    return rows.withColumn("island", F.sum(new.cast("int")).over(line))
-
-
-def _highest_first(n: np.ndarray, height: np.ndarray, distance: int) -> np.ndarray:
-    keep = np.ones(len(n), dtype=bool)
-    for i in np.argsort(height, kind="stable")[::-1]:  # of equal heights the later one goes first
-        if keep[i]:
-            keep[(np.abs(n - n[i]) < distance)] = False
-            keep[i] = True
-    return keep
-
-
-def _first_kept(n: np.ndarray, distance: int) -> np.ndarray:
-    keep, last = np.zeros(len(n), dtype=bool), None
-    for i, x in enumerate(n):
-        if last is None or x - last >= distance:
-            keep[i], last = True, x
-    return keep
-
-
-def _thin(rows: DataFrame, distance: int, rule) -> DataFrame:
-    """Apply a rule inside islands. An island is a run of peaks nearer than the distance; rows of
-    islands of one peak skip the Python worker."""
-    marked = _islands(rows, distance)
-    size = F.count(F.lit(1)).over(W.partitionBy(*SERIES, "island"))
-    marked = marked.withColumn("k", size)
+def _settle(n: np.ndarray, height: np.ndarray, kept: np.ndarray, low: int, high: int, distance: int) -> np.ndarray:
+    """Highest first, the later of equal ones first: 1 stays, 0 goes, -1 if rows outside [low, high) decide."""
+    kept = kept.copy()
+    rank = np.empty(len(n), dtype=int)
+    rank[np.lexsort((n, height))[::-1]] = np.arange(len(n))
+    first, end = np.searchsorted(n, n - distance, side="right"), np.searchsorted(n, n + distance)
+    for i in np.argsort(rank):
+        if kept[i] >= 0:
+            continue
+        near = slice(first[i], end[i])
+        if (kept[near] == 1).any():
+            kept[i] = 0
+        elif n[i] - distance >= low and n[i] + distance < high and not ((kept[near] == -1) & (rank[near] < rank[i])).any():
+            kept[i] = 1
+    return kept
+
+
+def suppress(rows: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
+    """Highest first, the later of equal ones first; peaks nearer than `distance` samples to a kept one go.
+
+    Each block is settled with HALO distances around it; peaks that hang on more than that are
+    settled in further rounds, which know what the last one settled.
+    """
+    halo, columns = HALO * distance, rows.columns
 
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n", kind="stable")
-        return pdf[rule(pdf)]
+        at = int(pdf["block"].iloc[0]) * block
+        pdf["kept"] = _settle(pdf["n"].to_numpy(), pdf["height"].to_numpy(), pdf["kept"].to_numpy(), at - halo, at + block + halo, distance).astype(np.int32)
+        return pdf.loc[pdf["own"], [*columns, "kept"]]
 
-    dense = marked.filter("k > 1").drop("k")
-    thinned = dense.groupBy(*SERIES, "island").applyInPandas(apply, dense.schema)
-    return marked.filter("k = 1").drop("k").unionByName(thinned).drop("island")
+    rows = rows.withColumn("kept", F.lit(-1))
+    while True:
+        done = written(blocked(rows, halo, block).groupBy(*SERIES, "block").applyInPandas(settle, rows.schema), "suppressed")
+        if done.filter("kept = -1").isEmpty():
+            return done.filter("kept = 1").drop("kept")
+        rows = done
 
 
-def suppress(rows: DataFrame, distance: int) -> DataFrame:
-    """Highest first; peaks nearer than `distance` samples to a kept one go."""
-    return _thin(rows, distance, lambda p: _highest_first(p["n"].to_numpy(), p["height"].to_numpy(), distance))
+def refractory(rows: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
+    """The first is kept, then the next at least `distance` samples later.
 
+    A block tells for each spike that may be its first kept one which would be its last; a row a
+    block carries the last kept one along a series.
+    """
+    rows = written(rows.withColumn("block", F.floor(F.col("n") / block)), "spikes")
+    keys = ["recording_index int", "channel string", "block long"]
+
+    def lasts(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = np.sort(pdf["n"].to_numpy())
+        following = np.searchsorted(n, n + distance)
+        last = n.copy()
+        for i in range(len(n) - 1, -1, -1):
+            if following[i] < len(n):
+                last[i] = last[following[i]]
+        first = pdf[[*SERIES, "block"]].iloc[:1]
+        most = np.searchsorted(n, int(first["block"].iloc[0]) * block + distance) + 1
+        return first.assign(starts=[n[:most]], lasts=[last[:most]])
+
+    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, last, opens = pdf.sort_values("block", kind="stable"), None, []
+        for starts, ends in zip(pdf["starts"], pdf["lasts"], strict=True):
+            i = 0 if last is None else int(np.searchsorted(starts, last + distance))
+            opens.append(int(starts[i]) if i < len(starts) else None)
+            last = int(ends[i]) if i < len(ends) else last
+        return pdf[[*SERIES, "block"]].assign(opens=pd.array(opens, dtype="Int64"))
+
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n", kind="stable")
+        n, kept, last = pdf["n"].to_numpy(), [], int(pdf["opens"].iloc[0]) - distance
+        for i, x in enumerate(n):
+            if x >= last + distance:
+                kept.append(i)
+                last = x
+        return pdf.iloc[kept].drop(columns=["block", "opens"])
 
-def refractory(rows: DataFrame, distance: int) -> DataFrame:
-    """The first is kept, then the next at least `distance` samples later."""
-    return _thin(rows, distance, lambda p: _first_kept(p["n"].to_numpy(), distance))
+    chances = rows.groupBy(*SERIES, "block").applyInPandas(lasts, ", ".join([*keys, "starts array<long>", "lasts array<long>"]))
+    opens = chances.groupBy(*SERIES).applyInPandas(carry, ", ".join([*keys, "opens long"])).filter("opens is not null")
+    return rows.join(opens, [*SERIES, "block"]).groupBy(*SERIES, "block").applyInPandas(keep, rows.drop("block").schema)
 
 
 def waveforms(spikes: DataFrame, samples: DataFrame, pre: int, post: int, block: int = BLOCK) -> DataFrame:
@@ -139,32 +193,90 @@ def opposite_width(spikes: DataFrame, samples: DataFrame, search: int, polarity:
     return out.filter(F.col("width") <= most) if most is not None else out
 
 
-def half_prominence_width(spikes: DataFrame, samples: DataFrame, reach: int, block: int = BLOCK) -> DataFrame:
-    """Adds width: that of |x| at half the peak's prominence, its bases within `reach` samples."""
-    w = waveforms(spikes.select(*SERIES, "n"), samples, 0, 1, block).select(*SERIES, "n")
-    halo = blocked(samples.select(*SERIES, F.col("n").alias("m"), "n", "x_uv"), reach, block).drop("own", "n")
-    own = w.withColumn("block", F.floor(F.col("n") / block))
-    hit = own.join(halo, [*SERIES, "block"]).filter(F.abs(F.col("m") - F.col("n")) <= reach)
-    seg = hit.groupBy(*SERIES, "n").agg(F.array_sort(F.collect_list(F.struct("m", F.abs("x_uv").alias("x")))).alias("s")).select(*SERIES, "n", F.col("s.x").alias("x"), (F.col("n") - F.col("s")[0]["m"]).cast("int").alias("at"))
-    width = F.pandas_udf(lambda x, at: pd.Series([_width(np.asarray(v), int(i)) for v, i in zip(x, at, strict=True)], dtype=float), "double")
-    return seg.select(*SERIES, "n", width("x", "at").alias("width"))
-
-
-def _width(x: np.ndarray, at: int) -> float:
-    """Width at half prominence, with straight lines between samples."""
-    higher = np.flatnonzero(x > x[at])
-    left, right = higher[higher < at].max(initial=-1) + 1, higher[higher > at].min(initial=len(x)) - 1
-    base = max(x[left : at + 1].min(), x[at : right + 1].min())
-    level = x[at] - (x[at] - base) / 2
-    i = at
-    while i > left and x[i] > level:
-        i -= 1
-    lo = i + (level - x[i]) / (x[i + 1] - x[i]) if x[i] < level else float(i)
-    j = at
-    while j < right and x[j] > level:
-        j += 1
-    hi = j - (level - x[j]) / (x[j - 1] - x[j]) if x[j] < level else float(j)
-    return float(hi - lo)
+def _nearest(points: DataFrame, blocks: DataFrame, above: bool) -> DataFrame:
+    """The nearest sample on one side of a place whose y is above a bound, or not above it.
+
+    points: series, n, left (the side), bound. blocks: series, block, n0, size, low, high and y, an
+    array of the block's samples with one more at each end where there is one (`lead` tells whether
+    in front). Returns points with at (null where the series ends first), y_at, y_next (of the
+    sample before it on the way) and least, the smallest y on the way. A place is looked up in its
+    own block; if the block has none, the blocks' extremes tell which block has it.
+    """
+    columns = points.columns
+    out = "at long, y_at double, y_next double, least double"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema)
+    hits = (lambda y, bound: y > bound) if above else (lambda y, bound: y <= bound)
+
+    def look(batches):
+        for pdf in batches:
+            found = []
+            for n, left, bound, n0, lead, size, y, start in zip(*(pdf[c] for c in ("n", "left", "bound", "n0", "lead", "size", "y", "start")), strict=True):
+                y, i0 = np.asarray(y), int(lead)
+                i1 = i0 + int(size)  # own samples are y[i0:i1]
+                k = int(n - n0) + i0  # of the place, which may lie outside the block
+                a, b = (i0, k) if left else (k + 1, i1)
+                if start:  # the whole block is searched
+                    a, b = i0, i1
+                ok = np.flatnonzero(hits(y[a:b], bound))
+                if not len(ok):
+                    found.append((None, None, None, float(y[a:b].min()) if b > a else np.inf))
+                    continue
+                at = a + int(ok[-1] if left else ok[0])
+                way = y[at + 1 : b] if left else y[a:at]
+                step = at + 1 if left else at - 1
+                found.append((int(n0 + at - i0), float(y[at]), float(y[step]), float(way.min()) if len(way) else np.inf))
+            cols = list(zip(*found, strict=True)) if found else [[]] * 4
+            yield pdf[columns].assign(at=pd.array(cols[0], dtype="Int64"), y_at=cols[1], y_next=cols[2], least=cols[3])
+
+    def choose(pdf: pd.DataFrame, extremes: pd.DataFrame) -> pd.DataFrame:
+        extremes = extremes.sort_values("block", kind="stable")
+        b, low, high = (extremes[c].to_numpy() for c in ("block", "low", "high"))
+        target, least = [], []
+        for own, left, bound, so_far in zip(pdf["block"], pdf["left"], pdf["bound"], pdf["least"], strict=True):
+            k = int(np.searchsorted(b, own))
+            way = np.arange(k - 1, -1, -1) if left else np.arange(k + 1, len(b))
+            ok = np.flatnonzero(high[way] > bound if above else low[way] <= bound)
+            end = int(ok[0]) if len(ok) else len(way)
+            target.append(int(b[way[end]]) if len(ok) else None)
+            least.append(min(so_far, low[way[:end]].min(initial=np.inf)))
+        return pdf[columns].assign(target=pd.array(target, dtype="Int64"), so_far=least)
+
+    size = blocks.select(*SERIES, "block", "low", "high")
+    tail = ["n0", "lead", "size", "y", "start"]
+    here = points.join(blocks.drop("low", "high"), [*SERIES, "block"]).withColumn("start", F.lit(False))
+    near = written(here.select(*columns, *tail).mapInPandas(look, f"{schema}, {out}"), "nearest")
+    open_ = near.filter("at is null").drop("at", "y_at", "y_next")
+    chosen = written(open_.groupBy(*SERIES).cogroup(size.groupBy(*SERIES)).applyInPandas(choose, f"{schema}, target long, so_far double"), "nearest")
+    far = chosen.filter("target is not null").join(blocks.drop("low", "high").withColumnRenamed("block", "target"), [*SERIES, "target"]).withColumn("start", F.lit(True))
+    far = far.select(*columns, "so_far", *tail)
+    columns = [*columns, "so_far"]
+    far = far.mapInPandas(look, f"{schema}, so_far double, {out}").withColumn("least", F.least("least", "so_far")).drop("so_far")
+    none = chosen.filter("target is null").withColumnsRenamed({"so_far": "least"}).drop("target")
+    none = none.withColumns({"at": F.lit(None).cast("long"), "y_at": F.lit(None).cast("double"), "y_next": F.lit(None).cast("double")})
+    return near.filter("at is not null").unionByName(far).unionByName(none)
+
+
+def half_prominence_width(spikes: DataFrame, samples: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(series, n, width): the width of |x| at half the prominence of each spike, in samples.
+
+    A base lies between the spike and the nearest higher sample on its side, or the end of the
+    series, however far that is. The last sample of a series has no width.
+    """
+    y = blocked(samples.select(*SERIES, "n", F.abs("x_uv").alias("y")), 1, block)
+    own = F.when(F.col("own"), F.col("y"))
+    blocks = y.groupBy(*SERIES, "block").agg(F.array_sort(F.collect_list(F.struct("n", "y", "own"))).alias("s"), F.min(own).alias("low"), F.max(own).alias("high"), F.count_if("own").alias("size"))
+    blocks = blocks.filter("size > 0").withColumns({"lead": ~F.col("s")[0]["own"], "y": F.col("s.y")}).withColumn("n0", F.when(F.col("lead"), F.col("s")[1]["n"]).otherwise(F.col("s")[0]["n"]))
+    blocks = written(blocks.select(*SERIES, "block", "n0", "size", "low", "high", "lead", "y"), "blocks")
+    heights = samples.select(*SERIES, "n", F.abs("x_uv").alias("height")).join(spikes.select(*SERIES, "n").distinct(), [*SERIES, "n"]).join(series_ends(samples), SERIES).filter("n < n1")
+    at = heights.select(*SERIES, "n", F.floor(F.col("n") / block).alias("block"), "height")
+    sides = F.explode(F.array(F.lit(True), F.lit(False)))
+    tops = _nearest(at.withColumns({"bound": F.col("height")}).withColumn("left", sides), blocks, True)
+    base = F.max(F.least("least", "height"))  # the higher of the two bases
+    level = tops.groupBy(*SERIES, "n", "block", "height").agg((F.col("height") - (F.col("height") - base) / 2).alias("bound"))
+    sunk = _nearest(level.withColumn("left", sides), blocks, False)
+    part = F.when(F.col("y_at") < F.col("bound"), (F.col("bound") - F.col("y_at")) / (F.col("y_next") - F.col("y_at"))).otherwise(0.0)
+    span = F.when(F.col("bound") < F.col("height"), F.abs(F.col("n") - F.col("at")) - part).otherwise(0.0)  # without prominence no width
+    return sunk.groupBy(*SERIES, "n").agg(F.sum(span).alias("width"))
 
 
 def triggered_average(spikes: DataFrame, samples: DataFrame, half: int, fs_hz: float, block: int = BLOCK) -> DataFrame:
@@ -174,35 +286,45 @@ def triggered_average(spikes: DataFrame, samples: DataFrame, half: int, fs_hz: f
     return m.select(*SERIES, ((F.col("k") - half) / fs_hz).alias("t_rel_s"), F.col("mean_uv").alias("lfp_sta_uv"), F.col("n_spikes").alias("n_used"))
 
 
+def _over(z: DataFrame, threshold: float) -> DataFrame:
+    """The samples whose z counts, as a table: z itself is worked out once."""
+    return written(z.filter(F.abs("z") >= threshold).select(*SERIES, "n", "z"), "over_threshold")
+
+
 def detect_abs(samples: DataFrame, fs_hz: float, threshold: float, refractory_ms: float, pre: int, post: int, least: float | None, most: float | None) -> DataFrame:
     """|z| peaks, suppressed, cut and gated by the largest deflection of the waveform."""
     distance = max(1, round(refractory_ms / 1000 * fs_hz))
-    found = suppress(peaks(robust_z(samples), threshold), distance)
+    found = suppress(peaks(_over(robust_z(samples), threshold), threshold, ends=series_ends(samples)), distance)
     return amplitude_gate(waveforms(found, samples, pre, post), wave_extreme("both"), least, most)
 
 
-def detect_polarity(samples: DataFrame, fs_hz: float, threshold: float, refractory_ms: float, polarity: str, least: float | None, most: float | None, widths: tuple[int, int] | None = None) -> DataFrame:
-    """Peaks by polarity of z (variant B), each side suppressed, then refractory, width and size."""
+def detect_polarity(
+    samples: DataFrame, fs_hz: float, threshold: float, refractory_ms: float, polarity: str, least: float | None, most: float | None, widths: tuple[int, int] | None = None,
+    band: tuple[float, float] = (300.0, 5000.0), order: int = 3, block: int = BLOCK,
+) -> DataFrame:
+    """Band-pass, then peaks by polarity of z (variant B), each side suppressed, refractory, width and size."""
     distance = max(1, round(refractory_ms / 1000 * fs_hz))
-    z = robust_z(samples, "B")
+    x = written(zero_phase(samples, band, fs_hz, order, "B", block), "filtered")
+    over, ends = _over(robust_z(x, "B"), threshold), series_ends(x)
     sides = ["pos", "neg"] if polarity == "both" else [polarity]
-    found = None
-    for s in sides:
-        one = suppress(peaks(z, threshold, s), distance)
-        found = one if found is None else found.unionByName(one)
-    found = refractory(found.groupBy(*SERIES, "n").agg(F.max("height").alias("height")), distance)
+    found = reduce(DataFrame.unionByName, [suppress(peaks(over, threshold, s, ends, block), distance, block) for s in sides])
+    found = refractory(found.groupBy(*SERIES, "n").agg(F.max("height").alias("height")), distance, block)
     if widths:
-        found = opposite_width(found, samples, max(widths[1], 1), polarity, *widths)
-    return amplitude_gate(found.join(samples.select(*SERIES, "n", "x_uv"), [*SERIES, "n"]), F.col("x_uv"), least, most)
-
-
-def detect_neuropil(samples: DataFrame, fs_hz: float, threshold: float, refractory_ms: float, polarity: str, least: float, most: float, widths_ms: tuple[float, float]) -> DataFrame:
-    """z of the rectified or signed signal, suppressed, gated by size and half-prominence width."""
-    x = {"neg": -F.col("x_uv"), "pos": F.col("x_uv")}.get(polarity, F.abs("x_uv"))
-    z = robust_z(samples.withColumn("y", x), "A", "y")
-    found = suppress(peaks(z, threshold, "pos"), max(1, round(refractory_ms / 1000 * fs_hz)))
-    gated = amplitude_gate(found.join(samples.select(*SERIES, "n", "x_uv"), [*SERIES, "n"]), F.col("x_uv"), least, most)
-    wide = half_prominence_width(gated, samples, round(0.05 * fs_hz)).withColumn("width_ms", F.col("width") / fs_hz * 1000)
+        found = opposite_width(found, x, max(widths[1], 1), polarity, *widths, block)
+    return amplitude_gate(found.join(x, [*SERIES, "n"]), F.col("x_uv"), least, most)
+
+
+def detect_neuropil(
+    samples: DataFrame, fs_hz: float, threshold: float, refractory_ms: float, polarity: str, least: float, most: float, widths_ms: tuple[float, float],
+    band: tuple[float, float] = (300.0, 3000.0), order: int = 4, block: int = BLOCK,
+) -> DataFrame:
+    """Band-pass, then z of the rectified or signed signal, suppressed, gated by size and half-prominence width."""
+    x = written(zero_phase(samples, band, fs_hz, order, "A", block), "filtered")
+    y = {"neg": -F.col("x_uv"), "pos": F.col("x_uv")}.get(polarity, F.abs("x_uv"))
+    over = _over(robust_z(x.withColumn("y", y), "A", "y"), threshold)
+    found = suppress(peaks(over, threshold, "pos", series_ends(x), block), max(1, round(refractory_ms / 1000 * fs_hz)), block)
+    gated = written(amplitude_gate(found.join(x, [*SERIES, "n"]), F.col("x_uv"), least, most), "spikes")
+    wide = half_prominence_width(gated, x, block).withColumn("width_ms", F.col("width") / fs_hz * 1000)
     return gated.join(wide.drop("width"), [*SERIES, "n"]).filter(F.col("width_ms").between(*widths_ms))
 
 
