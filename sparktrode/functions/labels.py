@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,8 +27,58 @@ ALIASES = {
 PLOT_LABELS = [("baseline", "Baseline"), ("h2o2", "H2O2 at 0.25 Atm"), ("81na", "-80 nA"), ("90na", "-90 nA"), ("70na", "-70 nA"), ("60na", "-60 nA"), ("50na", "-50 nA")]
 
 
+#: Names that a list of phases or comparisons may use; `all` stands for each.
+PHASE_NAMES = {
+    "Baseline": ("baseline", "base", "pre", "control"),
+    "Stimulation": ("stimulation", "stim", "current"),
+    "Post": ("post", "after", "recovery"),
+}
+COMPARISON_NAMES = {
+    "Baseline": ("baseline", "baseline_halves", "baseline_split", "control"),
+    "Stimulation": ("stimulation", "stim", "current"),
+    "Post": ("post", "after", "recovery"),
+}
+#: Runs of what counts as a space in a name.
+SPACES = r"[\s\-./()_]+"
+
+
 def normalised(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"[\s\-./()]+", "_"), "_+", "_"), "^_+|_+$", "")
+    """Lower case, with one underscore for each run of spaces and none at the ends."""
+    return F.trim(F.regexp_replace(F.lower(F.trim(c)), SPACES, "_"), F.lit("_"))
+
+
+def plain_name(text: str) -> str:
+    """As `normalised`, of a Python string."""
+    return re.sub(SPACES, "_", text.strip().lower()).strip("_")
+
+
+def named(request: str | list[str] | None, names: dict[str, tuple[str, ...]]) -> list[str]:
+    """The phases that a comma-separated list asks for, each once; all without a request."""
+    pieces = request.split(",") if isinstance(request, str) else request or []
+    known = {alias: phase for phase, aliases in names.items() for alias in aliases}
+    out: dict[str, None] = {}
+    for piece in filter(None, map(plain_name, pieces)):
+        if piece != "all" and piece not in known:
+            raise ValueError(f"unknown phase {piece!r}; known are all, {', '.join(sorted(known))}")
+        out |= dict.fromkeys(names if piece == "all" else [known[piece]])
+    return list(out) or list(names)
+
+
+def recorded_phases(request: str | list[str] | None = None) -> list[str]:
+    """Phases to keep. Baseline must be among them, as all is compared with it."""
+    out = named(request, PHASE_NAMES)
+    if "Baseline" not in out:
+        raise ValueError("the baseline must be among the recorded phases")
+    return out
+
+
+def comparisons(request: str | list[str] | None = None, recorded: str | list[str] | None = None) -> list[str]:
+    """Comparisons asked for whose phase is recorded; an error if none is left."""
+    kept = recorded_phases(recorded)
+    out = [c for c in named(request, COMPARISON_NAMES) if c in kept]
+    if not out:
+        raise ValueError("no comparison is left for the recorded phases")
+    return out
 
 
 def phase(label: Column) -> Column:
@@ -80,10 +132,7 @@ def is_marker(channel: Column) -> Column:
 
 def renames(columns: list[str]) -> dict[str, str]:
     """Old to canonical column names; the first alias that is there wins."""
-    import re
-
-    plain = lambda x: re.sub("_+", "_", re.sub(r"[\s\-./()]+", "_", x.strip().lower())).strip("_")
-    there = {plain(c): c for c in columns}
+    there = {plain_name(c): c for c in columns}
     return {there[a]: k for k, names in ALIASES.items() for a in [next((a for a in names if a in there), None)] if a}
 
 

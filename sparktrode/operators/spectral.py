@@ -129,10 +129,10 @@ def overlay(psd: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def db_range(psd: DataFrame) -> DataFrame:
-    """Finite dB range of each channel, and of all."""
+    """Finite dB range of each channel, and of all: a row that is there without any channel too."""
     finite = psd.filter(F.col("pxx_db").isNotNull() & ~F.isnan("pxx_db") & (F.abs("pxx_db") < float("inf")))
-    out = finite.rollup("channel").agg(F.min("pxx_db").alias("lo_db"), F.max("pxx_db").alias("hi_db"))
-    return out.withColumn("channel", F.coalesce("channel", F.lit("all")))
+    ends = F.min("pxx_db").alias("lo_db"), F.max("pxx_db").alias("hi_db")
+    return finite.groupBy("channel").agg(*ends).unionByName(finite.agg(*ends).withColumn("channel", F.lit("all")))
 
 
 def triggered_spectrogram(windows: DataFrame, fs_hz: float, f_max: float = 200.0) -> DataFrame:

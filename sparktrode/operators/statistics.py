@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from sparktrode.functions.labels import clean_post, clean_stimulation, phase, stars
+from sparktrode.functions.labels import clean_post, clean_stimulation, micrometres, normalised, phase, recorded_phases, stars
 
 FIRST, SECOND = "Baseline first half", "Baseline second half"
 ORDER = ["recording_index", "window_start_s", "window_end_s", "window_index"]
@@ -39,7 +40,7 @@ def prepare(rows: DataFrame) -> DataFrame:
     whole = F.lit(True)
     for c in ("recording_name", "epoch_label", "channel", "spike_count"):
         whole = whole & F.col(c).isNotNull()
-    out = out.filter(whole & (F.col("window_duration_s") > 0)).withColumns({HZ: F.col("spike_count") / F.col("window_duration_s"), "phase": phase(F.col("epoch_label"))})
+    out = firing_rates(out.filter(whole & (F.col("window_duration_s") > 0))).withColumn("phase", phase(F.col("epoch_label")))
     return out.filter(F.col("phase").isNotNull()).withColumns(
         {
             "stimulation_label_raw": F.when(F.col("phase") == "Stimulation", clean_stimulation(F.col("epoch_label"))),
@@ -48,6 +49,55 @@ def prepare(rows: DataFrame) -> DataFrame:
     )
 
 
+def keep_phases(rows: DataFrame, recorded: str | list[str] | None = None, label: str = "epoch_label") -> DataFrame:
+    """Rows of the recorded phases, by a `phase` column if there is one, else by the label."""
+    of = F.col("phase") if "phase" in rows.columns else phase(F.col(label))
+    return rows.filter(of.isin(recorded_phases(recorded)))
+
+
+def animal_counts(spikes: DataFrame, keys: list[str]) -> DataFrame:
+    """spike_count for each combination of the keys' values, zeros included; a few names each."""
+    grid = reduce(DataFrame.crossJoin, [spikes.select(k).distinct() for k in keys])
+    return grid.join(spikes.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), keys, "left").select(*keys, F.coalesce("__n", F.lit(0)).alias("spike_count"))
+
+
+def condition_means(counts: DataFrame, order: list[str], condition: str = "condition", value: str = "spike_count") -> DataFrame:
+    """Mean and deviation (n - 1) of each listed condition, with its place in the list."""
+    place = F.array_position(F.lit(order), F.col(condition)).cast("int")
+    return counts.filter(F.col(condition).isin(order)).groupBy(condition, place.alias("ord")).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+
+
+def condition_pivot(rows: DataFrame, session: str, needed: list[str], order: str, strict: bool = False) -> DataFrame:
+    """A row for each session and a column for each condition; of repeated rows the last in order counts.
+
+    Sessions that lack a condition go, or with strict are an error.
+    """
+    last = rows.filter(F.col("condition").isin(needed)).groupBy(session, "condition").agg(F.max_by("count", order).alias("count"))
+    wide = last.groupBy(session).pivot("condition", needed).agg(F.first("count"))
+    whole = reduce(Column.__and__, [F.col(f"`{c}`").isNotNull() for c in needed])
+    if strict:
+        lacking = F.raise_error(F.concat(F.lit("conditions are missing in session "), F.col(session).cast("string"))).cast("boolean")
+        return wide.filter(F.when(whole, True).otherwise(lacking))
+    return wide.filter(whole)
+
+
+def percent_of_baseline(rows: DataFrame, session: str, base: str = "Baseline") -> DataFrame:
+    """pct of each condition's count against the session's base; null without one or where it is 0."""
+    bases = rows.filter(F.col("condition") == base).groupBy(session).agg(F.max("count").alias("__base"))
+    return rows.join(bases, session, "left").withColumn("pct", 100.0 * F.col("count") / F.nullif(F.col("__base"), F.lit(0))).drop("__base")
+
+
+def tip_summary(tips: DataFrame, size: str, value: str) -> DataFrame:
+    """Mean, deviation (0 for one row) and rows of each size, with the size in micrometres."""
+    sized = tips.withColumn("um", micrometres(F.col(size)))
+    return sized.groupBy(size, "um").agg(F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.count(F.lit(1)).alias("n"))
+
+
+def firing_rates(rows: DataFrame) -> DataFrame:
+    """firing_rate_hz: spikes by duration; null where there is none."""
+    return rows.withColumn(HZ, F.col("spike_count") / F.when(F.col("window_duration_s") > 0, F.col("window_duration_s")))
+
+
 def numbered_windows(rows: DataFrame, order: str) -> DataFrame:
     line = W.partitionBy("recording_name", "channel", "phase").orderBy(order)
     return rows.withColumn("window_index", F.row_number().over(line))
@@ -115,20 +165,27 @@ def detected_parts(rows: DataFrame) -> DataFrame:
     return rows.filter("part_index is not null").select("part_index", "stimulation_label", "part_label").distinct()
 
 
+def baseline_references(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The baseline of each unit in one pass: rates, errors and window counts, whole and by halves."""
+    half = lambda f, h: f(F.when(F.col("baseline_half") == h, F.col(HZ)))
+    split = F.count("baseline_half") > 0  # a unit of one window has no halves
+    a, b = half(F.avg, FIRST), half(F.avg, SECOND)
+    return rows.filter("phase = 'Baseline'").groupBy(*keys).agg(
+        F.avg(HZ).alias("baseline_hz"), error(F.col(HZ)).alias("baseline_window_error_hz"), F.count(HZ).alias("baseline_n_windows"),
+        a.alias("baseline_first_half_hz"), b.alias("baseline_second_half_hz"),
+        F.when(split, half(F.count, FIRST)).alias("baseline_first_half_n_windows"), F.when(split, half(F.count, SECOND)).alias("baseline_second_half_n_windows"),
+        percent(b, a).alias("baseline_percent_change"), half(F.stddev_samp, SECOND).alias("__sd"), half(F.count, SECOND).alias("__n"),
+    )
+
+
 def part_table(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each unit and part: rates, errors and percent changes against the baseline."""
     of = lambda p: F.when(F.col("phase") == p, F.col(HZ))
-    base = rows.filter("phase = 'Baseline'").groupBy(*keys).agg(
-        F.avg(HZ).alias("baseline_hz"), error(F.col(HZ)).alias("baseline_window_error_hz"), F.count(HZ).alias("baseline_n_windows"),
-        F.stddev_samp(F.when(F.col("baseline_half") == SECOND, F.col(HZ))).alias("__sd"), F.count(F.when(F.col("baseline_half") == SECOND, F.col(HZ))).alias("__n"),
-    )
     parts = rows.filter("part_index is not null").groupBy(*keys, "part_index", "stimulation_label", "part_label")
     parts = parts.agg(*[f(of(p)).alias(n) for p, s in (("Stimulation", "stimulation"), ("Post", "post")) for f, n in ((F.avg, f"{s}_hz"), (F.count, f"{s}_n_windows"), (error, f"{s}_window_error_hz"))])
-    halves = baseline_table(rows, keys).drop("delta_hz").withColumnRenamed("percent_change", "baseline_percent_change")
-    out = parts
-    for side in (base, halves):
-        named = side.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in side.columns if c not in keys])
-        out = out.join(named, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left").drop(*[f"__{k}" for k in keys])
+    base = baseline_references(rows, keys)
+    base = base.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in base.columns if c not in keys])
+    out = parts.join(base, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left").drop(*[f"__{k}" for k in keys])
     ref = F.coalesce("baseline_second_half_hz", "baseline_hz")
     out = out.withColumns({"percent_reference_hz": ref, "percent_reference_label": F.when(F.col("baseline_second_half_hz").isNotNull(), SECOND).otherwise("Baseline")})
     for s in ("stimulation", "post"):
@@ -247,22 +304,81 @@ def fallback_error(across: Column, n: Column, single: Column) -> Column:
     return F.when(n > 1, across).otherwise(single)
 
 
-def pooled_changes(table: DataFrame, rows: DataFrame, group: str | None, keys: list[str]) -> DataFrame:
-    """Percent change by category over all parts: Baseline, each stimulation label, each post.
+def _ordered_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Windows of left (group, hz, place) against those of right (keys, hz, place), matched by rank."""
+    rank = lambda cols: F.row_number().over(W.partitionBy(*cols).orderBy("place")).alias("k")
+    return right.select(*keys, rank(keys), F.col("hz").alias("b")).join(left.select("group", rank(["group"]), F.col("hz").alias("a")), ["group", "k"])
+
+
+def pooled_changes(rows: DataFrame, group: str | None, keys: list[str]) -> DataFrame:
+    """Percent change by category over all parts, with its paired test: Baseline, each stimulation
+    label, each post label.
+
+    rows are windows with parts. A unit's windows of a label are averaged over all parts; a generic
+    'Post' is numbered by its part. One row for each group and category, in the order Baseline,
+    stimulation, post, and within these by first window. The error is across units, else across the
+    only unit's windows. Units are paired with their baseline; where they are too few for a test,
+    windows are, in order.
+    """
+    rows = _by_group(rows, group).withColumn("group", F.coalesce(F.col("group").cast("string"), F.lit("Unlabeled")))
+    unit = list(dict.fromkeys(["group", *keys]))
+    base = baseline_references(rows, unit)
+    named = F.coalesce(F.nullif(F.trim(F.when(F.col("phase") == "Post", F.col("post_label_raw")).otherwise(F.col("stimulation_label_raw"))), F.lit("")), F.col("phase"))
+    generic = (F.col("phase") == "Post") & (normalised(named) == "post") & F.col("part_index").isNotNull()
+    label = F.when(generic, F.concat(F.lit("Post "), F.col("part_index").cast("string"))).otherwise(named)
+    place = F.struct(*ORDER, "channel")
+    windows = rows.filter(F.col(HZ).isNotNull()).withColumns({"place": place, "hz": F.col(HZ)})
+    other = windows.filter("phase <> 'Baseline'").withColumn("category", label)
+    ref = F.coalesce("baseline_second_half_hz", "baseline_hz")
+    moved = other.groupBy(*unit, "phase", "category").agg(F.avg("hz").alias("b"), error(F.col("hz")).alias("err"), F.min("place").alias("first_seen"))
+    moved = moved.join(base, unit, "left").select("group", "phase", "category", "first_seen", F.col("baseline_hz").alias("a"), "b", percent(F.col("b"), ref).alias("pct"), (F.col("err") / F.abs(F.nullif(ref, F.lit(0.0))) * 100).alias("err"))
+    first = F.nullif(F.col("baseline_first_half_hz"), F.lit(0.0))
+    within = base.filter("baseline_percent_change is not null").select(
+        "group", F.lit("Baseline").alias("phase"), F.lit("Baseline").alias("category"), F.lit(None).cast(moved.schema["first_seen"].dataType).alias("first_seen"),
+        F.col("baseline_first_half_hz").alias("a"), F.col("baseline_second_half_hz").alias("b"), F.col("baseline_percent_change").alias("pct"), (F.col("__sd") / F.sqrt("__n") / F.abs(first) * 100).alias("err"),
+    )
+    kinds = ["group", "phase", "category"]
+    long = within.unionByName(moved)
+    seen = long.groupBy(*kinds).agg(F.min("first_seen").alias("first_seen"), F.count("pct").alias("n"), F.avg("pct").alias("mean"), error(F.col("pct")).alias("across"), F.max("err").alias("single")).filter("n > 0")
+    diff = F.col("b") - F.col("a")
+    paired = t_stats(long, kinds, diff)
+    start = windows.filter("phase = 'Baseline'")
+    pairs = _ordered_pairs(start, other, kinds)
+    halves = _ordered_pairs(start.filter(F.col("baseline_half") == FIRST), start.filter(F.col("baseline_half") == SECOND).withColumn("category", F.col("phase")), kinds)
+    fallback = t_stats(pairs.unionByName(halves), kinds, diff).select(*kinds, F.col("t").alias("wt"), F.col("df").alias("wdf"), F.col("all_zero").alias("wz"))
+    out = seen.join(paired, kinds).join(fallback, kinds, "left")
+    use = F.col("df").isNull() | (F.col("t").isNull() & ~F.col("all_zero"))
+    pick = lambda w, c: F.when(use, F.col(w)).otherwise(F.col(c))
+    kind = F.array_position(F.lit(["Baseline", "Stimulation", "Post"]), F.col("phase"))
+    order = F.dense_rank().over(W.partitionBy("group").orderBy(kind, "first_seen", "category"))
+    out = out.select("group", "category", order.alias("category_order"), "n", "mean", fallback_error(F.col("across"), F.col("n"), F.col("single")).alias("error"), pick("wt", "t").alias("t"), pick("wdf", "df").alias("df"), pick("wz", "all_zero").alias("all_zero"))
+    return with_significance(out).drop("all_zero")
+
+
+def plot_tables(table: DataFrame, rows: DataFrame, group: str | None) -> DataFrame:
+    """What the two figures of each part show: kind ('frequency' or 'percent'), label, mean, error,
+    n and stars by group and phase.
 
-    A generic 'Post' is numbered by its part. One row for each group and category, in the order
-    in which categories come first; the error is across units, else that of the only unit.
+    The frequency of the baseline is that of all its windows and has no stars. A post without
+    stimulation takes the part's label. Phases without a value in a part are left out, and so is a
+    part without any but the baseline.
     """
-    post = rows.filter("phase = 'Post' and part_index is not null").groupBy("part_index").agg(F.min("post_label_raw").alias("post_label"))
-    numbered = F.when(F.coalesce("post_label", F.lit("Post")) == "Post", F.concat(F.lit("Post "), F.col("part_index").cast("string"))).otherwise(F.col("post_label"))
-    t = _by_group(table, group).join(post, "part_index", "left")
-    base = t.groupBy("group", *keys).agg(F.first("baseline_percent_change").alias("pct"), F.first("baseline_percent_change_error").alias("err"))
-    long = base.select("group", F.lit("Baseline").alias("category"), F.lit(0).alias("ord"), "pct", "err")
-    long = long.unionByName(t.select("group", F.col("stimulation_label").alias("category"), (F.col("part_index") * 2 - 1).alias("ord"), F.col("stimulation_percent_change").alias("pct"), F.col("stimulation_percent_change_error").alias("err")))
-    long = long.unionByName(t.select("group", numbered.alias("category"), (F.col("part_index") * 2).alias("ord"), F.col("post_percent_change").alias("pct"), F.col("post_percent_change_error").alias("err")))
-    out = long.filter("pct is not null").groupBy("group", "category").agg(F.min("ord").alias("first_seen"), F.count("pct").alias("n"), F.avg("pct").alias("mean"), error(F.col("pct")).alias("across"), F.max("err").alias("single"))
-    place = F.dense_rank().over(W.partitionBy("group").orderBy("first_seen", "category"))
-    return out.select("group", "category", place.alias("category_order"), "n", "mean", fallback_error(F.col("across"), F.col("n"), F.col("single")).alias("error"))
+    keys = ["part_index", "part_label", "stimulation_label"]
+    t = _by_group(table, group)
+    specs = [("frequency", p, f"{s}_hz", f"{s}_window_error_hz") for p, s in (("Baseline", "baseline"), ("Stimulation", "stimulation"), ("Post", "post"))]
+    specs += [("percent", p, f"{s}_percent_change", f"{s}_percent_change_error") for p, s in (("Baseline", "baseline"), ("Stimulation", "stimulation"), ("Post", "post"))]
+    every = W.partitionBy(*keys)
+    t = t.withColumn("__stimulated", F.count("stimulation_hz").over(every) > 0)
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(p).alias("phase"), F.col(v).cast("double").alias("v"), F.col(e).cast("double").alias("e")) for k, p, v, e in specs]))
+    long = t.select(*keys, "group", "__stimulated", cells.alias("c")).select(*keys, "group", "__stimulated", "c.*")
+    here = W.partitionBy(*keys, "kind")
+    long = long.withColumn("__has", F.count("v").over(W.partitionBy(*keys, "kind", "phase")) > 0).withColumn("__others", F.count(F.when(F.col("phase") != "Baseline", F.col("v"))).over(here) > 0)
+    long = long.filter(F.col("__has") & (F.col("__others") | (F.col("kind") == "percent")))
+    label = F.when(F.col("phase") == "Stimulation", F.col("stimulation_label")).when((F.col("phase") == "Post") & ~F.col("__stimulated"), F.col("stimulation_label")).otherwise(F.col("phase"))
+    out = long.groupBy(*keys, "group", "kind", "phase", label.alias("label")).agg(F.avg("v").alias("mean"), fallback_error(error(F.col("v")), F.count("v"), F.max("e")).alias("error"), F.count("v").alias("n"))
+    tests = with_significance(part_summary(table, rows, group)).select("part_index", "group", "phase", "significance")
+    bare = (F.col("kind") == "frequency") & (F.col("phase") == "Baseline")
+    return out.join(tests, ["part_index", "group", "phase"], "left").withColumn("significance", F.when(~bare, F.col("significance")))
 
 
 def time_course(rows: DataFrame, keys: list[str], most_units: int | None = None) -> DataFrame:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from sparktrode.sources.tables import written
+
+from .samples import medians
+
 
 def tumbling_ceil(bounds: DataFrame, window_s: float) -> DataFrame:
     """Windows over [t0, t1] with a shorter last one, whose end lies just beyond t1.
@@ -114,20 +118,38 @@ def continuous_axis(counts: DataFrame) -> DataFrame:
     return counts.withColumn("x", x).groupBy("channel", "recording_index").agg(F.min("x").alias("first_x"), F.max("x").alias("last_x"), (F.min("x") - 0.5).alias("boundary"), ((F.min("x") + F.max("x")) / 2).alias("middle"))
 
 
+def ranked(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with rank (from 1) over the whole table, and `lot`, the range of the order that a row is in.
+
+    Rows are dealt by ranges of the order; a row a range carries the counts on.
+    """
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(count, *order).sortWithinPartitions(*order)
+    dealt = written(dealt.withColumns({"lot": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "ranked")
+    lots = dealt.groupBy("lot").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    lots = lots.select("lot", (F.sum("__n").over(W.orderBy("lot")) - F.col("__n") - F.col("__first") + 1).alias("__shift"))  # a row a range
+    return dealt.join(F.broadcast(lots), "lot").withColumn("rank", F.col("__at") + F.col("__shift")).drop("__at", "__shift")
+
+
 def data_sets(rows: DataFrame, order: str, required: list[str]) -> DataFrame:
     """data_set_index from 1: blank rows split the sets, several together split once."""
     blank = F.lit(True)
     for c in required:
         blank = blank & (F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == ""))
-    line = W.orderBy(order)
-    out = rows.withColumn("__blank", blank).withColumn("__set", F.sum(F.col("__blank").cast("int")).over(line))
-    return out.filter(~F.col("__blank")).withColumn("data_set_index", F.dense_rank().over(W.orderBy("__set"))).drop("__blank", "__set")
+    out = ranked(rows.withColumn("__blank", blank), order)
+    lots = out.groupBy("lot").agg(F.count_if("__blank").alias("__n"))
+    lots = lots.select("lot", (F.sum("__n").over(W.orderBy("lot")) - F.col("__n")).alias("__before"))  # a row a range
+    inside = F.sum(F.col("__blank").cast("int")).over(W.partitionBy("lot").orderBy("rank"))
+    out = out.join(F.broadcast(lots), "lot").withColumn("__set", inside + F.col("__before")).filter(~F.col("__blank"))
+    sets = ranked(out.select("__set").distinct(), "__set").select("__set", F.col("rank").cast("int").alias("data_set_index"))
+    return out.join(sets, "__set").drop("__blank", "__set", "__before", "lot", "rank")
 
 
 def source_window_s(rows: DataFrame) -> DataFrame:
     """One row: the median positive duration, else of end - start, else 60."""
     d = F.coalesce("window_duration_s", F.col("window_end_s") - F.col("window_start_s"))
-    return rows.agg(F.coalesce(F.median(F.when(d > 0, d)), F.lit(60.0)).alias("window_s"))
+    middle = medians(rows, [], F.when(d > 0, d))
+    return middle.agg(F.coalesce(F.max("median"), F.lit(60.0)).alias("window_s"))
 
 
 def fill_timing(rows: DataFrame, window_s: float) -> DataFrame:
@@ -180,13 +202,34 @@ def epoch_blocks(rows: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 def stitched(a: DataFrame, b: DataFrame, order: str) -> DataFrame:
     """A then B on one axis: B is shifted by A's last rank; labels start again in each part."""
-    rank = F.row_number().over(W.orderBy(order))
-    first, second = (d.select(F.lit(p).alias("part"), rank.alias("rank"), "spike_count") for p, d in (("A", a), ("B", b)))
+    first, second = (ranked(d, order).select(F.lit(p).alias("part"), F.col("rank").cast("int").alias("rank"), "spike_count") for p, d in (("A", a), ("B", b)))
     last = first.agg(F.max("rank").alias("last"))
     both = first.unionByName(second).crossJoin(last)  # one row
     return both.select("part", "rank", F.when(F.col("part") == "A", F.col("rank")).otherwise(F.col("rank") + F.col("last")).alias("x"), "spike_count", (F.col("last") + 0.5).alias("boundary"))
 
 
+def select_minutes(rows: DataFrame, keys: list[str], order: str, minutes: tuple[int, int] | list[int] | None) -> DataFrame:
+    """Rows by their rank in each series (from 1): a range with both ends, a list, or all.
+
+    A bad request is an error, and so is a series of which nothing is left.
+    """
+    if minutes is None:
+        return rows
+    if isinstance(minutes, tuple):
+        if len(minutes) != 2 or minutes[0] < 1 or minutes[1] < minutes[0]:
+            raise ValueError(f"invalid minute range {minutes}")
+        wanted = F.col("__rank").between(*minutes)
+    else:
+        if any(m < 1 for m in minutes):
+            raise ValueError("minute numbers start at 1")
+        wanted = F.col("__rank").isin(list(minutes))
+    unit = W.partitionBy(*keys)
+    ranks = rows.withColumn("__rank", F.row_number().over(unit.orderBy(order))).withColumn("__kept", wanted)
+    left = F.count_if("__kept").over(unit)
+    ranks = ranks.withColumn("__kept", F.when(left == 0, F.raise_error(F.lit("no rows left after minute selection")).cast("boolean")).otherwise(F.col("__kept")))
+    return ranks.filter("__kept").drop("__rank", "__kept")
+
+
 def baseline_post_axis(counts: DataFrame) -> DataFrame:
     """x of each window: baseline from 0, post after the longest baseline and one place more."""
     x = F.row_number().over(W.partitionBy("channel", "phase").orderBy("recording_index", "window_index")) - 1
