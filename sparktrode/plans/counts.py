@@ -195,10 +195,11 @@ def c18_baseline_post_axis(spark, sf_dir):
     return O.baseline_post_axis(w)
 
 
-@query(f"with {WINDOWS} select recording_index, channel, window_index, spike_count from fx_windows where window_index >= 3 and window_index <= 9")
+@query(f"with {WINDOWS} select recording_index, channel, window_index, spike_count from fx_windows where case when channel = 'view' then window_index in (2, 4, 24, 99) else window_index between 3 and 9 end")
 def p11_minute_selection(spark, sf_dir):
-    rank = F.row_number().over(O.W.partitionBy("recording_index", "channel").orderBy("window_start_s"))
-    return windows(spark, sf_dir).withColumn("rank", rank).filter(F.col("rank").between(3, 9)).select("recording_index", "channel", "window_index", "spike_count")
+    w, keys = windows(spark, sf_dir), ["recording_index", "channel"]
+    span = O.select_minutes(w.filter("channel <> 'view'"), keys, "window_start_s", (3, 9))
+    return span.unionByName(O.select_minutes(w.filter("channel = 'view'"), keys, "window_start_s", [2, 4, 24, 99])).select(*keys, "window_index", "spike_count")
 
 
 @query(f"with {WINDOWS} select recording_index, channel, window_index, spike_count from fx_windows where window_index < 24")
@@ -285,8 +286,7 @@ def p19_units(spark, sf_dir):
 
 @query(f"with {_TIPS} select tip, um, avg_value, coalesce(sd,0) as sd_value, n from (select tip, um, round(avg(value),6) avg_value, round(stddev_samp(value),6) sd, count(*) n from tips group by 1,2)")
 def a5_tip_summary(spark, sf_dir):
-    t = tips(spark, sf_dir).withColumn("um", L.micrometres(F.col("tip")))
-    return t.groupBy("tip", "um").agg(r(F.avg("value")).alias("avg_value"), F.coalesce(r(F.stddev_samp("value")), F.lit(0.0)).alias("sd_value"), F.count(F.lit(1)).alias("n")).orderBy("um", "tip")
+    return S.tip_summary(tips(spark, sf_dir), "tip", "value").select("tip", "um", r("mean").alias("avg_value"), r("sd").alias("sd_value"), "n").orderBy("um", "tip")
 
 
 @query(f"""with {WINDOWS} select recording_name, channel, window_start_s, cast(row_number() over (partition by recording_name, channel order by window_start_s) as int) as window_index from fx_windows""")
@@ -295,9 +295,11 @@ def p20_window_index(spark, sf_dir):
     return S.numbered_windows(rows, "window_start_s").select("recording_name", "channel", "window_start_s", "window_index")
 
 
-@query(f"with {WINDOWS} select recording_index, channel, window_index from fx_windows where epoch_label in ('Baseline','Post')")
+@query(f"with {WINDOWS} select recording_index, channel, window_index, 'Baseline,Post' as comparisons from fx_windows where epoch_label in ('Baseline','Post')")
 def p22_phase_filter(spark, sf_dir):
-    return windows(spark, sf_dir).filter(L.phase(F.col("epoch_label")).isin("Baseline", "Post")).select("recording_index", "channel", "window_index")
+    w = S.keep_phases(windows(spark, sf_dir), "Pre, recovery, base")
+    wanted = L.comparisons("all", "Pre, recovery, base")
+    return w.select("recording_index", "channel", "window_index", F.lit(",".join(wanted)).alias("comparisons"))
 
 
 ANIMALS = EV + ", an as (select user_id % 6 as animal, epoch_label as condition, channel from fx_spikes), s as (select distinct animal, condition, channel from an union select a.animal, c.condition, h.channel from (select distinct animal from an) a, (select distinct condition from an) c, (select distinct channel from an) h)"
@@ -307,40 +309,39 @@ ANIMALS = EV + ", an as (select user_id % 6 as animal, epoch_label as condition,
 def a1_animal_counts(spark, sf_dir):
     keys = ["animal", "condition", "channel"]
     a = spikes(spark, sf_dir).select((F.col("user_id") % 6).alias("animal"), F.col("epoch_label").alias("condition"), "channel")
-    every = a.select("animal").distinct().crossJoin(a.select("condition").distinct()).crossJoin(a.select("channel").distinct())  # a few names each
-    return every.join(a.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, "left").select(*keys, F.coalesce("n", F.lit(0)).alias("spike_count"))
+    return S.animal_counts(a, keys)
 
 
 @query(f"""with {ANIMALS}, c as (select animal, condition, channel, count(*) n from an group by 1,2,3), o(condition, ord) as (values ('Baseline',1),('-70nA',2),('-90nA',3),('Post',4),('absent',5))
 select o.condition, ord, round(avg(n),6) as mean, round(stddev_samp(n),6) as sd from c join o on o.condition = c.condition group by 1,2""")
 def a2_condition_means(spark, sf_dir):
-    order = F.broadcast(values(spark, [("Baseline", 1), ("-70nA", 2), ("-90nA", 3), ("Post", 4), ("absent", 5)], "condition string, ord int"))
-    c = a1_animal_counts(spark, sf_dir).filter("spike_count > 0")
-    return c.join(order, "condition").groupBy("condition", "ord").agg(r(F.avg("spike_count")).alias("mean"), r(F.stddev_samp("spike_count")).alias("sd")).orderBy("ord")
+    m = S.condition_means(a1_animal_counts(spark, sf_dir).filter("spike_count > 0"), ["Baseline", "-70nA", "-90nA", "Post", "absent"])
+    return m.select("condition", "ord", r("mean").alias("mean"), r("sd").alias("sd")).orderBy("ord")
 
 
-CONDITIONS = EV + ", cond as (select cast(ts as date) as day, case channel when 'view' then 'PBS' when 'click' then 'Baseline' when 'purchase' then 'Post' end as condition, count(*) as n from fx_spikes where channel in ('view','click','purchase') group by 1,2)"
+CONDITIONS = EV + ", cond as (select cast(ts as date) as day, case channel when 'view' then 'PBS' when 'click' then 'Baseline' when 'purchase' then 'Post' end as condition, count(*) as n from fx_spikes where channel in ('view','click','purchase') group by 1,2), hourly as (select cast(ts as date) as day, hour(ts) as hour, case channel when 'view' then 'PBS' when 'click' then 'Baseline' when 'purchase' then 'Post' end as condition, count(*) as n from fx_spikes where channel in ('view','click','purchase') group by 1,2,3)"
+
+
+CONDITION_OF = {"view": "PBS", "click": "Baseline", "purchase": "Post"}
 
 
 def conditions(spark, sf_dir):
-    name = F.when(F.col("channel") == "view", "PBS").when(F.col("channel") == "click", "Baseline").when(F.col("channel") == "purchase", "Post")
-    return spikes(spark, sf_dir).select(F.col("ts").cast("date").alias("day"), name.alias("condition")).filter("condition is not null").groupBy("day", "condition").agg(F.count(F.lit(1)).alias("n"))
+    """A row for each hour, condition and day, so that a session repeats its conditions."""
+    name = F.coalesce(*[F.when(F.col("channel") == k, v) for k, v in CONDITION_OF.items()])
+    rows = spikes(spark, sf_dir).select(F.col("ts").cast("date").alias("day"), F.hour("ts").alias("hour"), name.alias("condition")).filter("condition is not null")
+    return rows.groupBy("day", "hour", "condition").agg(F.count(F.lit(1)).alias("count"))
 
 
-def condition_pivot(spark, sf_dir):
-    """Sessions that have all conditions; the last of repeated rows wins."""
-    p = conditions(spark, sf_dir).groupBy("day").pivot("condition", ["Baseline", "PBS", "Post"]).agg(F.max_by("n", "n"))
-    return p.filter(F.col("Baseline").isNotNull() & F.col("PBS").isNotNull() & F.col("Post").isNotNull())
+def daily(spark, sf_dir):
+    return conditions(spark, sf_dir).groupBy("day", "condition").agg(F.sum("count").alias("count"))
 
 
-@query(f"""with {CONDITIONS}, p as (select day, max(n) filter (condition='Baseline') as "Baseline", max(n) filter (condition='PBS') as "PBS", max(n) filter (condition='Post') as "Post" from cond group by 1)
+@query(f"""with {CONDITIONS}, p as (select day, arg_max(n, hour) filter (condition='Baseline') as "Baseline", arg_max(n, hour) filter (condition='PBS') as "PBS", arg_max(n, hour) filter (condition='Post') as "Post" from hourly group by 1)
 select * from p where "Baseline" is not null and "PBS" is not null and "Post" is not null""")
 def a3_condition_pivot(spark, sf_dir):
-    return condition_pivot(spark, sf_dir)
+    return S.condition_pivot(conditions(spark, sf_dir), "day", ["Baseline", "PBS", "Post"], "hour")
 
 
 @query(f"""with {CONDITIONS}, b as (select day, n as base from cond where condition='Baseline') select cond.day, condition, round(100e0*n/nullif(base,0),6) as pct from cond left join b on b.day = cond.day""")
 def a4_percent_of_baseline(spark, sf_dir):
-    c = conditions(spark, sf_dir)
-    base = c.filter("condition = 'Baseline'").select("day", F.col("n").alias("base"))
-    return c.join(base, "day", "left").select("day", "condition", r(100.0 * F.col("n") / F.nullif(F.col("base"), F.lit(0))).alias("pct"))
+    return S.percent_of_baseline(daily(spark, sf_dir), "day").select("day", "condition", r("pct").alias("pct"))

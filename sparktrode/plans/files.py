@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 from pyarrow import fs as pafs
 from pyspark.sql import functions as F
@@ -14,20 +13,25 @@ from sparktrode.sources import intan, tables
 from .base import RAW, query, r, raw_words, signal, signal_sql, spikes
 from .counts import KEYS as SERIES_KEYS
 from .counts import WINDOWS, windows
-from .stats import GROUP, KEYS, RATES, part_table, parts, rates
+from .stats import GROUP, KEYS, RATES, rates
+from .stats import tables as stat_tables
 
 CHANNELS_RHD = [(0, "A-000"), (0, "A-001"), (1, "AUX1"), (2, "VDD"), (3, "ADC-00"), (4, "DIN-00"), (5, "DOUT-00")]
 CHANNELS_RHS = [(0, "A-000"), (0, "A-001"), (3, "ADC-00"), (4, "DAC-00"), (5, "DIN-00"), (6, "DOUT-00")]
 
 
+#: Samples in a file: a long recording is many files, so a task never holds all of it.
+FILE_SAMPLES = 4096
+
+
 def write_files(spark, sf_dir, variant: str, most: int | None = None) -> str:
-    """Recording files of the raw words, one for each recording, written by the executors."""
+    """Recording files of the raw words, each of one range of a recording, written by the executors."""
     folder = tables.shared_folder(spark, variant)
     store, at = pafs.FileSystem.from_uri(folder)
     store.create_dir(at, recursive=True)
 
     def write(pdf):
-        recording = int(pdf["recording"].iloc[0])
+        name = pdf["file"].iloc[0]
         pdf = pdf.sort_values("n").head(most) if most is not None else pdf.sort_values("n")
         w, t = pdf["word"].to_numpy(), pdf["tick"].to_numpy()
         n = len(w)
@@ -35,13 +39,13 @@ def write_files(spark, sf_dir, variant: str, most: int | None = None) -> str:
         one = {k: w[None, :] for k in ("adc", "dac", "din", "dout")}
         words = {"amplifier": two, "dc": two, "stim": two, "aux": w[None, : n // 4], "supply": w[None, :n], "temp": w[None, :n]} | one
         data = intan.write_recording(CHANNELS_RHS if variant == "rhs" else CHANNELS_RHD, words, t, variant=variant, dc=True, temps=1, board=13, notch_mode=2, notes=("one", "", "zwei"))
-        name = f"rec-{recording}.{variant}"
         files, where = pafs.FileSystem.from_uri(folder)
-        with files.open_output_stream(f"{where}/{name}") as out:
+        with files.open_output_stream(f"{where}/{name}.{variant}") as out:
             out.write(data)
-        return pdf[["recording"]].head(1).assign(bytes=len(data))
+        return pdf[["file"]].head(1).assign(bytes=len(data))
 
-    raw_words(spark, sf_dir).groupBy("recording").applyInPandas(write, "recording int, bytes long").count()
+    name = F.format_string("rec-%d-%05d", "recording", F.floor(F.col("n") / FILE_SAMPLES))
+    raw_words(spark, sf_dir).withColumn("file", name).groupBy("file").applyInPandas(write, "file string, bytes long").count()
     return folder
 
 
@@ -53,7 +57,8 @@ def read_files(spark, folder, **options):
     return reader.load()
 
 
-_WHOLE = RAW + ", c as (select recording, count(*)//128*128 as c from fx_raw group by 1), w as (select fx_raw.*, 'rec-' || fx_raw.recording as rec from fx_raw join c on c.recording=fx_raw.recording where n < c)"
+_FILES = RAW + f", fx_file as (select 'rec-' || recording || '-' || lpad(cast(n//{FILE_SAMPLES} as varchar), 5, '0') as rec, n % {FILE_SAMPLES} as n, tick, word from fx_raw), c as (select rec, count(*)//128 as blocks from fx_file group by 1)"
+_WHOLE = _FILES + ", w as (select fx_file.* from fx_file join c using (rec) where n < blocks*128)"
 
 
 @query(f"with {_WHOLE} select rec as recording, 'A-000' as channel, n, tick, round((word-32768)*0.195e0,6) as uv from w union all select rec, 'A-001', n, tick, round(((word+1)%65536-32768)*0.195e0,6) from w")
@@ -68,7 +73,7 @@ def s4_rhs_ingest(spark, sf_dir):
     return s.select("recording", "channel", "n", "tick", D.stim_parts(F.col("raw"))["stim"].alias("stim"))
 
 
-@query(f"with {RAW}, c as (select recording, count(*)//128 as blocks from fx_raw group by 1) select 'rec-' || recording as recording, 'rhs' as variant, '2.0' as version, cast(30000 as double) as fs_hz, 60 as notch_hz, blocks, 'one||zwei' as notes, 'REF' as reference_channel, 13 as board_mode, true as dc_saved from c")
+@query(f"with {_FILES} select rec as recording, 'rhs' as variant, '2.0' as version, cast(30000 as double) as fs_hz, 60 as notch_hz, blocks, 'one||zwei' as notes, 'REF' as reference_channel, 13 as board_mode, true as dc_saved from c")
 def s5_metadata(spark, sf_dir):
     m = read_files(spark, write_files(spark, sf_dir, "rhs"), table="metadata")
     return m.select("recording", "variant", "version", "fs_hz", "notch_hz", "blocks", F.array_join("notes", "|").alias("notes"), "reference_channel", "board_mode", "dc_saved")
@@ -77,13 +82,13 @@ def s5_metadata(spark, sf_dir):
 _KINDS = ",".join(f"('{n}',{k},'{intan.RHD_TYPES[k]}')" for k, n in CHANNELS_RHD)
 
 
-@query(f"with {RAW}, r as (select distinct recording from fx_raw), k(native_name, signal_type, signal) as (values {_KINDS}) select 'rec-' || recording as recording, native_name, signal_type, signal from r, k")
+@query(f"with {_FILES}, k(native_name, signal_type, signal) as (values {_KINDS}) select rec as recording, native_name, signal_type, signal from c, k")
 def s6_channel_types(spark, sf_dir):
     c = read_files(spark, write_files(spark, sf_dir, "rhd"), table="channels").filter("enabled")
     return c.select("recording", "native_name", "signal_type", "signal")
 
 
-@query(f"with {RAW} select distinct 'rec-' || recording as recording, 0 as blocks, 0 as samples from fx_raw")
+@query(f"with {_FILES} select rec as recording, 0 as blocks, 0 as samples from c")
 def s7_header_only(spark, sf_dir):
     """Files without data blocks have metadata and no samples."""
     folder = write_files(spark, sf_dir, "rhd", 0)
@@ -101,12 +106,16 @@ def s8_wide_sink(spark, sf_dir):
     return w.select(F.substring_index("recording_name", "_", -1).cast("int").alias("recording_index"), F.col("n").cast("long").alias("n"), "time_s", *sorted(names))
 
 
-@query(f"with {signal_sql()} select recording_name, n, t_s as time_s, channel, x_uv from fx_signal")
+@query(f"with {signal_sql(holes=True)} select recording_name, n, t_s as time_s, channel, x_uv from fx_signal where not (recording_index = 2 and channel = 'view')")
 def s9_wide_to_long(spark, sf_dir):
+    """Missing samples stay; a channel that a recording lacks gives no rows in it."""
     folder = tables.shared_folder(spark, "wide")
-    names = [x["channel"] for x in signal(spark, sf_dir).select("channel").distinct().collect()]
-    tables.write_wide(signal(spark, sf_dir), folder, names)
+    s = signal(spark, sf_dir, holes=True).filter("recording_index <> 2 or channel <> 'view'")
+    names = [x["channel"] for x in s.select("channel").distinct().collect()]
+    tables.write_wide(s, folder, names)
+    ends = s.groupBy("recording_name", "channel").agg(F.max("n").alias("last"))  # channels of a recording differ in length
     long = tables.to_long(tables.read_wide(spark, folder), ["recording_name", "n", "time_s"])
+    long = long.join(ends, ["recording_name", "channel"]).filter("n <= last")
     return long.select("recording_name", F.col("n").cast("long").alias("n"), "time_s", "channel", "x_uv")
 
 
@@ -136,7 +145,7 @@ def s2_tolerant_load(spark, sf_dir):
 @query(f"with {RATES} select 'unit_means' as tab, count(*) as n from (select distinct channel, grp, phase from rates) union all select 'baseline_split', count(*) from bt union all select 'part_values', count(*) from pt union all select 'part_summary', count(*) from (select distinct part_label, grp, phase from long) union all select 'unpaired', count(*) from (select distinct part_label, phase from long) union all select 'cleaned', count(*) from rates union all select 'percent', count(*) from pt")
 def s10_analysis_sinks(spark, sf_dir):
     folder = tables.shared_folder(spark, "analysis")
-    t, p = part_table(spark, sf_dir), parts(spark, sf_dir)
+    t, p = stat_tables(spark, sf_dir)
     named = {
         "cleaned": rates(spark, sf_dir), "unit_means": S.unit_means(rates(spark, sf_dir), ["channel"], GROUP), "baseline_split": S.baseline_table(p, KEYS), "part_values": t,
         "part_summary": S.part_summary(t, p, GROUP), "percent": t.select(*KEYS, "part_index", "stimulation_percent_change", "post_percent_change"), "unpaired": S.unpaired_tests(t, GROUP),

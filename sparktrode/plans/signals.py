@@ -4,21 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparktrode.functions.labels import is_marker
 from sparktrode.operators import decode as D
 from sparktrode.operators import samples as P
 
 from .base import RAW, query, r, raw_words, signal, signal_sql, spikes, table, values
-from .counts import SERIES as SERIES_SQL
 
 B = 64  # a small block, so that blocks matter on small data too
 ONE = ["recording_index", "channel", "n", "x_uv"]
 
 
-@query("select o_orderkey, o_totalprice from orders")
+@query("select o_orderkey, o_totalprice, 'named' as found_by from orders union all select o_orderkey, o_totalprice, 'values' from orders")
 def p1_time_column(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_totalprice", "o_custkey", F.col("o_orderkey").alias("seconds"))
-    return o.select(F.col(P.time_column(o)).alias("o_orderkey"), "o_totalprice")
+    """By name, and by values: o_custkey doesn't rise, and a column with a gap doesn't count."""
+    o = table(spark, sf_dir, "orders")
+    named = o.select("o_totalprice", "o_custkey", F.col("o_orderkey").alias("seconds"))
+    gap = F.when(F.col("o_orderkey") % 101 != 0, F.col("o_orderkey").cast("double"))
+    risen = o.select(gap.alias("gap"), "o_custkey", (F.col("o_orderkey") / F.lit(1.0)).alias("x"), "o_totalprice")
+    pick = lambda d, how: d.select(F.col(P.time_column(d)).cast("long").alias("o_orderkey"), "o_totalprice", F.lit(how).alias("found_by"))
+    return pick(named, "named").unionByName(pick(risen, "values"))
 
 
 @query(f"with {signal_sql()}, d as (select recording_index, channel, t_s - lag(t_s) over (partition by recording_index, channel order by n) dt from fx_signal) select recording_index, channel, round(1/median(dt),6) as fs_hz from d where dt is not null group by 1,2")
@@ -34,12 +37,12 @@ def p3_pick_channels(spark, sf_dir):
 
 @query("select p_partkey, p_name from part where not regexp_matches(trim(regexp_replace(lower(trim(p_name)), '[\\s\\-./()]+', '_', 'g'), '_'), 'marker|ttl|trigger|event|digital|dig|din|dout|stim|sync')")
 def p4_markers(spark, sf_dir):
-    return table(spark, sf_dir, "part").filter(~is_marker(F.col("p_name"))).select("p_partkey", "p_name")
+    return P.drop_markers(table(spark, sf_dir, "part"), "p_name").select("p_partkey", "p_name")
 
 
-@query(f"with {signal_sql()} select recording_index, channel, n, x_uv from fx_signal where channel in ('view','purchase')")
+@query(f"with {signal_sql()} select recording_index, channel, n, x_uv, case channel when 'view' then 0 else 2 end as place from fx_signal where channel in ('view','purchase')")
 def p5_target_channels(spark, sf_dir):
-    return signal(spark, sf_dir).filter(F.col("channel").isin("view", "absent", "purchase")).select(*ONE)
+    return P.target_channels(signal(spark, sf_dir), ["view", "absent", "purchase"]).select(*ONE, "place")
 
 
 @query(f"with {signal_sql()} select a.recording_index, a.channel || '-' || b.channel as channel, a.n, a.x_uv - b.x_uv as x_uv from fx_signal a join fx_signal b on a.recording_index=b.recording_index and a.n=b.n where (a.channel='click' and b.channel='view') or (a.channel='error' and b.channel='click')")
@@ -163,23 +166,35 @@ def d10_slow_axes(spark, sf_dir):
     return pick("aux", 4).unionByName(pick("supply", 60))
 
 
-@query(f"with {signal_sql()}, f as (select recording_name, channel, count(*) n, min(t_s) t0, max(t_s) t1 from fx_signal group by 1,2) select coalesce(recording_name,'all') as recording_name, count(distinct channel) as channels, cast(sum(n) as bigint) as samples, round(max(t1)-min(t0),6) as duration_s from f group by rollup (recording_name)")
+PAIRS = [("click", "view"), ("error", "absent")]
+#: The rate of each recording by its time column, and the same text in SQL.
+RATES = ", st as (select recording_name, t_s - lag(t_s) over (partition by recording_name, channel order by n) dt from fx_signal), rt as (select recording_name, 1/median(dt) as fs_hz from st where dt is not null group by 1)"
+
+
+def rates(samples):
+    steps = P.with_previous(samples, "t_s").filter("previous is not null")
+    return P.medians(steps, ["recording_name"], F.col("t_s") - F.col("previous")).select("recording_name", r(1 / F.col("median")).alias("fs_hz"))
+
+
+@query(f"""with {signal_sql()}{RATES}, e as (select recording_name, channel, max(n)+1 as s, min(t_s) t0, max(t_s) t1 from fx_signal group by 1,2),
+f as (select recording_name, max(s) samples, min(t0) start_s, max(t1) end_s, count(*) channels, count(*) filter (channel in ('click','view')) exported, string_agg(channel, ', ' order by channel) filter (channel in ('click','view')) exported_names, cast(bool_or(channel='click') and bool_or(channel='view') as bigint) differences from e group by 1),
+g as (select f.*, round(fs_hz,6) fs_hz, samples/round(fs_hz,6) as duration_s from f join rt using (recording_name))
+select recording_name, cast(samples as bigint) samples, round(start_s,6) start_s, round(end_s,6) end_s, channels, exported, exported_names, differences, fs_hz, round(duration_s,6) duration_s from g
+union all select 'all', cast(sum(samples) as bigint), round(min(start_s),6), round(max(end_s),6), null, null, null, null, min(fs_hz), round(sum(duration_s),6) from g""")
 def a9_conversion_summary(spark, sf_dir):
-    f = signal(spark, sf_dir).groupBy("recording_name", "channel").agg(F.count(F.lit(1)).alias("n"), F.min("t_s").alias("t0"), F.max("t_s").alias("t1"))
-    out = f.rollup("recording_name").agg(F.countDistinct("channel").alias("channels"), F.sum("n").alias("samples"), r(F.max("t1") - F.min("t0")).alias("duration_s"))
-    return out.withColumn("recording_name", F.coalesce("recording_name", F.lit("all")))
+    s = signal(spark, sf_dir)
+    out = P.conversion_summary(s, rates(s), ["click", "view", "absent"], PAIRS)
+    return out.select("recording_name", "samples", r("start_s").alias("start_s"), r("end_s").alias("end_s"), "channels", "exported", "exported_names", "differences", "fs_hz", r("duration_s").alias("duration_s"))
 
 
-@query(f"with {signal_sql()}, c as (select recording_index, count(*) c from fx_signal where channel='view' group by 1), o as (select recording_index, sum(c) over (order by recording_index) - c as before from c) select s.recording_index, n, round((before + n)/1e2,6) as t_all_s from fx_signal s join o using (recording_index) where channel='view'")
+@query(f"with {signal_sql()}, c as (select recording_index, max(n)+1 c from fx_signal group by 1), o as (select recording_index, sum(c) over (order by recording_index) - c as before from c) select s.recording_index, channel, n, round((before + n)/1e2,6) as t_all_s from fx_signal s join o using (recording_index)")
 def a10_continuous_time(spark, sf_dir):
-    s = signal(spark, sf_dir).filter("channel = 'view'")
-    counts = s.groupBy("recording_index").agg(F.count(F.lit(1)).alias("c"))
-    before = counts.withColumn("before", F.sum("c").over(P.W.orderBy("recording_index")) - F.col("c"))  # a row a file
-    return s.join(F.broadcast(before), "recording_index").select("recording_index", "n", r((F.col("before") + F.col("n")) / 100.0).alias("t_all_s"))
+    return P.continuous_time(signal(spark, sf_dir), 100.0).select("recording_index", "channel", "n", r("t_all_s").alias("t_all_s"))
 
 
-@query(f"with {SERIES_SQL} select channel, count(distinct recording_name) as files, true as same_rate from series group by 1")
+@query(f"""with {signal_sql()}{RATES}, h as (select distinct recording_name, channel from fx_signal), z as (select round(min(fs_hz),6) fs_hz from rt),
+c as (select channel, count(*) files from h where channel in ('click','view','error') group by 1 union all select 'click-view', count(*) from h a join h b using (recording_name) where a.channel='click' and b.channel='view' union all select 'error-absent', 0)
+select channel, files, fs_hz from c, z""")
 def a11_channel_union(spark, sf_dir):
-    s = spikes(spark, sf_dir).groupBy("recording_name", "channel").agg(F.first(F.lit(100.0)).alias("fs_hz"))
-    same = F.max("fs_hz") - F.min("fs_hz") <= 1e-9 * F.max("fs_hz") + 1e-9
-    return s.groupBy("channel").agg(F.countDistinct("recording_name").alias("files"), same.alias("same_rate"))
+    s = signal(spark, sf_dir)
+    return P.channel_union(s, rates(s), ["click", "view", "error", "absent"], PAIRS)

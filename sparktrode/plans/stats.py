@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparktrode.operators import statistics as S
+from sparktrode.sources.tables import written
 
 from .base import query, r
 from .counts import WINDOWS, windows
+from .dsp_sql import P_VALUE
 
 UNIT, GROUP = ["channel"], "grp"
 KEYS = ["channel", "grp"]
@@ -37,7 +39,13 @@ def parts(spark, sf_dir):
 
 
 def part_table(spark, sf_dir):
-    return S.part_table(parts(spark, sf_dir), KEYS)
+    return S.part_table(written(parts(spark, sf_dir), "parts"), KEYS)
+
+
+def tables(spark, sf_dir):
+    """The part table and the windows it comes from, each written once for a query that needs both often."""
+    rows = written(parts(spark, sf_dir), "parts")
+    return written(S.part_table(rows, KEYS), "part_table"), rows
 
 
 def rounded(df, **names):
@@ -102,7 +110,7 @@ _PAIRED = ", d as (select grp, part_index, part_label, stimulation_label, phase,
 @query(f"""with {RATES}{_PAIRED} select l.part_index, l.part_label, l.stimulation_label, l.grp as "group", l.phase, count(hz) as n_units, round(avg(hz)*1e3,6) as mean_hz, round(stddev_samp(hz)/sqrt(count(hz))*1e3,6) as sem_hz, min(rl) as percent_reference_label, round(avg(ref)*1e3,6) as percent_reference_mean_hz, round(avg(pct),6) as percent_change_mean, round(stddev_samp(pct)/sqrt(count(pct)),6) as percent_change_sem, count(pct) as percent_change_n,
 'paired t-test' as paired_test_used, max(n) as paired_n, round(max(case when n > 1 and not z then t end),6) as t, max(case when n > 1 then n-1e0 end) as df from long l join d using (grp, part_index, part_label, stimulation_label, phase) group by 1,2,3,4,5""")
 def e7_part_summary(spark, sf_dir):
-    out = S.part_summary(part_table(spark, sf_dir), parts(spark, sf_dir), GROUP).drop("all_zero")
+    out = S.part_summary(*tables(spark, sf_dir), GROUP).drop("all_zero")
     return out.select(*[(r(F.col(c) * 1e3) if c.endswith("_hz") else r(c) if t == "double" else F.col(c)).alias(c) for c, t in out.dtypes])
 
 
@@ -119,14 +127,14 @@ pairs as (select x.part_index, x.phase, x.grp, y.hz a, x.hz b2 from o x join o y
 
 @query(f"with {RATES}{_RANKED} select part_index, phase, grp, count(*) as paired_n, max(abs(b2-a)) <= 1e-8 as all_zero, round(avg(b2-a)/(stddev_samp(b2-a)/sqrt(count(*))),6) as t, cast(count(*)-1.0 as double) as df from pairs group by 1,2,3")
 def e9_window_test(spark, sf_dir):
-    return rounded(S.t_stats(S.window_pairs(parts(spark, sf_dir), GROUP), ["part_index", "phase", "group"], F.col("b") - F.col("a")), group="grp")
+    return rounded(S.t_stats(S.window_pairs(written(parts(spark, sf_dir), "parts"), GROUP), ["part_index", "phase", "group"], F.col("b") - F.col("a")), group="grp")
 
 
 @query(f"""with {RATES}, g as (select part_index, part_label, stimulation_label, phase, grp, count(pct) n, avg(pct) m, var_samp(pct) v from long group by 1,2,3,4,5)
 select a.part_index, a.phase, a.grp as group_1, b.grp as group_2, a.n as n_group_1, b.n as n_group_2, round(a.m,6) as group_1_mean, round(b.m,6) as group_2_mean, round(case when a.n>1 and b.n>1 then (a.m-b.m)/sqrt(a.v/a.n+b.v/b.n) end,6) as t,
 round(case when a.n>1 and b.n>1 then (a.v/a.n+b.v/b.n)**2/((a.v/a.n)**2/(a.n-1)+(b.v/b.n)**2/(b.n-1)) end,6) as df from g a join g b using (part_index, part_label, stimulation_label, phase) where a.grp < b.grp""")
 def e10_unpaired_test(spark, sf_dir):
-    return rounded(S.unpaired_tests(part_table(spark, sf_dir), GROUP).drop("part_label", "stimulation_label", "all_zero"))
+    return rounded(S.unpaired_tests(tables(spark, sf_dir)[0], GROUP).drop("part_label", "stimulation_label", "all_zero"))
 
 
 @query("select p_partkey, p, case when p < 0.0001 then '****' when p < 0.001 then '***' when p < 0.01 then '**' when p < 0.05 then '*' when p is null then 'n/a' else 'ns' end as stars from (select p_partkey, case when p_size % 7 = 0 then null else round(p_size*p_size/30000.0,8) end as p from part)")
@@ -137,11 +145,18 @@ def e11_stars(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", p.alias("p")).withColumn("stars", S.stars(F.col("p")))
 
 
-@query(f"""with {RATES}, base as (select distinct channel, grp, bp, bpe from pt), c as (select grp, 'Baseline' as category, 0 as o, bp as pct, bpe as err from base
-union all select grp, stimulation_label, part_index*2-1, sp, spe from pt union all select grp, 'Post ' || part_index, part_index*2, pp, ppe from pt)
-select grp as "group", category, cast(dense_rank() over (partition by grp order by min(o), category) as int) as category_order, count(pct) as n, round(avg(pct),6) as mean, round(case when count(pct)>1 then stddev_samp(pct)/sqrt(count(pct)) else max(err) end,6) as error from c where pct is not null group by 1,2""")
+_STARS = "case when p is null then 'n/a' when p < 1e-4 then '****' when p < 1e-3 then '***' when p < 1e-2 then '**' when p < 0.05 then '*' else 'ns' end"
+
+
+@query(f"""with {RATES}, lab as (select channel, grp, phase, case when phase='Stimulation' then stim when part_index is null then 'Post' else 'Post ' || part_index end as category, avg(hz) as v, stddev_samp(hz)/sqrt(count(*)) as e, min(recording_index*100+window_index) as first_seen from parts where phase <> 'Baseline' group by 1,2,3,4),
+c as (select bt.grp, 'Baseline' as phase, 'Baseline' as category, -1 as first_seen, h1 as a, h2 as v, (h2-h1)/nullif(h1,0)*100 as pct, e2/abs(nullif(h1,0))*100 as err from bt where (h2-h1)/nullif(h1,0)*100 is not null
+ union all select lab.grp, phase, category, first_seen, b, v, (v-coalesce(h2,b))/nullif(coalesce(h2,b),0)*100, e/abs(nullif(coalesce(h2,b),0))*100 from lab left join bt on bt.channel=lab.channel and bt.grp=lab.grp),
+g as (select grp, phase, category, min(first_seen) fs, count(pct) n, avg(pct) mean, case when count(pct)>1 then stddev_samp(pct)/sqrt(count(pct)) else max(err) end as error, count(v-a) pn, max(abs(v-a)) <= 1e-8 as z, avg(v-a)/(stddev_samp(v-a)/sqrt(count(v-a))) as td from c group by 1,2,3 having count(pct) > 0),
+v as (select *, case when pn > 1 and not z then td end as t, case when pn > 1 then pn-1e0 end as df from g), q as (select *, case when z and df is not null then 1e0 when t is not null then {P_VALUE} end as p from v)
+select grp as "group", category, cast(dense_rank() over (partition by grp order by case phase when 'Baseline' then 1 when 'Stimulation' then 2 else 3 end, fs, category) as int) as category_order, n, round(mean,6) as mean, round(error,6) as error, round(t,6) as t, df, round(p,8) as p_value, {_STARS} as significance from q""")
 def e12_pooled_changes(spark, sf_dir):
-    return rounded(S.pooled_changes(part_table(spark, sf_dir), parts(spark, sf_dir), GROUP, UNIT))
+    out = S.pooled_changes(written(parts(spark, sf_dir), "parts"), GROUP, UNIT)
+    return out.select(*[r(c, 8 if c == "p_value" else 6).alias(c) if t == "double" and c != "df" else F.col(c) for c, t in out.dtypes])
 
 
 @query(f"with {RATES} select part_index, channel, round(case when count(sp) > 1 then stddev_samp(sp)/sqrt(count(sp)) else max(spe) end,6) as error from pt group by 1,2")
@@ -151,12 +166,17 @@ def e13_fallback_error(spark, sf_dir):
     return out.select("part_index", "channel", r(S.fallback_error(F.col("across"), F.col("n"), F.col("single"))).alias("error"))
 
 
-@query(f"""with {RATES}, d as (select grp, part_index, part_label, phase, count(b2-a) n, avg(hz) m, stddev_samp(hz)/sqrt(count(hz)) e, count(hz) c, avg(pct) pm from long group by 1,2,3,4)
-select part_index, grp as "group", case phase when 'Stimulation' then part_label else phase end as label, round(m*1e3,6) as mean_hz, round(e*1e3,6) as error_hz, round(pm,6) as mean_pct, c as n from d""")
+_CELLS = "union all ".join(f"select part_index, stimulation_label, grp, '{k}' as kind, '{p}' as phase, {v} as v, {e} as e from pt " for k, p, v, e in [("frequency", "Baseline", "b", "be"), ("frequency", "Stimulation", "s", "se"), ("frequency", "Post", "p", "pe"), ("percent", "Baseline", "bp", "bpe"), ("percent", "Stimulation", "sp", "spe"), ("percent", "Post", "pp", "ppe")])
+
+
+@query(f"""with {RATES}{_PAIRED}, tt as (select part_index, grp, phase, z, case when n > 1 and not z then t end as t, case when n > 1 then n-1e0 end as df from d), q as (select *, case when z and df is not null then 1e0 when t is not null then {P_VALUE} end as p from tt),
+cells as ({_CELLS}), h as (select *, count(v) over (partition by part_index, kind, phase) > 0 as has, count(case when phase <> 'Baseline' then v end) over (partition by part_index, kind) > 0 as others, count(case when kind='frequency' and phase='Stimulation' then v end) over (partition by part_index) > 0 as stimulated from cells),
+a as (select part_index, grp, kind, phase, case when phase='Stimulation' or (phase='Post' and not stimulated) then stimulation_label else phase end as label, avg(v) m, case when count(v) > 1 then stddev_samp(v)/sqrt(count(v)) else max(e) end as er, count(v) n from h where has and (others or kind='percent') group by all)
+select a.part_index, a.grp as "group", a.kind, a.phase, a.label, round(case when kind='frequency' then 1e3 else 1e0 end*m,6) as mean, round(case when kind='frequency' then 1e3 else 1e0 end*er,6) as error, a.n, case when kind='frequency' and a.phase='Baseline' then null when q.part_index is null then null else {_STARS} end as significance from a left join q on q.part_index=a.part_index and q.grp=a.grp and q.phase=a.phase""")
 def e14_plot_tables(spark, sf_dir):
-    s = S.part_summary(part_table(spark, sf_dir), parts(spark, sf_dir), GROUP)
-    label = F.when(F.col("phase") == "Stimulation", F.col("part_label")).otherwise(F.col("phase"))
-    return s.select("part_index", "group", label.alias("label"), r(F.col("mean_hz") * 1e3).alias("mean_hz"), r(F.col("sem_hz") * 1e3).alias("error_hz"), r("percent_change_mean").alias("mean_pct"), F.col("n_units").alias("n"))
+    s = S.plot_tables(*tables(spark, sf_dir), GROUP)
+    scale = F.when(F.col("kind") == "frequency", 1e3).otherwise(1.0)
+    return s.select("part_index", "group", "kind", "phase", "label", r(scale * F.col("mean")).alias("mean"), r(scale * F.col("error")).alias("error"), "n", "significance")
 
 
 @query(f"""with {RATES}, l as (select *, lag(phase) over (partition by channel, grp order by window_start_s, window_index, recording_index) as prev from rates)
@@ -180,8 +200,10 @@ def e17_percent_projection(spark, sf_dir):
     return out.select("channel", "grp", "part_index", *[r(c).alias(c) for c in ("baseline_percent_change", "stimulation_percent_change", "post_percent_change")], r(F.col("percent_reference_hz") * 1e3).alias("percent_reference_hz"))
 
 
-@query()
+@query(f"""with {RATES}{_PAIRED}, v as (select part_index, grp, phase, z, round(case when n > 1 and not z then t end,6) as tr, case when n > 1 and not z then t end as t, case when n > 1 then n-1e0 end as df from d where (select count(*) from long l where l.part_index=d.part_index and l.grp=d.grp and l.phase=d.phase and (hz is not null or pct is not null)) > 0),
+q as (select *, case when z and df is not null then 1e0 when t is not null then {P_VALUE} end as p from v)
+select part_index, grp as "group", phase, tr as t, df, round(p,8) as p_value, case when p is null then 'n/a' when p < 1e-4 then '****' when p < 1e-3 then '***' when p < 1e-2 then '**' when p < 0.05 then '*' else 'ns' end as significance from q""")
 def e8_p_values(spark, sf_dir):
-    """p and stars of every test; held against published values in the tests."""
-    out = S.with_significance(S.part_summary(part_table(spark, sf_dir), parts(spark, sf_dir), GROUP))
-    return out.select("part_index", "group", "phase", "t", "df", "p_value", "significance")
+    """p and stars of every test; held against published values in the tests as well."""
+    out = S.with_significance(S.part_summary(*tables(spark, sf_dir), GROUP))
+    return out.select("part_index", "group", "phase", r("t").alias("t"), "df", r("p_value", 8).alias("p_value"), "significance")

@@ -6,16 +6,15 @@ from pyspark.sql import functions as F
 
 from sparktrode.operators import samples as P
 from sparktrode.operators import spikes as K
+from sparktrode.operators.filtering import zero_phase_design
 
+from . import dsp_sql as Q
 from .base import EV, query, r, signal, signal_sql, spikes
 from .signals import ZA
 
-B = 64
+B, BLOCK = 64, 128  # small blocks, so that blocks matter on small data too
 FS = 20000.0
-PEAKS = ZA + """, v as (select recording_index, channel, n, abs(z) v, x_uv from zz), st as (select *, case when lag(v) over w = v then 0 else 1 end fresh from v window w as (partition by recording_index, channel order by n)),
-rn as (select *, sum(fresh) over (partition by recording_index, channel order by n) run from st), rr as (select recording_index, channel, run, min(n) a, max(n) b, min(v) h from rn group by 1,2,3),
-nb as (select *, lag(h) over w p, lead(h) over w q from rr window w as (partition by recording_index, channel order by a)), pk as (select recording_index, channel, (a+b)//2 as n, h as height from nb where h > p and h > q and h >= 1.2e0)"""
-SPK = "recording_index, channel, t_s, event_id"
+PEAKS = ZA + ", " + Q.peaks("pk", "zz", "abs(z)", 1.2)
 
 
 def fast(spark, sf_dir):
@@ -23,7 +22,7 @@ def fast(spark, sf_dir):
 
 
 def found(spark, sf_dir):
-    return K.peaks(P.robust_z(fast(spark, sf_dir)), 1.2)
+    return K.peaks(P.robust_z(fast(spark, sf_dir)), 1.2, block=B)
 
 
 @query(f"with {PEAKS} select recording_index, channel, n, height from pk")
@@ -31,14 +30,14 @@ def k1_peaks(spark, sf_dir):
     return found(spark, sf_dir)
 
 
-@query()
+@query(f"with recursive {PEAKS}, {Q.suppress('kept', 'pk', 5)} select recording_index, channel, n, height from kept")
 def k2_suppress(spark, sf_dir):
-    return K.suppress(found(spark, sf_dir), 5)
+    return K.suppress(found(spark, sf_dir), 5, B)
 
 
-@query()
+@query(f"with recursive {PEAKS}, {Q.refractory('kept', 'pk', 5)} select recording_index, channel, n, height from kept")
 def k3_refractory(spark, sf_dir):
-    return K.refractory(found(spark, sf_dir), 5)
+    return K.refractory(found(spark, sf_dir), 5, B)
 
 
 @query(f"""with {PEAKS}, mx as (select recording_index, channel, max(n) last from fx_signal group by 1,2), o as (select pk.*, least(pk.n+12, last) stop from pk join mx using (recording_index, channel)),
@@ -48,9 +47,10 @@ def k4_opposite_width(spark, sf_dir):
     return K.opposite_width(found(spark, sf_dir), fast(spark, sf_dir), 12, "neg", 0, 8, B)
 
 
-@query()
+@query(f"with {PEAKS}, {Q.half_widths('hw', 'pk', 'fx_signal')} select recording_index, channel, n, round(width,6) as width from hw")
 def k5_half_prominence_width(spark, sf_dir):
-    return K.half_prominence_width(found(spark, sf_dir), fast(spark, sf_dir), 30, B)
+    out = K.half_prominence_width(found(spark, sf_dir), fast(spark, sf_dir), B)
+    return out.select("recording_index", "channel", "n", r("width").alias("width"))
 
 
 @query(f"with {PEAKS} select pk.recording_index, pk.channel, pk.n, height, x_uv as amp_uv from pk join fx_signal f on f.recording_index=pk.recording_index and f.channel=pk.channel and f.n=pk.n where abs(x_uv) >= 40 and abs(x_uv) <= 100")
@@ -81,19 +81,33 @@ def k9_triggered_average(spark, sf_dir):
     return t.select("recording_index", "channel", r("t_rel_s").alias("t_rel_s"), r("lfp_sta_uv").alias("lfp_sta_uv"), "n_used")
 
 
-@query()
+@query(f"""with recursive {PEAKS}, {Q.suppress('kept', 'pk', 5)}, mx as (select recording_index, channel, max(n) n1 from fx_signal group by 1,2),
+w as (select k.recording_index, k.channel, k.n, k.height, min(x_uv) lo, max(x_uv) hi from kept k join mx using (recording_index, channel) join fx_signal f on f.recording_index=k.recording_index and f.channel=k.channel and f.n >= k.n-12 and f.n < k.n+20 where k.n >= 12 and k.n+20 <= n1 group by 1,2,3,4),
+a as (select recording_index, channel, n, height, case when abs(lo) > abs(hi) then lo else hi end as amp_uv from w) select * from a where abs(amp_uv) between 40 and 700""")
 def k11_detect_abs(spark, sf_dir):
     return K.detect_abs(fast(spark, sf_dir), FS, 1.2, 0.25, 12, 20, 40.0, 700.0).drop("wave")
 
 
-@query()
+_BAND_B, _PAD_B = zero_phase_design((300.0, 5000.0), FS, 3, "B")
+_BAND_A, _PAD_A = zero_phase_design((300.0, 3000.0), FS, 4, "A")
+
+
+@query(f"""with recursive {signal_sql(FS)}, {Q.zero_phase('fl', 'fx_signal', _BAND_B, _PAD_B)}, {Q.robust_z('zf', 'fl', 'x_uv', 'B')}, {Q.peaks('pp', 'zf', 'z', 1.0)}, {Q.peaks('pn', 'zf', '-z', 1.0)}, {Q.suppress('sp', 'pp', 5)}, {Q.suppress('sn', 'pn', 5)},
+bo as materialized (select recording_index, channel, n, max(height) as height from (select * from sp union all select * from sn) group by 1,2,3), {Q.refractory('kept', 'bo', 5)}, o as (select k.*, least(k.n+10, c-1) stop from kept k join fl_s using (recording_index, channel)),
+s as (select o.recording_index, o.channel, o.n, o.height, f.n-o.n as k, f.x_uv, first(f.x_uv) over (partition by o.recording_index, o.channel, o.n order by f.n) as x0 from o join fl f on f.recording_index=o.recording_index and f.channel=o.channel and f.n >= o.n and f.n < o.stop where o.stop > o.n+1),
+w as (select recording_index, channel, n, height, x0, case when x0 < 0 then first(k order by x_uv desc, k) else first(k order by x_uv, k) end as width from s group by 1,2,3,4,5)
+select recording_index, channel, n, round(height,6) as height, cast(width as int) as width, round(x0,6) as amp_uv from w where width > 0 and width <= 10 and abs(x0) between 10 and 700""")
 def k12_detect_polarity(spark, sf_dir):
-    return K.detect_polarity(fast(spark, sf_dir), FS, 1.0, 0.25, "both", 10.0, 700.0, (0, 10))
+    out = K.detect_polarity(fast(spark, sf_dir), FS, 1.0, 0.25, "both", 10.0, 700.0, (0, 10), block=BLOCK)
+    return out.select("recording_index", "channel", "n", r("height").alias("height"), F.col("width").cast("int").alias("width"), r("amp_uv").alias("amp_uv"))
 
 
-@query()
+@query(f"""with recursive {signal_sql(FS)}, {Q.zero_phase('fl', 'fx_signal', _BAND_A, _PAD_A)}, {Q.robust_z('zf', 'fl', 'abs(x_uv)', 'A')}, {Q.peaks('pp', 'zf', 'z', 1.0)}, {Q.suppress('kept', 'pp', 5)},
+g as materialized (select k.*, f.x_uv as amp_uv from kept k join fl f on f.recording_index=k.recording_index and f.channel=k.channel and f.n=k.n where abs(f.x_uv) between 10 and 700), {Q.half_widths('hw', 'g', 'fl')}
+select recording_index, channel, n, round(height,6) as height, round(amp_uv,6) as amp_uv, round(width/20e0,6) as width_ms from g join hw using (recording_index, channel, n) where width/20e3*1000 between 0.01e0 and 2e0""")
 def k13_detect_neuropil(spark, sf_dir):
-    return K.detect_neuropil(fast(spark, sf_dir), FS, 1.0, 0.25, "both", 10.0, 700.0, (0.01, 2.0))
+    out = K.detect_neuropil(fast(spark, sf_dir), FS, 1.0, 0.25, "both", 10.0, 700.0, (0.01, 2.0), block=BLOCK)
+    return out.select("recording_index", "channel", "n", r("height").alias("height"), r("amp_uv").alias("amp_uv"), r("width_ms").alias("width_ms"))
 
 
 @query(f"with {signal_sql(1500.0)}, d as (select recording_index, channel || case when channel = 'view' then '_spike' else '' end as channel, t_s - lag(t_s) over (partition by recording_index, channel order by n) dt from fx_signal) select recording_index, channel, round(1/median(dt),3) as fs_hz, round(1/median(dt),3) < 2000 as under_resolved, not ends_with(channel, '_spike') as band_pass from d where dt is not null group by 1,2")

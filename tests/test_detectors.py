@@ -4,12 +4,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparktrode.functions import filters as C
 from sparktrode.operators import samples as P
 from sparktrode.operators import spectral
 from sparktrode.operators import spikes as K
 from sparktrode.operators import windows as O
+from test_kernels import half_width, zero_phase
 
 FS = 1000.0
+BAND = (40.0, 300.0)
 
 
 @pytest.fixture(scope="module")
@@ -60,7 +63,8 @@ def test_detect_abs(df, x):
 
 @pytest.mark.parametrize("polarity", ["pos", "neg", "both"])
 def test_detect_polarity(df, x, polarity):
-    got = sorted(r["n"] for r in K.detect_polarity(df, FS, 1.0, 5.0, polarity, 20.0, 80.0, (0, 6)).collect())
+    got = sorted(r["n"] for r in K.detect_polarity(df, FS, 1.0, 5.0, polarity, 20.0, 80.0, (0, 6), BAND, 3, 100).collect())
+    x = zero_phase(x, C.butterworth(3, BAND, FS), 21)
     z = robust(x, "B")
     sides = {"pos": [z], "neg": [-z], "both": [z, -z]}[polarity]
     want = []
@@ -77,12 +81,11 @@ def test_detect_polarity(df, x, polarity):
 
 
 def test_detect_neuropil(df, x):
-    got = {r["n"]: r["width_ms"] for r in K.detect_neuropil(df, FS, 1.0, 3.0, "both", 20.0, 90.0, (0.5, 3.0)).collect()}
-    a = np.abs(x)
+    got = {r["n"]: r["width_ms"] for r in K.detect_neuropil(df, FS, 1.0, 3.0, "both", 20.0, 90.0, (0.5, 3.0), BAND, 4, 100).collect()}
+    a = np.abs(zero_phase(x, C.butterworth(4, BAND, FS), 27))
     want = {}
     for i in maxima(robust(a, "A"), 1.0, 3):
-        lo, hi = max(0, i - 50), min(len(x), i + 51)
-        w = K._width(a[lo:hi], i - lo)
+        w = half_width(a, i)
         if 20 <= a[i] <= 90 and 0.5 <= w <= 3.0:
             want[i] = w
     assert got == pytest.approx(want)
@@ -97,15 +100,24 @@ def test_blocks_do_not_change_results(df):
 def test_sliding_band_power_and_spectrogram(df, x):
     got = {(r["t_s"], r["band"]): r["power"] for r in spectral.sliding_band_power(df, FS, [("a", 20.0, 90.0)], 0.4, 0.1, 0.2).collect()}
     want = {}
+
+    def density(seg):
+        """Sums of sines and cosines, one by one."""
+        n, k = len(seg), np.arange(len(seg) // 2 + 1)[:, None]
+        w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+        y = (seg - seg.mean()) * w
+        power = (y * np.cos(2 * np.pi * k * np.arange(n) / n)).sum(1) ** 2 + (y * np.sin(2 * np.pi * k * np.arange(n) / n)).sum(1) ** 2
+        return power / (FS * (w**2).sum()) * np.where((k[:, 0] == 0) | (2 * k[:, 0] == n), 1, 2)
+
     for s in range(0, 900 - 400 + 1, 100):
         seg = x[s : s + 400]
-        p = np.mean([spectral.density(seg[k : k + 200], FS) for k in range(0, 201, 100)], axis=0)
+        p = np.mean([density(seg[k : k + 200]) for k in range(0, 201, 100)], axis=0)
         f = np.arange(len(p)) * 5.0
         m = (f >= 20) & (f < 90)
         want[((s + 200) / FS, "a")] = np.trapezoid(p[m], f[m])
     assert got == pytest.approx(want)
     spec = {(r["t_s"], r["f_hz"]): r["db"] for r in spectral.spectrogram(df, FS, 100.0, 0.2).collect()}
-    p = spectral.density(x[100:300], FS)
+    p = density(x[100:300])
     assert spec[(0.2, 50.0)] == pytest.approx(10 * np.log10(p[10]))
 
 

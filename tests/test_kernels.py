@@ -83,20 +83,88 @@ def test_notch_over_blocks(spark):
     assert np.allclose(got, y)
 
 
-def test_island_rules_equal_sequential_rules():
+def highest_first(n, height, distance):
+    kept = []
+    for i in sorted(range(len(n)), key=lambda i: (height[i], n[i]), reverse=True):
+        if all(abs(n[i] - n[j]) >= distance for j in kept):
+            kept.append(i)
+    return {int(n[i]) for i in kept}
+
+
+def first_kept(n, distance):
+    out = []
+    for x in n:
+        if not out or x - out[-1] >= distance:
+            out.append(int(x))
+    return set(out)
+
+
+@pytest.mark.parametrize("block, halo", [(16, 1), (16, 8), (1 << 18, 32)])
+def test_block_rules_equal_sequential_rules(spark, monkeypatch, block, halo):
+    """Long rising rows of peaks hang on each other over many blocks."""
+    monkeypatch.setattr(K, "HALO", halo)
     rng = np.random.default_rng(5)
-    for _ in range(300):
-        n = np.sort(rng.choice(120, size=rng.integers(1, 40), replace=False))
-        h, d = rng.integers(0, 6, len(n)).astype(float), int(rng.integers(1, 9))
-        islands = np.split(np.arange(len(n)), np.flatnonzero(np.diff(n) >= d) + 1)
-        for rule in (lambda i: K._highest_first(n[i], h[i], d), lambda i: K._first_kept(n[i], d)):
-            whole = rule(np.arange(len(n)))
-            assert np.array_equal(whole, np.concatenate([rule(i) for i in islands]))
-
-
-def test_half_prominence_width_of_a_triangle():
-    x = np.r_[0, 1, 2, 3, 4, 3, 2, 1, 0].astype(float)
-    assert K._width(x, 4) == pytest.approx(4.0)
+    series, rows = {}, []
+    for k in range(6):
+        n = np.sort(rng.choice(400, size=150, replace=False))
+        height = np.arange(150.0) if k == 0 else -np.arange(150.0) if k == 1 else rng.integers(0, 6, 150).astype(float)
+        series[k] = (n, height)
+        rows += [(k, "a", int(i), float(h)) for i, h in zip(n, height, strict=True)]
+    df = spark.createDataFrame(rows, "recording_index int, channel string, n long, height double")
+    for distance in (3, 9):
+        got, first = ({(r["recording_index"], r["n"]) for r in f(df, distance, block).collect()} for f in (K.suppress, K.refractory))
+        assert got == {(k, x) for k, (n, h) in series.items() for x in highest_first(n, h, distance)}
+        assert first == {(k, x) for k, (n, _) in series.items() for x in first_kept(n, distance)}
+
+
+@pytest.mark.parametrize("block", [4, 7, 1 << 18])
+def test_peaks_with_plateaus_over_borders(spark, block):
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.integers(0, 4, 60), rng.integers(1, 9, 60)).astype(float)
+    df = spark.createDataFrame([(1, "a", i, float(v)) for i, v in enumerate(x)], "recording_index int, channel string, n long, z double")
+    want, i = {}, 0
+    while i < len(x):
+        j = i
+        while j + 1 < len(x) and x[j + 1] == x[i]:
+            j += 1
+        if i > 0 and j < len(x) - 1 and x[i - 1] < x[i] > x[j + 1] and x[i] >= 1:
+            want[(i + j) // 2] = x[i]
+        i = j + 1
+    assert {r["n"]: r["height"] for r in K.peaks(df, 1.0, "pos", block=block).collect()} == want
+
+
+def half_width(x, at):
+    left = at
+    while left > 0 and x[left - 1] <= x[at]:
+        left -= 1
+    right = at
+    while right < len(x) - 1 and x[right + 1] <= x[at]:
+        right += 1
+    level = x[at] - (x[at] - max(x[left : at + 1].min(), x[at : right + 1].min())) / 2
+    i = j = at
+    while i > left and x[i] > level:
+        i -= 1
+    while j < right and x[j] > level:
+        j += 1
+    lo = i + (level - x[i]) / (x[i + 1] - x[i]) if x[i] < level else i
+    hi = j - (level - x[j]) / (x[j - 1] - x[j]) if x[j] < level else j
+    return float(hi - lo)
+
+
+@pytest.mark.parametrize("block", [8, 50, 1 << 18])
+def test_half_prominence_widths_reach_over_blocks(spark, block):
+    rng = np.random.default_rng(7)
+    slow = np.r_[np.linspace(0, 60, 200), np.linspace(60, 0, 200)]
+    rows, want = [], {}
+    for k, x in enumerate([np.r_[0, 1, 2, 3, 4, 3, 2, 1, 0].astype(float), slow + rng.normal(size=400), np.abs(rng.normal(size=300)), np.ones(40)]):
+        x = np.round(x, 3)
+        rows += [(k, "a", i, float(v)) for i, v in enumerate(x)]
+        want |= {(k, i): half_width(np.abs(x), i) for i in range(1, len(x) - 1) if abs(x[i]) > abs(x[i - 1]) and abs(x[i]) > abs(x[i + 1])}
+    want[3, 20] = 0.0
+    df = spark.createDataFrame(rows, "recording_index int, channel string, n long, x_uv double")
+    at = spark.createDataFrame([(k, "a", n) for k, n in want], "recording_index int, channel string, n long")
+    got = {(r["recording_index"], r["n"]): r["width"] for r in K.half_prominence_width(at, df, block).collect()}
+    assert got == pytest.approx(want) and want[0, 4] == 4.0
 
 
 def test_density_of_a_sine():

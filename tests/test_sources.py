@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparktrode.functions import labels
-from sparktrode.operators import decode
-from sparktrode.sources import intan
+from sparktrode.operators import decode, samples, statistics, windows
+from sparktrode.sources import intan, tables
 
 RHD = [(0, "A-000"), (0, "A-001"), (1, "AUX1"), (2, "VDD"), (3, "ADC-0"), (4, "DIN-0"), (5, "DOUT-0")]
 RHS = [(0, "A-000"), (3, "ADC-0"), (4, "DAC-0"), (5, "DIN-0"), (6, "DOUT-0")]
@@ -68,3 +68,86 @@ def test_stim_word(spark):
     df = spark.createDataFrame([(0b1010000100000011,)], "w int")
     r = df.select(*[c.alias(k) for k, c in decode.stim_parts(F.col("w")).items()]).first()
     assert (r["compliance"], r["charge_recovery"], r["amp_settle"], r["stim"]) == (True, False, True, -3)
+
+
+def test_tolerant_load_of_encodings_and_marks(spark, tmp_path):
+    texts = {"a.csv": ("\ufeffname;x\né;1\n", "utf-8"), "b.csv": ("name,x\nœ,2\n", "cp1252"), "c.csv": ("name\tx\n\x81é\t3\n", "latin1"), "d.csv": ("x,name\n4,ß\n", "utf-8")}
+    for name, (text, encoding) in texts.items():
+        (tmp_path / name).write_bytes(text.encode(encoding))
+    got = tables.read_tolerant(spark, str(tmp_path))
+    assert sorted(got.columns) == ["name", "x"]
+    assert {r["x"]: r["name"] for r in got.collect()} == {"1": "é", "2": "œ", "3": "\x81é", "4": "ß"}
+
+
+def test_missing_samples_reach_gap_filling(spark):
+    wide = spark.createDataFrame([("r", 0, 1.0, None, None), ("r", 1, float("nan"), None, 5.0), ("r", 2, 3.0, None, None), ("s", 0, None, 7.0, None)], "recording_name string, n long, a double, b double, c double")
+    long = tables.to_long(wide, ["recording_name", "n"])
+    assert long.count() == 7  # b is absent in r, a and c in s
+    filled = samples.fill_gaps(long.withColumnsRenamed({"recording_name": "recording_index"}))
+    assert {(r["channel"], r["n"]): r["x_uv"] for r in filled.filter("recording_index = 'r'").collect()} == {("a", 0): 1.0, ("a", 1): 2.0, ("a", 2): 3.0, ("c", 0): 5.0, ("c", 1): 5.0, ("c", 2): 5.0}
+
+
+def test_time_column_by_values(spark):
+    rows = [(float(i), i % 3, i * 0.5, None if i == 4 else float(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "x double, y int, z double, gap double").repartitionByRange(4, "x")
+    assert samples.time_column(df.select("y", "gap", "z", "x")) == "z"
+    with pytest.raises(ValueError):
+        samples.time_column(df.select("y", "gap"))
+    assert samples.time_column(df.select("y", F.col("gap").alias("Time"))) == "Time"
+
+
+def test_exact_medians(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a", float(v)) for v in rng.normal(size=1001)] + [("b", float(v)) for v in rng.integers(0, 5, 1000)] + [("c", 1.0), ("c", 4.0), ("d", None), ("e", 7.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for accuracy in (100_000, 200):
+        got = {r["k"]: r["median"] for r in samples.medians(df, ["k"], F.col("v"), accuracy).collect()}
+        assert got == {k: float(np.median([v for x, v in rows if x == k])) for k in "abce"}
+    assert samples.medians(df, [], F.col("v")).first()["median"] == float(np.median([v for _, v in rows if v is not None]))
+
+
+def test_phases_and_comparisons():
+    assert labels.recorded_phases() == ["Baseline", "Stimulation", "Post"] and labels.recorded_phases("After, pre,after") == ["Post", "Baseline"]
+    assert labels.comparisons("all", "base,recovery") == ["Baseline", "Post"] and labels.comparisons("Baseline halves") == ["Baseline"]
+    for bad in (lambda: labels.recorded_phases("post"), lambda: labels.recorded_phases("base,nothing"), lambda: labels.comparisons("stim", "base,post"), lambda: labels.comparisons("pre")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_minutes_and_condition_pivot(spark):
+    rows = spark.createDataFrame([("a", i, i * 10) for i in range(5)], "k string, at int, v int")
+    assert [r["v"] for r in windows.select_minutes(rows, ["k"], "at", (2, 3)).orderBy("at").collect()] == [10, 20]
+    assert [r["v"] for r in windows.select_minutes(rows, ["k"], "at", [5, 1, 9]).orderBy("at").collect()] == [0, 40]
+    for bad in ((3, 2), (0, 2), [0]):
+        with pytest.raises(ValueError):
+            windows.select_minutes(rows, ["k"], "at", bad)
+    with pytest.raises(Exception, match="no rows left"):
+        windows.select_minutes(rows, ["k"], "at", [7]).collect()
+    c = spark.createDataFrame([("d", "A", 1.0, 0), ("d", "A", 9.0, 2), ("d", "A", 50.0, 1), ("d", "B", 3.0, 3), ("e", "A", 1.0, 4)], "day string, condition string, count double, at int")
+    assert [tuple(r) for r in statistics.condition_pivot(c, "day", ["A", "B"], "at").collect()] == [("d", 9.0, 3.0)]
+    with pytest.raises(Exception, match="missing in session e"):
+        statistics.condition_pivot(c, "day", ["A", "B"], "at", strict=True).collect()
+
+
+def test_sample_rates_must_agree(spark):
+    s = spark.createDataFrame([("a", "x", 0, 0.0), ("b", "x", 0, 0.0)], "recording_name string, channel string, n long, t_s double")
+    rates = spark.createDataFrame([("a", 100.0), ("b", 100.1)], "recording_name string, fs_hz double")
+    for f in (lambda: samples.channel_union(s, rates), lambda: samples.conversion_summary(s, rates)):
+        with pytest.raises(Exception, match="sample rate of b differs"):
+            f().collect()
+
+
+def test_pooled_changes_fall_back_on_windows(spark):
+    """One unit: the test pairs windows in order, and the error is across its windows."""
+    hz = {"Baseline": [1.0, 2.0, 2.0, 4.0], "Stimulation": [4.0, 6.0, 5.0, 9.0], "Post": [1.0, 3.0]}
+    rows = [("u", i, float(k), k + 1.0, float(k), p, v) for i, p in enumerate(hz) for k, v in enumerate(hz[p])]
+    df = spark.createDataFrame(rows, "channel string, recording_index int, window_start_s double, window_end_s double, window_index double, phase string, firing_rate_hz double")
+    df = df.withColumns({"stimulation_label_raw": F.when(F.col("phase") == "Stimulation", "-70 nA"), "post_label_raw": F.when(F.col("phase") == "Post", "Post")})
+    df = statistics.experiment_parts(statistics.baseline_halves(df, ["channel"]), ["channel"])
+    got = {r["category"]: r for r in statistics.pooled_changes(df, None, ["channel"]).collect()}
+    assert [k for k, _ in sorted(got.items(), key=lambda x: x[1]["category_order"])] == ["Baseline", "-70 nA", "Post 1"]
+    stim = np.array(hz["Stimulation"])
+    assert got["-70 nA"]["mean"] == pytest.approx(100 * (6 - 3) / 3) and got["-70 nA"]["error"] == pytest.approx(np.std(stim, ddof=1) / 2 / 3 * 100)
+    d = stim - np.array(hz["Baseline"])
+    assert got["-70 nA"]["t"] == pytest.approx(d.mean() / (d.std(ddof=1) / 2)) and got["-70 nA"]["df"] == 3 and got["Post 1"]["df"] == 1
+    assert got["Baseline"]["df"] == 1 and got["Baseline"]["t"] == pytest.approx(3.0)
