@@ -117,9 +117,15 @@ def layout(h: dict) -> dict[str, tuple[int, int, int]]:
     return out | {"size": (at, 0, 0)}
 
 
-class Blocks(InputPartition):
-    def __init__(self, path: str, first: int, count: int):
-        self.path, self.first, self.count = path, first, count
+#: Bytes of a file in one task, and bytes of blocks turned into a batch together.
+SPLIT_BYTES, READ_BYTES = 64 << 20, 4 << 20
+
+
+class Bytes(InputPartition):
+    """The blocks of a file that begin in a range of its bytes."""
+
+    def __init__(self, path: str, begin: int, end: int):
+        self.path, self.begin, self.end = path, begin, end
 
 
 class RecordingReader(DataSourceReader):
@@ -128,12 +134,13 @@ class RecordingReader(DataSourceReader):
         self.table = options.get("table", "samples")
         self.signal = options.get("signal", "amplifier")
 
-    def files(self) -> list[str]:
+    def files(self) -> list[tuple[str, int]]:
+        """Paths and sizes, from the listing alone."""
         path = self.options["path"]
         store, at = pafs.FileSystem.from_uri(path)
         head = path[: len(path) - len(at)] if path.endswith(at) else ""
         info = store.get_file_info(pafs.FileSelector(at, recursive=True))
-        return sorted(head + x.path for x in info if x.is_file and x.path.lower().endswith((".rhd", ".rhs")))
+        return sorted((head + x.path, x.size) for x in info if x.is_file and x.path.lower().endswith((".rhd", ".rhs")))
 
     @staticmethod
     def open(path: str):
@@ -149,19 +156,15 @@ class RecordingReader(DataSourceReader):
             raise ValueError(f"{path}: not a whole number of data blocks")
         return h, left // block
 
-    def partitions(self) -> list[Blocks]:
-        """One task a file for headers; else ranges of blocks, from file sizes and headers."""
+    def partitions(self) -> list[Bytes]:
+        """One task a file for headers; else ranges of bytes. Only the tasks open files."""
         if self.table != "samples":
-            return [Blocks(f, 0, 0) for f in self.files()]
-        step = int(self.options.get("blocksPerTask", 4096))
-        out = []
-        for f in self.files():
-            _, blocks = self.header(f)
-            out += [Blocks(f, b, min(step, blocks - b)) for b in range(0, blocks, step)]
-        return out
+            return [Bytes(f, 0, 0) for f, _ in self.files()]
+        step = int(self.options.get("bytesPerTask", SPLIT_BYTES))
+        return [Bytes(f, b, min(b + step, size)) for f, size in self.files() for b in range(0, max(size, 1), step)]
 
-    def read(self, part: Blocks | None) -> Iterator[pa.RecordBatch]:
-        if part is None:  # no file, or none with data blocks
+    def read(self, part: Bytes | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no file
             return
         h, blocks = self.header(part.path)
         name = part.path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
@@ -174,34 +177,50 @@ class RecordingReader(DataSourceReader):
             schema = _arrow(CHANNELS)
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (name, *c), strict=True)) for c in h["channels"]], schema=schema)
         else:
-            yield from self.samples(part, h, name)
+            size = layout(h)["size"][0]
+            begins = lambda at: min(max(-(-(at - h["start"]) // size), 0), blocks)
+            yield from self.samples(part.path, begins(part.begin), begins(part.end), h, name)
+
+    @staticmethod
+    def cut(source, h: dict, first: int, count: int, at: int, width: int) -> np.ndarray:
+        """`width` bytes from `at` of each of some blocks; all bytes are read if that is a good part of them."""
+        size = layout(h)["size"][0]
+        if 4 * width > size or count == 1:
+            source.seek(h["start"] + first * size)
+            return np.frombuffer(source.read(count * size), np.uint8).reshape(count, size)[:, at : at + width]
+        out = np.empty((count, width), np.uint8)
+        for k in range(count):
+            source.seek(h["start"] + (first + k) * size + at)
+            out[k] = np.frombuffer(source.read(width), np.uint8)
+        return out
 
-    def samples(self, part: Blocks, h: dict, name: str) -> Iterator[pa.RecordBatch]:
+    def samples(self, path: str, begin: int, end: int, h: dict, name: str) -> Iterator[pa.RecordBatch]:
         places = layout(h)
         if self.signal not in places:
             return
         at, per, count = places[self.signal]
-        if not count or not part.count:
+        if not count or begin >= end:
             return
         kind = {"dc": "amplifier", "stim": "amplifier"}.get(self.signal, self.signal)
         names = [c[4] or c[3] for c in h["channels"] if c[2] and c[1] == kind]
         names = [self.signal] if self.signal in ("din", "dout", "tick") else names or [f"temp-{i}" for i in range(count)]
-        size, ticks = places["size"][0], "<i4" if h["signed"] else "<u4"
-        every = h["per_block"] // per
-        source, _ = self.open(part.path)
+        ticks, every = "<i4" if h["signed"] else "<u4", h["per_block"] // per
+        step = max(1, READ_BYTES // max(places["size"][0], 64 * per * count))
+        source, _ = self.open(path)
         with source:
-            for b in range(part.first, part.first + part.count):
-                source.seek(h["start"] + b * size)
-                tick = np.frombuffer(source.read(4 * h["per_block"]), ticks).astype(np.int64)[::every]
+            for b in range(begin, end, step):
+                k = min(step, end - b)
+                tick = np.ascontiguousarray(self.cut(source, h, b, k, 0, 4 * h["per_block"])).view(ticks).astype(np.int64)[:, ::every]
                 if self.signal == "tick":
-                    raw = tick[None, :]
+                    raw = tick[:, None, :]
                 else:
-                    source.seek(h["start"] + b * size + at)
-                    raw = np.frombuffer(source.read(2 * per * count), "<u2").reshape(count, per)
-                n = b * per + np.arange(per)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * (per * count)), pa.array(np.repeat(names, per)), pa.array(np.tile(n, count)), pa.array(np.tile(tick, count)), pa.array(raw.ravel().astype(np.int32))], schema=_arrow(SAMPLES)
-                )
+                    raw = np.ascontiguousarray(self.cut(source, h, b, k, at, 2 * per * count)).view("<u2").reshape(k, count, per)
+                shape = (k, count, per)
+                n = np.arange(b, b + k)[:, None, None] * per + np.arange(per)
+                flat = lambda x, s=shape: pa.array(np.broadcast_to(x, s).ravel())
+                channel = pa.DictionaryArray.from_arrays(flat(np.arange(count, dtype=np.int32)[:, None]), pa.array(names, pa.string())).cast(pa.string())
+                recording = pa.DictionaryArray.from_arrays(pa.array(np.zeros(raw.size, np.int32)), pa.array([name])).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([recording, channel, flat(n), flat(tick[:, None, :]), flat(raw.astype(np.int32))], schema=_arrow(SAMPLES))
 
 
 class Recording(DataSource):

@@ -24,7 +24,7 @@ def write(path, version=(2, 0), variant="rhd", samples=300, **more):
 def test_rhd_round_trip(spark, tmp_path, version, per_block):
     words, ticks = write(tmp_path / "r.rhd", version, temps=1 if version >= (1, 1) else 0, board=13)
     intan.register(spark)
-    read = lambda **o: spark.read.format("recording").option("path", str(tmp_path)).options(**{"blocksPerTask": "1"} | o).load()
+    read = lambda **o: spark.read.format("recording").option("path", str(tmp_path)).options(**{"bytesPerTask": "1500"} | o).load()
     n = 300 // per_block * per_block
     got = read().orderBy("channel", "n").collect()
     assert [r["raw"] for r in got] == words["amplifier"][:, :n].ravel().tolist()
