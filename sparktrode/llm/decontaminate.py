@@ -2,23 +2,26 @@
 
 Passages of the corpus are TF-IDF vectors over hashed terms. A randomised SVD, whose products are
 summed over partitions, gives latent factors. Windows of every text, at a few lengths, are compared
-with the benchmark items of about that length by cosine in the latent space. A candidate that holds
-enough of the item's terms is then checked with the longest common subsequence of words, and a
-paraphrase also with the item's answer.
+with the benchmark items of about that length by cosine in the latent space. Only windows whose
+surroundings hold enough of the item's words are compared, and these are found by the item's rarest
+words. A candidate is then checked with the longest common subsequence of words, and a paraphrase
+also with the item's answer.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bounded_batches, written
+from .common import bounded_batches
+from .wordhash import tokens
 
 TERMS = 1 << 14
 #: Latent factors: the first few, which tell languages apart and not passages, are left out.
@@ -33,52 +36,14 @@ COSINE = 0.15
 COPY, PARAPHRASE, ANSWER = 0.75, 0.55, 0.8
 SHORT_ITEM = 8
 SEED = 5
-#: Counts of words by items held at once.
-CELLS = 4_000_000
+#: Rare words of an item that a region must hold: of n words of which m are needed, some ANCHORS of
+#: the n - m + ANCHORS rarest are among any m.
+ANCHORS = 3
+#: Words of regions looked at together, and characters of items in one block of them.
+CELLS, ITEM_CHARS = 2_000_000, 4_000_000
 #: Words handled at once; a text is never cut, so a longer one makes a longer group.
 GROUP_CHARS = 400_000
-FOUND = "doc_id long, item_id string, cosine double, lcs double, kind string"
-BASE = 0x9E3779B97F4A7C15
-
-
-@functools.cache
-def _letters() -> np.ndarray:
-    """For each code point its lower-case letter or digit, or 0."""
-    out = np.zeros(0x110000, dtype=np.uint64)
-    for c in range(0x110000):
-        if (x := chr(c)).isalnum():
-            low = x.lower()
-            out[c] = ord(low) if len(low) == 1 else c
-    return out
-
-
-@functools.lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2 ** 64."""
-    inverse = pow(BASE, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        up, down = (np.cumprod(np.r_[np.uint64(1), np.full(n, b, dtype=np.uint64)]) for b in (BASE, inverse))
-    return up, down
-
-
-def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, and where each text's words start.
-
-    A word is a run of letters and digits, in lower case; its hash is a polynomial of its letters.
-    """
-    joined = "\n".join(x or "" for x in texts)
-    points = _letters()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
-    lengths = np.array([len(x or "") + 1 for x in texts], dtype=np.int64)
-    inside = points > 0
-    edges = np.diff(np.r_[False, inside, False].astype(np.int8))
-    first, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    up, down = _powers(1 << max(12, int(len(points)).bit_length()))
-    with np.errstate(over="ignore"):
-        sums = np.r_[np.uint64(0), np.cumsum(points * up[: len(points)])]
-        hashes = (sums[end] - sums[first]) * down[first]
-        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        hashes ^= hashes >> np.uint64(29)
-    return hashes, np.searchsorted(first, np.r_[0, np.cumsum(lengths)])
+FOUND = "item_id string, cosine double, lcs double, kind string"
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str | None]]]:
@@ -140,9 +105,10 @@ def summed(docs: DataFrame, shape: tuple[int, ...], add: Callable[[np.ndarray, n
 
 @dataclass(frozen=True)
 class Latent:
-    """Weighted factors of the hashed terms, a row for each."""
+    """Weighted factors of the hashed terms, a row for each, and the passages that hold each term."""
 
     factors: np.ndarray
+    passages: np.ndarray
 
     def of(self, terms: np.ndarray) -> np.ndarray:
         total = self.factors[terms].sum(0)
@@ -182,7 +148,7 @@ def fit(docs: DataFrame) -> Latent:
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     keep = values > 1e-9 * max(values.max(), 1e-300)
     factors, _, _ = np.linalg.svd(product @ vectors[:, keep] / np.sqrt(values[keep]), full_matrices=False)
-    return Latent((idf[:, None] * factors[:, SKIPPED:RANK]).astype(np.float32))
+    return Latent((idf[:, None] * factors[:, SKIPPED:RANK]).astype(np.float32), df[:TERMS])
 
 
 @dataclass(frozen=True)
@@ -217,57 +183,112 @@ def common_subsequence(masks: dict[int, int], length: int, region: list[int]) ->
     return length - v.bit_count()
 
 
+def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from each begin up to its end, and which pair each is of."""
+    size = end - begin
+    which = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + begin[which], which
+
+
 class Search:
-    """All windows of a group of texts against all items, in blocks."""
+    """All windows of a group of texts against all items of a block."""
 
     def __init__(self, latent: Latent, items: list[Item]):
         self.latent, self.items = latent, items
-        self.query = np.array([latent.of(terms_of(np.array(i.words, dtype=np.uint64))) for i in items], dtype=np.float32)
+        words = [np.array(i.words, dtype=np.uint64) for i in items]
+        self.query = np.array([latent.of(terms_of(w)) for w in words], dtype=np.float32)
         self.width = np.array([i.width for i in items])
-        self.needed = np.array([(1.0 if len(i.words) < SHORT_ITEM else PARAPHRASE) * len(i.words) for i in items])
-        self.least = np.ceil(self.needed - 1e-9).astype(np.int32)
+        self.step, self.margin = np.maximum(1, self.width // STEPS), np.maximum(MARGIN, self.width // 3)
+        self.needed = np.array([(1.0 if len(w) < SHORT_ITEM else PARAPHRASE) * len(w) for w in words])
+        self.least = np.ceil(self.needed - 1e-9).astype(np.int64)
+        self.anchors = np.minimum(ANCHORS, self.least)
         self.masks = [masks(i.words) for i in items]
         self.answers = [i.words[-max(3, len(i.words) // 4) :] for i in items]
         self.answer_masks = [masks(a) for a in self.answers]
-
-    def candidates(self, terms: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
-        """(text, item, begin, end, cosine) of regions that hold enough of the item's terms."""
-        rows = self.latent.factors[terms]
-        rows[1:][terms[1:] == terms[:-1]] = 0  # one word many times in a row must not drown its window
-        sums = np.vstack([np.zeros(rows.shape[1]), np.cumsum(rows, axis=0, dtype=np.float64)])
-        padded = np.r_[terms, TERMS]
-        begins, ends = starts[:-1], starts[1:]
-        for width in np.unique(self.width).tolist():
-            own = np.flatnonzero(self.width == width)
-            step, margin = max(1, width // STEPS), max(MARGIN, width // 3)
-            # the last window of a text ends with it
-            count = np.where(ends > begins, -(-np.maximum(ends - begins - width, 0) // step) + 1, 0)
-            text = np.repeat(np.arange(len(begins)), count)
-            nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-            at = np.minimum(begins[text] + nth * step, np.maximum(ends[text] - width, begins[text]))
-            stop = np.minimum(at + width, ends[text])
-            begin, end = np.maximum(at - margin, begins[text]), np.minimum(stop + margin, ends[text])
-            size = max(1, CELLS // (len(terms) + 1))
-            for lot in range(0, len(own), size):
-                block = own[lot : lot + size]
-                member = np.zeros((TERMS, len(block)), dtype=bool)
-                for k, i in enumerate(block):
-                    member[terms_of(np.array(self.items[i].words, dtype=np.uint64)), k] = True
-                # differences of counts that wrap are right up to the longest region
-                held = np.zeros((len(terms) + 1, len(block)), dtype=np.uint16 if width + 2 * margin < 1 << 16 else np.int64)
-                np.cumsum(member[terms], axis=0, dtype=held.dtype, out=held[1:])
-                which, item = np.divmod(np.flatnonzero(held[end] - held[begin] >= self.least[block].astype(held.dtype)), len(block))
-                for part in range(0, len(which), 20_000):
-                    w, k = which[part : part + 20_000], block[item[part : part + 20_000]]
-                    windows = sums[stop[w]] - sums[at[w]]
-                    cosine = (windows * self.query[k]).sum(1) / np.maximum(np.linalg.norm(windows, axis=1), 1e-12)
-                    for c in np.flatnonzero(cosine >= COSINE):
-                        yield int(text[w[c]]), int(k[c]), int(begin[w[c]]), int(end[w[c]]), float(cosine[c])
+        self.words, place = np.unique(np.concatenate(words), return_inverse=True)
+        owner = np.repeat(np.arange(len(items)), [len(w) for w in words])
+        # how often an item has a word, by (word, item)
+        self.pairs, self.times = np.unique(place * len(items) + owner, return_counts=True)
+        rare, at = [], 0
+        for k, w in enumerate(words):
+            mine = place[at : at + len(w)]
+            at += len(w)
+            rarest = mine[np.argsort(latent.passages[terms_of(w)], kind="stable")][: len(w) - self.least[k] + self.anchors[k]]
+            rare.append(np.unique(rarest) * len(items) + k)
+        rare = np.sort(np.concatenate(rare))
+        self.rare_items = rare % len(items)
+        self.rare_ends = np.searchsorted(rare, np.arange(len(self.words) + 1) * len(items))
+
+    def windows(self, word: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, item, number) of the windows whose regions hold enough anchors of the item.
+
+        word holds for each word its number among the items' words, or -1.
+        """
+        seen = np.flatnonzero(word >= 0)
+        which, of = _spread(self.rare_ends[word[seen]], self.rare_ends[word[seen] + 1])
+        at, item = seen[of], self.rare_items[which]
+        text = np.searchsorted(starts, at, side="right") - 1
+        order = np.lexsort((at, text, item))
+        at, item, text = at[order], item[order], text[order]
+        last = np.arange(len(at)) + self.anchors[item] - 1
+        inside = last < len(at)
+        at, item, text, last = at[inside], item[inside], text[inside], at[last[inside]]
+        width, step, margin = self.width[item], self.step[item], self.margin[item]
+        # a run of anchors that goes on into another text or item has a last place that is out of reach
+        reach = (last >= at) & (last < starts[text + 1]) & (last - at < width + 2 * margin)
+        at, item, text, last, width, step, margin = (x[reach] for x in (at, item, text, last, width, step, margin))
+        count = -(-np.maximum(starts[text + 1] - starts[text] - width, 0) // step) + 1
+        # the last window ends with the text, so it may begin up to a step before its number says
+        low = np.clip(-(-(last + 1 - margin - width - starts[text]) // step), 0, count - 1)
+        high = np.clip((at + margin - starts[text]) // step + 1, 0, count - 1)
+        number, of = _spread(low, high + 1)
+        most = int(count.max(initial=1))
+        key = np.unique((item[of] * len(starts) + text[of]) * most + number)
+        pair, number = np.divmod(key, most)
+        item, text = np.divmod(pair, len(starts))
+        return text, item, number
+
+    def enough(self, word: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Which regions hold as many of their item's words as needed, none more often than the item does."""
+        n = len(self.items)
+        place, pair = _spread(begin, end)
+        known = word[place] >= 0
+        place, pair = place[known], pair[known]
+        held, times = np.unique(pair * len(self.words) + word[place], return_counts=True)
+        pair, word_of = np.divmod(held, len(self.words))
+        key = word_of * n + item[pair]
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        shared = np.where(self.pairs[at] == key, np.minimum(times, self.times[at]), 0)
+        return np.bincount(pair, shared, len(begin)) >= self.least[item]
+
+    def candidates(self, hashes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+        """(text, item, begin, end, cosine) of regions that hold enough of the item's words."""
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        word = np.where(self.words[at] == hashes, at, -1)
+        text, item, number = self.windows(word, starts)
+        width, margin = self.width[item], self.margin[item]
+        first, last = starts[text], starts[text + 1]
+        at = np.minimum(first + number * self.step[item], np.maximum(last - width, first))
+        stop = np.minimum(at + width, last)
+        begin, end = np.maximum(at - margin, first), np.minimum(stop + margin, last)
+        lots = np.cumsum(end - begin) // CELLS
+        for lot in np.split(np.arange(len(at)), np.flatnonzero(np.diff(lots)) + 1):
+            lot = lot[self.enough(word, begin[lot], end[lot], item[lot])]
+            if not len(lot):
+                continue
+            place, _ = _spread(at[lot], stop[lot])
+            rows = self.latent.factors[terms_of(hashes[place])]
+            rows[1:][(hashes[place[1:]] == hashes[place[1:] - 1]) & (place[1:] == place[:-1] + 1)] = 0  # one word many times in a row must not drown its window
+            windows = np.add.reduceat(rows, np.cumsum(np.r_[0, (stop - at)[lot[:-1]]]), axis=0)
+            cosine = (windows * self.query[item[lot]]).sum(1) / np.maximum(np.linalg.norm(windows, axis=1), 1e-12)
+            for c, k in zip(lot.tolist(), cosine.tolist(), strict=True):
+                if k >= COSINE:
+                    yield int(text[c]), int(item[c]), int(begin[c]), int(end[c]), k
 
     def __call__(self, hashes: np.ndarray, starts: np.ndarray) -> dict[tuple[int, int], tuple[float, float, str]]:
         """(share, cosine, kind) of the best region of each (text, item) that passes the checks."""
         best: dict[tuple[int, int], tuple[float, float, str]] = {}
-        for text, k, begin, end, cosine in self.candidates(terms_of(hashes), starts):
+        for text, k, begin, end, cosine in self.candidates(hashes, starts):
             n, region = len(self.items[k].words), hashes[begin:end].tolist()
             shared = common_subsequence(self.masks[k], n, region)
             if shared < self.needed[k]:
@@ -279,8 +300,8 @@ class Search:
         return best
 
 
-def _search(latent: Latent, items: list[Item]):
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.string()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("kind", pa.string())])
+def _search(latent: Latent, items: list[Item], key: pa.DataType):
+    schema = pa.schema([("doc_id", key), ("item_id", pa.string()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("kind", pa.string())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Search(latent, items)
@@ -293,24 +314,61 @@ def _search(latent: Latent, items: list[Item]):
     return search
 
 
+def item_blocks(benchmark: DataFrame) -> Iterator[list[Item]]:
+    """The items that have words, in blocks of about ITEM_CHARS characters, however many there are."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null")
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    count = -(-chars // ITEM_CHARS)
+    for k in range(count):
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).orderBy("item_id", "text").collect()
+        if block := [Item(r["item_id"], w) for r in rows if (w := tokens([r["text"]])[0].tolist())]:
+            yield block
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, lcs and kind of every item that a text holds.
 
-    The benchmark is the stated query set and small; every window of every text is compared with
-    all of it, in blocks. Null and empty texts and items without words match nothing; items of
-    fewer than 8 words must be there whole. Repeated rows give repeated results; other columns are
-    not read. Empty tables give an empty result.
+    The benchmark is the stated query set: every window of every text is compared with all of it,
+    a block of items after the other, so a task holds one block. Null and empty texts and items
+    without words match nothing; items of fewer than 8 words must be there whole. Repeated rows
+    give repeated results, null ids null ones; other columns are not read. Empty tables give an
+    empty result.
     """
-    bounded_batches(docs.sparkSession)
-    rows = benchmark.select(F.col("item_id").cast("string"), "text").orderBy("item_id", "text").collect()
-    items = [Item(r["item_id"], w) for r in rows if (w := tokens([r["text"]])[0].tolist())]
-    base = docs.select(F.col("doc_id").cast("long"), "text").filter("text is not null")
-    if not items:
-        return docs.sparkSession.createDataFrame([], FOUND)
-    return base.mapInArrow(_search(fit(base), items), FOUND)
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    base = docs.select("doc_id", "text").filter("text is not null")
+    kind = base.schema["doc_id"].dataType
+    schema = f"doc_id {kind.simpleString()}, {FOUND}"
+    out, latent = spark.createDataFrame([], schema), None
+    for block in item_blocks(benchmark):
+        latent = latent or fit(base)
+        out = out.unionByName(base.mapInArrow(_search(latent, block, to_arrow_type(kind)), schema))
+    return out
+
+
+def holds_item(latent: Latent, items: list[Item], text: str = "text") -> Column:
+    """Whether a text holds any of the items."""
+
+    def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        look = Search(latent, items)
+        for batch in batches:
+            found = np.zeros(len(batch), dtype=bool)
+            lots = np.cumsum([len(x or "") for x in batch]) // GROUP_CHARS
+            for lot in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(lots)) + 1):
+                hashes, starts = tokens(batch.iloc[lot].tolist())
+                if len(hashes):
+                    found[lot[[t for t, _ in look(hashes, starts)]]] = True
+            yield pd.Series(found)
+
+    return F.pandas_udf(holds, "boolean")(F.col(text))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of docs whose text holds no item; rows with a null doc_id that hold one stay."""
-    held = written(leaks(docs, benchmark).filter("doc_id is not null").select("doc_id").distinct(), "leaks")
-    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+    """Rows of docs whose text holds no item. The text alone decides, so a null or repeated doc_id
+    makes no difference; null and empty texts stay."""
+    bounded_batches(docs.sparkSession)
+    latent, out = None, docs
+    for block in item_blocks(benchmark):
+        latent = latent or fit(docs.select("text").filter("text is not null"))
+        out = out.filter(~holds_item(latent, block))
+    return out
