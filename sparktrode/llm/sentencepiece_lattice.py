@@ -2,18 +2,22 @@
 
 The distinct words of the corpus are a table. All their substrings of bounded length are exploded
 and equi-joined to the piece table; the joined rows are the edges of each word's lattice, grouped
-by word. The fold over a word's edges is one Spark ``aggregate``. The model at hand is a BPE model,
-whose encoding is not the path of the best summed score, so the fold doesn't keep Viterbi's best
-sums but the word's cuts: each step joins the two neighbours whose edge has the best score, the
-leftmost of equal ones, until none is left. That is what the model defines.
-
-A word's cuts travel back to the partitions of documents that hold the word as one number, in a
-file for each partition in the shared folder; texts are never shuffled. Words that are longer than
-the lattice takes, or that a partition's file lacks, are merged by a helper in the task.
+by word. The fold over a word's edges is one Spark ``aggregate``.
+
+For a unigram model the fold is Viterbi's. The model at hand is a BPE model, whose encoding is not
+the path of the best summed score: it joins the two neighbours whose edge has the best score, the
+leftmost of equal ones, until none is left. So its fold goes over the edges by score and keeps a
+word's cuts as the bits of a long.
+
+A word's cuts travel back to the partitions of documents that hold the word, in a file for each
+partition in the shared folder; texts are never shuffled. Words that are longer than the lattice
+takes, or that the file lacks as the rows were dealt anew, are encoded by a helper in the task, by
+the same rule.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 from array import array
@@ -24,19 +28,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-import xxhash
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, new_path
+from .common import bounded_batches, new_path, setting
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Longest word that goes through the lattice; its cuts fit in the bits of a long.
 LATTICE_CHARS = 60
-NONE = 2**31 - 1
 #: No piece has a line break, or another character before a space mark, so no merge crosses these.
 WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: Nor has any piece a Latin letter before a character that is no letter, digit or space mark.
@@ -46,6 +48,8 @@ WORDS_HELD = 1_000_000
 #: words by hash before it sorts.
 RANKS = 1 << 16
 HASHED_WORDS = 1 << 17
+#: A character that a unigram model lacks scores so much below its worst piece.
+UNKNOWN_PENALTY = 10.0
 
 
 @dataclass(frozen=True)
@@ -54,14 +58,15 @@ class Model:
     ranks: dict[str, int]  # of pieces that may be merged; equal scores have equal ranks
     ids: dict[str, int]
     first_byte: int
+    scores: dict[str, float] | None = None  # of a unigram model, which has no ranks to merge by
 
     @property
     def longest(self) -> int:
         return max(map(len, self.ranks))
 
 
-def load_model(path: str = MODEL) -> Model:
-    """Read the pieces and scores of a BPE model with byte fallback."""
+def load_model(path: str = MODEL, unigram: bool = False) -> Model:
+    """Read the pieces and scores of a BPE model with byte fallback, or of a unigram one."""
     import sentencepiece
 
     read = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -72,15 +77,13 @@ def load_model(path: str = MODEL) -> Model:
     bad = [pieces[i] for i in plain if "\n" in pieces[i] or re.search(f"[^{SPACE}]{SPACE}", pieces[i]) or CUT.search(pieces[i])]
     if bad:
         raise ValueError(f"pieces cross word borders: {bad[:3]}")
-    return Model(pieces, {pieces[i]: order[read.get_score(i)] for i in plain}, {pieces[i]: i for i in plain}, pieces.index("<0x00>"))
-
-
-def words_of(text: str) -> list[str]:
-    """The text with its leading space mark, cut where no merge can cross."""
-    return [x for w in runs_of(text) for x in CUT.split(w)] if text else []
+    ranks = {pieces[i]: order[read.get_score(i)] for i in plain}
+    scores = {pieces[i]: read.get_score(i) for i in plain} if unigram else None
+    return Model(pieces, ranks, {pieces[i]: i for i in plain}, pieces.index("<0x00>"), scores)
 
 
 def runs_of(text: str) -> list[str]:
+    """Runs of the text with its leading space mark, cut at spaces and line breaks."""
     return WORD.findall(SPACE + text.replace(" ", SPACE))
 
 
@@ -125,44 +128,86 @@ def merged(word: str, ranks: dict[str, int]) -> list[str]:
     return [p for p in parts if p]
 
 
-def _cuts(n: Column, keys: Column, ranks: Column) -> Column:
+def best_path(word: str, scores: dict[str, float]) -> list[str]:
+    """The pieces of one word under a unigram model; of equal sums the shortest last piece."""
+    longest, unknown = max(map(len, scores)), min(scores.values()) - UNKNOWN_PENALTY
+    best: list[tuple[float, int]] = [(0.0, 0)]
+    for e in range(1, len(word) + 1):
+        spans = ((s, scores.get(word[s:e], unknown if e - s == 1 else None)) for s in range(max(0, e - longest), e))
+        best.append(max((best[s][0] + x, s) for s, x in spans if x is not None))
+    out, e = [], len(word)
+    while e:
+        s = best[e][1]
+        out.append(word[s:e])
+        e = s
+    return out[::-1]
+
+
+def _shifted(bits: Column | int, by: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(bits).cast("long"), by.cast("int"))
+
+
+def merge_cuts(n: Column, edges: Column) -> Column:
     """Bits of the places where a word of n characters is cut, folded over its edges.
 
-    An edge from s to e has the key 64 s + e. The state holds the cuts and, for each two
-    neighbouring symbols, the rank of their edge.
+    An edge is rank * 4096 + start * 64 + end, so the edges sorted are in the order of merging. An
+    edge joins two symbols if both its ends are cuts and just one cut is between them. An edge that
+    meets more cuts waits; should a later one take a cut out of a waiting edge, that edge might be
+    due before its turn has come again. Such a word, and only such, is folded again by steps that
+    each look for the best of all edges that join two symbols.
     """
-    none = F.lit(NONE)
+    ends = lambda x: _shifted(1, F.shiftright(x, 6).bitwiseAND(F.lit(63))).bitwiseOR(_shifted(1, x.bitwiseAND(F.lit(63))))
+    inner = lambda x: _shifted(1, x.bitwiseAND(F.lit(63))) - _shifted(2, F.shiftright(x, 6).bitwiseAND(F.lit(63)))
+    alive = lambda cuts, x: cuts.bitwiseAND(ends(x)) == ends(x)
+    single = lambda hit: hit.bitwiseAND(hit - 1) == 0
+    every = _shifted(2, n) - 1
 
-    def rank(s: Column, e: Column) -> Column:
-        return F.coalesce(F.get(ranks, F.array_position(keys, (s * 64 + e).cast("int")).cast("int") - 1), none)
+    def in_order(state: Column, x: Column) -> Column:
+        cuts, waiting, unsure = state["cuts"], state["waiting"], state["unsure"]
+        hit = cuts.bitwiseAND(inner(x))
+        joined = F.struct(cuts.bitwiseXOR(hit).alias("cuts"), waiting.alias("waiting"), (unsure | (hit.bitwiseAND(waiting) != 0)).alias("unsure"))
+        waits = F.struct(cuts.alias("cuts"), waiting.bitwiseOR(inner(x)).alias("waiting"), unsure.alias("unsure"))
+        return F.when(~alive(cuts, x), state).when(single(hit), joined).otherwise(waits)
 
-    start = F.struct(F.sequence(F.lit(0), n).alias("b"), F.transform(F.sequence(F.lit(0), n - 2), lambda i: rank(i, i + 2)).alias("r"))
+    def best_next(cuts: Column, _: Column) -> Column:
+        best = F.array_min(F.filter(edges, lambda x: alive(cuts, x) & (cuts.bitwiseAND(inner(x)) != 0) & single(cuts.bitwiseAND(inner(x)))))
+        return F.coalesce(cuts.bitwiseXOR(cuts.bitwiseAND(inner(best))), cuts)
 
-    def joined(b: Column, r: Column, j: Column) -> Column:
-        """Join the symbols of the j-th pair, from 1."""
-        left = F.when(j > 1, F.array(rank(F.get(b, j - 2), F.get(b, j + 1)))).otherwise(F.array().cast("array<int>"))
-        right = F.when(j < F.size(r), F.array(rank(F.get(b, j - 1), F.get(b, j + 2)))).otherwise(F.array().cast("array<int>"))
-        return F.struct(
-            F.concat(F.slice(b, F.lit(1), j), F.slice(b, j + 2, F.size(b))).alias("b"),
-            F.concat(F.slice(r, F.lit(1), F.greatest(j - 2, F.lit(0))), left, right, F.slice(r, j + 2, F.size(r))).alias("r"),
-        )
+    start = F.struct(every.alias("cuts"), F.lit(0).cast("long").alias("waiting"), F.lit(False).alias("unsure"))
+    by_steps = F.aggregate(F.sequence(F.lit(2), n), every, best_next)
+    return F.aggregate(F.array_sort(edges), start, in_order, lambda s: F.when(s["unsure"], by_steps).otherwise(s["cuts"]))
 
-    def step(state: Column, _: Column) -> Column:
-        b, r = state["b"], state["r"]
-        best = F.array_min(r)
-        at = F.array_position(r, best).cast("int")
-        done = F.transform(F.array(at), lambda j: joined(b, r, j))[0]
-        return F.when(F.coalesce(best, none) < none, done).otherwise(state)
 
-    bits = lambda state: F.aggregate(state["b"], F.lit(0).cast("long"), lambda acc, i: acc + F.pow(F.lit(2.0), i).cast("long"))
-    return F.aggregate(F.sequence(F.lit(1), n - 1), start, step, bits)
+def viterbi_cuts(n: Column, edges: Column) -> Column:
+    """Bits of the cuts of the best-scored path through a word's edges (s, e, score).
+
+    The state holds, for each place, the best sum and where its last piece starts; of equal sums
+    the shortest last piece wins.
+    """
+
+    def at(state: Column, e: Column) -> Column:
+        into = F.filter(edges, lambda x: x["e"] == e)
+        best = F.array_max(F.transform(into, lambda x: F.struct((F.get(state, x["s"])["sum"] + x["score"]).alias("sum"), x["s"].alias("s"))))
+        return F.concat(state, F.array(best))
+
+    def back(state: Column) -> Column:
+        walk = F.aggregate(
+            F.sequence(F.lit(1), n),
+            F.struct(n.cast("int").alias("e"), _shifted(1, n).alias("cuts")),
+            lambda w, _: F.when(w["e"] == 0, w).otherwise(F.struct(F.get(state, w["e"])["s"].alias("e"), w["cuts"].bitwiseOR(_shifted(1, F.get(state, w["e"])["s"])).alias("cuts"))),
+        )
+        return walk["cuts"]
+
+    return F.aggregate(F.sequence(F.lit(1), n), F.array(F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("s"))), at, back)
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, held, bare = TaskContext.get().partitionId(), set(), set()
 
     def out() -> pa.RecordBatch:
-        words = {x for w in chain(held, [SPACE + b for b in bare]) for x in CUT.split(w)}
+        words = {SPACE + b for b in bare if b.isalnum()}
+        for run in chain(held, [SPACE + b for b in bare if not b.isalnum()]):
+            words.update(CUT.split(run))
         words = sorted(w for w in words if 2 <= len(w) <= LATTICE_CHARS)
         return pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(words), part), pa.int32()), "word": pa.array(words, pa.string())})
 
@@ -177,57 +222,67 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lattice(words: DataFrame, model: Model) -> DataFrame:
-    """(word, parts, keys, ranks): the edges of each word, grouped by word.
+    """(word, edges): the edges of each word, grouped by word.
 
-    words has word and parts and is dealt by word, so neither the explosion nor the broadcast of
-    the piece table (its size is the model's) moves a row; the grouping needs no shuffle.
+    words is dealt by word, so neither the explosion nor the broadcast of the piece table (its
+    size is the model's) moves a row; the grouping needs no shuffle.
     """
-    spark = words.sparkSession
-    pieces = F.broadcast(spark.createDataFrame([(p, r) for p, r in model.ranks.items() if len(p) > 1], "piece string, rank int"))
-    n = F.length("word")
-    starts = words.select("word", "parts", F.explode(F.sequence(F.lit(0), n - 2)).alias("s"))
-    spans = starts.select("word", "parts", "s", F.explode(F.sequence(F.col("s") + 2, F.least(n, F.col("s") + model.longest))).alias("e"))
-    edges = spans.withColumn("piece", F.expr("substring(word, s + 1, e - s)")).join(pieces, "piece")
-    packed = ((F.col("s") * 64 + F.col("e")) * RANKS + F.col("rank")).cast("int")
-    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(HASHED_WORDS))
-    grouped = edges.groupBy("word").agg(F.first("parts").alias("parts"), F.collect_list(packed).alias("edges"))
-    return grouped.select("word", "parts", F.transform("edges", lambda x: F.floor(x / RANKS).cast("int")).alias("keys"), F.transform("edges", lambda x: (x % RANKS).cast("int")).alias("ranks"))
+    spark, n = words.sparkSession, F.length("word")
+    if model.scores is None:
+        pieces = spark.createDataFrame([(p, r) for p, r in model.ranks.items() if len(p) > 1], "piece string, rank int")
+        least, edge = 2, (F.col("rank") * 4096 + F.col("s") * 64 + F.col("e")).cast("int")
+    else:
+        pieces = spark.createDataFrame(list(model.scores.items()), "piece string, score double")
+        unknown = min(model.scores.values()) - UNKNOWN_PENALTY
+        least, edge = 1, F.struct("s", "e", F.coalesce("score", F.lit(unknown)).alias("score"))
+    spans = words.select("word", F.explode(F.sequence(F.lit(0), n - least)).alias("s"))
+    spans = spans.select("word", "s", F.explode(F.sequence(F.col("s") + least, F.least(n, F.col("s") + model.longest))).alias("e"))
+    edges = spans.withColumn("piece", F.expr("substring(word, s + 1, e - s)")).join(F.broadcast(pieces), "piece", "inner" if least == 2 else "left")
+    if least == 1:  # a character is an edge, known or not
+        edges = edges.filter("score is not null or e - s = 1")
+    return edges.groupBy("word").agg(F.collect_list(edge).alias("edges"))
 
 
 def cut_words(docs: DataFrame, model: Model, text: str = "text") -> str:
-    """Write the cuts of the words of each partition of docs; returns the folder."""
-    seen = docs.select(text).mapInArrow(_distinct, "part int, word string")
-    words = seen.groupBy("word").agg(F.collect_set("part").alias("parts"))
-    found = lattice(words, model)
-    cut = found.select("parts", F.xxhash64("word").alias("hash"), _cuts(F.length("word"), F.col("keys"), F.col("ranks")).alias("cuts"))
-    path = new_path(docs.sparkSession, "cuts")
-    cut.select(F.explode("parts").alias("part"), "hash", "cuts").repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(path)
+    """Write the cuts of the words of each partition of docs; returns the folder.
+
+    The words are dealt by hash once; both their distinct set and the join that sends the cuts
+    back read that one shuffle. A word without edges has all its places cut.
+    """
+    spark = docs.sparkSession
+    seen = docs.select(text).mapInArrow(_distinct, "part int, word string").repartition("word")
+    fold = merge_cuts if model.scores is None else viterbi_cuts
+    cut = lattice(seen.select("word").distinct(), model).select("word", fold(F.length("word"), F.col("edges")).alias("cuts"))
+    found = seen.join(cut.hint("shuffle_hash"), "word", "left").select("part", "word", "cuts")
+    path = new_path(spark, "cuts")
+    with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", HASHED_WORDS):
+        found.repartition("part").sortWithinPartitions("part", "word").write.partitionBy("part").parquet(path)
     return path
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _slices(cuts: int) -> list[slice]:
+    at = [i for i in range(cuts.bit_length()) if cuts >> i & 1]
+    return [slice(a, b) for a, b in zip(at, at[1:], strict=False)]
+
+
 class Encoder(dict):
-    """Words of one partition to ids, by the cuts that the lattice gave; prefix is put before each."""
+    """Runs of one partition to ids, by the cuts that the lattice gave; prefix is put before each."""
 
-    def __init__(self, model: Model, cuts: dict[int, int], prefix: str):
+    def __init__(self, model: Model, cuts: dict[str, int | None], prefix: str):
         super().__init__()
         self.model, self.cuts, self.prefix = model, cuts, prefix
 
     def pieces(self, word: str) -> list[str]:
-        cuts = self.cuts.get((xxhash.xxh64_intdigest(word, 42) + 2**63) % 2**64 - 2**63) if 1 < len(word) <= LATTICE_CHARS else None
-        if cuts is None:
-            return merged(word, self.model.ranks)
-        parts, at = [], 0
-        cuts >>= 1
-        for end in range(1, len(word) + 1):
-            if cuts & 1:
-                parts.append(word[at:end])
-                at = end
-            cuts >>= 1
-        return parts
+        if len(word) == 1 or (cuts := self.cuts.get(word, 0)) is None:
+            return list(word)
+        if not cuts:
+            return merged(word, self.model.ranks) if self.model.scores is None else best_path(word, self.model.scores)
+        return [word[x] for x in _slices(cuts)]
 
     def __missing__(self, bare: str) -> tuple[int, ...]:
-        ids, found = self.model.ids, []
-        for word in CUT.split(self.prefix + bare):
+        ids, found, run = self.model.ids, [], self.prefix + bare
+        for word in (run,) if bare.isalnum() else CUT.split(run):
             for p in self.pieces(word):
                 if (i := ids.get(p)) is not None:
                     found.append(i)
@@ -241,15 +296,15 @@ class Encoder(dict):
         return out
 
 
-def read_cuts(folder: str, part: int) -> dict[int, int]:
-    """Hash of a word to its cuts, from one partition's files."""
+def read_cuts(folder: str, part: int) -> dict[str, int | None]:
+    """The words of one partition and their cuts."""
     store, at = pafs.FileSystem.from_uri(folder)
-    cuts: dict[int, int] = {}
+    cuts: dict[str, int | None] = {}
     for file in store.get_file_info(pafs.FileSelector(f"{at}/part={part}", allow_not_found=True)):
         if file.path.endswith(".parquet"):
             with store.open_input_file(file.path) as source:
-                t = pq.read_table(source, columns=["hash", "cuts"])
-            cuts.update(zip(t.column("hash").to_numpy().tolist(), t.column("cuts").to_numpy().tolist(), strict=True))
+                t = pq.read_table(source, columns=["word", "cuts"])
+            cuts.update(zip(t.column("word").to_pylist(), t.column("cuts").to_pylist(), strict=True))
     return cuts
 
 
