@@ -10,7 +10,7 @@ LABEL_SAMPLE = 20_000
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, in_training: Column, limit: int = LABEL_SAMPLE) -> DataFrame:
-    """(text, y) of at most `limit` labelled documents that `in_training` accepts.
+    """(text, y, labelled_id) of at most `limit` labelled documents that `in_training` accepts.
 
     Labels of a document are averaged and rounded; null ids, labels and texts are left out. The
     sample is the ids of least hash, so it doesn't depend on the order of rows; its size is
@@ -23,4 +23,4 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, in_training: C
         .orderBy(F.xxhash64("labelled_id"), "labelled_id")
         .limit(limit)
     )
-    return docs.filter(F.col("text").isNotNull()).join(F.broadcast(chosen), docs["doc_id"] == chosen["labelled_id"]).select(docs["text"].alias("text"), "y")
+    return docs.filter(F.col("text").isNotNull()).join(F.broadcast(chosen), docs["doc_id"] == chosen["labelled_id"]).select(docs["text"].alias("text"), "y", "labelled_id")

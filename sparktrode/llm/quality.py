@@ -175,7 +175,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null texts count as empty, which have a score too. Null ids count as the text 'null' for the
     fold. Repeated rows get equal scores; other columns are not read. Without any labelled text
-    all scores are 0.5; an empty table gives an empty result.
+    all scores are 0.5, a score that says nothing; an empty table gives an empty result.
     """
     model = fit(docs, labels)
     scored = docs.select("doc_id", (crc_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"), score_column(model).alias("score"))

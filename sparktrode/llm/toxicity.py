@@ -134,13 +134,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = L
     bounded_batches(docs.sparkSession)
     hashed = F.pandas_udf(lambda s: s.map(hashed_terms), "array<long>")
     rows = training_rows(docs, labels, label, crc_mod("doc_id", FOLDS) != HELD_OUT, limit)
-    rows = written(rows.select(hashed("text").alias("terms"), "y"), "toxicity_rows")
+    rows = written(rows.select(hashed("text").alias("terms"), "y", F.xxhash64("labelled_id", "text").alias("deal")), "toxicity_rows")
     chosen = choose_terms(rows)
     if not chosen:
         return None
     terms = {t: i for i, t in enumerate(chosen)}
     indexed = F.pandas_udf(lambda s: s.map(lambda x: [terms[t] for t in x.tolist() if t in terms]), "array<long>")
-    train = written(rows.select(indexed("terms").alias("terms"), "y").repartition(SHARDS, F.xxhash64("terms")), "toxicity_train")
+    # dealt by id and text, so that copies of a text don't meet in one task
+    train = written(rows.select(indexed("terms").alias("terms"), "y", "deal").repartition(SHARDS, "deal").drop("deal"), "toxicity_train")
     rng = np.random.default_rng(SEED)
     p = np.concatenate([[0.0], np.zeros(len(chosen)), rng.normal(0, 0.01, len(chosen) * FACTORS)])
     for step in range(ROUNDS):
@@ -161,8 +162,8 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every row.
 
     Null texts count as empty. Null ids count as the text 'null' for the fold. Repeated rows get
-    equal scores; other columns are not read. Unless both labels occur all scores are 0; an empty
-    table gives an empty result.
+    equal scores; other columns are not read. Unless both labels occur all scores are 0: nothing
+    tells toxic texts, so none is called toxic. An empty table gives an empty result.
     """
     model = fit(docs, labels)
     scored = docs.select("doc_id", (crc_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"), score_column(model).alias("score"))
