@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, crc_mod, written
@@ -23,13 +23,13 @@ from .common import bounded_batches, crc_mod, written
 #: Characters in an n-gram; a word's n-grams include a space on either side.
 SIZES = (2, 3, 4)
 #: An n-gram belongs to a language if it makes up more than this share of the language's n-grams
-#: of its size, and more than DOMINANCE of the largest share that any language has of it. So a
-#: language holds at most 1 / MIN_SHARE n-grams of a size.
+#: of its size, so a language holds at most 1 / MIN_SHARE n-grams of a size; what lies below is
+#: noise of names and slips.
 MIN_SHARE = 2e-5
-DOMINANCE = 0.25
 SLOTS = 1 << 20
 HASHES = 3
-MAX_LANGUAGES = 62
+#: Languages in one mask; more take further masks.
+MASK_BITS = 63
 HELD_OUT, FOLDS = 2, 4
 UNDETERMINED = "und"
 CHUNK = 1 << 21
@@ -81,16 +81,22 @@ def slots(h: np.ndarray, k: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Filter:
+    """masks has a row for each slot and a column for each MASK_BITS languages."""
+
     languages: list[str]
     masks: np.ndarray
 
     @functools.cached_property
     def false_rate(self) -> np.ndarray:
-        fill = np.array([np.count_nonzero(self.masks >> np.uint64(b) & np.uint64(1)) / SLOTS for b in range(len(self.languages))])
-        return fill**HASHES
+        return (self.popcounts(self.masks) / SLOTS) ** HASHES
+
+    def popcounts(self, masks: np.ndarray) -> np.ndarray:
+        """How many of the masks hold each language: its bits, sliced out and packed, counted."""
+        slices = (np.packbits((masks[:, b // MASK_BITS] >> np.uint64(b % MASK_BITS)) & np.uint64(1) != 0) for b in range(len(self.languages)))
+        return np.array([np.bitwise_count(s).sum(dtype=np.int64) for s in slices], dtype=float)
 
     def languages_of(self, h: np.ndarray) -> np.ndarray:
-        """Bitmask of all languages that contain each n-gram."""
+        """Bitmasks of all languages that contain each n-gram."""
         out = self.masks[slots(h, 0)]
         for k in range(1, HASHES):
             out &= self.masks[slots(h, k)]
@@ -106,8 +112,8 @@ class Filter:
             for size in SIZES:
                 masks = self.languages_of(grams(part[: CHUNK + size - 1], size))
                 total += len(masks)
-                hits += [np.count_nonzero(masks & np.uint64(1 << b)) for b in range(len(self.languages))]
-        true = np.maximum(hits - total * self.false_rate, 0) / (1 - self.false_rate)
+                hits += self.popcounts(masks)
+        true = np.maximum(hits - total * self.false_rate, 0) / np.maximum(1 - self.false_rate, 1e-9)
         best = int(np.argmax(true))
         return self.languages[best], float(true[best] / true.sum()) if true.sum() else 0.0
 
@@ -144,20 +150,17 @@ def fit(docs: DataFrame) -> Filter:
     """A filter of the n-grams of all texts with a language that are not held out."""
     bounded_batches(docs.sparkSession)
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", FOLDS) != HELD_OUT)).select("lang", "text")
-    languages = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    languages = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").collect()]  # a few names
     counts = rows.mapInArrow(_count(languages), "lang int, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     counts = written(counts, "ngrams")
     totals = counts.groupBy("lang", "size").agg(F.sum("n").alias("total"))
     shares = counts.join(F.broadcast(totals), ["lang", "size"]).withColumn("share", F.col("n") / F.col("total"))  # a row for each language and size
-    kept = shares.filter(F.col("share") > MIN_SHARE).withColumn("top", F.max("share").over(Window.partitionBy("gram")))
-    kept = kept.filter(F.col("share") > DOMINANCE * F.col("top")).select("gram", "lang")
-    masks = np.zeros(SLOTS, dtype=np.uint64)
-    for batch in kept.groupBy("gram").agg(F.bit_or(F.expr("shiftleft(1L, lang)")).alias("mask")).toArrow().to_batches():  # bounded by MIN_SHARE
-        h, mask = batch.column("gram").to_numpy().view(np.uint64), batch.column("mask").to_numpy().view(np.uint64)
+    kept = shares.filter(F.col("share") > MIN_SHARE).select("gram", F.floor(F.col("lang") / MASK_BITS).cast("int").alias("word"), F.expr(f"shiftleft(1L, lang % {MASK_BITS})").alias("bit"))
+    masks = np.zeros((SLOTS, max(1, -(-len(languages) // MASK_BITS))), dtype=np.uint64)
+    for batch in kept.groupBy("gram", "word").agg(F.bit_or("bit").alias("mask")).toArrow().to_batches():  # bounded by MIN_SHARE
+        h, mask, word = batch.column("gram").to_numpy().view(np.uint64), batch.column("mask").to_numpy().view(np.uint64), batch.column("word").to_numpy()
         for k in range(HASHES):
-            np.bitwise_or.at(masks, slots(h, k), mask)
+            np.bitwise_or.at(masks, (slots(h, k), word), mask)
     return Filter(languages, masks)
 
 
