@@ -56,7 +56,7 @@ m as (select *, case {' '.join(fits)} end as m from b), ruled as (select page_id
 l as (select host as src, unnest(list_distinct(list_transform(regexp_extract_all(html, '{link}', 1), lambda x: {low.format('x')}))) as dst from ruled where host <> ''),
 links as (select src, dst, count(*)::double as w from l where src <> dst group by 1, 2),
 nodes as (select host from ruled where host <> '' union select dst from links),
-sub as (select distinct array_to_string(list_slice(string_split(host, '.'), i + 1, len(string_split(host, '.'))), '.') as src from nodes, (select unnest(range(40)) as i) where i < len(string_split(host, '.'))),
+sub as (select distinct array_to_string(list_slice(string_split(host, '.'), i + 1, len(string_split(host, '.'))), '.') as src from (select host, unnest(range(len(string_split(host, '.')))) as i from nodes)),
 up as (select src, substr(src, strpos(src, '.') + 1) as dst, {u.PARENT_WEIGHT}e0 as w from sub where strpos(src, '.') > 0),
 edges as (select src, dst, sum(w) as w from (select * from links union all select * from up union all select dst, src, w from up) group by 1, 2),
 two as (select 'trust' as kind, src, dst, w from edges union all select 'distrust', dst, src, w from edges),

@@ -8,6 +8,8 @@ of many corpora hold relative links only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,10 @@ RULES = [
     ("block", "net/es/"),
     ("block", "net/fr/"),
 ]
-DAMPING = 0.85
-ITERATIONS = 8
+#: Steps of propagation go on until this share of a seed's score is still unspread, so no score is
+#: further than that from its limit.
+DAMPING, UNSPREAD = 0.85, 0.01
+ITERATIONS = math.ceil(math.log(UNSPREAD) / math.log(DAMPING))
 #: A host is a seed of distrust if rules block more than this share of its pages.
 BLOCKED_SHARE = 0.5
 PARENT_WEIGHT = 0.5
@@ -60,6 +64,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
         .groupBy(F.col("host").alias("src"), "dst")
         .agg(F.count(F.lit(1)).cast("double").alias("w"))
     )
+    links = written(links, "host_links")  # the html is read once
     nodes = pages.select("host").filter("host <> ''").distinct().union(links.select("dst")).distinct()
     labels = F.split("host", r"\.")
     up = nodes.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))).alias("src")).distinct()
