@@ -41,8 +41,8 @@ SEED = 5
 ANCHORS = 3
 #: Words of regions looked at together, and characters of items in one block of them.
 CELLS, ITEM_CHARS = 2_000_000, 4_000_000
-#: Words handled at once; a text is never cut, so a longer one makes a longer group.
-GROUP_CHARS = 400_000
+#: Characters handled at once, so few that the arrays stay in the cache; a text is never cut, so a longer one makes a longer group.
+GROUP_CHARS = 100_000
 FOUND = "item_id string, cosine double, lcs double, kind string"
 
 
