@@ -227,9 +227,12 @@ def fill_gaps(samples: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     x = F.when(F.col("x_uv").isNotNull() & ~F.isnan("x_uv"), F.struct("n", F.col("x_uv").alias("x")))
     b = blocked(samples, 0, block).withColumn("p", x).drop("own")
-    edges = b.groupBy(*SERIES, "block").agg(F.max_by("p", F.when(F.col("p").isNotNull(), F.col("n"))).alias("last_p"), F.min_by("p", F.when(F.col("p").isNotNull(), F.col("n"))).alias("first_p"))
+    there = F.when(F.col("p").isNotNull(), F.col("n"))
+    edges = b.groupBy(*SERIES, "block").agg(F.max_by("p", there).alias("last_p"), F.min_by("p", there).alias("first_p"))
     line = W.partitionBy(*SERIES).orderBy("block")
-    carry = edges.select(*SERIES, "block", F.last("last_p", ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.first("first_p", ignorenulls=True).over(line.rowsBetween(1, W.unboundedFollowing)).alias("after"))
+    before = F.last("last_p", ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, -1))
+    after = F.first("first_p", ignorenulls=True).over(line.rowsBetween(1, W.unboundedFollowing))
+    carry = edges.select(*SERIES, "block", before.alias("before"), after.alias("after"))
     inner = W.partitionBy(*SERIES, "block").orderBy("n")
     b = b.join(carry, [*SERIES, "block"]).withColumns({
         "lo": F.coalesce(F.last("p", ignorenulls=True).over(inner.rowsBetween(W.unboundedPreceding, 0)), F.col("before")),

@@ -244,7 +244,12 @@ def _by_group(table: DataFrame, group: str | None) -> DataFrame:
 
 def phase_rows(table: DataFrame, group: str | None) -> DataFrame:
     """The part table with a row for each phase: hz, pct, a, b, ref and its label."""
-    specs = F.array(*[F.struct(F.lit(p).alias("phase"), F.col(hz).alias("hz"), F.col(pct).alias("pct"), F.col(a).alias("a"), F.col(b).alias("b"), (F.col("baseline_first_half_hz") if p == "Baseline" else F.col("percent_reference_hz")).alias("ref"), (F.lit(FIRST) if p == "Baseline" else F.col("percent_reference_label")).alias("ref_label")) for p, hz, pct, a, b in PHASES])
+    specs = []
+    for p, hz, pct, a, b in PHASES:
+        ref, ref_label = (F.col("baseline_first_half_hz"), F.lit(FIRST)) if p == "Baseline" else (F.col("percent_reference_hz"), F.col("percent_reference_label"))
+        named = {"phase": F.lit(p), "hz": F.col(hz), "pct": F.col(pct), "a": F.col(a), "b": F.col(b), "ref": ref, "ref_label": ref_label}
+        specs.append(F.struct(*[c.alias(k) for k, c in named.items()]))
+    specs = F.array(*specs)
     return _by_group(table, group).select("part_index", "part_label", "stimulation_label", "group", F.explode(specs).alias("s")).select("part_index", "part_label", "stimulation_label", "group", "s.*")
 
 
@@ -290,7 +295,8 @@ def with_significance(tests: DataFrame) -> DataFrame:
 def unpaired_tests(table: DataFrame, group: str) -> DataFrame:
     """Welch's test of percent changes for each two groups of each part and phase."""
     keys = ["part_index", "part_label", "stimulation_label", "phase"]
-    side = lambda k: phase_rows(table, group).filter(F.col("group").isNotNull()).groupBy(*keys, "group").agg(F.count("pct").alias(f"n_group_{k}"), F.avg("pct").alias(f"group_{k}_mean"), F.var_samp("pct").alias(f"v{k}")).withColumnRenamed("group", f"group_{k}")
+    grouped = phase_rows(table, group).filter(F.col("group").isNotNull()).groupBy(*keys, "group").agg(F.count("pct").alias("n"), F.avg("pct").alias("m"), F.var_samp("pct").alias("v"))
+    side = lambda k: grouped.withColumnsRenamed({"group": f"group_{k}", "n": f"n_group_{k}", "m": f"group_{k}_mean", "v": f"v{k}"})
     both = side(1).join(side(2), keys).filter("group_1 < group_2")
     ok = (F.col("n_group_1") > 1) & (F.col("n_group_2") > 1)
     a, b = F.col("v1") / F.col("n_group_1"), F.col("v2") / F.col("n_group_2")
@@ -331,7 +337,9 @@ def pooled_changes(rows: DataFrame, group: str | None, keys: list[str]) -> DataF
     other = windows.filter("phase <> 'Baseline'").withColumn("category", label)
     ref = F.coalesce("baseline_second_half_hz", "baseline_hz")
     moved = other.groupBy(*unit, "phase", "category").agg(F.avg("hz").alias("b"), error(F.col("hz")).alias("err"), F.min("place").alias("first_seen"))
-    moved = moved.join(base, unit, "left").select("group", "phase", "category", "first_seen", F.col("baseline_hz").alias("a"), "b", percent(F.col("b"), ref).alias("pct"), (F.col("err") / F.abs(F.nullif(ref, F.lit(0.0))) * 100).alias("err"))
+    scaled = F.col("err") / F.abs(F.nullif(ref, F.lit(0.0))) * 100
+    moved = moved.join(base, unit, "left")
+    moved = moved.select("group", "phase", "category", "first_seen", F.col("baseline_hz").alias("a"), "b", percent(F.col("b"), ref).alias("pct"), scaled.alias("err"))
     first = F.nullif(F.col("baseline_first_half_hz"), F.lit(0.0))
     within = base.filter("baseline_percent_change is not null").select(
         "group", F.lit("Baseline").alias("phase"), F.lit("Baseline").alias("category"), F.lit(None).cast(moved.schema["first_seen"].dataType).alias("first_seen"),
@@ -400,6 +408,8 @@ def paired_conditions(rows: DataFrame, keys: list[str], posts: list[str]) -> Dat
     out = None
     for p in posts:
         one = means.join(halves, keys, "left").filter(F.col("Baseline").isNotNull() & F.col(f"`{p}`").isNotNull())
-        one = one.select(*keys, F.lit(p).alias("post_condition"), F.col("Baseline").alias("baseline_hz"), F.col(f"`{p}`").alias("post_hz"), (F.col(f"`{p}`") - F.col("Baseline")).alias("delta_hz"), F.col("baseline_second_half_hz").alias("percent_reference_hz"), percent(F.col(f"`{p}`"), F.col("baseline_second_half_hz")).alias("percent_change"))
+        base, post, ref = F.col("Baseline"), F.col(f"`{p}`"), F.col("baseline_second_half_hz")
+        named = {"post_condition": F.lit(p), "baseline_hz": base, "post_hz": post, "delta_hz": post - base, "percent_reference_hz": ref, "percent_change": percent(post, ref)}
+        one = one.select(*keys, *[c.alias(k) for k, c in named.items()])
         out = one if out is None else out.unionByName(one)
     return out

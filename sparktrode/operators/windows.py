@@ -109,7 +109,9 @@ def epoch_summary(spikes: DataFrame, series: DataFrame, epochs: DataFrame, skips
     out = series.select(*keys).distinct().crossJoin(e).join(lost, "epoch", "left").join(counts, [*keys, "epoch"], "left")
     out = out.withColumn("seconds", F.col("e_end") - F.col("e_start") - F.coalesce("lost", F.lit(0.0))).filter("seconds > 0")
     n = F.coalesce("spike_count", F.lit(0))
-    return out.select(*keys, "epoch", (F.col("e_start") / 60).alias("epoch_start_min"), (F.col("e_end") / 60).alias("epoch_end_min"), (F.col("seconds") / 60).alias("effective_duration_min"), n.alias("spike_count"), (n / (F.col("seconds") / 60)).alias("spikes_per_min"))
+    minutes = F.col("seconds") / 60
+    named = {"epoch_start_min": F.col("e_start") / 60, "epoch_end_min": F.col("e_end") / 60, "effective_duration_min": minutes, "spike_count": n, "spikes_per_min": n / minutes}
+    return out.select(*keys, "epoch", *[c.alias(k) for k, c in named.items()])
 
 
 def continuous_axis(counts: DataFrame) -> DataFrame:
