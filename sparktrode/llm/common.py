@@ -62,12 +62,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Remove a table that `written` made, once nothing will read it again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(path)
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that `written` made, or that others were read from, once nothing will read them again."""
+    for path in {f.rsplit("/", 1)[0] for df in tables for f in df.inputFiles()}:
+        spark = tables[0].sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import discard, written
@@ -28,10 +28,11 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = written(links.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = None
     for _ in range(most_rounds):
-        new = written(star(star(edges, True), False), "links")
-        found = new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        seen = Observation()  # counted while the round is written; a task run twice only makes a round more
+        new = star(star(edges, True), False)
+        new = written(new.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "links")
         discard(edges)
-        edges = new
+        edges, found = new, seen.get
         if found == mark or not found["n"]:
             break
         mark = found

@@ -284,7 +284,7 @@ def _set_stats(texts: pd.Series) -> pd.DataFrame:
 
 
 def similar_links(rows_a: list[dict], rows_b: list[dict] | None, similarity: float) -> Iterator[tuple[int, int]]:
-    """Links (nodes) inside a tile of texts, or between two, that join the same labels as all true ones.
+    """Links (labels) inside a tile of texts, or between two, that join the same labels as all true ones.
 
     A row has node, label, lanes and text. A link is true if it is within the radius and the exact
     similarity of its shingle sets is reached; rows of one label are joined already.
@@ -317,16 +317,35 @@ def similar_links(rows_a: list[dict], rows_b: list[dict] | None, similarity: flo
                 shared = len(set_of(u) & set_of(v))
                 if shared >= similarity * (len(set_of(u)) + len(set_of(v)) - shared):
                     root[root == y] = x
-                    yield rows[u]["node"], rows[v]["node"]
+                    yield rows[u]["label"], rows[v]["label"]
 
 
-def _alike(similarity: float):
+def _roots(links: Iterator[tuple[int, int]]) -> dict[int, int]:
+    """The least of those joined, for each that isn't it."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    for u, v in links:
+        x, y = find(u), find(v)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    return {x: find(x) for x in up}
+
+
+def _alike(similarity: float, roots: bool):
+    """Links between two tiles of texts; or, of a tile alone, each label and the root it is joined to."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows_a, rows_b in zip(batch.column("rows_a"), batch.column("rows_b"), strict=True):
-                if found := list(similar_links(rows_a.as_py(), rows_b.as_py(), similarity)):
+                links = similar_links(rows_a.as_py(), rows_b.as_py(), similarity)
+                if found := list(_roots(links).items() if roots else links):
                     u, v = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["label", "root"] if roots else ["u", "v"])
 
     return compare
 
@@ -344,10 +363,12 @@ def _tiles() -> Column:
 
 
 def _inside(members: DataFrame, similarity: float) -> DataFrame:
-    """True links inside each tile; members has component and tile."""
+    """(label, root) of the labels that the true links inside a tile join to a smaller one.
+
+    members has component and tile, and one row for each label."""
     packed = members.groupBy("component", "tile").agg(_rows().alias("rows_a"))
     with setting(members.sparkSession, BATCH_KEY, TEXT_BATCH):
-        return written(packed.select("rows_a", F.lit(None).cast(_ROWS).alias("rows_b")).mapInArrow(_alike(similarity), "u long, v long"), "true_links")
+        return written(packed.select("rows_a", F.lit(None).cast(_ROWS).alias("rows_b")).mapInArrow(_alike(similarity, True), "label long, root long"), "roots")
 
 
 def _tiled(members: DataFrame) -> DataFrame:
@@ -357,7 +378,7 @@ def _tiled(members: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame, similarity: float) -> DataFrame:
-    """True links between the labels of a component: every two of its tiles meet once.
+    """(u, v): true links between the labels of a component; every two of its tiles meet once.
 
     A label with texts for more than a tile has tiles of its own, which don't meet each other, so
     a very large group of copies costs no more than its size times the rest of its component.
@@ -375,20 +396,20 @@ def _across(members: DataFrame, similarity: float) -> DataFrame:
     both = pairs.join(tiles.select(F.col("id").alias("a"), F.col("rows").alias("rows_a")), "a").join(tiles.select(F.col("id").alias("b"), F.col("rows").alias("rows_b")), "b")
     both = both.select("rows_a", F.when(F.col("a") != F.col("b"), F.col("rows_b")).alias("rows_b"))
     with setting(members.sparkSession, BATCH_KEY, TEXT_BATCH):
-        links = written(both.mapInArrow(_alike(similarity), "u long, v long"), "true_links")
+        links = written(both.mapInArrow(_alike(similarity, False), "u long, v long"), "label_links")
     discard(tiles)
     return links
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members with the label of those that the links join: the least node."""
-    groups = connected_components(links).withColumnRenamed("component", "joined")
-    return members.drop("label").join(groups, "node", "left").withColumn("label", F.coalesce("joined", "node")).drop("joined")
+def _relabelled(labels: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, label) with each label replaced by its root, if it has one."""
+    return labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
 
 
-def true_links(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(u, v): links within the radius and of at least this similarity that join the same nodes as all such links.
+def joined_by_text(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, label): the nodes that are joined to another, the label of a group being one of its nodes.
 
+    Joined are nodes within the radius and of at least this similarity, directly or over others.
     members has node, component (of the links within the radius), n, lanes and text. A component
     of one tile is checked there. In a larger one each tile is checked, then one node of each label
     found stands for it in new, fewer tiles, as long as that joins more; last, the labels left are
@@ -396,21 +417,25 @@ def true_links(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     a large group of copies is joined without meeting itself tile by tile.
     """
     tiled = written(_tiled(members.withColumn("label", F.col("node"))), "members")
-    links = [_inside(tiled, similarity)]
-    large = tiled.filter("tiles > 1").drop("tiles", "tile")
+    done, roots = [tiled], _inside(tiled, similarity)
+    large = tiled.filter("tiles > 1").drop("tiles", "tile", "label")
     left = large.count()
-    standing = tiled.filter("tiles > 1")
-    while left:
-        every = reduce(DataFrame.unionByName, links)
-        one = F.min(F.struct("node", "n", "lanes", "text")).alias("one")
-        standing = written(_tiled(_labelled(standing, every).groupBy("component", "label").agg(one).select("component", "label", "one.*")), "members")
-        if (now := standing.count()) >= left:
-            break
-        left = now
-        links.append(_inside(standing, similarity))
+    small = roots.join(tiled.filter("tiles = 1").select(F.col("node").alias("label")), "label", "left_semi") if left else roots
+    out = small.select(F.col("label").alias("node"), F.col("root").alias("label"))
     if left:
-        links.append(_across(_labelled(large, reduce(DataFrame.unionByName, links)), similarity))
-    return reduce(DataFrame.unionByName, links)
+        labels = written(_relabelled(large.select("node", F.col("node").alias("label")), roots), "labels")
+        while True:
+            standing = written(_tiled(large.join(labels, "node").filter("node = label")), "members")
+            done.append(standing)
+            now = standing.count()
+            if now >= left:
+                break
+            left, labels = now, written(_relabelled(labels, _inside(standing, similarity)), "labels")
+        groups = connected_components(_across(large.join(labels, "node"), similarity))
+        labels = _relabelled(labels, groups.select(F.col("node").alias("label"), F.col("component").alias("root")))
+        out = written(out.unionByName(labels.filter("node <> label")), "labels")
+    discard(*done)
+    return out
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -438,14 +463,17 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     nodes = prints.groupBy("shingles").agg(least.alias("least"), F.first("lanes").alias("lanes"), F.first("n").alias("n"))
     nodes = nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("band", F.floor(F.log("n") / math.log(1 / similarity)).cast("int"))
     nodes = written(nodes.select("node", "shingles", "least", "lanes", "n", "band"), "shingle_sets")
-    candidates = connected_components(near_links(*band_tiles(nodes, DEDUP_RADIUS), DEDUP_RADIUS, 8))
+    near = near_links(*band_tiles(nodes, DEDUP_RADIUS), DEDUP_RADIUS, 8)
+    candidates = connected_components(near)
     members = nodes.join(candidates, "node").select("node", "component", "n", "lanes", *[F.col(f"least.{k}").alias(k) for k in KEY])
     members = keyed.select(*KEY, "text").dropDuplicates(KEY).join(members, KEY).drop(*KEY)
-    groups = connected_components(true_links(members, similarity))
-    labelled = nodes.join(groups, "node", "left").select("shingles", F.coalesce("component", "node").alias("label"), "least")
+    groups = joined_by_text(members, similarity)
+    labelled = nodes.join(groups, "node", "left").select("shingles", F.coalesce("label", "node").alias("label"), "least")
     named = labelled.join(labelled.groupBy("label").agg(F.min("least").alias("first")), "label").select("shingles", "first")
     found = prints.join(named, "shingles").select(*KEY, "doc_id", F.col("first.doc_id").alias("component_id"), *[F.col(f"first.{k}").alias(f"first{k}") for k in KEY])
-    return written(found.distinct(), "near_copies")
+    found = written(found.distinct(), "near_copies")
+    discard(prints, nodes, near, candidates, groups)
+    return found
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
