@@ -92,15 +92,50 @@ def test_sentencepiece_equals_the_library(spark, odd, empty):
         assert sentencepiece_lattice.decode(r["ids"], model) == (t or "").replace("▁", " ")
 
 
+def made_words(seed, letters, count=400):
+    rng = random.Random(seed)
+    return sorted({"▁" * rng.randrange(0, 3) + "".join(rng.choice(letters) for _ in range(rng.randrange(2, 20))) for _ in range(count)})
+
+
+def by_cuts(word, cuts):
+    at = [i for i in range(len(word) + 1) if cuts >> i & 1]
+    return [word[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
 def test_lattice_cuts_equal_merges(spark):
-    model = sentencepiece_lattice.load_model()
+    """Also with made ranks, under which many pieces fall due again after their turn."""
+    load = sentencepiece_lattice.load_model()
     rng = random.Random(2)
-    vocabulary = sorted({"▁" * rng.randrange(0, 3) + "".join(rng.choice("etaoinshrdlu,.é漢") for _ in range(rng.randrange(2, 20))) for _ in range(400)})
-    df = spark.createDataFrame([(w, [0]) for w in vocabulary], "word string, parts array<int>")
-    f = sentencepiece_lattice.lattice(df, model)
-    for r in f.select("word", sentencepiece_lattice._cuts(F.length("word"), F.col("keys"), F.col("ranks")).alias("cuts")).collect():
-        at = [i for i in range(len(r["word"]) + 1) if r["cuts"] >> i & 1]
-        assert [r["word"][a:b] for a, b in zip(at, at[1:], strict=False)] == sentencepiece_lattice.merged(r["word"], model.ranks)
+    pieces = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(2, 6))) for _ in range(150)})
+    made = sentencepiece_lattice.Model(pieces, {p: k for k, p in enumerate(rng.sample(pieces, len(pieces)))}, {}, 0)
+    for model, vocabulary in ((load, made_words(2, "etaoinshrdlu,.é漢")), (made, made_words(3, "abc", 600))):
+        words = spark.createDataFrame([(w, [0]) for w in vocabulary], "word string, parts array<int>")
+        got = sentencepiece_lattice.lattice(words, model).select("word", sentencepiece_lattice.merge_cuts(F.length("word"), F.col("edges")).alias("cuts")).collect()
+        assert len(got) > 300
+        for r in got:
+            assert by_cuts(r["word"], r["cuts"]) == sentencepiece_lattice.merged(r["word"], model.ranks)
+
+
+def test_viterbi_fold_equals_dense_viterbi(spark, odd, empty):
+    rng = random.Random(5)
+    pieces = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) for _ in range(80)} | {"▁"})
+    scores = {p: -rng.random() * 5 - 1 for p in pieces}
+    model = sentencepiece_lattice.Model([*pieces, "<0x00>"], {p: k for k, p in enumerate(pieces)}, {p: k for k, p in enumerate(pieces)}, len(pieces), scores)
+    vocabulary = made_words(6, "abcd")
+    words = spark.createDataFrame([(w, [0]) for w in vocabulary], "word string, parts array<int>")
+    got = sentencepiece_lattice.lattice(words, model).select("word", sentencepiece_lattice.viterbi_cuts(F.length("word"), F.col("edges")).alias("cuts")).collect()
+    assert len(got) == len(vocabulary)
+    unknown = min(scores.values()) - sentencepiece_lattice.UNKNOWN_PENALTY
+    for r in got:
+        w, best = r["word"], [0.0] + [-1e300] * len(r["word"])
+        for e in range(1, len(w) + 1):
+            best[e] = max(best[s] + scores.get(w[s:e], unknown if e - s == 1 else -1e300) for s in range(e))
+        path = by_cuts(w, r["cuts"])
+        assert "".join(path) == w and path == sentencepiece_lattice.best_path(w, scores)
+        assert sum(scores.get(p, unknown) for p in path) == pytest.approx(best[-1])
+    found = sentencepiece_lattice.encode_documents(spark.createDataFrame([(1, "abcab cab"), (2, None)], "doc_id long, text string"), model).collect()
+    want = [p for w in ("▁abcab", "▁cab") for p in sentencepiece_lattice.best_path(w, scores)]
+    assert {r["doc_id"]: r["ids"] for r in found} == {1: [model.ids[p] for p in want], 2: []}
 
 
 def brute_print(text):
@@ -143,8 +178,8 @@ def test_tiles_find_all_links(spark):
     base = rng.integers(0, 2**63, 60, dtype=np.int64)
     near = [int(b) ^ sum(1 << int(k) for k in rng.choice(62, rng.integers(1, 5), replace=False)) for b in base for _ in range(4)]
     nodes = sorted({*map(int, base), *near, 0, 1, 3, 7, 15})
-    df = spark.createDataFrame([(n, [n], 0) for n in nodes], "node long, lanes array<long>, band int")
-    found = components.connected_components(simhash.near_links(df, 3, 4))
+    df = spark.createDataFrame([(n, [n]) for n in nodes], "node long, lanes array<long>")
+    found = components.connected_components(simhash.near_links(*simhash.part_tiles(df, 3, 4), 3, 100))
     got = {n: n for n in nodes} | {r["node"]: r["component"] for r in found.collect()}
     assert got == brute_components(nodes, lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1") <= 3)
 
@@ -168,6 +203,26 @@ def test_components_of_a_long_path(spark):
     assert got == {i: 0 for i in range(101)} | {200: 200, 201: 200}
 
 
+@pytest.mark.parametrize("tile", [8192, 7])
+def test_wide_tiles_find_all_links(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "DEDUP_TILE", tile)
+    rng = np.random.default_rng(8)
+    base = rng.integers(-(2**63), 2**63, (30, 4), dtype=np.int64).tolist()
+    lanes = [list(b) for b in base]
+    for b in base:
+        for _ in range(3):
+            x = [v % 2**64 for v in b]
+            for k in rng.choice(256, rng.integers(10, 60), replace=False).tolist():
+                x[k // 64] ^= 1 << (k % 64)
+            lanes.append([v - 2**64 if v >= 2**63 else v for v in x])
+    band = [int(x) for x in rng.integers(0, 4, len(lanes))]
+    df = spark.createDataFrame(list(zip(range(len(lanes)), lanes, band, strict=True)), "node long, lanes array<long>, band int")
+    found = components.connected_components(simhash.near_links(*simhash.band_tiles(df, 50), 50, 8))
+    got = {n: n for n in range(len(lanes))} | {r["node"]: r["component"] for r in found.collect()}
+    bits = lambda i, j: sum(bin((a ^ b) & (2**64 - 1)).count("1") for a, b in zip(lanes[i], lanes[j], strict=True))
+    assert got == brute_components(range(len(lanes)), lambda i, j: abs(band[i] - band[j]) <= 1 and bits(i, j) <= 50)
+
+
 def test_near_copies_leave_one(spark, odd, empty):
     rng = random.Random(9)
     voc = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
@@ -181,8 +236,15 @@ def test_near_copies_leave_one(spark, odd, empty):
             near.append(" ".join(x))
     docs = docs_of(spark, base + near + base)
     assert sorted(r["doc_id"] for r in simhash.drop_near_copies(docs).collect()) == list(range(6))
-    kept = simhash.drop_near_copies(odd)
-    assert kept.columns == odd.columns and kept.filter("doc_id is null").count() == 2 and simhash.drop_near_copies(empty).count() == 0
+    other = words(rng, 200, voc)
+    rows = [(7, base[0]), (7, base[1]), (7, near[0]), (None, base[2]), (None, near[6]), (None, other), (None, other), (8, near[3]), (9, None), (None, "")]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = sorted(((r["doc_id"], r["text"]) for r in kept), key=repr)
+    assert [x for x in left if x[1] == other] == [(None, other)] and (9, None) in left and (None, "") not in left
+    assert sum(x[1] in (base[0], near[0]) for x in left) == 1 and sum(x[1] in (base[2], near[6]) for x in left) == 1 and (7, base[1]) in left and (8, near[3]) not in left
+    assert len(left) == 5
+    got = simhash.drop_near_copies(odd)
+    assert got.columns == odd.columns and simhash.drop_near_copies(empty).count() == 0
 
 
 def test_repeated_lines_do_not_merge_texts(spark):
@@ -198,7 +260,7 @@ def test_repeated_lines_do_not_merge_texts(spark):
 
 def test_equal_fingerprints_are_linked_not_merged(spark):
     nodes = spark.createDataFrame([(i, [5, 6, 7, 8], 0) for i in (1, 2, 3)], "node long, lanes array<long>, band int")
-    links = {frozenset((r["u"], r["v"])) for r in simhash.near_links(nodes, simhash.DEDUP_RADIUS, 1).collect()}
+    links = {frozenset((r["u"], r["v"])) for r in simhash.near_links(*simhash.band_tiles(nodes, simhash.DEDUP_RADIUS), simhash.DEDUP_RADIUS, 8).collect()}
     assert links == {frozenset((1, 2)), frozenset((1, 3))}
 
 
@@ -220,12 +282,37 @@ def test_every_near_link_is_checked(spark, monkeypatch, tile):
                 texts.append(" ".join(leaf))
     rng.shuffle(texts)
     sets = [set(simhash.shingles(simhash.words_of(t), 5)) for t in texts]
-    lanes = [simhash.majority(sorted(x), 4) for x in sets]
+    lanes = [simhash.set_lanes(x) for x in simhash.shingle_sets(texts)]
     bits = lambda i, j: sum(bin((a ^ b) & (2**64 - 1)).count("1") for a, b in zip(lanes[i], lanes[j], strict=True))
     want = brute_components(range(len(texts)), lambda i, j: bits(i, j) <= 50 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs_of(spark, texts)).collect()} == want
 
 
+def test_hashed_shingles_are_the_sets():
+    texts = ["a b c d e f", "A  b\tc d e f", "a b c d e f a b c d e f", "x y", "x y z", None, "", "a b c d e", "é b c d e f"]
+    sets = [set(x.tolist()) for x in simhash.shingle_sets(texts)]
+    want = [set(simhash.shingles(simhash.words_of(t), 5)) for t in texts]
+    assert [len(x) for x in sets] == [len(x) for x in want]
+    for a, x in zip(sets, want, strict=True):
+        assert [len(a & b) for b in sets] == [len(x & y) for y in want]
+
+
+def test_near_copies_of_test_data_are_found(spark):
+    """At least 0.9 of all pairs of similarity 0.8 or more are in one group."""
+    from collections import defaultdict
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    sets = {i: set(simhash.shingles(simhash.words_of(t), 5)) for i, t in texts.items()}
+    where = defaultdict(set)
+    for i, s in sets.items():
+        for g in s:
+            where[g].add(i)
+    group = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    true = [(i, j) for i in sets for j in {k for g in sets[i] for k in where[g]} if i != j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(true) > 10 and sum(group[i] == group[j] for i, j in true) >= 0.9 * len(true)
+
+
 def test_classifiers_on_odd_rows(spark, odd, empty, labels, none):
     for m in (quality, toxicity):
         got = m.score_documents(odd, labels)
@@ -291,9 +378,58 @@ def test_fingerprints_against_their_definition(spark, odd, empty):
     assert one["near_next"] == 1.0
 
 
-def test_fingerprints_keep_all_subsets():
+def test_fingerprints_of_repeated_ids(spark):
+    """Rows of one id follow each other by the hash of their texts, over partitions as well."""
+    rng = random.Random(16)
+    voc = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    rows = [(k // 4 if k < 20 else None, words(rng, 30 + k, voc) if k % 7 else None, "x") for k in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hash string").repartition(3)
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    line = sorted(keyed, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["h"]))
+    want = sorted(
+        (str(a["doc_id"]), len(a["t"]), hashlib.sha256(imatch.edited(a["t"], b["t"]).encode()).hexdigest()) for a, b in zip(line, [*line[1:], line[0]], strict=True)
+    )
+    assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in imatch.fingerprint_documents(docs).collect()) == want
+
+
+def test_fingerprints_equal_brute_force(spark):
+    """Signatures name the terms of each subset; likeness and the band follow their definitions."""
     assert imatch.SUBSETS == 24 and imatch.ENOUGH == 8
-    assert len(imatch.Prints(frozenset(["a", "b"])).fingerprint("a b c")) == 24 * imatch.LEVELS
+    rng = random.Random(17)
+    voc = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(200)]
+    texts = [words(rng, n, voc) for n in (1, 3, 10, 50, 50, 200, 200, 800)] + ["", "...", "?", "Zz yY", "zz YY zz"]
+    texts += [imatch.edited(t, u) for t, u in zip(texts, texts[1:], strict=False)]
+    docs = docs_of(spark, texts)
+    distinct = [set(re.findall(r"[^\W_]+", t.lower())) for t in texts]
+    count = {w: sum(w in d for d in distinct) for d in distinct for w in d}
+    band = {w for w, n in count.items() if 2 <= n <= max(2, len(texts) / 5)}
+    name = lambda w: int(imatch.tokens([w])[0][0])
+    lexicon = imatch.lexicon(docs)
+    assert set(lexicon.tolist()) == set(map(name, band))
+    prints = imatch.Prints(lexicon).of(texts)
+    assert prints.shape == (len(texts), imatch.LEVELS * imatch.SUBSETS)
+
+    def members(k):
+        out = [set() for _ in range(imatch.LEVELS * imatch.SUBSETS)]
+        for w in (distinct[k] & band) or distinct[k]:
+            for s in imatch.subsets(np.array([name(w)], dtype=np.uint64))[1]:
+                out[s].add(w)
+        return out
+
+    sets = [members(k) for k in range(len(texts))]
+    for a in range(len(texts)):
+        for b in range(len(texts)):
+            if distinct[a] and distinct[b]:
+                for s in range(imatch.LEVELS * imatch.SUBSETS):
+                    assert (prints[a, s] == 0) == (not sets[a][s]) and (prints[a, s] == prints[b, s]) == (sets[a][s] == sets[b][s])
+                levels = [range(k * 24, k * 24 + 24) for k in range(imatch.LEVELS)]
+                held = [sum(bool(sets[a][s] or sets[b][s]) for s in x) for x in levels]
+                k = max((k for k in range(imatch.LEVELS) if held[k] >= 8), default=max(range(imatch.LEVELS), key=lambda k: (held[k], -k)))
+                same = sum(bool(sets[a][s]) and sets[a][s] == sets[b][s] for s in levels[k])
+                want = 1.0 if sets[a] == sets[b] else same / max(1, held[k])
+                assert imatch.likeness(prints[a : a + 1], prints[b : b + 1])[0] == pytest.approx(want)
+    one, other = texts.index("..."), texts.index("?")
+    assert prints[one].any() and (prints[one] != prints[other]).any() and (prints[texts.index("Zz yY")] == prints[texts.index("zz YY zz")]).all()
 
 
 def test_langid(spark, odd, empty):
@@ -307,11 +443,46 @@ def test_langid(spark, odd, empty):
 
 
 def test_language_filter_returns_all_languages_of_an_ngram():
-    masks = np.zeros(langid.SLOTS, dtype=np.uint64)
+    """Also with more languages than bits in a mask; counts are corrected for false positives."""
+    names = [f"l{k:02d}" for k in range(70)]
+    masks = np.zeros((langid.SLOTS, 2), dtype=np.uint64)
     h = langid.grams(langid.normalised("hello world"), 3)
     for k in range(langid.HASHES):
-        np.bitwise_or.at(masks, langid.slots(h, k), np.uint64(0b101))
-    assert (langid.Filter(["a", "b", "c"], masks).languages_of(h) == 0b101).all()
+        np.bitwise_or.at(masks, (langid.slots(h, k), 0), np.uint64(0b101))
+        np.bitwise_or.at(masks, (langid.slots(h, k), 1), np.uint64(1 << 6))
+    found = langid.Filter(names, masks)
+    assert (found.languages_of(h) == [0b101, 1 << 6]).all()
+    assert np.flatnonzero(found.popcounts(found.languages_of(h))).tolist() == [0, 2, 69]
+
+
+def test_language_decision_equals_brute_force(spark):
+    """With the n-grams of each language in plain sets; the filter only adds false positives."""
+    rng = random.Random(18)
+    parts = {"aa": ["ka", "ti", "mo"], "bb": ["ti", "re", "su"], "cc": ["xo", "re", "ka"]}
+    made = lambda p, n: " ".join("".join(rng.choice(p) for _ in range(3)) for _ in range(n))
+    rows = [(3 * i + k, made(parts[x], 30), x) for i in range(40) for k, x in enumerate(parts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+
+    def grams(text, n):
+        padded = " " + " ".join(re.findall("[a-z]+", text)) + " "
+        return [g for i in range(len(padded) - n + 1) if " " not in (g := padded[i : i + n])[1:-1] and g.strip()]
+
+    sets = {}
+    for x in parts:
+        for n in langid.SIZES:
+            every = [g for r in learned if r[2] == x for g in grams(r[1], n)]
+            sets[x, n] = {g for g in set(every) if every.count(g) / len(every) > langid.MIN_SHARE}
+    for r in langid.predict_languages(docs).collect():
+        text = next(t for i, t, _ in rows if i == r["doc_id"])
+        hits = {x: sum(g in sets[x, n] for n in langid.SIZES for g in grams(text, n)) for x in parts}
+        assert r["lang_pred"] == max(parts, key=lambda x: hits[x]) and r["score"] == pytest.approx(max(hits.values()) / sum(hits.values()), abs=0.01)
+
+
+def test_langid_ties_go_to_the_first_language(spark):
+    docs = spark.createDataFrame([(1, "aaa bbb", "y"), (3, "aaa bbb", "x"), (3, "aaa bbb", "x"), (4, "zzz", None)], "doc_id long, text string, lang string")
+    got = {(r["doc_id"], r["lang_pred"]) for r in langid.predict_languages(docs).collect()}
+    assert got == {(1, "x"), (3, "x"), (4, "x")}
 
 
 def test_leaks_planted_and_paraphrased(spark, odd, empty):
@@ -341,9 +512,9 @@ def test_leaks_planted_and_paraphrased(spark, odd, empty):
 
 def test_edited_items_are_found_at_every_alignment():
     rng = np.random.default_rng(6)
-    latent = decontaminate.Latent(rng.normal(size=(decontaminate.TERMS, 36)).astype(np.float32))
+    latent = decontaminate.Latent(rng.normal(size=(decontaminate.TERMS, 36)).astype(np.float32), np.zeros(decontaminate.TERMS))
     word = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
-    items = [decontaminate.Item(str(n), word(n).tolist()) for n in (9, 13, 19, 22, 40, 90, 150, 400)]
+    items = [decontaminate.Item(str(n), word(n).tolist()) for n in (9, 13, 19, 22, 40, 90, 150, 200, 400, 1000)]
     look = decontaminate.Search(latent, items)
     texts, planted = [], []
     for k, item in enumerate(items):
@@ -357,6 +528,80 @@ def test_edited_items_are_found_at_every_alignment():
     assert set(found) == set(planted) and all(x[2] == "copy" for x in found.values())
 
 
+def test_candidates_equal_all_windows():
+    """Every window whose surroundings hold enough of an item's words, each no more often than the item, is found."""
+    rng = np.random.default_rng(7)
+    latent = decontaminate.Latent(np.ones((decontaminate.TERMS, 3), np.float32), rng.integers(0, 9, decontaminate.TERMS).astype(float))
+    common, rare = rng.integers(0, 2**63, 12).astype(np.uint64), rng.integers(0, 2**63, 60).astype(np.uint64)
+    made = lambda n: np.where(rng.random(n) < 0.5, rng.choice(common, n), rng.choice(rare, n))
+    items = [decontaminate.Item(str(n), made(n).tolist()) for n in (1, 2, 5, 8, 11, 17, 30, 55, 90)]
+    look = decontaminate.Search(latent, items)
+    texts = [made(n) for n in (0, 1, 3, 40, 200, 0, 333)] + [np.r_[made(20), np.array(items[k].words, dtype=np.uint64), made(30)] for k in range(9)]
+    starts = np.cumsum([0, *map(len, texts)])
+    got = {x[:4] for x in look.candidates(np.concatenate(texts), starts)}
+    want = set()
+    for t, text in enumerate(texts):
+        for k, item in enumerate(items):
+            width, step, margin = look.width[k], look.step[k], look.margin[k]
+            for nth in range(max(0, -(-(len(text) - width) // step)) + 1 if len(text) else 0):
+                at = min(nth * step, max(len(text) - width, 0))
+                begin, end = max(at - margin, 0), min(min(at + width, len(text)) + margin, len(text))
+                region = text[begin:end].tolist()
+                if sum(min(region.count(w), item.words.count(w)) for w in set(item.words)) >= look.least[k]:
+                    want.add((t, k, int(starts[t] + begin), int(starts[t] + end)))
+    assert got == want and len(got) > 50
+
+
+def test_paraphrase_needs_the_answer():
+    rng = np.random.default_rng(11)
+    latent = decontaminate.Latent(np.ones((decontaminate.TERMS, 3), np.float32), np.zeros(decontaminate.TERMS))
+    item = decontaminate.Item("i", rng.integers(0, 2**63, 40).tolist())
+    look = decontaminate.Search(latent, [item])
+    for gone, kind in ((range(0, 14), "paraphrase"), (range(26, 40), None), (range(0, 5), "copy")):
+        text = np.array(item.words, dtype=np.uint64)
+        text[list(gone)] = rng.integers(0, 2**63, len(gone)).astype(np.uint64)
+        found = look(text, np.array([0, len(text)]))
+        assert found == {} if kind is None else found[0, 0][2] == kind
+
+
+def test_latent_factors_equal_numpys(spark):
+    """The factors span the leading right singular vectors of the passages' TF-IDF matrix."""
+    rng = random.Random(13)
+    topics = [[f"t{k}w{i}" for i in range(6)] for k in range(60)]
+    docs = docs_of(spark, [words(rng, 32, topics[k % 60][:]) for k in range(600)])
+    latent = decontaminate.fit(docs.repartition(5))
+    a = np.zeros((600, decontaminate.TERMS))
+    for k, r in enumerate(docs.collect()):
+        np.add.at(a[k], decontaminate.terms_of(decontaminate.tokens([r["text"]])[0]), 1)
+    idf = np.log((1 + 600) / (1 + (a > 0).sum(0)))
+    assert np.array_equal(latent.passages, (a > 0).sum(0))
+    a *= idf
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    held = np.flatnonzero(a.any(0))
+    _, _, right = np.linalg.svd(a[:, held], full_matrices=False)
+    top = right[: decontaminate.RANK + decontaminate.OVERSAMPLE]
+    found = latent.factors[held] / idf[held, None]
+    assert found.shape[1] == decontaminate.RANK - decontaminate.SKIPPED
+    kept = np.linalg.norm(top @ found, axis=0)
+    assert kept.min() > 0.5 and np.median(kept) > 0.8
+
+
+def test_leaks_with_odd_ids_and_blocks(spark, monkeypatch):
+    rng = random.Random(15)
+    voc = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(2000)]
+    items = [words(rng, n, voc) for n in (6, 12, 40, 150)]
+    bench = spark.createDataFrame([(f"i{k}", t, "x") for k, t in enumerate(items)] + [("none", None, "x"), ("empty", "..", "x")], "item_id string, text string, doc_id string")
+    texts = [words(rng, 50, voc) + " " + t + " " + words(rng, 60, voc) for t in items]
+    rows = [("a", texts[0], "x"), (None, texts[1], "x"), ("b", texts[2], "x"), ("b", texts[2], "x"), ("b", words(rng, 90, voc), "x"), (None, words(rng, 90, voc), "x"), ("c", texts[3], "x"), ("d", None, "x"), ("e", "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, item_id string")
+    for chars in (4_000_000, 200):
+        monkeypatch.setattr(decontaminate, "ITEM_CHARS", chars)
+        found = sorted((str(r["doc_id"]), r["item_id"]) for r in decontaminate.leaks(docs, bench).collect())
+        assert found == [("None", "i1"), ("a", "i0"), ("b", "i2"), ("b", "i2"), ("c", "i3")]
+        left = decontaminate.drop_leaks(docs, bench)
+        assert left.columns == docs.columns and sorted(str(r["doc_id"]) for r in left.collect()) == ["None", "b", "d", "e"]
+
+
 def test_common_subsequence_equals_table():
     rng = random.Random(1)
     for _ in range(100):
