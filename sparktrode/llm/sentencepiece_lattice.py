@@ -17,7 +17,6 @@ the same rule.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import re
 from array import array
@@ -27,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -44,6 +44,8 @@ WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: Nor has any piece a Latin letter before a character that is no letter, digit or space mark.
 CUT = re.compile(f"(?<=[A-Za-zÀ-ɏ])(?=[^\\w{SPACE}]|_)")
 WORDS_HELD = 1_000_000
+#: Ids of distinct runs that a task holds before it starts anew.
+IDS_HELD = 4_000_000
 #: An edge is packed into an int, so ranks stay below this; a task groups the edges of so many
 #: words by hash before it sorts.
 RANKS = 1 << 16
@@ -222,9 +224,9 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lattice(words: DataFrame, model: Model) -> DataFrame:
-    """(word, edges): the edges of each word, grouped by word.
+    """(word, parts, edges): the edges of each word, grouped by word.
 
-    words is dealt by word, so neither the explosion nor the broadcast of the piece table (its
+    words has word and parts and is dealt by word, so neither the explosion nor the broadcast of the piece table (its
     size is the model's) moves a row; the grouping needs no shuffle.
     """
     spark, n = words.sparkSession, F.length("word")
@@ -235,77 +237,123 @@ def lattice(words: DataFrame, model: Model) -> DataFrame:
         pieces = spark.createDataFrame(list(model.scores.items()), "piece string, score double")
         unknown = min(model.scores.values()) - UNKNOWN_PENALTY
         least, edge = 1, F.struct("s", "e", F.coalesce("score", F.lit(unknown)).alias("score"))
-    spans = words.select("word", F.explode(F.sequence(F.lit(0), n - least)).alias("s"))
-    spans = spans.select("word", "s", F.explode(F.sequence(F.col("s") + least, F.least(n, F.col("s") + model.longest))).alias("e"))
+    spans = words.select("word", "parts", F.explode(F.sequence(F.lit(0), n - least)).alias("s"))
+    spans = spans.select("word", "parts", "s", F.explode(F.sequence(F.col("s") + least, F.least(n, F.col("s") + model.longest))).alias("e"))
     edges = spans.withColumn("piece", F.expr("substring(word, s + 1, e - s)")).join(F.broadcast(pieces), "piece", "inner" if least == 2 else "left")
     if least == 1:  # a character is an edge, known or not
         edges = edges.filter("score is not null or e - s = 1")
-    return edges.groupBy("word").agg(F.collect_list(edge).alias("edges"))
+    return edges.groupBy("word").agg(F.first("parts").alias("parts"), F.collect_list(edge).alias("edges"))
 
 
 def cut_words(docs: DataFrame, model: Model, text: str = "text") -> str:
     """Write the cuts of the words of each partition of docs; returns the folder.
 
-    The words are dealt by hash once; both their distinct set and the join that sends the cuts
-    back read that one shuffle. A word without edges has all its places cut.
+    The words are dealt by hash once and grouped where they arrive; each carries the partitions
+    that hold it. A word without edges needs no fold and no row.
     """
     spark = docs.sparkSession
     seen = docs.select(text).mapInArrow(_distinct, "part int, word string").repartition("word")
     fold = merge_cuts if model.scores is None else viterbi_cuts
-    cut = lattice(seen.select("word").distinct(), model).select("word", fold(F.length("word"), F.col("edges")).alias("cuts"))
-    found = seen.join(cut.hint("shuffle_hash"), "word", "left").select("part", "word", "cuts")
+    words = seen.groupBy("word").agg(F.collect_list("part").alias("parts"))
+    cut = lattice(words, model).select("parts", "word", fold(F.length("word"), F.col("edges")).alias("cuts"))
+    found = cut.select(F.explode("parts").alias("part"), "word", "cuts")
     path = new_path(spark, "cuts")
     with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", HASHED_WORDS):
         found.repartition("part").sortWithinPartitions("part", "word").write.partitionBy("part").parquet(path)
     return path
 
 
-@functools.lru_cache(maxsize=1 << 16)
-def _slices(cuts: int) -> list[slice]:
-    at = [i for i in range(cuts.bit_length()) if cuts >> i & 1]
-    return [slice(a, b) for a, b in zip(at, at[1:], strict=False)]
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each size, one after the other."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - begin, size)
 
 
-class Encoder(dict):
-    """Runs of one partition to ids, by the cuts that the lattice gave; prefix is put before each."""
+@dataclass(frozen=True)
+class Words:
+    """Words and their ids, end to end."""
 
-    def __init__(self, model: Model, cuts: dict[str, int | None], prefix: str):
-        super().__init__()
-        self.model, self.cuts, self.prefix = model, cuts, prefix
+    number: dict[str, int]
+    ids: list[int]
+    ends: list[int]
 
-    def pieces(self, word: str) -> list[str]:
-        if len(word) == 1 or (cuts := self.cuts.get(word, 0)) is None:
-            return list(word)
-        if not cuts:
-            return merged(word, self.model.ranks) if self.model.scores is None else best_path(word, self.model.scores)
-        return [word[x] for x in _slices(cuts)]
+    def of(self, word: str) -> list[int] | None:
+        k = self.number.get(word)
+        return None if k is None else self.ids[self.ends[k] : self.ends[k + 1]]
 
-    def __missing__(self, bare: str) -> tuple[int, ...]:
-        ids, found, run = self.model.ids, [], self.prefix + bare
-        for word in (run,) if bare.isalnum() else CUT.split(run):
-            for p in self.pieces(word):
-                if (i := ids.get(p)) is not None:
-                    found.append(i)
-                else:
-                    found += [self.model.first_byte + x for x in p.encode()]
-        out = tuple(found)
-        if len(bare) <= LATTICE_CHARS:
-            if len(self) > WORDS_HELD:
-                self.clear()
-            self[bare] = out
-        return out
-
-
-def read_cuts(folder: str, part: int) -> dict[str, int | None]:
-    """The words of one partition and their cuts."""
+
+def cut_ids(words: pa.Array, cuts: np.ndarray, model: Model) -> Words:
+    """The ids of words by their cuts, of all words at once: the pieces lie end to end in the words' bytes.
+
+    A piece that the model lacks is spelt in bytes.
+    """
+    names = words.to_numpy(zero_copy_only=False).tolist()
+    data = np.frombuffer("".join(names).encode(), dtype=np.uint8)
+    heads = np.flatnonzero((data & 0xC0) != 0x80)  # first bytes of characters
+    chars = pc.utf8_length(words).to_numpy().astype(np.int64)
+    inner = (cuts ^ (np.uint64(1) << chars.astype(np.uint64))).astype("<u8")  # without the end of the word
+    word, at = np.divmod(np.flatnonzero(np.unpackbits(inner.view(np.uint8), bitorder="little")), 64)
+    first = heads[(np.cumsum(chars) - chars)[word] + at] if len(word) else np.zeros(0, np.int64)
+    offsets = np.r_[first, len(data)].astype(np.int32)
+    pieces = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(data))
+    at = pc.index_in(pieces, pa.array(list(model.ids), pa.string()))
+    known = np.array(list(model.ids.values()), dtype=np.int32)[pc.fill_null(at, 0).to_numpy()] if len(first) else np.zeros(0, np.int32)
+    lost = at.is_null().to_numpy(zero_copy_only=False)
+    size = np.where(lost, np.diff(offsets), 1)
+    ids = np.repeat(known, size)
+    ids[np.repeat(lost, size)] = model.first_byte + data[_spread(first[lost], size[lost])]
+    ends = np.r_[0, np.cumsum(np.bincount(word, size, len(words)).astype(np.int64))]
+    return Words(dict(zip(names, range(len(names)), strict=True)), ids.tolist(), ends.tolist())
+
+
+def read_words(folder: str, part: int, model: Model) -> Words:
+    """The words of one partition and their ids, from the partition's files."""
     store, at = pafs.FileSystem.from_uri(folder)
-    cuts: dict[str, int | None] = {}
+    tables = []
     for file in store.get_file_info(pafs.FileSelector(f"{at}/part={part}", allow_not_found=True)):
         if file.path.endswith(".parquet"):
             with store.open_input_file(file.path) as source:
-                t = pq.read_table(source, columns=["word", "cuts"])
-            cuts.update(zip(t.column("word").to_pylist(), t.column("cuts").to_pylist(), strict=True))
-    return cuts
+                tables.append(pq.read_table(source, columns=["word", "cuts"]))
+    if not tables:
+        return Words({}, [], [0])
+    t = pa.concat_tables(tables).combine_chunks()
+    return cut_ids(t.column("word").combine_chunks(), t.column("cuts").to_numpy().astype(np.uint64), model)
+
+
+class Runs:
+    """Ids of the runs met so far, end to end."""
+
+    def __init__(self) -> None:
+        self.ids, self.ends = array("i"), array("q", [0])
+
+
+class Encoder(dict):
+    """Runs of one partition to their numbers among `runs`; prefix is put before each.
+
+    A word that the lattice didn't cut, as it is too long, has no edge or the rows were dealt anew,
+    is encoded here by the model's rule.
+    """
+
+    def __init__(self, model: Model, words: Words, prefix: str, runs: Runs):
+        super().__init__()
+        self.model, self.words, self.prefix, self.runs = model, words, prefix, runs
+
+    def spelt(self, word: str) -> list[int]:
+        ids, found = self.model.ids, []
+        for p in merged(word, self.model.ranks) if self.model.scores is None else best_path(word, self.model.scores):
+            found += [i] if (i := ids.get(p)) is not None else [self.model.first_byte + x for x in p.encode()]
+        return found
+
+    def __missing__(self, bare: str) -> int:
+        run = self.prefix + bare
+        for word in (run,) if bare.isalnum() else CUT.split(run):
+            if len(word) == 1 and (i := self.model.ids.get(word)) is not None:
+                self.runs.ids.append(i)
+            else:
+                found = self.words.of(word)
+                self.runs.ids.extend(self.spelt(word) if found is None else found)
+        self.runs.ends.append(len(self.runs.ids))
+        self[bare] = number = len(self.runs.ends) - 2
+        return number
 
 
 def decode(ids: list[int], model: Model) -> str:
@@ -317,22 +365,31 @@ def decode(ids: list[int], model: Model) -> str:
 
 def _encode(model: Model, folder: str, text: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = read_cuts(folder, TaskContext.get().partitionId())
-        encoders = {prefix: Encoder(model, cuts, prefix).__getitem__ for prefix in ("", SPACE)}
-        first = model.first_byte
+        words, first = read_words(folder, TaskContext.get().partitionId(), model), model.first_byte
         raw = [bytes([i - first]) if first <= i < first + 256 else p.encode() for i, p in enumerate(model.pieces)]
+        letters, size_of = np.frombuffer(b"".join(raw), dtype=np.uint8), np.array([len(x) for x in raw])
+        begin_of, runs, number = np.cumsum(size_of) - size_of, Runs(), {}
         for batch in batches:
-            flat, ends, texts = array("i"), [0], []
-            for t in batch.column(text).to_pylist():
-                begin = len(flat)
-                for prefix, words in split(t) if t else ():
-                    flat.extend(chain.from_iterable(map(encoders[prefix], words)))
-                ends.append(len(flat))
-                if decoded:
-                    back = b"".join(map(raw.__getitem__, flat[begin:])).decode("utf-8", "replace").replace(SPACE, " ")
-                    texts.append(None if t is None else back[1:])
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32) if flat else [], pa.int32()))
-            columns = [*batch.columns, ids, pa.array(np.diff(ends), pa.int32())] + ([pa.array(texts, pa.string())] if decoded else [])
+            if not number or len(runs.ids) > IDS_HELD:
+                runs = Runs()
+                number = {prefix: Encoder(model, words, prefix, runs).__getitem__ for prefix in ("", SPACE)}
+            line, ends, given = array("i"), [0], batch.column(text).to_pylist()
+            for t in given:
+                for prefix, found in split(t) if t else ():
+                    line.extend(map(number[prefix], found))
+                ends.append(len(line))
+            rows = np.frombuffer(line, dtype=np.int32) if line else np.zeros(0, np.int32)
+            held, stops = np.array(runs.ids, dtype=np.int32), np.array(runs.ends)
+            size = stops[rows + 1] - stops[rows]
+            flat = held[_spread(stops[rows], size)]
+            ends = np.r_[0, np.cumsum(size)][ends]
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            columns = [*batch.columns, ids, pa.array(np.diff(ends), pa.int32())]
+            if decoded:
+                data = letters[_spread(begin_of[flat], size_of[flat])].tobytes()
+                at = np.r_[0, np.cumsum(size_of[flat])][ends].tolist()
+                back = (data[a:b].decode("utf-8", "replace").replace(SPACE, " ")[1:] for a, b in zip(at, at[1:], strict=False))
+                columns.append(pa.array([None if t is None else x for t, x in zip(given, back, strict=True)], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "ids", "n_tokens"] + ["decoded"] * decoded)
 
     return run
