@@ -45,7 +45,7 @@ WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 CUT = re.compile(f"(?<=[A-Za-zÀ-ɏ])(?=[^\\w{SPACE}]|_)")
 WORDS_HELD = 1_000_000
 #: Ids of distinct runs that a task holds before it starts anew.
-IDS_HELD = 4_000_000
+IDS_HELD = 1_500_000
 #: An edge is packed into an int, so ranks stay below this; a task groups the edges of so many
 #: words by hash before it sorts.
 RANKS = 1 << 16
@@ -273,10 +273,10 @@ class Words:
     """Words and their ids, end to end."""
 
     number: dict[str, int]
-    ids: list[int]
-    ends: list[int]
+    ids: array
+    ends: array
 
-    def of(self, word: str) -> list[int] | None:
+    def of(self, word: str) -> array | None:
         k = self.number.get(word)
         return None if k is None else self.ids[self.ends[k] : self.ends[k + 1]]
 
@@ -302,7 +302,7 @@ def cut_ids(words: pa.Array, cuts: np.ndarray, model: Model) -> Words:
     ids = np.repeat(known, size)
     ids[np.repeat(lost, size)] = model.first_byte + data[_spread(first[lost], size[lost])]
     ends = np.r_[0, np.cumsum(np.bincount(word, size, len(words)).astype(np.int64))]
-    return Words(dict(zip(names, range(len(names)), strict=True)), ids.tolist(), ends.tolist())
+    return Words(dict(zip(names, range(len(names)), strict=True)), array("i", ids.astype(np.int32).tobytes()), array("q", ends.astype(np.int64).tobytes()))
 
 
 def read_words(folder: str, part: int, model: Model) -> Words:
@@ -314,7 +314,7 @@ def read_words(folder: str, part: int, model: Model) -> Words:
             with store.open_input_file(file.path) as source:
                 tables.append(pq.read_table(source, columns=["word", "cuts"]))
     if not tables:
-        return Words({}, [], [0])
+        return Words({}, array("i"), array("q", [0]))
     t = pa.concat_tables(tables).combine_chunks()
     return cut_ids(t.column("word").combine_chunks(), t.column("cuts").to_numpy().astype(np.uint64), model)
 
