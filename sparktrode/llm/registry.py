@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, imatch, langid, quality, sentencepiece_lattice, sharding, simhash, sql, toxicity, url_filter, warc
+from . import decontaminate, imatch, langid, quality, sentencepiece_lattice, sharding, simhash, sql, suffixes, toxicity, url_filter, warc
 from .common import table
 
 
@@ -53,12 +53,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_sentencepiece, op3_simhash, op4_toxicity, op5_fingerprints, op6_langid, op7_decontamination, op8_warc, op9_url_filter, op10_quality, pipeline)}
+    every = (
+        op1_sharding, op2_sentencepiece, op3_simhash, op4_toxicity, op5_fingerprints, op6_langid, op7_decontamination, op8_warc, op9_url_filter, op10_quality,
+        op13_suffix_array, pipeline,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
