@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import alignment, decontaminate, imatch, langid, quality, sentencepiece_lattice, sharding, simhash, sql, suffixes, toxicity, url_filter, warc
+from . import alignment, decontaminate, imatch, langid, phrases, quality, sentencepiece_lattice, sharding, simhash, sql, suffixes, toxicity, url_filter, warc
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeat_digests(table(spark, sf_dir, "documents"))
 
@@ -68,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_sharding, op2_sentencepiece, op3_simhash, op4_toxicity, op5_fingerprints, op6_langid, op7_decontamination, op8_warc, op9_url_filter, op10_quality,
-        op11_alignment, op13_suffix_array, pipeline,
+        op11_alignment, op12_phrases, op13_suffix_array, pipeline,
     )
     return {f.__name__: f for f in every}
 
