@@ -46,7 +46,7 @@ def _tokens(a: np.ndarray) -> np.ndarray:
 def anchors(lot: Lot) -> tuple[np.ndarray, np.ndarray]:
     """Places of all anchors of a lot, ascending, and the hashes of the LEAD bytes there."""
     places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for i, j in lot.pieces():
+    for i, j in lot.pieces(1 << 18):
         at, end = lot.starts[i], lot.starts[j]
         if end - at < WIDTH:
             continue
@@ -68,7 +68,7 @@ def anchors(lot: Lot) -> tuple[np.ndarray, np.ndarray]:
             chosen = where[inside]
             own = chosen[np.r_[True, chosen[1:] != chosen[:-1]]]
             places.append(own.astype(np.int64) + at)
-            hashes.append(h[own])
+            hashes.append(mixed(h[own]))  # the least of many are small: spread over all buckets again
     return np.concatenate(places), np.concatenate(hashes)
 
 
