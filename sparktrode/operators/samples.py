@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from sparktrode.functions.labels import is_marker
+from sparktrode.sources.tables import written
 
 SERIES = ["recording_index", "channel"]
 #: Samples in a block: the unit of parallel work, so a long series is never one task.
@@ -33,6 +34,19 @@ def with_previous(samples: DataFrame, column: str, keys: list[str] | None = None
     return blocked(samples, 1, block).withColumn("previous", F.lag(column).over(line)).filter("own").drop("block", "own")
 
 
+def in_cells(points: DataFrame, samples: DataFrame, before: int, after: int) -> DataFrame:
+    """Each point with the samples (m, x_uv) of the one or two cells that its window touches.
+
+    The window is n - before to n + after - 1, and a cell as long as that; points and samples meet
+    on equal (series, cell), so a point is compared with two windows' worth of samples at most,
+    however long the series.
+    """
+    size = before + after
+    cells = F.sequence(F.floor((F.col("n") - before) / size), F.floor((F.col("n") + (after - 1)) / size))
+    line = samples.select(*SERIES, F.col("n").alias("m"), "x_uv", F.floor(F.col("n") / size).alias("cell"))
+    return points.withColumn("cell", F.explode(cells)).join(line, [*SERIES, "cell"]).drop("cell")
+
+
 def time_column(df: DataFrame) -> str:
     """The time column's name: a known name, else the first numeric column that strictly rises.
 
@@ -59,24 +73,55 @@ def time_column(df: DataFrame) -> str:
     raise ValueError("no time column")
 
 
-def medians(df: DataFrame, keys: list[str], value: Column, accuracy: int = 100_000) -> DataFrame:
-    """(keys, median) of the values that aren't null, exact, without a group in one task.
+def _steps(v: Column) -> Column:
+    """A number of 16 bits that never falls as v rises: its sign, and its logarithm in steps of 1/22."""
+    size = F.floor(F.least(F.ln(F.abs(v)), F.lit(1000.0)) * 22) + 16400
+    return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, size).otherwise(-size)
+
+
+def _descend(counts: DataFrame, targets: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """targets with `by`, the value of it where the rank lies, and the rank among its rows.
+
+    counts has keys, `by` and c; a group of keys has no more rows than there are values of `by`.
+    """
+    line = W.partitionBy(*keys).orderBy(by)
+    upto = counts.withColumn("upto", F.sum("c").over(line))
+    at = targets.join(upto, keys).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
+    return at.withColumn("rank", F.col("rank") - F.col("upto") + F.col("c")).drop("upto", "c")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: Column, q: float = 0.5, parts: int = 65_536) -> DataFrame:
+    """(keys, quantile) of the values that aren't null or NaN, exact, between the two nearest ranks.
 
-    Approximate quantiles bound the middle; the values between the bounds are few, and with the
-    count of those below they give the middle ones.
+    Selection by steps: values are counted by 16 bits of their size, one row for each key and step;
+    only those of the steps that hold the two ranks are kept, as a table, and there the same is done
+    with `parts` equal parts of what is left, before single values are counted. df is read twice.
     """
-    rows = df.select(*keys, value.alias("__v")).filter("__v is not null")
-    near = 4.0 / accuracy
-    bounds = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("__v", [0.5 - near, 0.5 + near], accuracy).alias("q"))
-    v, low, high = F.col("__v"), F.col("q")[0], F.col("q")[1]
-    side = F.when(v < low, -1).when(v > high, 1).otherwise(0)
-    both = rows.join(bounds, keys) if keys else rows.crossJoin(F.broadcast(bounds))  # without keys one row
-    counts = both.select(*keys, "n", side.alias("side"), F.when(side == 0, v).alias("__v")).groupBy(*keys, "n", "side", "__v").agg(F.count(F.lit(1)).alias("c"))
-    line = W.partitionBy(*keys).orderBy("side", "__v")
-    upto = counts.withColumn("upto", F.sum("c").over(line)).filter("side = 0")
-    first, second = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("__v")))
-    return upto.groupBy(*keys).agg((0.5 * at(first) + 0.5 * at(second)).alias("median"))
+    all_keys = keys or ["__all"]
+    rows = df.select(*(keys or [F.lit(0).alias("__all")]), value.cast("double").alias("__v")).filter("__v is not null and not isnan(__v)").withColumn("__s", _steps(F.col("__v")))
+    counts = written(rows.groupBy(*all_keys, "__s").agg(F.count(F.lit(1)).alias("c")), "steps")
+    place = (F.sum("c") - 1) * F.lit(q)
+    ranks = counts.groupBy(*all_keys).agg(place.alias("place"))
+    ranks = ranks.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))))
+    targets = written(_descend(counts, ranks.withColumn("of", F.col("rank")), all_keys, "__s"), "ranks")
+    middle = written(rows.join(targets.select(*all_keys, "__s").distinct(), [*all_keys, "__s"], "left_semi"), "middle")
+    ends = middle.groupBy(*all_keys, "__s").agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+    part = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("__v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (parts - 1))).otherwise(F.lit(0).cast("long"))
+    dealt = middle.join(ends, [*all_keys, "__s"]).select(*all_keys, "__s", part.alias("__p"), "__v")
+    held = [*all_keys, "__s"]
+    targets = _descend(dealt.groupBy(*held, "__p").agg(F.count(F.lit(1)).alias("c")), targets, held, "__p")
+    held = [*held, "__p"]
+    single = dealt.join(targets.select(*held).distinct(), held, "left_semi").groupBy(*held, "__v").agg(F.count(F.lit(1)).alias("c"))
+    found = _descend(single, targets, held, "__v")
+    low, high = F.min_by("__v", "of"), F.max_by("__v", "of")
+    above = F.max("place") - F.min("of")
+    out = found.groupBy(*all_keys).agg(F.when(above > 0, (1 - above) * low + above * high).otherwise(low).alias("quantile"))
+    return out if keys else out.drop("__all")
+
+
+def medians(df: DataFrame, keys: list[str], value: Column, parts: int = 65_536) -> DataFrame:
+    """(keys, median), exact; see `quantiles`."""
+    return quantiles(df, keys, value, 0.5, parts).withColumnRenamed("quantile", "median")
 
 
 def sampling_rate(samples: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -257,9 +302,9 @@ def sparse_policy(samples: DataFrame, policy: str, least: int = 2) -> DataFrame:
 
 def robust_z(samples: DataFrame, variant: str = "A", column: str = "x_uv") -> DataFrame:
     """z by median and median deviation; A: / 1.4826 (MAD + 1e-12), B: 0.6745 / MAD, 0 if MAD is."""
-    med = medians(samples, SERIES, F.col(column)).withColumnRenamed("median", "med")
+    med = written(medians(samples, SERIES, F.col(column)).withColumnRenamed("median", "med"), "medians")
     dev = samples.join(med, SERIES).withColumn("dev", F.col(column) - F.col("med"))
-    mad = medians(dev, SERIES, F.abs("dev")).withColumnRenamed("median", "mad")
+    mad = written(medians(dev, SERIES, F.abs("dev")).withColumnRenamed("median", "mad"), "medians")
     out = dev.join(mad, SERIES)
     z = F.col("dev") / (1.4826 * (F.col("mad") + 1e-12)) if variant == "A" else F.when(F.col("mad") == 0, 0.0).otherwise(0.6745 * F.col("dev") / F.col("mad"))
     return out.withColumn("z", z).drop("dev", "mad", "med")

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window as W
 from sparktrode.sources.tables import written
 
 from .filtering import zero_phase
-from .samples import BLOCK, SERIES, blocked, robust_z
+from .samples import BLOCK, SERIES, blocked, in_cells, quantiles, robust_z
 
 #: Suppression looks so many distances beyond a block's borders; what that leaves open is settled
 #: in further rounds.
@@ -144,18 +144,17 @@ def refractory(rows: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
     return rows.join(opens, [*SERIES, "block"]).groupBy(*SERIES, "block").applyInPandas(keep, rows.drop("block").schema)
 
 
-def waveforms(spikes: DataFrame, samples: DataFrame, pre: int, post: int, block: int = BLOCK) -> DataFrame:
+def waveforms(spikes: DataFrame, samples: DataFrame, pre: int, post: int) -> DataFrame:
     """Adds wave: x from n - pre to n + post - 1; spikes too near an end go.
 
-    Spikes meet samples on equal block keys; samples near a border are in both blocks.
+    Spikes meet samples on equal cells of the window's length.
     """
-    halo = blocked(samples.select(*SERIES, F.col("n").alias("m"), "n", "x_uv"), max(pre, post), block).drop("own", "n")
-    own = spikes.withColumn("block", F.floor(F.col("n") / block))
-    hit = own.join(halo, [*SERIES, "block"]).filter((F.col("m") >= F.col("n") - pre) & (F.col("m") < F.col("n") + post))
+    n, m = F.col("n"), F.col("m")
+    hit = in_cells(spikes, samples, pre, post).filter((m >= n - pre) & (m < n + post))
     keys = [*SERIES, *[c for c in spikes.columns if c not in SERIES]]
     out = hit.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("m", "x_uv"))).alias("w"))
     length = samples.groupBy(*SERIES).agg(F.max("n").alias("n1"))
-    out = out.join(length, SERIES).filter((F.col("n") - pre >= 0) & (F.col("n") + post <= F.col("n1")))
+    out = out.join(length, SERIES).filter((n - pre >= 0) & (n + post <= F.col("n1")))
     return out.select(*keys, F.col("w.x_uv").alias("wave"))
 
 
@@ -175,85 +174,88 @@ def wave_extreme(polarity: str) -> Column:
     return {"neg": low, "pos": high}.get(polarity, F.when(F.abs(low) > F.abs(high), low).otherwise(high))
 
 
-def opposite_width(spikes: DataFrame, samples: DataFrame, search: int, polarity: str = "neg", least: int = 0, most: int | None = None, block: int = BLOCK) -> DataFrame:
+def opposite_width(spikes: DataFrame, samples: DataFrame, search: int, polarity: str = "neg", least: int = 0, most: int | None = None) -> DataFrame:
     """Samples from each spike to the opposite extremum within the search window, gated.
 
-    Width 0, a window of one sample or less, and widths outside the bounds go.
+    Width 0, a window of one sample or less, and widths outside the bounds go. Of equal extrema the
+    first counts. Spikes meet samples on equal cells of the window's length.
     """
+    n, m, x = F.col("n"), F.col("m"), F.col("x_uv")
     length = samples.groupBy(*SERIES).agg(F.max("n").alias("last"))
-    halo = blocked(samples.select(*SERIES, F.col("n").alias("m"), "n", "x_uv"), search, block).drop("own", "n")
-    own = spikes.join(length, SERIES).withColumn("stop", F.least(F.col("n") + search, F.col("last"))).filter(F.col("stop") > F.col("n") + 1).withColumn("block", F.floor(F.col("n") / block))
-    hit = own.join(halo, [*SERIES, "block"]).filter((F.col("m") >= F.col("n")) & (F.col("m") < F.col("stop")))
+    own = spikes.join(length, SERIES).withColumn("stop", F.least(n + search, F.col("last"))).filter(F.col("stop") > n + 1)
+    hit = in_cells(own, samples, 0, search).filter((m >= n) & (m < F.col("stop")) & x.isNotNull())
     keys = [*SERIES, *[c for c in spikes.columns if c not in SERIES]]
-    w = hit.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("m", "x_uv"))).alias("s"))
-    seg = F.col("s.x_uv")
-    up, down = F.array_position(seg, F.array_max(seg)) - 1, F.array_position(seg, F.array_min(seg)) - 1
-    width = up if polarity == "neg" else down if polarity == "pos" else F.when(seg[0] < 0, up).otherwise(down)
-    out = w.withColumn("width", width).drop("s").filter((F.col("width") > 0) & (F.col("width") >= least))
+    top, bottom = -F.max(F.struct(x, (-m).alias("k")))["k"], F.min(F.struct(x, m.alias("k")))["k"]
+    w = hit.groupBy(*keys).agg(top.alias("top"), bottom.alias("bottom"), F.min_by("x_uv", "m").alias("first_x"))
+    up, down = F.col("top") - n, F.col("bottom") - n
+    width = up if polarity == "neg" else down if polarity == "pos" else F.when(F.col("first_x") < 0, up).otherwise(down)
+    out = w.withColumn("width", width).drop("top", "bottom", "first_x").filter((F.col("width") > 0) & (F.col("width") >= least))
     return out.filter(F.col("width") <= most) if most is not None else out
 
 
-def _nearest(points: DataFrame, blocks: DataFrame, above: bool) -> DataFrame:
-    """The nearest sample on one side of a place whose y is above a bound, or not above it.
-
-    points: series, n, left (the side), bound. blocks: series, block, n0, size, low, high and y, an
-    array of the block's samples with one more at each end where there is one (`lead` tells whether
-    in front). Returns points with at (null where the series ends first), y_at, y_next (of the
-    sample before it on the way) and least, the smallest y on the way. A place is looked up in its
-    own block; if the block has none, the blocks' extremes tell which block has it.
-    """
-    columns = points.columns
-    out = "at long, y_at double, y_next double, least double"
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema)
-    hits = (lambda y, bound: y > bound) if above else (lambda y, bound: y <= bound)
-
-    def look(batches):
-        for pdf in batches:
-            found = []
-            for n, left, bound, n0, lead, size, y, start in zip(*(pdf[c] for c in ("n", "left", "bound", "n0", "lead", "size", "y", "start")), strict=True):
-                y, i0 = np.asarray(y), int(lead)
-                i1 = i0 + int(size)  # own samples are y[i0:i1]
-                k = int(n - n0) + i0  # of the place, which may lie outside the block
-                a, b = (i0, k) if left else (k + 1, i1)
-                if start:  # the whole block is searched
-                    a, b = i0, i1
-                ok = np.flatnonzero(hits(y[a:b], bound))
-                if not len(ok):
-                    found.append((None, None, None, float(y[a:b].min()) if b > a else np.inf))
-                    continue
-                at = a + int(ok[-1] if left else ok[0])
-                way = y[at + 1 : b] if left else y[a:at]
-                step = at + 1 if left else at - 1
-                found.append((int(n0 + at - i0), float(y[at]), float(y[step]), float(way.min()) if len(way) else np.inf))
-            cols = list(zip(*found, strict=True)) if found else [[]] * 4
-            yield pdf[columns].assign(at=pd.array(cols[0], dtype="Int64"), y_at=cols[1], y_next=cols[2], least=cols[3])
-
-    def choose(pdf: pd.DataFrame, extremes: pd.DataFrame) -> pd.DataFrame:
-        extremes = extremes.sort_values("block", kind="stable")
-        b, low, high = (extremes[c].to_numpy() for c in ("block", "low", "high"))
-        target, least = [], []
-        for own, left, bound, so_far in zip(pdf["block"], pdf["left"], pdf["bound"], pdf["least"], strict=True):
-            k = int(np.searchsorted(b, own))
-            way = np.arange(k - 1, -1, -1) if left else np.arange(k + 1, len(b))
-            ok = np.flatnonzero(high[way] > bound if above else low[way] <= bound)
-            end = int(ok[0]) if len(ok) else len(way)
-            target.append(int(b[way[end]]) if len(ok) else None)
-            least.append(min(so_far, low[way[:end]].min(initial=np.inf)))
-        return pdf[columns].assign(target=pd.array(target, dtype="Int64"), so_far=least)
-
-    size = blocks.select(*SERIES, "block", "low", "high")
-    tail = ["n0", "lead", "size", "y", "start"]
-    here = points.join(blocks.drop("low", "high"), [*SERIES, "block"]).withColumn("start", F.lit(False))
-    near = written(here.select(*columns, *tail).mapInPandas(look, f"{schema}, {out}"), "nearest")
-    open_ = near.filter("at is null").drop("at", "y_at", "y_next")
-    chosen = written(open_.groupBy(*SERIES).cogroup(size.groupBy(*SERIES)).applyInPandas(choose, f"{schema}, target long, so_far double"), "nearest")
-    far = chosen.filter("target is not null").join(blocks.drop("low", "high").withColumnRenamed("block", "target"), [*SERIES, "target"]).withColumn("start", F.lit(True))
-    far = far.select(*columns, "so_far", *tail)
-    columns = [*columns, "so_far"]
-    far = far.mapInPandas(look, f"{schema}, so_far double, {out}").withColumn("least", F.least("least", "so_far")).drop("so_far")
-    none = chosen.filter("target is null").withColumnsRenamed({"so_far": "least"}).drop("target")
-    none = none.withColumns({"at": F.lit(None).cast("long"), "y_at": F.lit(None).cast("double"), "y_next": F.lit(None).cast("double")})
-    return near.filter("at is not null").unionByName(far).unionByName(none)
+class Extremes:
+    """Smallest and largest values of all ranges of 2 ** j values, from which the nearest value on a
+    side above a bound, or not above it, is found in as many steps as there are j, for many places
+    at once."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray) -> None:
+        self.low, self.high, j = [low], [high], 1
+        while 2 * j <= len(low):
+            self.low.append(np.minimum(self.low[-1][:-j], self.low[-1][j:]))
+            self.high.append(np.maximum(self.high[-1][:-j], self.high[-1][j:]))
+            j *= 2
+
+    def nearest(self, at: np.ndarray, left: np.ndarray, bound: np.ndarray, above: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest place before (left) or from `at` on with a value above the bound, or at most
+        the bound; -1 if there is none. And the smallest value on the way."""
+        size, at = len(self.low[0]), at.copy()
+        least = np.full(len(at), np.inf)
+        for j in range(len(self.low) - 1, -1, -1):
+            first = np.where(left, at - (1 << j), at)
+            fits = np.flatnonzero((first >= 0) & (first + (1 << j) <= size))
+            k = first[fits]
+            free = self.high[j][k] <= bound[fits] if above else self.low[j][k] > bound[fits]
+            fits, k = fits[free], k[free]
+            least[fits] = np.minimum(least[fits], self.low[j][k])
+            at[fits] += np.where(left[fits], -(1 << j), 1 << j)
+        found = np.where(left, at - 1, at)
+        return np.where((found >= 0) & (found < size), found, -1), least
+
+
+def _line(blocks: pd.DataFrame) -> tuple[np.ndarray, int, int, int]:
+    """The values of the one block, with those at its borders; the n of the first, and the range of
+    its own values."""
+    row = blocks.iloc[0]
+    y = np.asarray(row["y"], dtype=float)
+    return y, int(row["n0"]) - int(row["lead"]), int(row["lead"]), int(row["lead"]) + int(row["size"])
+
+
+def _crossings(y: np.ndarray, tree: Extremes, place: np.ndarray, left: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest places with values of at most the bound, and how far from each towards the peak
+    the bound is crossed; NaN for both if there is none."""
+    at, _ = tree.nearest(place, left, bound, above=False)
+    inner = np.clip(np.where(left, at + 1, at - 1), 0, len(y) - 1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        part = np.where(y[at] < bound, (bound - y[at]) / (y[inner] - y[at]), 0.0)
+    return np.where(at < 0, np.nan, at), np.where(at < 0, np.nan, part)
+
+
+def _choose(queries: DataFrame, sizes: DataFrame, above: bool) -> DataFrame:
+    """queries (series, n, block, left, bound) with target, the nearest block beyond their own that
+    has a value above the bound, or at most the bound, and least, the smallest value on the way to
+    it. sizes: series, block, low and high, a row a block, so a series' rows are few."""
+
+    def work(pdf: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        blocks = blocks.sort_values("block", kind="stable")
+        number = blocks["block"].to_numpy()
+        tree = Extremes(blocks["low"].to_numpy(), blocks["high"].to_numpy())
+        left = pdf["left"].to_numpy(bool)
+        at, least = tree.nearest(np.searchsorted(number, pdf["block"].to_numpy()) + ~left, left, pdf["bound"].to_numpy(), above)
+        target = pd.Series(number[at] if len(number) else at, index=pdf.index, dtype="Int64").mask(at < 0)
+        return pdf.assign(target=target, least=least)
+
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema)
+    return queries.groupBy(*SERIES).cogroup(sizes.groupBy(*SERIES)).applyInPandas(work, f"{names}, target long, least double")
 
 
 def half_prominence_width(spikes: DataFrame, samples: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -261,27 +263,94 @@ def half_prominence_width(spikes: DataFrame, samples: DataFrame, block: int = BL
 
     A base lies between the spike and the nearest higher sample on its side, or the end of the
     series, however far that is. The last sample of a series has no width.
+
+    A block meets all its spikes at once and answers them from tables of extremes. What a block
+    can't tell, as a side stays open at its border, is looked up in the blocks' own extremes and
+    then in the one block that has it: once for the bases and once for the crossings.
     """
     y = blocked(samples.select(*SERIES, "n", F.abs("x_uv").alias("y")), 1, block)
     own = F.when(F.col("own"), F.col("y"))
     blocks = y.groupBy(*SERIES, "block").agg(F.array_sort(F.collect_list(F.struct("n", "y", "own"))).alias("s"), F.min(own).alias("low"), F.max(own).alias("high"), F.count_if("own").alias("size"))
-    blocks = blocks.filter("size > 0").withColumns({"lead": ~F.col("s")[0]["own"], "y": F.col("s.y")}).withColumn("n0", F.when(F.col("lead"), F.col("s")[1]["n"]).otherwise(F.col("s")[0]["n"]))
+    blocks = blocks.filter("size > 0").withColumns({"lead": (~F.col("s")[0]["own"]).cast("int"), "y": F.col("s.y")})
+    blocks = blocks.withColumn("n0", F.when(F.col("lead") == 1, F.col("s")[1]["n"]).otherwise(F.col("s")[0]["n"]))
     blocks = written(blocks.select(*SERIES, "block", "n0", "size", "low", "high", "lead", "y"), "blocks")
-    heights = samples.select(*SERIES, "n", F.abs("x_uv").alias("height")).join(spikes.select(*SERIES, "n").distinct(), [*SERIES, "n"]).join(series_ends(samples), SERIES).filter("n < n1")
-    at = heights.select(*SERIES, "n", F.floor(F.col("n") / block).alias("block"), "height")
-    sides = F.explode(F.array(F.lit(True), F.lit(False)))
-    tops = _nearest(at.withColumns({"bound": F.col("height")}).withColumn("left", sides), blocks, True)
-    base = F.max(F.least("least", "height"))  # the higher of the two bases
-    level = tops.groupBy(*SERIES, "n", "block", "height").agg((F.col("height") - (F.col("height") - base) / 2).alias("bound"))
-    sunk = _nearest(level.withColumn("left", sides), blocks, False)
-    part = F.when(F.col("y_at") < F.col("bound"), (F.col("bound") - F.col("y_at")) / (F.col("y_next") - F.col("y_at"))).otherwise(0.0)
-    span = F.when(F.col("bound") < F.col("height"), F.abs(F.col("n") - F.col("at")) - part).otherwise(0.0)  # without prominence no width
-    return sunk.groupBy(*SERIES, "n").agg(F.sum(span).alias("width"))
-
-
-def triggered_average(spikes: DataFrame, samples: DataFrame, half: int, fs_hz: float, block: int = BLOCK) -> DataFrame:
+    sizes = blocks.select(*SERIES, "block", "low", "high")
+    last = blocks.groupBy(*SERIES).agg(F.max(F.col("n0") + F.col("size") - 1).alias("last"))
+    at = spikes.select(*SERIES, "n").distinct().join(last, SERIES).filter("n < last").select(*SERIES, "n", F.floor(F.col("n") / block).alias("block"))
+    keys = [*SERIES, "block"]
+    held = "recording_index int, channel string, block long, n long"
+
+    def near(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        """Spikes of a block: a width, or what is known of a spike with an open side."""
+        if not len(pdf) or not len(found):
+            return pdf.iloc[:0].assign(height=0.0, width=0.0, left_open=False, right_open=False, left_least=0.0, right_least=0.0)
+        line, n0, _, _ = _line(found)
+        tree, place = Extremes(line, line), pdf["n"].to_numpy() - n0
+        height = line[place]
+        side = np.repeat([True, False], len(place))
+        top, least = tree.nearest(np.r_[place, place + 1], side, np.r_[height, height], above=True)
+        (left_top, right_top), (left_least, right_least) = top.reshape(2, -1), least.reshape(2, -1)
+        base = np.maximum(np.minimum(left_least, height), np.minimum(right_least, height))
+        level = height - (height - base) / 2
+        cross, part = _crossings(line, tree, np.r_[place, place + 1], side, np.r_[level, level])
+        (cl, cr), (pl, pr) = cross.reshape(2, -1), part.reshape(2, -1)
+        width = np.where(level < height, (place - cl - pl) + (cr - place - pr), 0.0)
+        open_left, open_right = left_top < 0, right_top < 0
+        return pdf.assign(height=height, width=np.where(open_left | open_right, np.nan, width), left_open=open_left, right_open=open_right, left_least=left_least, right_least=right_least)
+
+    with_spikes = blocks.join(at.select(*keys).distinct(), keys, "left_semi")
+    first = written(at.groupBy(*keys).cogroup(with_spikes.groupBy(*keys)).applyInPandas(near, f"{held}, height double, width double, left_open boolean, right_open boolean, left_least double, right_least double"), "widths")
+    done = first.filter("not (left_open or right_open)").select(*SERIES, "n", "width")
+
+    # bases of open sides: the blocks between by their extremes, then the one block with a higher value
+    side = lambda s: F.struct(F.lit(s == "left").alias("left"), F.col(f"{s}_open").alias("open"), F.col(f"{s}_least").alias("own_least"))
+    sides = first.filter("left_open or right_open").withColumn("x", F.explode(F.array(side("left"), side("right")))).select(*keys, "n", "height", "x.*")
+    open_ = sides.filter("open").withColumn("bound", F.col("height"))
+    far = written(_choose(open_, sizes, True).withColumn("least", F.least("least", "own_least")), "bases")
+
+    def rest(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        """The smallest value of the block up to the one above the bound."""
+        if not len(pdf) or not len(found):
+            return pdf.iloc[:0]
+        line, _, a, b = _line(found)
+        left = pdf["left"].to_numpy(bool)
+        _, least = Extremes(line[a:b], line[a:b]).nearest(np.where(left, b - a, 0), left, pdf["bound"].to_numpy(), above=True)
+        return pdf.assign(least=np.minimum(pdf["least"].to_numpy(), least))
+
+    target = blocks.withColumnRenamed("block", "target")
+    asked = far.filter("target is not null")
+    there = asked.groupBy(*SERIES, "target").cogroup(target.join(asked.select(*SERIES, "target").distinct(), [*SERIES, "target"], "left_semi").groupBy(*SERIES, "target")).applyInPandas(rest, asked.schema)
+    known = ["n", "block", "height", "left", "own_least", "least"]
+    all_sides = there.select(*SERIES, *known).unionByName(far.filter("target is null").select(*SERIES, *known)).unionByName(sides.filter("not open").withColumn("least", F.col("own_least")).select(*SERIES, *known))
+    base = all_sides.groupBy(*keys, "n", "height").agg(F.max(F.least("least", "height")).alias("base"), F.max(F.when(F.col("left"), F.col("own_least"))).alias("l"), F.max(F.when(~F.col("left"), F.col("own_least"))).alias("r"))
+    level = written(base.withColumn("bound", F.col("height") - (F.col("height") - F.col("base")) / 2), "levels")
+
+    # crossings: in the own block if it goes as low on that side, else in the nearest block that does
+    side = lambda s: F.struct(F.lit(s == "l").alias("left"), F.col(s).alias("own_least"))
+    ways = level.filter("bound < height").withColumn("x", F.explode(F.array(side("l"), side("r")))).select(*keys, "n", "bound", "x.*")
+    beyond = _choose(ways.filter("own_least > bound"), sizes, False).drop("least")
+    ways = ways.filter("own_least <= bound").withColumn("target", F.col("block")).unionByName(beyond)
+
+    def crossed(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        """How far each spike is from where its side falls to the bound."""
+        if not len(pdf) or not len(found):
+            return pdf.iloc[:0][[*SERIES, "n"]].assign(span=0.0)
+        line, n0, a, b = _line(found)
+        left, inside = pdf["left"].to_numpy(bool), (pdf["block"] == pdf["target"]).to_numpy()
+        start = np.where(inside, pdf["n"].to_numpy() - n0 + ~left, np.where(left, b, a))
+        cross, part = _crossings(line, Extremes(line, line), start, left, pdf["bound"].to_numpy())
+        return pdf[[*SERIES, "n"]].assign(span=np.abs(pdf["n"].to_numpy() - n0 - cross) - part)
+
+    needed = target.join(ways.select(*SERIES, "target").distinct(), [*SERIES, "target"], "left_semi")
+    spans = ways.groupBy(*SERIES, "target").cogroup(needed.groupBy(*SERIES, "target")).applyInPandas(crossed, "recording_index int, channel string, n long, span double")
+    wide = spans.groupBy(*SERIES, "n").agg(F.sum("span").alias("width"))
+    flat = level.filter("not bound < height").select(*SERIES, "n", F.lit(0.0).alias("width"))  # without prominence no width
+    return done.unionByName(wide).unionByName(flat)
+
+
+def triggered_average(spikes: DataFrame, samples: DataFrame, half: int, fs_hz: float) -> DataFrame:
     """Mean of the band around spikes: t_rel_s, lfp_sta_uv and the number of spikes used."""
-    w = waveforms(spikes.select(*SERIES, "n"), samples, half, half, block)
+    w = waveforms(spikes.select(*SERIES, "n"), samples, half, half)
     m = mean_waveform(w)
     return m.select(*SERIES, ((F.col("k") - half) / fs_hz).alias("t_rel_s"), F.col("mean_uv").alias("lfp_sta_uv"), F.col("n_spikes").alias("n_used"))
 
@@ -310,7 +379,7 @@ def detect_polarity(
     found = reduce(DataFrame.unionByName, [suppress(peaks(over, threshold, s, ends, block), distance, block) for s in sides])
     found = refractory(found.groupBy(*SERIES, "n").agg(F.max("height").alias("height")), distance, block)
     if widths:
-        found = opposite_width(found, x, max(widths[1], 1), polarity, *widths, block)
+        found = opposite_width(found, x, max(widths[1], 1), polarity, *widths)
     return amplitude_gate(found.join(x, [*SERIES, "n"]), F.col("x_uv"), least, most)
 
 
@@ -355,7 +424,8 @@ def interval_histogram(isi: DataFrame, bins: int = 59, log: bool = False) -> Dat
         ends = isi.groupBy(*SERIES).agg(F.log10(F.greatest(F.lit(0.5), F.min("isi_ms"))).alias("lo"), F.log10(F.greatest(F.lit(1000.0), F.max("isi_ms"))).alias("hi"))
         v = F.log10("isi_ms")
     else:
-        ends = isi.groupBy(*SERIES).agg(F.lit(0.0).alias("lo"), F.greatest(F.lit(50.0), F.percentile("isi_ms", 0.99)).alias("hi"))
+        high = quantiles(isi, SERIES, F.col("isi_ms"), 0.99)
+        ends = written(high.select(*SERIES, F.lit(0.0).alias("lo"), F.greatest(F.lit(50.0), "quantile").alias("hi")), "edges")
         v = F.col("isi_ms")
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1)).cast("int")

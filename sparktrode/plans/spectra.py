@@ -95,5 +95,5 @@ _TUKEY = "case when j <= 24 then 0.5e0*(1+cos(pi()*(j/24e0-1))) when j >= 72 the
  from pk join mx using (recording_index, channel) join fx_signal f on f.recording_index=pk.recording_index and f.channel=pk.channel and f.n >= pk.n-48 and f.n < pk.n+48 where pk.n >= 48 and pk.n+48 <= n1), {Q.spectra('sp', 'ss', FS, _TUKEY)}
 select seg.recording_index as recording_index, seg.channel as channel, 0e0 as t_s, round(f_hz,6) as f_hz, round(avg(10*log10(pxx+1e-20)),6) as db from sp where f_hz <= 5000 group by seg.recording_index, seg.channel, f_hz""")
 def k10_triggered_spectrogram(spark, sf_dir):
-    waves = K.waveforms(found(spark, sf_dir).select("recording_index", "channel", "n"), fast(spark, sf_dir), 48, 48, 256)
+    waves = K.waveforms(found(spark, sf_dir).select("recording_index", "channel", "n"), fast(spark, sf_dir), 48, 48)
     return S.triggered_spectrogram(waves, FS, 5000.0).select("recording_index", "channel", "t_s", r("f_hz").alias("f_hz"), r("db").alias("db"))

@@ -22,7 +22,8 @@ def fast(spark, sf_dir):
 
 
 def found(spark, sf_dir):
-    return K.peaks(P.robust_z(fast(spark, sf_dir)), 1.2, block=B)
+    x = fast(spark, sf_dir)
+    return K.peaks(P.robust_z(x), 1.2, ends=K.series_ends(x), block=B)
 
 
 @query(f"with {PEAKS} select recording_index, channel, n, height from pk")
@@ -44,7 +45,7 @@ def k3_refractory(spark, sf_dir):
 s as (select o.recording_index, o.channel, o.n, o.height, f.n - o.n as k, f.x_uv from o join fx_signal f on f.recording_index=o.recording_index and f.channel=o.channel and f.n >= o.n and f.n < o.stop where o.stop > o.n+1),
 w as (select recording_index, channel, n, height, first(k order by x_uv desc, k) as width from s group by 1,2,3,4) select recording_index, channel, n, height, width from w where width > 0 and width <= 8""")
 def k4_opposite_width(spark, sf_dir):
-    return K.opposite_width(found(spark, sf_dir), fast(spark, sf_dir), 12, "neg", 0, 8, B)
+    return K.opposite_width(found(spark, sf_dir), fast(spark, sf_dir), 12, "neg", 0, 8)
 
 
 @query(f"with {PEAKS}, {Q.half_widths('hw', 'pk', 'fx_signal')} select recording_index, channel, n, round(width,6) as width from hw")
@@ -64,20 +65,20 @@ WAVES = PEAKS + """, mx as (select recording_index, channel, max(n) n1 from fx_s
 
 @query(f"with {WAVES} select recording_index, channel, n, cast(k as int) as k, x_uv from wv")
 def k7_waveforms(spark, sf_dir):
-    w = K.waveforms(found(spark, sf_dir), fast(spark, sf_dir), 12, 20, B)
+    w = K.waveforms(found(spark, sf_dir), fast(spark, sf_dir), 12, 20)
     return w.select("recording_index", "channel", "n", F.posexplode("wave").alias("k", "x_uv"))
 
 
 @query(f"with {WAVES} select recording_index, channel, cast(k as int) as k, round(avg(x_uv),6) as mean_uv, round(stddev_pop(x_uv)/sqrt(count(*)),6) as sem_uv, count(*) as n_spikes from wv group by 1,2,3")
 def k8_mean_waveform(spark, sf_dir):
-    m = K.mean_waveform(K.waveforms(found(spark, sf_dir), fast(spark, sf_dir), 12, 20, B))
+    m = K.mean_waveform(K.waveforms(found(spark, sf_dir), fast(spark, sf_dir), 12, 20))
     return m.select("recording_index", "channel", "k", r("mean_uv").alias("mean_uv"), r("sem_uv").alias("sem_uv"), "n_spikes")
 
 
 @query(f"""with {PEAKS}, mx as (select recording_index, channel, max(n) n1 from fx_signal group by 1,2), w as (select pk.recording_index, pk.channel, f.n-pk.n as k, f.x_uv from pk join mx using (recording_index, channel) join fx_signal f on f.recording_index=pk.recording_index and f.channel=pk.channel and f.n >= pk.n-15 and f.n < pk.n+15 where pk.n >= 15 and pk.n+15 <= n1)
 select recording_index, channel, round(k/20e3,6) as t_rel_s, round(avg(x_uv),6) as lfp_sta_uv, count(*) as n_used from w group by recording_index, channel, k""")
 def k9_triggered_average(spark, sf_dir):
-    t = K.triggered_average(found(spark, sf_dir), fast(spark, sf_dir), 15, FS, B)
+    t = K.triggered_average(found(spark, sf_dir), fast(spark, sf_dir), 15, FS)
     return t.select("recording_index", "channel", r("t_rel_s").alias("t_rel_s"), r("lfp_sta_uv").alias("lfp_sta_uv"), "n_used")
 
 

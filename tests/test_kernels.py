@@ -1,10 +1,15 @@
 """numpy kernels and island rules against plain loops and known values."""
 
+import time
+
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sparktrode.functions import filters as C
 from sparktrode.operators import filtering, spectral
+from sparktrode.operators import samples as P
 from sparktrode.operators import spikes as K
 from sparktrode.operators import statistics as S
 
@@ -177,3 +182,113 @@ def test_density_of_a_sine():
 @pytest.mark.parametrize("t, df, p", [(2.228, 10, 0.05), (2.776, 4, 0.05), (12.706, 1, 0.05), (0.0, 5, 1.0), (3.169, 10, 0.01)])
 def test_student_p(t, df, p):
     assert S.student_p(np.array([t]), np.array([float(df)]))[0] == pytest.approx(p, abs=2e-4)
+
+
+def test_windows_meet_two_cells_of_samples(spark):
+    rng = np.random.default_rng(5)
+    n, pre, post = 1 << 18, 12, 20
+    line = spark.range(n).select(F.lit(1).alias("recording_index"), F.lit("a").alias("channel"), F.col("id").alias("n"), F.cos(F.col("id") * 0.37).alias("x_uv"))
+    at = sorted(rng.choice(n, 10_000, replace=False).tolist())
+    spikes = spark.createDataFrame([(1, "a", int(i)) for i in at], "recording_index int, channel string, n long")
+    assert P.in_cells(spikes, line, pre, post).count() <= 2 * (pre + post) * len(at)
+    got = {r["n"]: r["wave"] for r in K.waveforms(spikes, line, pre, post).collect()}
+    assert sorted(got) == [i for i in at if i >= pre and i + post <= n - 1]
+    for i in list(got)[::500]:
+        assert got[i] == pytest.approx(np.cos(np.arange(i - pre, i + post) * 0.37))
+
+
+def test_widths_of_many_spikes_in_one_block(spark):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=1 << 18), 6)
+    a = np.abs(x)
+    top = np.flatnonzero((a[1:-1] > a[:-2]) & (a[1:-1] > a[2:])) + 1
+    at = np.sort(rng.choice(top, 4000, replace=False))
+    rows = pd.DataFrame({"recording_index": np.int32(1), "channel": "a", "n": np.arange(len(x)), "x_uv": x})
+    df = spark.createDataFrame(rows, "recording_index int, channel string, n long, x_uv double").cache()
+    spikes = spark.createDataFrame([(1, "a", int(i)) for i in at], "recording_index int, channel string, n long")
+    df.count()
+    began = time.time()
+    got = {r["n"]: r["width"] for r in K.half_prominence_width(spikes, df).collect()}
+    assert time.time() - began < 60  # the arrays alone took that long when each spike got its block's
+    assert len(got) == 4000
+    for i in at[::40]:
+        assert got[i] == pytest.approx(half_width(a, i))
+    df.unpersist()
+
+
+def test_extremes_find_the_nearest(spark):
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 7, 64, 100):
+        y = rng.integers(0, 6, n).astype(float)
+        tree = K.Extremes(y, y)
+        at, left, bound = rng.integers(0, n + 1, 200), rng.random(200) < 0.5, rng.integers(-1, 7, 200).astype(float)
+        for above in (True, False):
+            found, least = tree.nearest(at, left, bound, above)
+            for k in range(200):
+                way = range(at[k] - 1, -1, -1) if left[k] else range(at[k], n)
+                hit = next((i for i in way if (y[i] > bound[k]) == above), -1)
+                passed = [y[i] for i in way if hit < 0 or (i > hit if left[k] else i < hit)]
+                assert found[k] == hit and least[k] == min(passed, default=np.inf)
+
+
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.99, 1.0])
+def test_exact_quantiles(spark, q):
+    rng = np.random.default_rng(4)
+    sets = {"normal": rng.normal(size=501), "ties": rng.integers(-3, 3, 400).astype(float), "wide": rng.normal(size=300) * 10.0 ** rng.integers(-300, 300, 300), "one": np.array([2.5]), "zero": np.zeros(7), "edge": np.array([-np.inf, 0.0, -0.0, 1e-320, np.inf, 3.0])}
+    rows = [(k, float(v)) for k, x in sets.items() for v in x] + [("normal", None), ("normal", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    want = {}
+    for k, x in sets.items():
+        y, place = np.sort(x), q * (len(x) - 1)
+        low, high = y[int(np.floor(place))], y[int(np.ceil(place))]
+        part = place - np.floor(place)
+        want[k] = low if part == 0 else (1 - part) * low + part * high
+    for parts in (65_536, 3):
+        got = {r["k"]: r["quantile"] for r in P.quantiles(df, ["k"], F.col("v"), q, parts).collect()}
+        assert got == pytest.approx(want, nan_ok=True)
+    assert P.quantiles(df.limit(0), ["k"], F.col("v"), q).collect() == []
+
+
+def test_robust_z_reads_its_samples_five_times(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for pdf in frames:
+            reads.add(len(pdf))
+            yield pdf
+
+    rows = [(1, c, i, float((i * 37) % 101)) for c in "ab" for i in range(500)]
+    df = spark.createDataFrame(rows, "recording_index int, channel string, n long, x_uv double").mapInPandas(counted, "recording_index int, channel string, n long, x_uv double")
+    P.robust_z(df).collect()
+    assert 0 < reads.value <= 5 * len(rows)
+
+
+@pytest.mark.parametrize("length", [40, 900])
+def test_segments_by_blocks(spark, monkeypatch, length):
+    monkeypatch.setattr(spectral, "BLOCK", 64)  # so that a block is as long as its segments allow
+    rng = np.random.default_rng(9)
+    x, fs = rng.normal(size=length), 100.0
+    df = spark.createDataFrame([(1, "a", i, i / fs, float(v)) for i, v in enumerate(x)], "recording_index int, channel string, n long, t_s double, x_uv double").orderBy(F.rand(2))
+    n = min(64, length)
+    p = np.mean([spectral.density(x[s : s + n], fs) for s in range(0, length - n + 1, 32)], axis=0)
+    got = {round(r["f_hz"] * n / fs): r["pxx"] for r in spectral.welch(df, fs, nperseg=64).collect()}
+    assert got == pytest.approx(dict(enumerate(p)))
+    spec = spectral.spectrogram(df, fs, 50.0, 0.64).groupBy("t_s").count().collect()
+    assert len(spec) == (1 if length < 64 else (length - 64) // 16 + 1) and {r["count"] for r in spec} == {n // 2 + 1}
+    for step in (0.1, 0.13):  # shared inner segments, and none
+        win, hop = 200, round(step * fs)
+        bands = spectral.sliding_band_power(df, fs, [("a", 5.0, 20.0), ("none", 60.0, 70.0)], 2.0, step, 0.64)
+        got = {round(r["t_s"] * fs): r["power"] for r in bands.filter("band = 'a'").collect()}
+        want, f = {}, np.arange(33) * fs / 64
+        for s in range(0, length - win + 1, hop):
+            q = np.mean([spectral.density(x[s + k : s + k + 64], fs) for k in range(0, win - 63, 32)], axis=0)
+            want[s + win // 2] = np.trapezoid(q[(f >= 5) & (f < 20)], f[(f >= 5) & (f < 20)])
+        assert got == pytest.approx(want)
+        assert bands.filter("band = 'none' and power is not null").isEmpty()
+
+
+def test_overlay_takes_neighbours(spark):
+    rows = [(1, "a", 0.0, 0.0), (1, "a", 2.0, 4.0), (1, "a", 5.0, 1.0), (2, "a", 1.0, 10.0), (2, "a", 4.0, 40.0), (2, "a", 4.5, 0.0), (2, "a", 4.75, 2.0), (3, "b", 1.0, 7.0)]
+    psd = spark.createDataFrame(rows, "recording_index int, channel string, f_hz double, pxx_db double")
+    got = {(r["recording_index"], r["channel"], r["f_hz"]): r["pxx_db"] for r in spectral.overlay(psd).collect()}
+    assert got == {(1, "a", 0.0): 0.0, (1, "a", 2.0): 4.0, (1, "a", 5.0): 1.0, (2, "a", 0.0): 10.0, (2, "a", 2.0): 20.0, (2, "a", 5.0): 2.0, (3, "b", 1.0): 7.0}
