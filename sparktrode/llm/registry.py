@@ -78,4 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sql.SHARDING, "op8_warc": sql.WARC, "op9_url_filter": sql.URL_FILTER}
+    return {
+        "op1_sharding": sql.SHARDING, "op8_warc": sql.WARC, "op9_url_filter": sql.URL_FILTER,
+        "op12_phrases": sql.PHRASES, "op13_suffix_array": sql.SUFFIXES,
+    }

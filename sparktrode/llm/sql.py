@@ -70,3 +70,24 @@ select page_id, host, path, rule, coalesce(ruled, case when host in (select host
 
 
 URL_FILTER = _url_filter()
+
+PHRASES = """with d as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\n\\x0B\\f\\r]')) as piece from documents),
+p as (select lang, list_filter(string_split_regex(piece, '[ \\t]'), lambda x: x <> '') as w from d),
+n as (select lang, sum(len(w))::bigint as n from p group by 1),
+f as materialized (select lang, k, phrase, count(*) as a from (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) as phrase from p, (select unnest(range(1, 5)) as k) where len(w) >= k) group by 1, 2, 3),
+c as materialized (select *, string_split(phrase, ' ') as w from f where k > 1 and a >= 30),
+cut as (select lang, phrase, a, j, array_to_string(w[1 : j], ' ') as head, array_to_string(w[j + 1 :], ' ') as tail from (select *, unnest(range(1, k)) as j from c)),
+s as (select cut.*, l.a as l, r.a as r, (2000000::hugeint * cut.a) // (l.a + r.a) as score from cut join f l on l.lang = cut.lang and l.phrase = head join f r on r.lang = cut.lang and r.phrase = tail),
+worst as (select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+inside as (select lang, array_to_string(w[i : i + m - 1], ' ') as phrase, max(a) as longer from (select *, unnest(range(1, k - m + 2)) as i from (select *, unnest(range(2, k)) as m from c)) group by 1, 2),
+kept as (select worst.* from worst left join inside using (lang, phrase) where longer is null or 100 * longer < 80 * a)
+select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) join n using (lang) where rank <= 2000"""
+
+SUFFIXES = """with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+w as materialized (select doc_id, i, substr(h, 2 * i::int + 1, 100) as s from (select doc_id, h, unnest(range(n - 49)) as i from d where n >= 50)),
+hit as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by s) as least from w) where least < doc_id),
+runs as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as run from (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 50 then 0 else 1 end as fresh from hit)),
+spans as (select doc_id, min(i) as a, max(i) + 50 as b from runs group by doc_id, run),
+gaps as (select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as low, a as high from spans union all select d.doc_id, coalesce(max(b), 0), any_value(n) from d left join spans using (doc_id) group by d.doc_id),
+kept as (select doc_id, string_agg(substr(h, 2 * low::int + 1, 2 * (high - low)::int), '' order by low, high) as k from gaps join d using (doc_id) group by doc_id)
+select doc_id, n::bigint as n_bytes, (n - len(k) // 2)::bigint as n_removed, (select count(*) from spans s where s.doc_id = d.doc_id) as n_spans, sha256(unhex(k)) as kept_sha256 from d join kept using (doc_id)"""
