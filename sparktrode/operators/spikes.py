@@ -22,6 +22,8 @@ from .samples import BLOCK, SERIES, blocked, in_cells, quantiles, robust_z
 #: Suppression looks so many distances beyond a block's borders; what that leaves open is settled
 #: in further rounds.
 HALO = 32
+#: Bins of a spike train that are worked on as one array.
+BINS = 1 << 16
 
 
 def series_ends(samples: DataFrame) -> DataFrame:
@@ -80,11 +82,31 @@ def _settle(n: np.ndarray, height: np.ndarray, kept: np.ndarray, low: int, high:
     return kept
 
 
+def _islands(rows: DataFrame, distance: int, block: int) -> DataFrame:
+    """Adds island, the n of its first row: rows nearer than `distance` to the one before share one.
+
+    Within a block by windows; a row a block carries the last start along a series.
+    """
+    line = W.partitionBy(*SERIES, "block").orderBy("n")
+    b = rows.withColumn("block", F.floor(F.col("n") / block))
+    b = b.withColumn("before", F.lag("n").over(line))
+    ends = b.groupBy(*SERIES, "block").agg(F.min("n").alias("a"), F.max("n").alias("z"), F.max(F.when(F.col("n") - F.col("before") >= distance, F.col("n"))).alias("inner"))
+    series = W.partitionBy(*SERIES).orderBy("block")
+    fresh = F.coalesce(F.col("a") - F.lag("z").over(series) >= distance, F.lit(True))
+    ends = ends.withColumn("opens", F.when(fresh, F.col("a"))).withColumn("start", F.coalesce("inner", "opens"))
+    carried = F.last("start", ignorenulls=True).over(series.rowsBetween(W.unboundedPreceding, -1))
+    ends = ends.select(*SERIES, "block", "a", F.coalesce("opens", carried).alias("of_first"))
+    starts = F.when(F.col("n") == F.col("a"), F.col("of_first")).when(F.col("n") - F.col("before") >= distance, F.col("n"))
+    return b.join(ends, [*SERIES, "block"]).withColumn("island", F.last(starts, ignorenulls=True).over(line)).drop("block", "before", "a", "of_first")
+
+
 def suppress(rows: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
     """Highest first, the later of equal ones first; peaks nearer than `distance` samples to a kept one go.
 
-    Each block is settled with HALO distances around it; peaks that hang on more than that are
-    settled in further rounds, which know what the last one settled.
+    Each block is settled with HALO distances around it. Peaks that hang on more than that are in
+    islands: runs of peaks, those gone left out, that are nearer than `distance` to the next. Islands
+    don't influence each other, so each that is still open is settled as a whole, whatever blocks it
+    reaches over. The number of jobs is the same for any chain.
     """
     halo, columns = HALO * distance, rows.columns
 
@@ -94,12 +116,21 @@ def suppress(rows: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
         pdf["kept"] = _settle(pdf["n"].to_numpy(), pdf["height"].to_numpy(), pdf["kept"].to_numpy(), at - halo, at + block + halo, distance).astype(np.int32)
         return pdf.loc[pdf["own"], [*columns, "kept"]]
 
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n", kind="stable")
+        n = pdf["n"].to_numpy()
+        kept = _settle(n, pdf["height"].to_numpy(), pdf["kept"].to_numpy(), n[0] - distance, n[-1] + distance + 1, distance)
+        return pdf.loc[kept == 1, columns]
+
     rows = rows.withColumn("kept", F.lit(-1))
-    while True:
-        done = written(blocked(rows, halo, block).groupBy(*SERIES, "block").applyInPandas(settle, rows.schema), "suppressed")
-        if done.filter("kept = -1").isEmpty():
-            return done.filter("kept = 1").drop("kept")
-        rows = done
+    done = written(blocked(rows, halo, block).groupBy(*SERIES, "block").applyInPandas(settle, rows.schema), "suppressed")
+    if done.filter("kept = -1").isEmpty():
+        return done.filter("kept = 1").drop("kept")
+    left = _islands(done.filter("kept <> 0"), distance, block)
+    open_ = left.groupBy(*SERIES, "island").agg(F.min("kept").alias("least"))
+    both = written(left.join(open_, [*SERIES, "island"]), "islands")
+    settled = both.filter("least = -1").drop("least").groupBy(*SERIES, "island").applyInPandas(finish, rows.drop("kept").schema)
+    return both.filter("least = 1").select(*columns).unionByName(settled)
 
 
 def refractory(rows: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
@@ -439,7 +470,8 @@ def interval_histogram(isi: DataFrame, bins: int = 59, log: bool = False) -> Dat
 def train_autocorrelogram(spikes: DataFrame, bin_s: float, max_lag: int) -> DataFrame:
     """Autocorrelation of the mean-removed counts at lags of up to max_lag bins, from sparse bins.
 
-    Only bins with spikes are joined: with S the products, A and B the sums of the counts that
+    Counts are multiplied in arrays of BINS bins, to which the bins that the lags reach ahead are
+    sent too: with S the products, A and B the sums of the counts that
     have a partner, N bins and mean m, it is S - m A - m B + (N - lag) m^2. Fewer than two spikes
     give nothing.
     """
@@ -447,8 +479,20 @@ def train_autocorrelogram(spikes: DataFrame, bin_s: float, max_lag: int) -> Data
     t0 = t0.withColumn("bins", F.floor((F.col("t1") - F.col("t0")) / bin_s) + 1)
     at = F.floor((F.col("t_s") - F.col("t0")) / bin_s)
     c = spikes.join(t0, SERIES).groupBy(*SERIES, at.alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    later = c.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag)))).select(*SERIES, (F.col("b") + F.col("lag")).alias("b"), "lag", F.col("c").alias("c1"))
-    s = later.join(c, [*SERIES, "b"]).groupBy(*SERIES, "lag").agg(F.sum(F.col("c1") * F.col("c")).alias("s"))
+    c = c.withColumn("block", F.floor(F.col("b") / BINS))
+    near = c.withColumn("block", F.explode(F.sequence(F.greatest(F.floor((F.col("b") - max_lag) / BINS), F.lit(0)), F.col("block"))))
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        line = np.zeros(BINS + max_lag)
+        line[pdf["b"].to_numpy() - int(pdf["block"].iloc[0]) * BINS] = pdf["c"].to_numpy()
+        lags = np.arange(max_lag + 1)
+        own = np.flatnonzero(line[:BINS])  # bins with spikes are few
+        sums = [float(line[own] @ line[own + k]) for k in lags]
+        return pd.DataFrame({k: [pdf[k].iloc[0]] * len(lags) for k in SERIES} | {"lag": lags, "p": sums})
+
+    parts = near.groupBy(*SERIES, "block").applyInPandas(products, "recording_index int, channel string, lag int, p double")
+    s = parts.groupBy(*SERIES, "lag").agg(F.sum("p").alias("s"))
+    c = c.drop("block")
     grid = t0.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag)))).filter("lag < bins")
     ends = c.join(t0.select(*SERIES, "bins"), SERIES)
     head = ends.filter(F.col("b") < max_lag).select(*SERIES, "b", "c")

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from sparktrode.functions.labels import clean_post, clean_stimulation, micrometres, normalised, phase, recorded_phases, stars
+from sparktrode.functions.labels import clean_post, clean_stimulation, comparisons, micrometres, normalised, phase, recorded_phases, stars
+
+from .windows import ranked
 
 FIRST, SECOND = "Baseline first half", "Baseline second half"
 ORDER = ["recording_index", "window_start_s", "window_end_s", "window_index"]
@@ -242,36 +244,54 @@ def _by_group(table: DataFrame, group: str | None) -> DataFrame:
     return table.withColumn("group", F.col(group) if group else F.lit("All units"))
 
 
-def phase_rows(table: DataFrame, group: str | None) -> DataFrame:
-    """The part table with a row for each phase: hz, pct, a, b, ref and its label."""
-    specs = []
+def phase_rows(table: DataFrame, group: str | None, compared: str | list[str] | None = None) -> DataFrame:
+    """The part table with a row for each phase that is compared: hz, pct, a, b, ref and its label."""
+    specs, chosen = [], comparisons(compared)
     for p, hz, pct, a, b in PHASES:
         ref, ref_label = (F.col("baseline_first_half_hz"), F.lit(FIRST)) if p == "Baseline" else (F.col("percent_reference_hz"), F.col("percent_reference_label"))
         named = {"phase": F.lit(p), "hz": F.col(hz), "pct": F.col(pct), "a": F.col(a), "b": F.col(b), "ref": ref, "ref_label": ref_label}
-        specs.append(F.struct(*[c.alias(k) for k, c in named.items()]))
+        specs += [F.struct(*[c.alias(k) for k, c in named.items()])] if p in chosen else []
     specs = F.array(*specs)
     return _by_group(table, group).select("part_index", "part_label", "stimulation_label", "group", F.explode(specs).alias("s")).select("part_index", "part_label", "stimulation_label", "group", "s.*")
 
 
+def _matched(sides: list[tuple[DataFrame, list[str]]], order: list[str]) -> list[DataFrame]:
+    """Each side with its rank k in the order among the rows that share its columns; rows of which
+    one is null go. All sides are ranked at once, by ranges."""
+    columns = list(dict.fromkeys(c for _, keys in sides for c in keys))
+    tagged = []
+    for i, (df, keys) in enumerate(sides):
+        df = df.dropna(subset=keys)
+        text = [F.col(c).cast("string") if c in keys else F.lit("") for c in columns]
+        tagged.append(df.select(F.lit(i).alias("side"), *[c.alias(f"key_{k}") for c, k in zip(text, columns, strict=True)], *order, "hz"))
+    all_ = ranked(reduce(DataFrame.unionByName, tagged), *order, keys=["side", *[f"key_{k}" for k in columns]])
+    out = []
+    for i, (df, keys) in enumerate(sides):
+        own = [F.col(f"key_{k}").cast(df.schema[k].dataType).alias(k) for k in keys]
+        out.append(all_.filter(F.col("side") == i).select(*own, F.col("rank").alias("k"), "hz"))
+    return out
+
+
 def window_pairs(rows: DataFrame, group: str | None) -> DataFrame:
     """(part_index, phase, group, a, b): ordered baseline windows against ordered windows of each
     part's phase, matched by rank; the two halves of the baseline where the phase is Baseline."""
-    rows = _by_group(rows, group).filter(F.col(HZ).isNotNull())
-    rank = lambda *keys: F.row_number().over(W.partitionBy("group", *keys).orderBy(*ORDER, "channel"))
-    base = rows.filter("phase = 'Baseline'").select("group", rank().alias("k"), F.col(HZ).alias("a"))
-    other = rows.filter("part_index is not null").select("part_index", "phase", "group", rank("part_index", "phase").alias("k"), F.col(HZ).alias("b"))
-    moved = other.join(base, ["group", "k"]).select("part_index", "phase", "group", "a", "b")
-    half = lambda h, n: rows.filter(F.col("baseline_half") == h).select("group", rank().alias("k"), F.col(HZ).alias(n))
-    within = half(FIRST, "a").join(half(SECOND, "b"), ["group", "k"])
+    rows = _by_group(rows, group).filter(F.col(HZ).isNotNull()).withColumn("hz", F.col(HZ))
+    half = lambda h: rows.filter(F.col("baseline_half") == h)
+    sides = [(rows.filter("phase = 'Baseline'"), ["group"]), (rows, ["group", "part_index", "phase"]), (half(FIRST), ["group"]), (half(SECOND), ["group"])]
+    base, other, early, late = _matched(sides, [*ORDER, "channel"])
+    left = lambda d: d.withColumnRenamed("hz", "a")
+    right = lambda d: d.withColumnRenamed("hz", "b")
+    moved = right(other).join(left(base), ["group", "k"]).select("part_index", "phase", "group", "a", "b")
+    within = left(early).join(right(late), ["group", "k"])
     parts = rows.filter("part_index is not null").select("part_index", "group").distinct()
     return moved.unionByName(within.join(parts, "group").select("part_index", F.lit("Baseline").alias("phase"), "group", "a", "b"))
 
 
-def part_summary(table: DataFrame, rows: DataFrame, group: str | None) -> DataFrame:
-    """Mean, error, reference and paired test of each part, group and phase; the test falls back
-    on matched windows where units are too few."""
+def part_summary(table: DataFrame, rows: DataFrame, group: str | None, compared: str | list[str] | None = None) -> DataFrame:
+    """Mean, error, reference and paired test of each part, group and compared phase; the test falls
+    back on matched windows where units are too few."""
     keys = ["part_index", "part_label", "stimulation_label", "group", "phase"]
-    long = phase_rows(table, group)
+    long = phase_rows(table, group, compared)
     mean = long.groupBy(*keys).agg(
         F.count("hz").alias("n_units"), F.avg("hz").alias("mean_hz"), error(F.col("hz")).alias("sem_hz"), F.min("ref_label").alias("percent_reference_label"), F.avg("ref").alias("percent_reference_mean_hz"),
         F.avg("pct").alias("percent_change_mean"), error(F.col("pct")).alias("percent_change_sem"), F.count("pct").alias("percent_change_n"),
@@ -292,10 +312,10 @@ def with_significance(tests: DataFrame) -> DataFrame:
     return tests.withColumn("p_value", p).withColumn("significance", stars(F.col("p_value")))
 
 
-def unpaired_tests(table: DataFrame, group: str) -> DataFrame:
-    """Welch's test of percent changes for each two groups of each part and phase."""
+def unpaired_tests(table: DataFrame, group: str, compared: str | list[str] | None = None) -> DataFrame:
+    """Welch's test of percent changes for each two groups of each part and compared phase."""
     keys = ["part_index", "part_label", "stimulation_label", "phase"]
-    grouped = phase_rows(table, group).filter(F.col("group").isNotNull()).groupBy(*keys, "group").agg(F.count("pct").alias("n"), F.avg("pct").alias("m"), F.var_samp("pct").alias("v"))
+    grouped = phase_rows(table, group, compared).filter(F.col("group").isNotNull()).groupBy(*keys, "group").agg(F.count("pct").alias("n"), F.avg("pct").alias("m"), F.var_samp("pct").alias("v"))
     side = lambda k: grouped.withColumnsRenamed({"group": f"group_{k}", "n": f"n_group_{k}", "m": f"group_{k}_mean", "v": f"v{k}"})
     both = side(1).join(side(2), keys).filter("group_1 < group_2")
     ok = (F.col("n_group_1") > 1) & (F.col("n_group_2") > 1)
@@ -310,19 +330,14 @@ def fallback_error(across: Column, n: Column, single: Column) -> Column:
     return F.when(n > 1, across).otherwise(single)
 
 
-def _ordered_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Windows of left (group, hz, place) against those of right (keys, hz, place), matched by rank."""
-    rank = lambda cols: F.row_number().over(W.partitionBy(*cols).orderBy("place")).alias("k")
-    return right.select(*keys, rank(keys), F.col("hz").alias("b")).join(left.select("group", rank(["group"]), F.col("hz").alias("a")), ["group", "k"])
-
-
-def pooled_changes(rows: DataFrame, group: str | None, keys: list[str]) -> DataFrame:
+def pooled_changes(rows: DataFrame, group: str | None, keys: list[str], compared: str | list[str] | None = None) -> DataFrame:
     """Percent change by category over all parts, with its paired test: Baseline, each stimulation
     label, each post label.
 
     rows are windows with parts. A unit's windows of a label are averaged over all parts; a generic
-    'Post' is numbered by its part. One row for each group and category, in the order Baseline,
-    stimulation, post, and within these by first window. The error is across units, else across the
+    'Post' is numbered by its part. Only compared phases have categories. One row for each group and
+    category; category_order is the same for all groups: Baseline, stimulation, post, and within
+    these by the first window of any group. The error is across units, else across the
     only unit's windows. Units are paired with their baseline; where they are too few for a test,
     windows are, in order.
     """
@@ -334,14 +349,15 @@ def pooled_changes(rows: DataFrame, group: str | None, keys: list[str]) -> DataF
     label = F.when(generic, F.concat(F.lit("Post "), F.col("part_index").cast("string"))).otherwise(named)
     place = F.struct(*ORDER, "channel")
     windows = rows.filter(F.col(HZ).isNotNull()).withColumns({"place": place, "hz": F.col(HZ)})
-    other = windows.filter("phase <> 'Baseline'").withColumn("category", label)
+    chosen = comparisons(compared)
+    other = windows.filter((F.col("phase") != "Baseline") & F.col("phase").isin(chosen)).withColumn("category", label)
     ref = F.coalesce("baseline_second_half_hz", "baseline_hz")
     moved = other.groupBy(*unit, "phase", "category").agg(F.avg("hz").alias("b"), error(F.col("hz")).alias("err"), F.min("place").alias("first_seen"))
     scaled = F.col("err") / F.abs(F.nullif(ref, F.lit(0.0))) * 100
     moved = moved.join(base, unit, "left")
     moved = moved.select("group", "phase", "category", "first_seen", F.col("baseline_hz").alias("a"), "b", percent(F.col("b"), ref).alias("pct"), scaled.alias("err"))
     first = F.nullif(F.col("baseline_first_half_hz"), F.lit(0.0))
-    within = base.filter("baseline_percent_change is not null").select(
+    within = base.filter(F.col("baseline_percent_change").isNotNull() & F.lit("Baseline" in chosen)).select(
         "group", F.lit("Baseline").alias("phase"), F.lit("Baseline").alias("category"), F.lit(None).cast(moved.schema["first_seen"].dataType).alias("first_seen"),
         F.col("baseline_first_half_hz").alias("a"), F.col("baseline_second_half_hz").alias("b"), F.col("baseline_percent_change").alias("pct"), (F.col("__sd") / F.sqrt("__n") / F.abs(first) * 100).alias("err"),
     )
@@ -351,23 +367,29 @@ def pooled_changes(rows: DataFrame, group: str | None, keys: list[str]) -> DataF
     diff = F.col("b") - F.col("a")
     paired = t_stats(long, kinds, diff)
     start = windows.filter("phase = 'Baseline'")
-    pairs = _ordered_pairs(start, other, kinds)
-    halves = _ordered_pairs(start.filter(F.col("baseline_half") == FIRST), start.filter(F.col("baseline_half") == SECOND).withColumn("category", F.col("phase")), kinds)
+    half = lambda h: start.filter(F.col("baseline_half") == h)
+    base_k, other_k, early, late = _matched([(start, ["group"]), (other, kinds), (half(FIRST), ["group"]), (half(SECOND), ["group"])], [*ORDER, "channel"])
+    left = lambda d: d.withColumnRenamed("hz", "a")
+    pairs = other_k.withColumnRenamed("hz", "b").join(left(base_k), ["group", "k"]).select(*kinds, "a", "b")
+    halves = left(early).join(late.withColumnRenamed("hz", "b"), ["group", "k"]).select("group", *[F.lit("Baseline").alias(c) for c in kinds[1:]], "a", "b")
     fallback = t_stats(pairs.unionByName(halves), kinds, diff).select(*kinds, F.col("t").alias("wt"), F.col("df").alias("wdf"), F.col("all_zero").alias("wz"))
     out = seen.join(paired, kinds).join(fallback, kinds, "left")
     use = F.col("df").isNull() | (F.col("t").isNull() & ~F.col("all_zero"))
     pick = lambda w, c: F.when(use, F.col(w)).otherwise(F.col(c))
     kind = F.array_position(F.lit(["Baseline", "Stimulation", "Post"]), F.col("phase"))
-    order = F.dense_rank().over(W.partitionBy("group").orderBy(kind, "first_seen", "category"))
-    out = out.select("group", "category", order.alias("category_order"), "n", "mean", fallback_error(F.col("across"), F.col("n"), F.col("single")).alias("error"), pick("wt", "t").alias("t"), pick("wdf", "df").alias("df"), pick("wz", "all_zero").alias("all_zero"))
+    first_row = F.min("first_seen").alias("first_seen")
+    names = long.groupBy("phase", "category").agg(first_row, F.count("pct").alias("n")).filter("n > 0")
+    names = names.select("phase", "category", F.dense_rank().over(W.orderBy(kind, "first_seen", "category")).alias("category_order"))  # a row a category
+    out = out.join(names, ["phase", "category"]).select("group", "category", "category_order", "n", "mean", fallback_error(F.col("across"), F.col("n"), F.col("single")).alias("error"), pick("wt", "t").alias("t"), pick("wdf", "df").alias("df"), pick("wz", "all_zero").alias("all_zero"))
     return with_significance(out).drop("all_zero")
 
 
-def plot_tables(table: DataFrame, rows: DataFrame, group: str | None) -> DataFrame:
+def plot_tables(table: DataFrame, rows: DataFrame, group: str | None, compared: str | list[str] | None = None) -> DataFrame:
     """What the two figures of each part show: kind ('frequency' or 'percent'), label, mean, error,
     n and stars by group and phase.
 
-    The frequency of the baseline is that of all its windows and has no stars. A post without
+    Phases that aren't compared are left out, but for the frequency of the baseline, which is that of
+    all its windows and has no stars. A post without
     stimulation takes the part's label. Phases without a value in a part are left out, and so is a
     part without any but the baseline.
     """
@@ -375,6 +397,8 @@ def plot_tables(table: DataFrame, rows: DataFrame, group: str | None) -> DataFra
     t = _by_group(table, group)
     specs = [("frequency", p, f"{s}_hz", f"{s}_window_error_hz") for p, s in (("Baseline", "baseline"), ("Stimulation", "stimulation"), ("Post", "post"))]
     specs += [("percent", p, f"{s}_percent_change", f"{s}_percent_change_error") for p, s in (("Baseline", "baseline"), ("Stimulation", "stimulation"), ("Post", "post"))]
+    chosen = comparisons(compared)
+    specs = [s for s in specs if s[1] in chosen or s[:2] == ("frequency", "Baseline")]
     every = W.partitionBy(*keys)
     t = t.withColumn("__stimulated", F.count("stimulation_hz").over(every) > 0)
     cells = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(p).alias("phase"), F.col(v).cast("double").alias("v"), F.col(e).cast("double").alias("e")) for k, p, v, e in specs]))
@@ -384,7 +408,7 @@ def plot_tables(table: DataFrame, rows: DataFrame, group: str | None) -> DataFra
     long = long.filter(F.col("__has") & (F.col("__others") | (F.col("kind") == "percent")))
     label = F.when(F.col("phase") == "Stimulation", F.col("stimulation_label")).when((F.col("phase") == "Post") & ~F.col("__stimulated"), F.col("stimulation_label")).otherwise(F.col("phase"))
     out = long.groupBy(*keys, "group", "kind", "phase", label.alias("label")).agg(F.avg("v").alias("mean"), fallback_error(error(F.col("v")), F.count("v"), F.max("e")).alias("error"), F.count("v").alias("n"))
-    tests = with_significance(part_summary(table, rows, group)).select("part_index", "group", "phase", "significance")
+    tests = with_significance(part_summary(table, rows, group, compared)).select("part_index", "group", "phase", "significance")
     bare = (F.col("kind") == "frequency") & (F.col("phase") == "Baseline")
     return out.join(tests, ["part_index", "group", "phase"], "left").withColumn("significance", F.when(~bare, F.col("significance")))
 

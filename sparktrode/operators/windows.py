@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -84,29 +86,75 @@ def epoch_labels(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return out.select("path", "given", F.coalesce("by_path", "by_given", "by_base").alias("epoch_label"))
 
 
-def epoch_tags(windows: DataFrame, epochs: DataFrame, keys: list[str]) -> DataFrame:
-    """Names of all epochs that overlap each window, in their order, joined by a bar."""
-    e = F.broadcast(epochs.select("ord", "epoch", "e_start", "e_end"))  # a few stated ranges
-    hit = windows.join(e, (F.col("window_start_s") < F.col("e_end")) & (F.col("window_end_s") > F.col("e_start")), "left")
+def overlapping(left: DataFrame, right: DataFrame, ends: tuple[str, str, str, str], by: list[str] | None = None, cell_s: float = 60.0, how: str = "inner") -> DataFrame:
+    """left with the ranges of right that it overlaps: starts before their end, ends after their start.
+
+    ends names left's start and end, then right's. Without `by` right is a short list that the caller
+    states and that holds for all rows: it goes to every task. With `by`, the columns that tell whose
+    ranges they are, both sides are cut into cells of `cell_s` seconds and meet on equal (by, cell);
+    of the cells that a pair shares the first counts. how is inner, left or left_anti.
+    """
+    start, end, r_start, r_end = ends
+    meets = (F.col(start) < F.col(r_end)) & (F.col(end) > F.col(r_start))
+    if not by:
+        return left.join(F.broadcast(right), meets, how)
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell_s), F.floor(F.greatest(F.col(a), F.col(b)) / cell_s)))
+    numbered = written(left.withColumn("__id", F.monotonically_increasing_id()), "left")
+    own = numbered.select(*by, "__id", start, end).withColumn("__cell", cells(start, end))
+    other = right.withColumn("__cell", cells(r_start, r_end))
+    first = F.col("__cell") == F.floor(F.greatest(start, r_start) / cell_s)
+    pairs = own.join(other, [*by, "__cell"]).filter(meets & first).drop(*by, start, end, "__cell")
+    if how == "left_anti":
+        return numbered.join(pairs.select("__id").distinct(), "__id", "left_anti").drop("__id")
+    return numbered.join(pairs, "__id", how).drop("__id")
+
+
+_WINDOW = ("window_start_s", "window_end_s")
+
+
+def epoch_tags(windows: DataFrame, epochs: DataFrame, keys: list[str], by: list[str] | None = None, cell_s: float = 60.0) -> DataFrame:
+    """Names of all epochs that overlap each window, in their order, joined by a bar.
+
+    With `by`, say recording_index, epochs is a table of ranges of each of these.
+    """
+    e = epochs.select(*(by or []), "ord", "epoch", "e_start", "e_end")
+    hit = overlapping(windows, e, (*_WINDOW, "e_start", "e_end"), by, cell_s, "left")
     names = F.transform(F.array_sort(F.collect_list(F.when(F.col("ord").isNotNull(), F.struct("ord", "epoch")))), lambda x: x["epoch"])
-    return hit.groupBy(*keys, "window_start_s", "window_end_s").agg(F.array_join(names, "|").alias("epoch"))
+    return hit.groupBy(*keys, *_WINDOW).agg(F.array_join(names, "|").alias("epoch"))
 
 
-def drop_skipped(windows: DataFrame, skips: DataFrame) -> DataFrame:
-    s = F.broadcast(skips.select("s_start", "s_end"))
-    return windows.join(s, (F.col("window_start_s") < F.col("s_end")) & (F.col("window_end_s") > F.col("s_start")), "left_anti")
+def drop_skipped(windows: DataFrame, skips: DataFrame, by: list[str] | None = None, cell_s: float = 60.0) -> DataFrame:
+    """Windows that overlap no skip; with `by` skips is a table of ranges of each of these."""
+    return overlapping(windows, skips.select(*(by or []), "s_start", "s_end"), (*_WINDOW, "s_start", "s_end"), by, cell_s, "left_anti")
 
 
-def epoch_summary(spikes: DataFrame, series: DataFrame, epochs: DataFrame, skips: DataFrame, keys: list[str]) -> DataFrame:
+def epoch_summary(spikes: DataFrame, series: DataFrame, epochs: DataFrame, skips: DataFrame, keys: list[str], by: list[str] | None = None, cell_s: float = 60.0) -> DataFrame:
     """Spikes per epoch outside the skips, over the duration less each overlap.
 
     Skips that overlap each other are subtracted twice, and an epoch isn't cut to the recording.
+    With `by`, which keys holds, epochs and skips are tables of ranges of each of these.
     """
-    e, s = F.broadcast(epochs.select("epoch", "e_start", "e_end")), F.broadcast(skips.select("s_start", "s_end"))
-    lost = e.crossJoin(s).groupBy("epoch").agg(F.sum(F.greatest(F.least("e_end", "s_end") - F.greatest("e_start", "s_start"), F.lit(0.0))).alias("lost"))
-    usable = spikes.join(s, (F.col("t_s") >= F.col("s_start")) & (F.col("t_s") < F.col("s_end")), "left_anti")
-    counts = usable.join(e, (F.col("t_s") >= F.col("e_start")) & (F.col("t_s") < F.col("e_end"))).groupBy(*keys, "epoch").agg(F.count(F.lit(1)).alias("spike_count"))
-    out = series.select(*keys).distinct().crossJoin(e).join(lost, "epoch", "left").join(counts, [*keys, "epoch"], "left")
+    by = by or []
+    e, s = epochs.select(*by, "epoch", "e_start", "e_end"), skips.select(*by, "s_start", "s_end")
+    e, s = (e, s) if by else (F.broadcast(e), F.broadcast(s))  # short lists
+    pairs = overlapping(e.withColumnsRenamed({"e_start": "e0", "e_end": "e1"}), s, ("e0", "e1", "s_start", "s_end"), by, cell_s)
+    lost = pairs.groupBy(*by, "epoch").agg(F.sum(F.least("e1", "s_end") - F.greatest("e0", "s_start")).alias("lost"))
+    # a spike is in a range from its start on, up to its end
+    point = spikes
+    at = lambda a, b: (F.col("t_s") >= F.col(a)) & (F.col("t_s") < F.col(b))
+    if by:
+        cell = lambda c: F.floor(F.col(c) / cell_s)
+        point = point.withColumn("__cell", cell("t_s"))
+        e_cells, s_cells = (d.withColumn("__cell", F.explode(F.sequence(cell(a), F.greatest(cell(a), cell(b))))) for d, a, b in ((e, "e_start", "e_end"), (s, "s_start", "s_end")))
+        on = lambda d: reduce(Column.__and__, [point[c] == d[c] for c in [*by, "__cell"]])
+        usable = point.join(s_cells, on(s_cells) & at("s_start", "s_end"), "left_anti")
+        counts = usable.join(e_cells, [*by, "__cell"]).filter(at("e_start", "e_end"))
+    else:
+        usable = point.join(s, at("s_start", "s_end"), "left_anti")
+        counts = usable.join(e, at("e_start", "e_end"))
+    counts = counts.groupBy(*keys, "epoch").agg(F.count(F.lit(1)).alias("spike_count"))
+    every = series.select(*keys).distinct()
+    out = (every.join(e, by) if by else every.crossJoin(e)).join(lost, [*by, "epoch"], "left").join(counts, [*keys, "epoch"], "left")
     out = out.withColumn("seconds", F.col("e_end") - F.col("e_start") - F.coalesce("lost", F.lit(0.0))).filter("seconds > 0")
     n = F.coalesce("spike_count", F.lit(0))
     minutes = F.col("seconds") / 60
@@ -120,17 +168,20 @@ def continuous_axis(counts: DataFrame) -> DataFrame:
     return counts.withColumn("x", x).groupBy("channel", "recording_index").agg(F.min("x").alias("first_x"), F.max("x").alias("last_x"), (F.min("x") - 0.5).alias("boundary"), ((F.min("x") + F.max("x")) / 2).alias("middle"))
 
 
-def ranked(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with rank (from 1) over the whole table, and `lot`, the range of the order that a row is in.
+def ranked(rows: DataFrame, *order: str, keys: list[str] | None = None) -> DataFrame:
+    """rows with rank (from 1) in the order, over the whole table or in each group of keys, and
+    `lot`, the range of the order that a row is in.
 
-    Rows are dealt by ranges of the order; a row a range carries the counts on.
+    Rows are dealt by ranges of keys and order, so a large group is in many tasks; a row for each
+    group and range carries the counts on. Keys aren't null.
     """
+    keys = keys or []
     count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(count, *order).sortWithinPartitions(*order)
+    dealt = rows.repartitionByRange(count, *keys, *order).sortWithinPartitions(*keys, *order)
     dealt = written(dealt.withColumns({"lot": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "ranked")
-    lots = dealt.groupBy("lot").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    lots = lots.select("lot", (F.sum("__n").over(W.orderBy("lot")) - F.col("__n") - F.col("__first") + 1).alias("__shift"))  # a row a range
-    return dealt.join(F.broadcast(lots), "lot").withColumn("rank", F.col("__at") + F.col("__shift")).drop("__at", "__shift")
+    lots = dealt.groupBy(*keys, "lot").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    lots = lots.select(*keys, "lot", (F.sum("__n").over(W.partitionBy(*keys).orderBy("lot")) - F.col("__n") - F.col("__first") + 1).alias("__shift"))
+    return dealt.join(lots, [*keys, "lot"]).withColumn("rank", F.col("__at") + F.col("__shift")).drop("__at", "__shift")
 
 
 def data_sets(rows: DataFrame, order: str, required: list[str]) -> DataFrame:

@@ -295,11 +295,12 @@ def p20_window_index(spark, sf_dir):
     return S.numbered_windows(rows, "window_start_s").select("recording_name", "channel", "window_start_s", "window_index")
 
 
-@query(f"with {WINDOWS} select recording_index, channel, window_index, 'Baseline,Post' as comparisons from fx_windows where epoch_label in ('Baseline','Post')")
+@query(f"with {WINDOWS} select recording_index, channel, window_index, 'Post' as comparisons from fx_windows where epoch_label = 'Post'")
 def p22_phase_filter(spark, sf_dir):
-    w = S.keep_phases(windows(spark, sf_dir), "Pre, recovery, base")
-    wanted = L.comparisons("all", "Pre, recovery, base")
-    return w.select("recording_index", "channel", "window_index", F.lit(",".join(wanted)).alias("comparisons"))
+    kept = "Pre, recovery, base"
+    w = S.keep_phases(windows(spark, sf_dir), kept)
+    wanted = L.comparisons("after, stim", kept)  # stimulation isn't recorded, so only the post is compared
+    return w.filter(L.phase(F.col("epoch_label")).isin(wanted)).select("recording_index", "channel", "window_index", F.lit(",".join(wanted)).alias("comparisons"))
 
 
 ANIMALS = EV + ", an as (select user_id % 6 as animal, epoch_label as condition, channel from fx_spikes), s as (select distinct animal, condition, channel from an union select a.animal, c.condition, h.channel from (select distinct animal from an) a, (select distinct condition from an) c, (select distinct channel from an) h)"

@@ -152,8 +152,9 @@ _STARS = "case when p is null then 'n/a' when p < 1e-4 then '****' when p < 1e-3
 c as (select bt.grp, 'Baseline' as phase, 'Baseline' as category, -1 as first_seen, h1 as a, h2 as v, (h2-h1)/nullif(h1,0)*100 as pct, e2/abs(nullif(h1,0))*100 as err from bt where (h2-h1)/nullif(h1,0)*100 is not null
  union all select lab.grp, phase, category, first_seen, b, v, (v-coalesce(h2,b))/nullif(coalesce(h2,b),0)*100, e/abs(nullif(coalesce(h2,b),0))*100 from lab left join bt on bt.channel=lab.channel and bt.grp=lab.grp),
 g as (select grp, phase, category, min(first_seen) fs, count(pct) n, avg(pct) mean, case when count(pct)>1 then stddev_samp(pct)/sqrt(count(pct)) else max(err) end as error, count(v-a) pn, max(abs(v-a)) <= 1e-8 as z, avg(v-a)/(stddev_samp(v-a)/sqrt(count(v-a))) as td from c group by 1,2,3 having count(pct) > 0),
-v as (select *, case when pn > 1 and not z then td end as t, case when pn > 1 then pn-1e0 end as df from g), q as (select *, case when z and df is not null then 1e0 when t is not null then {P_VALUE} end as p from v)
-select grp as "group", category, cast(dense_rank() over (partition by grp order by case phase when 'Baseline' then 1 when 'Stimulation' then 2 else 3 end, fs, category) as int) as category_order, n, round(mean,6) as mean, round(error,6) as error, round(t,6) as t, df, round(p,8) as p_value, {_STARS} as significance from q""")
+v as (select *, case when pn > 1 and not z then td end as t, case when pn > 1 then pn-1e0 end as df from g), q as (select *, case when z and df is not null then 1e0 when t is not null then {P_VALUE} end as p from v),
+ct as (select phase, category, cast(dense_rank() over (order by case phase when 'Baseline' then 1 when 'Stimulation' then 2 else 3 end, min(first_seen), category) as int) as category_order from c group by 1,2 having count(pct) > 0)
+select grp as "group", category, category_order, n, round(mean,6) as mean, round(error,6) as error, round(t,6) as t, df, round(p,8) as p_value, {_STARS} as significance from q join ct using (phase, category)""")
 def e12_pooled_changes(spark, sf_dir):
     out = S.pooled_changes(written(parts(spark, sf_dir), "parts"), GROUP, UNIT)
     return out.select(*[r(c, 8 if c == "p_value" else 6).alias(c) if t == "double" and c != "df" else F.col(c) for c, t in out.dtypes])
