@@ -11,10 +11,12 @@ goes through the driver; it is bounded by the vocabulary.
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 import hashlib
 import itertools
 import os
+import re
 from operator import attrgetter
 
 import numpy as np
@@ -30,6 +32,8 @@ BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of texts that are encoded at once.
 ENCODE_BYTES = 1 << 18
+_ID_AND_END = attrgetter("id", "end")
+_BLOBS = ["pairs", "counts", "words", "links", "word_counts", "link_counts"]
 
 
 class Vocabulary:
@@ -84,43 +88,66 @@ def refined(coarse: np.ndarray, clear: np.ndarray, lengths: np.ndarray) -> np.nd
     return np.where(clear, coarse, decoded + base)
 
 
-def _byte_ends(encoding: object, raw: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and byte ends of an encoding of the text with the bytes `raw`."""
-    ids = np.array(encoding.ids, dtype=np.int64)
-    spans = np.fromiter(itertools.chain.from_iterable(encoding.offsets), dtype=np.int64, count=2 * len(ids)).reshape(-1, 2)
-    first_bytes = np.r_[np.flatnonzero((raw & 0xC0) != 0x80), len(raw)]  # of characters
-    start, end = spans[:, 0], spans[:, 1]
-    clear = np.r_[start[1:] >= end[:-1], True] & (end > start)  # shares no character with the next
-    return ids, refined(first_bytes[end], clear, vocabulary.lengths[ids])
+@dataclasses.dataclass
+class Encoded:
+    """Tokens of both tokenizers for texts laid end to end, each after a space: ids, byte ends, and
+    how many each text has. Texts that a tokenizer doesn't give back are bad and have none."""
+
+    a: np.ndarray
+    a_ends: np.ndarray
+    a_sizes: np.ndarray
+    b: np.ndarray
+    b_ends: np.ndarray
+    b_sizes: np.ndarray
+    bad: np.ndarray
+
 
+def _flat(rows: list, count: int) -> np.ndarray:
+    return np.fromiter(itertools.chain.from_iterable(rows), dtype=np.int64, count=count)
 
-def _piece_ends(proto: object, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and byte ends, with the space that the model puts in front, of an encoded text."""
-    pieces = proto.pieces
-    n = len(pieces)
-    ids = np.fromiter(map(attrgetter("id"), pieces), dtype=np.int64, count=n)
-    end = np.fromiter(map(attrgetter("end"), pieces), dtype=np.int64, count=n)
-    clear = end > np.r_[-1, end[:-1]]
-    clear[:-1] &= end[1:] > end[:-1]  # a byte piece's span may be that of its whole character
-    return ids, refined(end + 1, clear, vocabulary.lengths[ids])
 
+def _given_back(ids: np.ndarray, sizes: np.ndarray, words: Vocabulary, raw: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether each text's tokens decode to its very bytes."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    same = np.bincount(of, weights=words.lengths[ids], minlength=len(sizes)) == lengths
+    there = np.repeat(same, lengths)
+    differ = words.joined(ids[same[of]]) != raw[there]
+    wrong = np.bincount(np.repeat(np.arange(len(sizes)), lengths)[there], weights=differ, minlength=len(sizes)) > 0
+    return same & ~wrong
 
-def encode(texts: list[str], byte_model: str = BYTE_MODEL, piece_model: str = PIECE_MODEL) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None]:
-    """(byte ids, their ends, piece ids, their ends) of each text after a space; None for an empty
-    text and where joined tokens differ from it."""
+
+def encode(texts: list[str], byte_model: str = BYTE_MODEL, piece_model: str = PIECE_MODEL) -> Encoded:
+    """Both encodings of each text after a space."""
     (a_model, a_words), (b_model, b_words) = byte_tokenizer(byte_model), piece_tokenizer(piece_model)
-    out = []
-    left = a_model.encode_batch([" " + x for x in texts], add_special_tokens=False)
-    right = b_model.encode(texts, return_type="proto")
-    for text, x, y in zip(texts, left, right, strict=True):
-        raw = np.frombuffer((" " + text).encode(), dtype=np.uint8)
-        a, a_ends = _byte_ends(x, raw, a_words) if text else (None, None)
-        if not text or not np.array_equal(a_words.joined(a), raw):
-            out.append(None)
-            continue
-        b, b_ends = _piece_ends(y, b_words)
-        out.append((a, a_ends, b, b_ends) if np.array_equal(b_words.joined(b), raw) else None)
-    return out
+    spaced = [" " + x for x in texts]
+    data = [x.encode() for x in spaced]
+    raw, lengths = np.frombuffer(b"".join(data), dtype=np.uint8), np.array([len(x) for x in data], dtype=np.int64)
+    base = np.cumsum(lengths) - lengths
+    chars = np.array([len(x) for x in spaced], dtype=np.int64)
+    first_bytes = np.r_[np.flatnonzero((raw & 0xC0) != 0x80), len(raw)]  # of characters
+
+    left = a_model.encode_batch(spaced, add_special_tokens=False)
+    rows = [x.ids for x in left]
+    a_sizes = np.array([len(x) for x in rows], dtype=np.int64)
+    a = _flat(rows, int(a_sizes.sum()))
+    spans = _flat(itertools.chain.from_iterable(x.offsets for x in left), 2 * len(a)).reshape(-1, 2) + np.repeat(np.cumsum(chars) - chars, a_sizes)[:, None]
+    start, end = spans[:, 0], spans[:, 1]
+    clear = np.r_[start[1:] >= end[:-1], True][: len(a)] & (end > start)  # shares no character with the next
+    a_ends = refined(first_bytes[end], clear, a_words.lengths[a])
+
+    pieces = [x.pieces for x in b_model.encode(texts, return_type="proto")]
+    b_sizes = np.array([len(x) for x in pieces], dtype=np.int64)
+    both = _flat(map(_ID_AND_END, itertools.chain.from_iterable(pieces)), 2 * int(b_sizes.sum())).reshape(-1, 2)
+    b, end = both[:, 0], both[:, 1]
+    opens = np.zeros(len(b), bool)
+    opens[(np.cumsum(b_sizes) - b_sizes)[b_sizes > 0]] = True
+    clear = opens | (np.r_[True, end[1:] > end[:-1]][: len(b)])
+    clear[:-1] &= opens[1:] | (end[1:] > end[:-1])  # a byte piece's span may be that of its whole character
+    b_ends = refined(end + 1 + np.repeat(base, b_sizes), clear, b_words.lengths[b])
+
+    bad = ~(_given_back(a, a_sizes, a_words, raw, lengths) & _given_back(b, b_sizes, b_words, raw, lengths)) | (chars == 1)
+    kept_a, kept_b = np.repeat(~bad, a_sizes), np.repeat(~bad, b_sizes)
+    return Encoded(a[kept_a], a_ends[kept_a], np.where(bad, 0, a_sizes), b[kept_b], b_ends[kept_b], np.where(bad, 0, b_sizes), bad)
 
 
 @functools.lru_cache(maxsize=1)
@@ -131,8 +158,8 @@ def _decimals(size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(x.ljust(width) for x in names), np.uint8).reshape(size, width), np.array([len(x) for x in names])
 
 
-def group_text(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray, common: np.ndarray) -> bytes:
-    """Groups as a1,a2|b1;a3|b2,b3 in decimals."""
+def group_text(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray, common: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Groups as a1,a2|b1;a3|b2,b3 in decimals, and where each of them ends."""
     ga, gb = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
     n = len(common)
     before_b = np.r_[0, np.cumsum(np.bincount(gb, minlength=n))]
@@ -150,35 +177,73 @@ def group_text(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndar
     for d in range(int(size.max(initial=0))):
         has = size > d
         out[start[has] + 1 + d] = digits[ids[has], d]
-    return out[1:].tobytes()
+    last = before_a[1:] + before_b[1:] - 1  # of the tokens of each group
+    return out[1:].tobytes(), start[last] + size[last]
+
+
+def _split_at(piece_model: str) -> re.Pattern | None:
+    """Where both tokenizers always end a token: at a space between characters that aren't white.
+
+    So for the byte tokenizer, whose words hold a space at their start only; so for the pieces if
+    none holds a space behind another character.
+    """
+    model, _ = piece_tokenizer(piece_model)
+    whole = all("▁" not in model.id_to_piece(i).lstrip("▁") for i in range(model.get_piece_size()))
+    return re.compile(r"(?<=\S) (?=\S)") if whole else None
 
 
 def align_lots(table: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str = PIECE_MODEL) -> DataFrame:
-    """(lot, ids, n_a, n_b, n_links, shas, pairs, counts, links): a row a lot.
+    """A row a lot: lot, ids, n_a, n_b, n_links and shas of its texts; pairs, its distinct (byte id <<
+    32 | piece id), ascending, with their counts; and words, those of each text one after the other,
+    with each word's links, as places among the pairs, and how many words a text and links a word has.
 
-    pairs are its distinct (byte id << 32 | piece id), ascending, counts those of each, and links the
-    place among them of each link, text by text.
+    A word is what lies between two places where both tokenizers end a token anyway, so its groups are
+    the same in any text, and each distinct word of a lot is encoded once.
     """
 
     def work(lot: Lot, row: object) -> pd.DataFrame:
-        n = len(lot.ids)
-        sizes, shas, keys = np.zeros((3, n), np.int64), [""] * n, [np.zeros(0, np.int64)]
-        for i, j in lot.pieces(ENCODE_BYTES):
-            texts = [lot.data[lot.starts[k] : lot.starts[k + 1]].tobytes().decode() for k in range(i, j)]
-            for k, found in enumerate(encode(texts, byte_model, piece_model), i):
-                if found is None:
-                    continue
-                a, a_ends, b, b_ends = found
-                common, at_a, at_b = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
-                sizes[:, k] = len(a), len(b), len(common)
-                shas[k] = hashlib.sha256(group_text(a, a_ends, b, b_ends, common)).hexdigest()
-                keys.append((a[at_a] << 32) | b[at_b])
-        pairs, links, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        data = [lot.number, lot.ids, *sizes, shas, pack(pairs.tobytes()), pack(counts.astype(np.int64).tobytes()), pack(links.astype(np.uint32).tobytes())]
-        return pd.DataFrame([data], columns=["lot", "ids", "n_a", "n_b", "n_links", "shas", "pairs", "counts", "links"])
+        n, number, held = len(lot.ids), {}, []
+        split = _split_at(piece_model)
+        for i, j in zip(lot.starts[:-1], lot.starts[1:], strict=True):
+            text = lot.data[i:j].tobytes().decode()
+            parts = split.split(text) if split and text else [text] if text else []
+            held.append([number.setdefault(x, len(number)) for x in parts])
+        words, i = list(number), 0
+        groups, sizes, keys = [], np.zeros((3, len(words)), np.int64), [np.zeros(0, np.int64)]
+        bad = np.zeros(len(words), bool)
+        while i < len(words):
+            j, size = i, 0
+            while j < len(words) and size < ENCODE_BYTES:
+                size, j = size + len(words[j]) + 8, j + 1
+            x = encode(words[i:j], byte_model, piece_model)
+            common, at_a, at_b = np.intersect1d(x.a_ends, x.b_ends, assume_unique=True, return_indices=True)
+            word_of = np.repeat(np.arange(i, j), x.a_sizes)[at_a]
+            sizes[0, i:j], sizes[1, i:j], sizes[2, i:j], bad[i:j] = x.a_sizes, x.b_sizes, np.bincount(word_of - i, minlength=j - i), x.bad
+            keys.append((x.a[at_a] << 32) | x.b[at_b])
+            text, ends = group_text(x.a, x.a_ends, x.b, x.b_ends, common)
+            last = np.cumsum(sizes[2, i:j])
+            cuts = np.r_[0, ends][last].tolist()  # where each word's groups end; a ; follows
+            groups += [text[low + (low > 0) : high] for low, high in zip([0, *cuts], cuts, strict=False)]
+            i = j
+        lengths = np.array([len(x) for x in held], dtype=np.int64)
+        flat = _flat(held, int(lengths.sum()))
+        of = np.repeat(np.arange(n), lengths)
+        whole = np.bincount(of, weights=bad[flat], minlength=n) == 0
+        used = flat[whole[of]]
+        per_text = [np.where(whole, np.bincount(of, weights=s[flat], minlength=n), 0).astype(np.int64) for s in sizes]
+        shas = [hashlib.sha256(b";".join([groups[k] for k in own])).hexdigest() if own and ok else "" for own, ok in zip(held, whole, strict=True)]
+        every = np.concatenate(keys)
+        seen = np.repeat(np.bincount(used, minlength=len(words)), sizes[2])  # how often each word's links occur
+        pairs, links = np.unique(every[seen > 0], return_inverse=True)
+        counts = np.bincount(links, weights=seen[seen > 0], minlength=len(pairs)).astype(np.int64)
+        occurs = np.bincount(used, minlength=len(words)) > 0
+        renumber = np.cumsum(occurs) - 1
+        blobs = [pairs, counts, renumber[used].astype(np.uint32), links.astype(np.uint32), np.where(whole, lengths, 0).astype(np.uint32), sizes[2][occurs].astype(np.uint32)]
+        data = [lot.number, lot.ids, *per_text, shas, *[pack(x.tobytes()) for x in blobs]]
+        return pd.DataFrame([data], columns=["lot", "ids", "n_a", "n_b", "n_links", "shas", *_BLOBS])
 
     arrays = ", ".join(f"{c} array<long>" for c in ("ids", "n_a", "n_b", "n_links"))
-    return written(each_lot(table, work, f"lot long, {arrays}, shas array<string>, pairs binary, counts binary, links binary"), "aligned")
+    return written(each_lot(table, work, f"lot long, {arrays}, shas array<string>, {', '.join(f'{c} binary' for c in _BLOBS)}"), "aligned")
 
 
 def _numbers(blob: bytes, dtype: type = np.int64) -> np.ndarray:
@@ -249,12 +314,14 @@ def align_documents(docs: DataFrame, byte_model: str = BYTE_MODEL, piece_model:
         for pdf in frames:
             for row in pdf.itertuples(index=False):
                 pairs, links = _numbers(row.pairs), _numbers(row.links, np.uint32)
+                words, of_text, of_word = (_numbers(x, np.uint32) for x in (row.words, row.word_counts, row.link_counts))
                 total = np.zeros(len(pairs), np.int64)
                 if len(pairs):
                     total[np.argsort(mixed(pairs.view(np.uint64)))] = np.concatenate([_numbers(x["totals"]) for x in row.replies])
                 is_best = total == top[pairs & 0xFFFFFFFF] if len(pairs) else np.zeros(0, bool)
-                ends = np.r_[0, np.cumsum(row.n_links)]
-                add = lambda x: np.diff(np.r_[0, np.cumsum(x[links])][ends])
+                ranges = lambda sizes: np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+                sums = lambda x, sizes: np.diff(np.r_[0, np.cumsum(x, dtype=np.int64)][ranges(sizes)])
+                add = lambda x: sums(sums(x[links], of_word)[words], of_text)
                 ids = np.asarray(row.ids)
                 yield pd.DataFrame({
                     "doc_id": pd.Series(ids, dtype="Int64").mask(ids == NO_ID), "n_a": row.n_a, "n_b": row.n_b, "n_groups": row.n_links, "n_links": row.n_links,

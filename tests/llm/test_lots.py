@@ -219,7 +219,7 @@ def aligned_by_hand(rows):
 @pytest.mark.parametrize("size", [lots.LOT_BYTES, 3000])
 def test_alignment_equals_brute_force(spark, odd, empty, monkeypatch, size):
     monkeypatch.setattr(alignment, "lots", lambda docs: lots.lots(docs, size=size))
-    more = [(100, "日本語テキスト" * 40), (101, "ﬁ ① Å  two  spaces \n\ty"), (102, "é naïve — ‘q’"), (103, "💁🏽‍♀️" * 9)]
+    more = [(104, "a  b \x1c c\u2003d e\xa0f  "), (105, "x ▁ y"), (106, " lead and trail "), (107, "it's we'll\n don't 12 345"), (100, "日本語テキスト" * 40), (101, "ﬁ ① Å  two  spaces \n\ty"), (102, "é naïve — ‘q’"), (103, "💁🏽‍♀️" * 9)]
     docs = odd.select("doc_id", "text", "lot", "n").unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
     docs = docs.unionByName(table(spark, SF, "documents").select("doc_id", "text"), allowMissingColumns=True)
     want = aligned_by_hand([(r["doc_id"], r["text"]) for r in docs.collect()])
@@ -228,12 +228,14 @@ def test_alignment_equals_brute_force(spark, odd, empty, monkeypatch, size):
 
 
 def test_spans_are_refined_where_tokens_share_a_character():
-    found = alignment.encode(["é龘🙂 x"])[0]
-    a, a_ends, b, b_ends = found
-    assert a_ends[-1] == b_ends[-1] == len(" é龘🙂 x".encode()) and (np.diff(a_ends) > 0).all() and (np.diff(b_ends) > 0).all()
+    texts = ["é龘🙂 x", "", "▁a", "龘龘", "plain", "Å é"]
+    x = alignment.encode(texts)
+    assert x.bad.tolist() == [False, True, True, False, False, False]
+    base = np.cumsum([len((" " + t).encode()) for t in texts])
+    for ends, sizes in ((x.a_ends, x.a_sizes), (x.b_ends, x.b_sizes)):
+        assert (np.diff(ends) > 0).all() and ends[np.cumsum(sizes)[~x.bad] - 1].tolist() == base[~x.bad].tolist()
     coarse, clear = np.array([3, 5, 5, 8]), np.array([True, False, True, False])
     assert alignment.refined(coarse, clear, np.array([3, 1, 1, 3])).tolist() == [3, 4, 5, 8]
-    assert alignment.encode(["", "▁a"]) == [None, None]
 
 
 def test_lots_keep_all_texts(spark, odd):
