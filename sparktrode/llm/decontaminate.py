@@ -1,11 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages of the corpus are TF-IDF vectors over hashed terms. A randomised SVD, whose products are
-summed over partitions, gives latent factors. Windows of every text, at a few lengths, are compared
-with the benchmark items of about that length by cosine in the latent space. Only windows whose
-surroundings hold enough of the item's words are compared, and these are found by the item's rarest
-words. A candidate is then checked with the longest common subsequence of words, and a paraphrase
-also with the item's answer.
+summed over partitions, gives latent factors. All windows of every text, at a few lengths, are
+compared with the benchmark items of about that length by cosine in the latent space; the cosine
+alone chooses the candidates. A candidate's region is then checked with the longest common
+subsequence of words, and a paraphrase also with the item's answer.
 """
 
 from __future__ import annotations
@@ -24,23 +23,23 @@ from .common import bounded_batches
 from .wordhash import tokens
 
 TERMS = 1 << 14
-#: Latent factors: the first few, which tell languages apart and not passages, are left out.
-RANK, SKIPPED, OVERSAMPLE = 42, 6, 6
+#: Latent factors. The first few are left out: they hold the languages and their commonest words,
+#: which lift the cosines of unrelated windows more than those of paraphrases (README).
+RANK, SKIPPED, OVERSAMPLE = 102, 6, 6
 #: Words in a corpus passage; windows of a width are an eighth of it apart; least words that a
 #: region takes on each side of its window (a third of the width, if more).
 PASSAGE, STEPS, MARGIN = 32, 8, 8
-#: Set by the recall of planted copies with a quarter of the words replaced (README).
-COSINE = 0.15
+#: Set by the recall of planted copies with a quarter of the words replaced and of paraphrases with
+#: half of them replaced and the answer kept (README).
+COSINE = 0.3
 #: Longest common subsequence as a share of the item's words: a copy, or a paraphrase if the
 #: item's answer is there too. The tables give no answers, so the end of an item counts as one.
-COPY, PARAPHRASE, ANSWER = 0.75, 0.55, 0.8
+COPY, PARAPHRASE, ANSWER = 0.75, 0.45, 0.8
 SHORT_ITEM = 8
 SEED = 5
-#: Rare words of an item that a region must hold: of n words of which m are needed, some ANCHORS of
-#: the n - m + ANCHORS rarest are among any m.
-ANCHORS = 3
-#: Words of regions looked at together, and characters of items in one block of them.
-CELLS, ITEM_CHARS = 2_000_000, 4_000_000
+#: Words of regions looked at together, characters of items in one block of them, and words of texts
+#: whose factors are held at once.
+CELLS, ITEM_CHARS, SPAN = 2_000_000, 4_000_000, 1 << 14
 #: Characters handled at once, so few that the arrays stay in the cache; a text is never cut, so a longer one makes a longer group.
 GROUP_CHARS = 100_000
 FOUND = "item_id string, cosine double, lcs double, kind string"
@@ -183,120 +182,169 @@ def common_subsequence(masks: dict[int, int], length: int, region: list[int]) ->
     return length - v.bit_count()
 
 
-def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers from each begin up to its end, and which pair each is of."""
-    size = end - begin
-    which = np.repeat(np.arange(len(size)), size)
-    return np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + begin[which], which
+def _common(bits: np.ndarray, size: np.ndarray, item: np.ndarray, region: np.ndarray) -> np.ndarray:
+    """common_subsequence of many (item, region of words) at once, for items of up to 64 words.
+
+    bits holds the masks, a row an item and a column a word, the last column for any other word;
+    region has a row for each place and a column for each pair.
+    """
+    full = np.where(size[item] == 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (size[item] % 64).astype(np.uint64)) - np.uint64(1))
+    v = full.copy()
+    row, flat = item * bits.shape[1], bits.ravel()
+    with np.errstate(over="ignore"):
+        for words in region:
+            u = v & flat[row + words]
+            v = (v + u) | (v - u)
+    v &= full
+    return size[item] - np.bitwise_count(v).astype(np.int64)
+
+
+def _rolled(rows: np.ndarray, many: int) -> np.ndarray:
+    """Sums of `many` rows from each row on, by doubling."""
+    n, sums, span = len(rows) - many + 1, {1: rows}, 1
+    if n <= 0:
+        return rows[:0]
+    while 2 * span <= many:
+        sums[2 * span] = sums[span][: len(sums[span]) - span] + sums[span][span:]
+        span *= 2
+    out, have = sums[span][:n], span
+    while have < many:
+        span = 1 << ((many - have).bit_length() - 1)
+        out = out + sums[span][have : have + n]
+        have += span
+    return out
 
 
 class Search:
     """All windows of a group of texts against all items of a block."""
 
-    def __init__(self, latent: Latent, items: list[Item]):
-        self.latent, self.items = latent, items
+    def __init__(self, latent: Latent, items: list[Item], cosine: float = COSINE):
+        self.latent, self.items, self.cosine = latent, items, cosine
         words = [np.array(i.words, dtype=np.uint64) for i in items]
+        self.size = np.array([len(w) for w in words])
+        self.factors = np.r_[latent.factors, np.zeros((1, latent.factors.shape[1]), np.float32)]
         self.query = np.array([latent.of(terms_of(w)) for w in words], dtype=np.float32)
         self.width = np.array([i.width for i in items])
         self.step, self.margin = np.maximum(1, self.width // STEPS), np.maximum(MARGIN, self.width // 3)
         self.needed = np.array([(1.0 if len(w) < SHORT_ITEM else PARAPHRASE) * len(w) for w in words])
-        self.least = np.ceil(self.needed - 1e-9).astype(np.int64)
-        self.anchors = np.minimum(ANCHORS, self.least)
-        self.masks = [masks(i.words) for i in items]
         self.answers = [i.words[-max(3, len(i.words) // 4) :] for i in items]
-        self.answer_masks = [masks(a) for a in self.answers]
+        self.answer_size = np.array([len(a) for a in self.answers])
+        self.by_width = {int(w): np.flatnonzero(self.width == w) for w in np.unique(self.width)}
+        self.lcm = int(np.lcm.reduce(self.step))
         self.words, place = np.unique(np.concatenate(words), return_inverse=True)
-        owner = np.repeat(np.arange(len(items)), [len(w) for w in words])
-        # how often an item has a word, by (word, item)
-        self.pairs, self.times = np.unique(place * len(items) + owner, return_counts=True)
-        rare, at = [], 0
-        for k, w in enumerate(words):
-            mine = place[at : at + len(w)]
-            at += len(w)
-            rarest = mine[np.argsort(latent.passages[terms_of(w)], kind="stable")][: len(w) - self.least[k] + self.anchors[k]]
-            rare.append(np.unique(rarest) * len(items) + k)
-        rare = np.sort(np.concatenate(rare))
-        self.rare_items = rare % len(items)
-        self.rare_ends = np.searchsorted(rare, np.arange(len(self.words) + 1) * len(items))
-
-    def windows(self, word: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(text, item, number) of the windows whose regions hold enough anchors of the item.
-
-        word holds for each word its number among the items' words, or -1.
+        at = np.cumsum(np.r_[0, self.size])
+        self.place = [place[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]  # of each item's words
+        short = np.flatnonzero(self.size <= 64)
+        self.row = np.full(len(items), -1)
+        self.row[short] = np.arange(len(short))
+        self.bits, self.answer_bits = np.zeros((2, len(short), len(self.words) + 1), np.uint64)
+        for r, k in enumerate(short):
+            for table, own in ((self.bits, self.place[k]), (self.answer_bits, self.place[k][-self.answer_size[k] :])):
+                np.bitwise_or.at(table[r], own, np.uint64(1) << np.arange(len(own)).astype(np.uint64))
+        self.masks = {k: (masks(i.words), masks(self.answers[k])) for k, i in enumerate(items) if self.row[k] < 0}
+
+    def spans(self, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, begin, end) of spans of about SPAN words at a time. A longer text has several, which
+        overlap by the widest window, so that it has the same windows as in one."""
+        over = -(-int(self.width.max()) // self.lcm) * self.lcm
+        hop = -(-SPAN // self.lcm) * self.lcm
+        lengths = np.diff(starts)
+        parts = np.maximum(1, -(-np.maximum(lengths - over, 0) // hop))
+        text = np.repeat(np.arange(len(lengths)), parts)
+        low = starts[text] + (np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)) * hop
+        high = np.minimum(low + hop + over, starts[text + 1])
+        some = np.cumsum(high - low) // SPAN
+        for lot in np.split(np.arange(len(text)), np.flatnonzero(np.diff(some)) + 1):
+            yield text[lot], low[lot], high[lot]
+
+    def candidates(self, hashes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(text, item, begin, end, cosine) of the windows that reach the cosine and are the best for
+        their item of the windows next to them, a width at a time.
+
+        Spans are laid out in rows of factors, each filled up with zeros to a whole number of steps; a
+        step is the sum of its words' rows, and a window that of its steps.
         """
-        seen = np.flatnonzero(word >= 0)
-        which, of = _spread(self.rare_ends[word[seen]], self.rare_ends[word[seen] + 1])
-        at, item = seen[of], self.rare_items[which]
-        text = np.searchsorted(starts, at, side="right") - 1
-        order = np.lexsort((at, text, item))
-        at, item, text = at[order], item[order], text[order]
-        last = np.arange(len(at)) + self.anchors[item] - 1
-        inside = last < len(at)
-        at, item, text, last = at[inside], item[inside], text[inside], at[last[inside]]
-        width, step, margin = self.width[item], self.step[item], self.margin[item]
-        # a run of anchors that goes on into another text or item has a last place that is out of reach
-        reach = (last >= at) & (last < starts[text + 1]) & (last - at < width + 2 * margin)
-        at, item, text, last, width, step, margin = (x[reach] for x in (at, item, text, last, width, step, margin))
-        count = -(-np.maximum(starts[text + 1] - starts[text] - width, 0) // step) + 1
-        # the last window ends with the text, so it may begin up to a step before its number says
-        low = np.clip(-(-(last + 1 - margin - width - starts[text]) // step), 0, count - 1)
-        high = np.clip((at + margin - starts[text]) // step + 1, 0, count - 1)
-        number, of = _spread(low, high + 1)
-        most = int(count.max(initial=1))
-        key = np.unique((item[of] * len(starts) + text[of]) * most + number)
-        pair, number = np.divmod(key, most)
-        item, text = np.divmod(pair, len(starts))
-        return text, item, number
-
-    def enough(self, word: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """Which regions hold as many of their item's words as needed, none more often than the item does."""
-        n = len(self.items)
-        place, pair = _spread(begin, end)
-        known = word[place] >= 0
-        place, pair = place[known], pair[known]
-        held, times = np.unique(pair * len(self.words) + word[place], return_counts=True)
-        pair, word_of = np.divmod(held, len(self.words))
-        key = word_of * n + item[pair]
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        shared = np.where(self.pairs[at] == key, np.minimum(times, self.times[at]), 0)
-        return np.bincount(pair, shared, len(begin)) >= self.least[item]
-
-    def candidates(self, hashes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
-        """(text, item, begin, end, cosine) of regions that hold enough of the item's words."""
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        word = np.where(self.words[at] == hashes, at, -1)
-        text, item, number = self.windows(word, starts)
-        width, margin = self.width[item], self.margin[item]
-        first, last = starts[text], starts[text + 1]
-        at = np.minimum(first + number * self.step[item], np.maximum(last - width, first))
-        stop = np.minimum(at + width, last)
-        begin, end = np.maximum(at - margin, first), np.minimum(stop + margin, last)
-        lots = np.cumsum(end - begin) // CELLS
-        for lot in np.split(np.arange(len(at)), np.flatnonzero(np.diff(lots)) + 1):
-            lot = lot[self.enough(word, begin[lot], end[lot], item[lot])]
-            if not len(lot):
-                continue
-            place, _ = _spread(at[lot], stop[lot])
-            rows = self.latent.factors[terms_of(hashes[place])]
-            rows[1:][(hashes[place[1:]] == hashes[place[1:] - 1]) & (place[1:] == place[:-1] + 1)] = 0  # one word many times in a row must not drown its window
-            windows = np.add.reduceat(rows, np.cumsum(np.r_[0, (stop - at)[lot[:-1]]]), axis=0)
-            cosine = (windows * self.query[item[lot]]).sum(1) / np.maximum(np.linalg.norm(windows, axis=1), 1e-12)
-            for c, k in zip(lot.tolist(), cosine.tolist(), strict=True):
-                if k >= COSINE:
-                    yield int(text[c]), int(item[c]), int(begin[c]), int(end[c]), k
+        for text_of, low, high in self.spans(starts):
+            lengths = high - low
+            base = np.cumsum(np.r_[0, -(-lengths // self.lcm) * self.lcm])
+            place = np.arange(lengths.sum()) + np.repeat(low - np.cumsum(lengths) + lengths, lengths)
+            again = np.r_[False, hashes[place[1:]] == hashes[place[1:] - 1]]
+            term = np.full(base[-1], TERMS)  # the row of zeros
+            # one word many times in a row must not drown its window
+            term[np.arange(len(place)) + np.repeat(base[:-1] - np.cumsum(lengths) + lengths, lengths)] = np.where(again, TERMS, terms_of(hashes[place]))
+            rows = self.factors[term]
+            sums = {1: rows}
+
+            def steps(size: int, sums: dict[int, np.ndarray] = sums) -> np.ndarray:
+                if size not in sums:
+                    part = 2 if size % 2 == 0 else 3
+                    of = steps(size // part)
+                    sums[size] = sum((of[k::part] for k in range(1, part)), of[0::part])
+                return sums[size]
+
+            for width, items in self.by_width.items():
+                step, margin = int(self.step[items[0]]), int(self.margin[items[0]])
+                of, many = steps(step), width // step
+                windows = _rolled(of, many)
+                count = -(-lengths // step)  # steps of each span
+                last = np.maximum(count - many, 0)  # its last window
+                span = np.repeat(np.arange(len(lengths)), np.diff(base) // step)
+                number = np.arange(len(span)) - base[span] // step
+                if len(windows) < len(span) or (count < many).any():  # a span that is shorter than a window is one
+                    windows = np.r_[windows, np.zeros((len(span) - len(windows), rows.shape[1]), np.float32)]
+                    for k in np.flatnonzero((count > 0) & (count < many)):
+                        windows[base[k] // step] = of[base[k] // step : base[k] // step + count[k]].sum(0)
+                cosine = windows @ self.query[items].T
+                norm = np.sqrt(np.einsum("ij,ij->i", windows, windows))
+                norm[number > last[span]] = np.inf  # reaches into the next span
+                cosine /= np.maximum(norm, 1e-12)[:, None]
+                k, j = np.divmod(np.flatnonzero(cosine >= self.cosine), len(items))
+                for by in (-2, -1, 1, 2):  # the best of windows that are up to a quarter apart: its region holds theirs
+                    near = np.clip(k + by, 0, len(span) - 1)
+                    other = cosine[near, j]
+                    best = (span[near] != span[k]) | (near == k) | ((cosine[k, j] >= other) if by > 0 else (cosine[k, j] > other))
+                    k, j = k[best], j[best]
+                if not len(k):
+                    continue
+                text, begin = text_of[span[k]], low[span[k]] + number[k] * step
+                end = np.minimum(begin + width, starts[text + 1])
+                yield text, items[j], np.maximum(begin - margin, starts[text]), np.minimum(end + margin, starts[text + 1]), cosine[k, j]
+
+    def _shared(self, item: np.ndarray, begin: np.ndarray, end: np.ndarray, word: np.ndarray, hashes: np.ndarray, answers: bool) -> np.ndarray:
+        """The longest common subsequence of each region with its item, or with the item's answer."""
+        out = np.zeros(len(item), np.int64)
+        row = self.row[item]  # short items in order, so that an item's masks stay in the cache
+        size = (self.answer_size if answers else self.size)[self.row >= 0]
+        short = np.argsort(row, kind="stable")
+        short = short[row[short] >= 0]
+        if len(short):
+            longest = int((end - begin)[short].max())
+            for lot in np.array_split(short, -(-len(short) * longest // CELLS)):
+                place = begin[lot] + np.arange(longest)[:, None]
+                region = np.where(place < end[lot], word[np.minimum(place, len(word) - 1)], len(self.words))
+                out[lot] = _common(self.answer_bits if answers else self.bits, size, row[lot], region)
+        for k in np.flatnonzero(row < 0):
+            whole, answer = self.masks[int(item[k])]
+            length = int(self.answer_size[item[k]] if answers else self.size[item[k]])
+            out[k] = common_subsequence(answer if answers else whole, length, hashes[begin[k] : end[k]].tolist())
+        return out
 
     def __call__(self, hashes: np.ndarray, starts: np.ndarray) -> dict[tuple[int, int], tuple[float, float, str]]:
         """(share, cosine, kind) of the best region of each (text, item) that passes the checks."""
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        word = np.where(self.words[at] == hashes, at, len(self.words))
         best: dict[tuple[int, int], tuple[float, float, str]] = {}
-        for text, k, begin, end, cosine in self.candidates(hashes, starts):
-            n, region = len(self.items[k].words), hashes[begin:end].tolist()
-            shared = common_subsequence(self.masks[k], n, region)
-            if shared < self.needed[k]:
-                continue
-            copy, answer = shared >= COPY * n, self.answers[k]
-            if copy or common_subsequence(self.answer_masks[k], len(answer), region) >= ANSWER * len(answer):
-                now = (shared / n, cosine, "copy" if copy else "paraphrase")
-                best[text, k] = max(best.get((text, k), now), now)
+        for found in self.candidates(hashes, starts):
+            text, item, begin, end, cosine = found
+            shared = self._shared(item, begin, end, word, hashes, answers=False)
+            ok = shared >= self.needed[item]
+            text, item, begin, end, cosine, shared = (x[ok] for x in (*found, shared))
+            copy = shared >= COPY * self.size[item]
+            answered = self._shared(item, begin, end, word, hashes, answers=True) >= ANSWER * self.answer_size[item]
+            for k in np.flatnonzero(copy | answered):
+                key = int(text[k]), int(item[k])
+                now = (float(shared[k] / self.size[item[k]]), float(cosine[k]), "copy" if copy[k] else "paraphrase")
+                best[key] = max(best.get(key, now), now)
         return best
 
 

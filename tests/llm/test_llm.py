@@ -528,28 +528,89 @@ def test_edited_items_are_found_at_every_alignment():
     assert set(found) == set(planted) and all(x[2] == "copy" for x in found.values())
 
 
-def test_candidates_equal_all_windows():
-    """Every window whose surroundings hold enough of an item's words, each no more often than the item, is found."""
+def test_candidates_equal_all_windows(monkeypatch):
+    """Every window of every text is compared by cosine; of windows next to each other the best stays."""
     rng = np.random.default_rng(7)
-    latent = decontaminate.Latent(np.ones((decontaminate.TERMS, 3), np.float32), rng.integers(0, 9, decontaminate.TERMS).astype(float))
+    latent = decontaminate.Latent(rng.normal(size=(decontaminate.TERMS, 8)).astype(np.float32), np.zeros(decontaminate.TERMS))
     common, rare = rng.integers(0, 2**63, 12).astype(np.uint64), rng.integers(0, 2**63, 60).astype(np.uint64)
     made = lambda n: np.where(rng.random(n) < 0.5, rng.choice(common, n), rng.choice(rare, n))
     items = [decontaminate.Item(str(n), made(n).tolist()) for n in (1, 2, 5, 8, 11, 17, 30, 55, 90)]
     look = decontaminate.Search(latent, items)
     texts = [made(n) for n in (0, 1, 3, 40, 200, 0, 333)] + [np.r_[made(20), np.array(items[k].words, dtype=np.uint64), made(30)] for k in range(9)]
     starts = np.cumsum([0, *map(len, texts)])
-    got = {x[:4] for x in look.candidates(np.concatenate(texts), starts)}
-    want = set()
+    want, whole = set(), {}
     for t, text in enumerate(texts):
+        for k in range(len(items)):
+            width, step, margin = int(look.width[k]), int(look.step[k]), int(look.margin[k])
+            rows = latent.factors[decontaminate.terms_of(text)].copy()
+            rows[1:][text[1:] == text[:-1]] = 0
+            cosine = []
+            for nth in range(max(0, -(-len(text) // step) - width // step) + 1 if len(text) else 0):
+                v = rows[nth * step : nth * step + width].sum(0)
+                cosine.append(float(v @ look.query[k]) / max(float(np.linalg.norm(v)), 1e-12))
+            for nth, c in enumerate(cosine):
+                if c >= decontaminate.COSINE and c >= max(cosine[max(0, nth - 2) : nth + 3]) - 1e-6:
+                    at, stop = nth * step, min(nth * step + width, len(text))
+                    want[t, k, int(starts[t] + max(at - margin, 0)), int(starts[t] + min(stop + margin, len(text)))] = c
+    for span in (1 << 14, 64):
+        monkeypatch.setattr(decontaminate, "SPAN", span)
+        got = {}
+        for found in look.candidates(np.concatenate(texts), starts):
+            got |= {x[:4]: x[4] for x in zip(*(f.tolist() for f in found), strict=True)}
+        assert len(want) > 50 and want <= set(got) and all(got[x] == pytest.approx(whole[x], abs=1e-4) for x in want)
+        assert sum(x not in whole for x in got) <= 2  # at the very bound
+
+
+def test_the_cosine_decides():
+    """A region with all of an item's words counts only where its windows are like the item."""
+    rng = np.random.default_rng(12)
+    factors = rng.normal(size=(decontaminate.TERMS, 36)).astype(np.float32)
+    item = rng.integers(0, 2**63, 32).astype(np.uint64)
+    loud = rng.integers(0, 2**63, 40).astype(np.uint64)
+    factors[decontaminate.terms_of(loud)] = 40 * factors[decontaminate.terms_of(loud[:1])]
+    latent, items = decontaminate.Latent(factors, np.zeros(decontaminate.TERMS)), [decontaminate.Item("i", item.tolist())]
+    apart = np.insert(item, np.arange(0, 32, 4), loud[:8])
+    for text, share in ((item, 1.0), (apart, None)):
+        whole = np.r_[rng.integers(0, 2**63, 50).astype(np.uint64), text, rng.integers(0, 2**63, 50).astype(np.uint64)]
+        found = decontaminate.Search(latent, items)(whole, np.array([0, len(whole)]))
+        off = decontaminate.Search(latent, items, cosine=-1.0)(whole, np.array([0, len(whole)]))
+        assert off[0, 0][0] >= 0.75 and (found == {} if share is None else found[0, 0][0] == share)
+
+
+def test_recall_of_edits_and_paraphrases(spark):
+    """Items of the table with words replaced, a quarter anywhere or half of them but for the answer."""
+    docs, bench = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    items = [decontaminate.Item(str(r["item_id"]), decontaminate.tokens([r["text"]])[0].tolist()) for r in bench.collect()]
+    look = decontaminate.Search(decontaminate.fit(docs), items)
+    rng = np.random.default_rng(2)
+    corpus = decontaminate.tokens([r["text"] for r in docs.limit(300).collect()])[0]
+    for share, kept, least in ((0.0, 0, 1.0), (0.25, 0, 0.95), (0.5, 0.25, 0.85)):
+        texts, own = [], []
         for k, item in enumerate(items):
-            width, step, margin = look.width[k], look.step[k], look.margin[k]
-            for nth in range(max(0, -(-(len(text) - width) // step)) + 1 if len(text) else 0):
-                at = min(nth * step, max(len(text) - width, 0))
-                begin, end = max(at - margin, 0), min(min(at + width, len(text)) + margin, len(text))
-                region = text[begin:end].tolist()
-                if sum(min(region.count(w), item.words.count(w)) for w in set(item.words)) >= look.least[k]:
-                    want.add((t, k, int(starts[t] + begin), int(starts[t] + end)))
-    assert got == want and len(got) > 50
+            for offset in range(6):
+                w = np.array(item.words, dtype=np.uint64)
+                free = len(w) - (max(3, int(len(w) * kept)) if kept else 0)
+                gone = rng.choice(free, min(free, int(len(w) * share)), replace=False)
+                w[gone] = rng.choice(corpus, len(gone))
+                texts.append(np.r_[rng.choice(corpus, 60 + offset), w, rng.choice(corpus, 70)])
+                own.append(k)
+        found = look(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
+        assert np.mean([(i, k) in found for i, k in enumerate(own)]) >= least
+
+
+def test_subsequences_of_many_pairs_equal_one_by_one():
+    rng = np.random.default_rng(3)
+    items = [decontaminate.Item(str(k), rng.integers(0, 30, n).tolist()) for k, n in enumerate((1, 5, 31, 32, 63, 64, 65, 100))]
+    look = decontaminate.Search(decontaminate.Latent(np.ones((decontaminate.TERMS, 2), np.float32), np.zeros(decontaminate.TERMS)), items)
+    hashes = rng.integers(0, 40, 500).astype(np.uint64)
+    at = np.minimum(np.searchsorted(look.words, hashes), len(look.words) - 1)
+    word = np.where(look.words[at] == hashes, at, len(look.words))
+    item, begin = rng.integers(0, len(items), 80), rng.integers(0, 400, 80)
+    end = begin + rng.integers(0, 100, 80)
+    for answers in (False, True):
+        own = [look.answers[k] if answers else items[k].words for k in item]
+        want = [decontaminate.common_subsequence(decontaminate.masks(w), len(w), hashes[i:j].tolist()) for w, i, j in zip(own, begin, end, strict=True)]
+        assert look._shared(item, begin, end, word, hashes, answers).tolist() == want
 
 
 def test_paraphrase_needs_the_answer():
@@ -564,8 +625,9 @@ def test_paraphrase_needs_the_answer():
         assert found == {} if kind is None else found[0, 0][2] == kind
 
 
-def test_latent_factors_equal_numpys(spark):
+def test_latent_factors_equal_numpys(spark, monkeypatch):
     """The factors span the leading right singular vectors of the passages' TF-IDF matrix."""
+    monkeypatch.setattr(decontaminate, "RANK", 42)
     rng = random.Random(13)
     topics = [[f"t{k}w{i}" for i in range(6)] for k in range(60)]
     docs = docs_of(spark, [words(rng, 32, topics[k % 60][:]) for k in range(600)])
