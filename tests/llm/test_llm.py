@@ -549,16 +549,17 @@ def test_candidates_equal_all_windows(monkeypatch):
                 v = rows[nth * step : nth * step + width].sum(0)
                 cosine.append(float(v @ look.query[k]) / max(float(np.linalg.norm(v)), 1e-12))
             for nth, c in enumerate(cosine):
-                if c >= decontaminate.COSINE and c >= max(cosine[max(0, nth - 2) : nth + 3]) - 1e-6:
-                    at, stop = nth * step, min(nth * step + width, len(text))
-                    want[t, k, int(starts[t] + max(at - margin, 0)), int(starts[t] + min(stop + margin, len(text)))] = c
+                near = [*cosine[max(0, nth - 2) : nth], *cosine[nth + 1 : nth + 3]]
+                at, stop = nth * step, min(nth * step + width, len(text))
+                key = t, k, int(starts[t] + max(at - margin, 0)), int(starts[t] + min(stop + margin, len(text)))
+                whole.setdefault(key, []).append(c)  # windows cut at a text's ends may share a region
+                want |= {key} if c >= decontaminate.COSINE + 1e-5 and c > max(near, default=-2) + 1e-5 else set()
     for span in (1 << 14, 64):
         monkeypatch.setattr(decontaminate, "SPAN", span)
         got = {}
         for found in look.candidates(np.concatenate(texts), starts):
             got |= {x[:4]: x[4] for x in zip(*(f.tolist() for f in found), strict=True)}
-        assert len(want) > 50 and want <= set(got) and all(got[x] == pytest.approx(whole[x], abs=1e-4) for x in want)
-        assert sum(x not in whole for x in got) <= 2  # at the very bound
+        assert len(want) > 50 and want <= set(got) and all(min(abs(got[x] - c) for c in whole[x]) < 1e-4 for x in got)
 
 
 def test_the_cosine_decides():
