@@ -14,7 +14,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, in_training: C
 
     Labels of a document are averaged and rounded; null ids, labels and texts are left out. The
     sample is the ids of least hash, so it doesn't depend on the order of rows; its size is
-    bounded, hence the broadcast.
+    bounded, hence the broadcast. Of rows that repeat an id the text of least hash counts, so there
+    is one row an id.
     """
     chosen = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & in_training)
@@ -23,4 +24,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, in_training: C
         .orderBy(F.xxhash64("labelled_id"), "labelled_id")
         .limit(limit)
     )
-    return docs.filter(F.col("text").isNotNull()).join(F.broadcast(chosen), docs["doc_id"] == chosen["labelled_id"]).select(docs["text"].alias("text"), "y", "labelled_id")
+    texts = docs.select(F.col("doc_id").alias("labelled_id"), "text").filter("text is not null")
+    met = texts.join(F.broadcast(chosen), "labelled_id")
+    return met.groupBy("labelled_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "y", "labelled_id")
