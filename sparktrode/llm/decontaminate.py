@@ -199,6 +199,15 @@ def _common(bits: np.ndarray, size: np.ndarray, item: np.ndarray, region: np.nda
     return size[item] - np.bitwise_count(v).astype(np.int64)
 
 
+def _stepped(sums: dict[int, np.ndarray], size: int) -> np.ndarray:
+    """Sums of each `size` rows; sums holds those of other sizes, the rows themselves for 1."""
+    if size not in sums:
+        part = 2 if size % 2 == 0 else 3
+        of = _stepped(sums, size // part)
+        sums[size] = sum((of[k::part] for k in range(1, part)), of[0::part])
+    return sums[size]
+
+
 def _rolled(rows: np.ndarray, many: int) -> np.ndarray:
     """Sums of `many` rows from each row on, by doubling."""
     n, sums, span = len(rows) - many + 1, {1: rows}, 1
@@ -274,17 +283,9 @@ class Search:
             term[np.arange(len(place)) + np.repeat(base[:-1] - np.cumsum(lengths) + lengths, lengths)] = np.where(again, TERMS, terms_of(hashes[place]))
             rows = self.factors[term]
             sums = {1: rows}
-
-            def steps(size: int, sums: dict[int, np.ndarray] = sums) -> np.ndarray:
-                if size not in sums:
-                    part = 2 if size % 2 == 0 else 3
-                    of = steps(size // part)
-                    sums[size] = sum((of[k::part] for k in range(1, part)), of[0::part])
-                return sums[size]
-
             for width, items in self.by_width.items():
                 step, margin = int(self.step[items[0]]), int(self.margin[items[0]])
-                of, many = steps(step), width // step
+                of, many = _stepped(sums, step), width // step
                 windows = _rolled(of, many)
                 count = -(-lengths // step)  # steps of each span
                 last = np.maximum(count - many, 0)  # its last window
