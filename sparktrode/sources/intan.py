@@ -4,17 +4,25 @@
 header and data blocks of fixed size, so it splits by ranges of blocks; a task seeks to its range
 and reads only the bytes of the signal asked for. ``table`` chooses samples (default), metadata or
 channels; ``signal`` one of amplifier, aux, supply, temp, adc, dac, dc, stim, din, dout, tick.
+
+`read` takes the recordings, the channels and the range of n that are wanted: other files aren't
+planned, other channels' bytes aren't read, and blocks outside the range are neither planned nor
+read. These are options and not pushed filters, as Spark 4.1 keeps the filters that one query of a
+DataFrame pushed for the next one, which then lacks rows. ``mergeBytes`` is the longest hole between
+needed bytes that is read along to save a request.
 """
 
 from __future__ import annotations
 
 import io
+import json
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: The formats' magic numbers and signal types.
@@ -117,8 +125,13 @@ def layout(h: dict) -> dict[str, tuple[int, int, int]]:
     return out | {"size": (at, 0, 0)}
 
 
-#: Bytes of a file in one task, and bytes of blocks turned into a batch together.
-SPLIT_BYTES, READ_BYTES = 64 << 20, 4 << 20
+#: Bytes of a file in one task, bytes of blocks turned into a batch together, and of holes read along.
+SPLIT_BYTES, READ_BYTES, MERGE_BYTES = 64 << 20, 4 << 20, 4096
+
+
+def stem(path: str) -> str:
+    """A recording's name: its file's, without folder and ending."""
+    return path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
 
 
 class Bytes(InputPartition):
@@ -130,9 +143,12 @@ class Bytes(InputPartition):
 
 class RecordingReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.options = options
-        self.table = options.get("table", "samples")
-        self.signal = options.get("signal", "amplifier")
+        self.options = {k.lower(): v for k, v in options.items()}
+        self.table = self.options.get("table", "samples")
+        self.signal = self.options.get("signal", "amplifier")
+        self.merge = int(self.options.get("mergebytes", MERGE_BYTES))
+        self.recordings, self.channels = (set(json.loads(x)) if (x := self.options.get(k)) else None for k in ("recordings", "channels"))
+        self.low, self.high = int(self.options.get("first", 0)), int(x) if (x := self.options.get("last")) else None
 
     def files(self) -> list[tuple[str, int]]:
         """Paths and sizes, from the listing alone."""
@@ -140,7 +156,8 @@ class RecordingReader(DataSourceReader):
         store, at = pafs.FileSystem.from_uri(path)
         head = path[: len(path) - len(at)] if path.endswith(at) else ""
         info = store.get_file_info(pafs.FileSelector(at, recursive=True))
-        return sorted((head + x.path, x.size) for x in info if x.is_file and x.path.lower().endswith((".rhd", ".rhs")))
+        found = (x for x in info if x.is_file and x.path.lower().endswith((".rhd", ".rhs")))
+        return sorted((head + x.path, x.size) for x in found if self.recordings is None or stem(x.path) in self.recordings)
 
     @staticmethod
     def open(path: str):
@@ -156,18 +173,35 @@ class RecordingReader(DataSourceReader):
             raise ValueError(f"{path}: not a whole number of data blocks")
         return h, left // block
 
+    def wanted(self, h: dict, blocks: int) -> tuple[int, int]:
+        """The blocks that hold the n asked for."""
+        per = layout(h).get(self.signal, (0, h["per_block"], 0))[1]
+        return min(self.low // per, blocks), blocks if self.high is None else min(max(self.high // per + 1, 0), blocks)
+
     def partitions(self) -> list[Bytes]:
-        """One task a file for headers; else ranges of bytes. Only the tasks open files."""
+        """One task a file for headers; else ranges of bytes. Only the tasks open files, unless a
+        range of n is asked for: then headers tell where in the files it is."""
         if self.table != "samples":
             return [Bytes(f, 0, 0) for f, _ in self.files()]
-        step = int(self.options.get("bytesPerTask", SPLIT_BYTES))
-        return [Bytes(f, b, min(b + step, size)) for f, size in self.files() for b in range(0, max(size, 1), step)]
+        step = int(self.options.get("bytespertask", SPLIT_BYTES))
+        out = []
+        for f, size in self.files():
+            low, high = 0, size
+            if self.low or self.high is not None:
+                h, blocks = self.header(f)
+                first, end = self.wanted(h, blocks)
+                block = layout(h)["size"][0]
+                low, high = h["start"] + first * block, h["start"] + end * block
+                if low >= high:
+                    continue
+            out += [Bytes(f, b, min(b + step, high)) for b in range(low, max(high, low + 1), step)]
+        return out
 
     def read(self, part: Bytes | None) -> Iterator[pa.RecordBatch]:
         if part is None:  # no file
             return
         h, blocks = self.header(part.path)
-        name = part.path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+        name = stem(part.path)
         if self.table == "metadata":
             yield pa.RecordBatch.from_pylist([{
                 "recording": name, "variant": h["variant"], "version": f"{h['major']}.{h['minor']}", "version_major": h["major"], "fs_hz": h["fs"], "samples_per_block": h["per_block"], "notch_hz": h["notch"],
@@ -179,20 +213,34 @@ class RecordingReader(DataSourceReader):
         else:
             size = layout(h)["size"][0]
             begins = lambda at: min(max(-(-(at - h["start"]) // size), 0), blocks)
-            yield from self.samples(part.path, begins(part.begin), begins(part.end), h, name)
+            first, end = self.wanted(h, blocks)
+            yield from self.samples(part.path, max(begins(part.begin), first), min(begins(part.end), end), h, name)
+
+    def blocks(self, source, h: dict, first: int, count: int, pieces: list[tuple[int, int]]) -> np.ndarray:
+        """Blocks as rows of bytes, of which only the pieces, (begin, end) in a block, are filled.
+
+        Pieces with holes of at most `merge` bytes are read together, over blocks too.
+        """
+        size, joined = layout(h)["size"][0], []
+        for a, b in sorted(pieces):
+            if joined and a - joined[-1][1] <= self.merge:
+                joined[-1][1] = max(joined[-1][1], b)
+            else:
+                joined.append([a, b])
+        out = np.zeros(count * size, np.uint8)
+        at = h["start"] + first * size
 
-    @staticmethod
-    def cut(source, h: dict, first: int, count: int, at: int, width: int) -> np.ndarray:
-        """`width` bytes from `at` of each of some blocks; all bytes are read if that is a good part of them."""
-        size = layout(h)["size"][0]
-        if 4 * width > size or count == 1:
-            source.seek(h["start"] + first * size)
-            return np.frombuffer(source.read(count * size), np.uint8).reshape(count, size)[:, at : at + width]
-        out = np.empty((count, width), np.uint8)
-        for k in range(count):
-            source.seek(h["start"] + (first + k) * size + at)
-            out[k] = np.frombuffer(source.read(width), np.uint8)
-        return out
+        def fill(a: int, b: int) -> None:
+            source.seek(at + a)
+            out[a:b] = np.frombuffer(source.read(b - a), np.uint8)
+
+        if len(joined) == 1 and size - joined[0][1] + joined[0][0] <= self.merge:
+            fill(joined[0][0], (count - 1) * size + joined[0][1])
+        else:
+            for k in range(count):
+                for a, b in joined:
+                    fill(k * size + a, k * size + b)
+        return out.reshape(count, size)
 
     def samples(self, path: str, begin: int, end: int, h: dict, name: str) -> Iterator[pa.RecordBatch]:
         places = layout(h)
@@ -204,22 +252,30 @@ class RecordingReader(DataSourceReader):
         kind = {"dc": "amplifier", "stim": "amplifier"}.get(self.signal, self.signal)
         names = [c[4] or c[3] for c in h["channels"] if c[2] and c[1] == kind]
         names = [self.signal] if self.signal in ("din", "dout", "tick") else names or [f"temp-{i}" for i in range(count)]
+        picked = [i for i in range(count) if self.channels is None or names[i] in self.channels]
+        if not picked:
+            return
+        pieces = [(0, 4 * h["per_block"])] + ([(at + 2 * per * i, at + 2 * per * (i + 1)) for i in picked] if self.signal != "tick" else [])
+        names, count = [names[i] for i in picked], len(picked)
         ticks, every = "<i4" if h["signed"] else "<u4", h["per_block"] // per
         step = max(1, READ_BYTES // max(places["size"][0], 64 * per * count))
         source, _ = self.open(path)
         with source:
             for b in range(begin, end, step):
                 k = min(step, end - b)
-                tick = np.ascontiguousarray(self.cut(source, h, b, k, 0, 4 * h["per_block"])).view(ticks).astype(np.int64)[:, ::every]
+                rows = self.blocks(source, h, b, k, pieces)
+                tick = np.ascontiguousarray(rows[:, : 4 * h["per_block"]]).view(ticks).astype(np.int64)[:, ::every]
                 if self.signal == "tick":
                     raw = tick[:, None, :]
                 else:
-                    raw = np.ascontiguousarray(self.cut(source, h, b, k, at, 2 * per * count)).view("<u2").reshape(k, count, per)
+                    raw = np.stack([np.ascontiguousarray(rows[:, a:e]).view("<u2") for a, e in pieces[1:]], axis=1)
                 shape = (k, count, per)
                 n = np.arange(b, b + k)[:, None, None] * per + np.arange(per)
-                flat = lambda x, s=shape: pa.array(np.broadcast_to(x, s).ravel())
+                inside = (n >= self.low) & (n <= (n if self.high is None else self.high))
+                own = None if inside.all() else np.broadcast_to(inside, shape).ravel()
+                flat = lambda x, s=shape, own=own: pa.array(np.broadcast_to(x, s).ravel() if own is None else np.broadcast_to(x, s).ravel()[own])
                 channel = pa.DictionaryArray.from_arrays(flat(np.arange(count, dtype=np.int32)[:, None]), pa.array(names, pa.string())).cast(pa.string())
-                recording = pa.DictionaryArray.from_arrays(pa.array(np.zeros(raw.size, np.int32)), pa.array([name])).cast(pa.string())
+                recording = pa.DictionaryArray.from_arrays(flat(np.zeros(1, np.int32)), pa.array([name])).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([recording, channel, flat(n), flat(tick[:, None, :]), flat(raw.astype(np.int32))], schema=_arrow(SAMPLES))
 
 
@@ -244,6 +300,15 @@ def register(spark) -> None:
     spark.dataSource.register(Recording)
 
 
+def read(spark, path: str, recordings: list[str] | None = None, channels: list[str] | None = None, first: int = 0, last: int | None = None, **options: str) -> DataFrame:
+    """The samples of a folder's files, or of some of its recordings and channels, with n from first
+    to last, both included. options are the source's, say signal or mergeBytes."""
+    register(spark)
+    wanted = {k: json.dumps(list(v)) for k, v in (("recordings", recordings), ("channels", channels)) if v is not None}
+    ends = {"first": str(first)} | ({"last": str(last)} if last is not None else {})
+    return spark.read.format("recording").option("path", path).options(**wanted, **ends, **options).load()
+
+
 def _text(x: str) -> bytes:
     raw = x.encode("utf-16-le")
     return struct.pack("<I", len(raw)) + raw

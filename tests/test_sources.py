@@ -58,6 +58,78 @@ def test_header_only_and_broken_files(spark, tmp_path):
         load().count()
 
 
+@pytest.fixture
+def wide_file(tmp_path):
+    """One file of 32 channels and 40 blocks, and a second recording beside it."""
+    channels = [(0, f"A-{k:03}") for k in range(32)] + [(3, "ADC-0")]
+    rng = np.random.default_rng(2)
+    words = {"amplifier": rng.integers(0, 65536, (32, 128 * 40)), "adc": rng.integers(0, 65536, (1, 128 * 40))}
+    for name in ("one", "two"):
+        (tmp_path / f"{name}.rhd").write_bytes(intan.write_recording(channels, words, np.arange(128 * 40)))
+    return tmp_path, words["amplifier"]
+
+
+def read_counted(monkeypatch, folder, **options):
+    """Rows, bytes read of the blocks, and partitions of the source itself."""
+    count = [0]
+
+    class Counted:
+        def __init__(self, source):
+            self.source = source
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.source.close()
+
+        def __getattr__(self, name):
+            return getattr(self.source, name)
+
+        def read(self, n):
+            count[0] += n
+            return self.source.read(n)
+
+    plain = intan.RecordingReader.open
+    monkeypatch.setattr(intan.RecordingReader, "open", staticmethod(lambda path: (lambda x: (Counted(x[0]), x[1]))(plain(path))))
+    reader = intan.RecordingReader({"path": str(folder)} | options)
+    parts = reader.partitions()
+    count[0] = 0
+    heads = [reader.header(p.path) and count[0] for p in parts]
+    head = heads[0] if heads else 0
+    count[0] = 0
+    rows = [r for p in parts for batch in reader.read(p) for r in batch.to_pylist()]
+    monkeypatch.setattr(intan.RecordingReader, "open", staticmethod(plain))
+    return rows, count[0] - head * len(parts), parts
+
+
+def test_what_is_wanted_saves_bytes_and_partitions(monkeypatch, wide_file):
+    folder, x = wide_file
+    block = 4 * 128 + 2 * 128 * 33
+    every, whole, parts = read_counted(monkeypatch, folder, bytesPerTask="50000")
+    assert len(every) == 2 * x.size and whole <= 2 * 40 * block and len(parts) > 10
+    only = {"recordings": '["one"]', "channels": '["A-003", "A-004", "A-030"]'}
+    rows, used, _ = read_counted(monkeypatch, folder, mergeBytes="0", **only)
+    assert used == 40 * (4 * 128 + 3 * 2 * 128)
+    assert {(r["recording"], r["channel"]) for r in rows} == {("one", c) for c in ("A-003", "A-004", "A-030")}
+    assert [r["raw"] for r in rows if r["channel"] == "A-004"] == x[4].tolist()
+    merged, more, _ = read_counted(monkeypatch, folder, mergeBytes="1000000", **only)
+    assert merged == rows and used < more <= 40 * block
+    ranged, few, some = read_counted(monkeypatch, folder, recordings='["two"]', first="1290", last="1535", bytesPerTask="10000")
+    assert few <= 2 * block and len(some) == 2 and sorted({r["n"] for r in ranged}) == list(range(1290, 1536))
+    assert read_counted(monkeypatch, folder, first="1000000")[2] == [] and read_counted(monkeypatch, folder, recordings="[]")[2] == []
+    assert read_counted(monkeypatch, folder, channels='["none"]')[:2] == ([], 0)
+
+
+def test_wanted_samples_in_spark(spark, wide_file):
+    folder, x = wide_file
+    df = intan.read(spark, str(folder), ["one"], ["A-007", "A-009"], 100, 299)
+    assert [r["raw"] for r in df.orderBy("channel", "n").collect()] == [*x[7, 100:300].tolist(), *x[9, 100:300].tolist()]
+    every = intan.read(spark, str(folder))
+    assert every.count() == 2 * x.size and every.filter("channel = 'A-001' or n < 3").count() == 2 * (128 * 40 + 31 * 3)
+    assert intan.read(spark, str(folder), first=10**6).count() == 0 and intan.read(spark, str(folder), signal="adc", last=9).count() == 20
+
+
 def test_phase_quirks(spark):
     rows = spark.createDataFrame([("High pressure",), ("wash out",), (" ",), ("nan",), (None,), ("-70nA",)], "label string")
     got = [r["p"] for r in rows.select(labels.phase(F.col("label")).alias("p")).collect()]
