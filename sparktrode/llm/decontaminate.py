@@ -81,7 +81,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
-def summed(docs: DataFrame, shape: tuple[int, ...], add: Callable[[np.ndarray, np.ndarray, np.ndarray], None], fan_in: int = 16) -> np.ndarray:
+def summed(docs: DataFrame, shape: tuple[int, ...], add: Callable[[np.ndarray, np.ndarray, np.ndarray], None], fan_in: int = 4) -> np.ndarray:
     """Sum over all texts of what `add` puts into an array of this shape, added in a tree.
 
     `add` gets the array, the terms of some texts and the starts of their passages.
@@ -335,8 +335,11 @@ class Search:
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         word = np.where(self.words[at] == hashes, at, len(self.words))
         best: dict[tuple[int, int], tuple[float, float, str]] = {}
+        by_width: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for found in self.candidates(hashes, starts):
-            text, item, begin, end, cosine = found
+            by_width.setdefault(int(self.width[found[1][0]]), []).append(found)
+        for parts in by_width.values():
+            text, item, begin, end, cosine = found = [np.concatenate(x) for x in zip(*parts, strict=True)]
             shared = self._shared(item, begin, end, word, hashes, answers=False)
             ok = shared >= self.needed[item]
             text, item, begin, end, cosine, shared = (x[ok] for x in (*found, shared))
