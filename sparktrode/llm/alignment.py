@@ -32,6 +32,9 @@ BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of texts that are encoded at once.
 ENCODE_BYTES = 1 << 18
+#: Words of a lot that are encoded as one text, and bytes of texts in a lot: the longer, the more
+#: texts share a word.
+JOINED, ALIGNED_BYTES = 64, 12 << 20
 _ID_AND_END = attrgetter("id", "end")
 _BLOBS = ["pairs", "counts", "words", "links", "word_counts", "link_counts"]
 
@@ -150,6 +153,18 @@ def encode(texts: list[str], byte_model: str = BYTE_MODEL, piece_model: str = PI
     return Encoded(a[kept_a], a_ends[kept_a], np.where(bad, 0, a_sizes), b[kept_b], b_ends[kept_b], np.where(bad, 0, b_sizes), bad)
 
 
+def encode_words(words: list[str], byte_model: str = BYTE_MODEL, piece_model: str = PIECE_MODEL) -> Encoded:
+    """As `encode`, of words that neither begin nor end with white space: joined by spaces they are
+    cut where both tokenizers end a token, so JOINED of them are encoded as one text. Should one not
+    be given back, or a token reach over a cut, each is encoded alone."""
+    whole = encode([" ".join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)], byte_model, piece_model)
+    ends = np.cumsum([len(x.encode()) + 1 for x in words])
+    a, b = (np.searchsorted(x, ends, side="right") for x in (whole.a_ends, whole.b_ends))
+    if whole.bad.any() or not (np.array_equal(whole.a_ends[a - 1], ends) and np.array_equal(whole.b_ends[b - 1], ends)):
+        return encode(words, byte_model, piece_model)
+    return dataclasses.replace(whole, a_sizes=np.diff(a, prepend=0), b_sizes=np.diff(b, prepend=0), bad=np.zeros(len(words), bool))
+
+
 @functools.lru_cache(maxsize=1)
 def _decimals(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Digits of the numbers below size, a row each, and how many there are."""
@@ -208,14 +223,18 @@ def align_lots(table: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str
             text = lot.data[i:j].tobytes().decode()
             parts = split.split(text) if split and text else [text] if text else []
             held.append([number.setdefault(x, len(number)) for x in parts])
-        words, i = list(number), 0
+        joins = lambda x: bool(x) and not (x[0].isspace() or x[-1].isspace())
+        words = sorted(number, key=joins, reverse=True) if split else list(number)
+        joined = sum(map(joins, words)) if split else 0
+        place, i = {x: k for k, x in enumerate(words)}, 0
+        place = np.array([place[x] for x in number], dtype=np.int64)  # of the words in the order met
         groups, sizes, keys = [], np.zeros((3, len(words)), np.int64), [np.zeros(0, np.int64)]
         bad = np.zeros(len(words), bool)
         while i < len(words):
             j, size = i, 0
-            while j < len(words) and size < ENCODE_BYTES:
+            while j < (joined if i < joined else len(words)) and size < ENCODE_BYTES:
                 size, j = size + len(words[j]) + 8, j + 1
-            x = encode(words[i:j], byte_model, piece_model)
+            x = (encode_words if i < joined else encode)(words[i:j], byte_model, piece_model)
             common, at_a, at_b = np.intersect1d(x.a_ends, x.b_ends, assume_unique=True, return_indices=True)
             word_of = np.repeat(np.arange(i, j), x.a_sizes)[at_a]
             sizes[0, i:j], sizes[1, i:j], sizes[2, i:j], bad[i:j] = x.a_sizes, x.b_sizes, np.bincount(word_of - i, minlength=j - i), x.bad
@@ -226,7 +245,8 @@ def align_lots(table: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str
             groups += [text[low + (low > 0) : high] for low, high in zip([0, *cuts], cuts, strict=False)]
             i = j
         lengths = np.array([len(x) for x in held], dtype=np.int64)
-        flat = _flat(held, int(lengths.sum()))
+        flat = place[_flat(held, int(lengths.sum()))]
+        held = [x.tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])]
         of = np.repeat(np.arange(n), lengths)
         whole = np.bincount(of, weights=bad[flat], minlength=n) == 0
         used = flat[whole[of]]
@@ -302,7 +322,7 @@ def align_documents(docs: DataFrame, byte_model: str = BYTE_MODEL, piece_model:
     empty digest. Rows that repeat an id are rows of their own, an empty table gives no rows, other
     columns are left out, and ids must be integers.
     """
-    aligned = align_lots(lots(docs), byte_model, piece_model)
+    aligned = align_lots(lots(docs, size=ALIGNED_BYTES), byte_model, piece_model)
     size = aligned.agg(F.sum(F.length("pairs") + F.length("counts"))).first()[0] or 0
     totals = written(pair_totals(aligned, buckets_for(aligned, size)), "totals")
     best = best_counts(totals)

@@ -77,7 +77,7 @@ def lots(docs: DataFrame, extra: str | None = None, size: int = LOT_BYTES) -> Da
     doc_id must be an integer, or castable to one; `extra` names a column of strings to keep.
     """
     bounded_batches(docs.sparkSession)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * size))
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max(4 * LOT_BYTES, size)))
     keep = [F.coalesce(F.col(extra).cast("string"), F.lit("und")).alias("extra")] if extra else []
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)
 

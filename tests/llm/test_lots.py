@@ -218,7 +218,7 @@ def aligned_by_hand(rows):
 
 @pytest.mark.parametrize("size", [lots.LOT_BYTES, 3000])
 def test_alignment_equals_brute_force(spark, odd, empty, monkeypatch, size):
-    monkeypatch.setattr(alignment, "lots", lambda docs: lots.lots(docs, size=size))
+    monkeypatch.setattr(alignment, "ALIGNED_BYTES", size)
     more = [(104, "a  b \x1c c\u2003d e\xa0f  "), (105, "x ▁ y"), (106, " lead and trail "), (107, "it's we'll\n don't 12 345"), (100, "日本語テキスト" * 40), (101, "ﬁ ① Å  two  spaces \n\ty"), (102, "é naïve — ‘q’"), (103, "💁🏽‍♀️" * 9)]
     docs = odd.select("doc_id", "text", "lot", "n").unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
     docs = docs.unionByName(table(spark, SF, "documents").select("doc_id", "text"), allowMissingColumns=True)
@@ -238,6 +238,15 @@ def test_spans_are_refined_where_tokens_share_a_character():
     assert alignment.refined(coarse, clear, np.array([3, 1, 1, 3])).tolist() == [3, 4, 5, 8]
 
 
+def test_joined_words_are_encoded_as_alone():
+    words = ["plain", "Wörter,", "it's", "a\n\nb", "12.5%", "日本語", "x", "<s>", "龘龘", "don't!"]
+    for more in ([], ["▁bad", "after"]):
+        one, each = alignment.encode_words(words + more), alignment.encode(words + more)
+        for name in ("a", "a_ends", "a_sizes", "b", "b_ends", "b_sizes", "bad"):
+            assert getattr(one, name).tolist() == getattr(each, name).tolist()
+        assert one.bad.tolist() == [False] * len(words) + [True, False][: len(more)]
+
+
 def test_lots_keep_all_texts(spark, odd):
     for size in (10, 1000, lots.LOT_BYTES):
         rows = lots.lots(odd, "lang", size).collect()
