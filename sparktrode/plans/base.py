@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from sparktrode.operators.windows import ranked
+
+#: Rows of a range of samples that are numbered in one task.
+RANGE_ROWS = 1_000_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -62,11 +66,13 @@ def signal(spark: SparkSession, sf_dir: str, rate: float = 100.0, holes: bool =
 
 
 def raw_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """recording, n, tick, word from lineitem."""
+    """recording, n, tick, word from lineitem; the four recordings are numbered by ranges of rows."""
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    base = table(spark, sf_dir, "lineitem").withColumn("recording", (F.col("l_suppkey") % 4).cast("int"))
-    n = F.row_number().over(W.partitionBy("recording").orderBy(*order)).cast("long") - 1
-    return base.withColumn("n", n).select("recording", "n", (F.col("n") + F.floor(F.col("n") / 100)).alias("tick"), (F.floor("l_extendedprice") % 65536).cast("int").alias("word"))
+    lines = table(spark, sf_dir, "lineitem").select(*order)
+    base = lines.withColumn("recording", (F.col("l_suppkey") % 4).cast("int"))
+    parts = -(-lines.count() // RANGE_ROWS)  # the files' own counts
+    n = ranked(base, *order, keys=["recording"], parts=parts, few=True).withColumn("n", F.col("rank") - 1)
+    return n.select("recording", "n", (F.col("n") + F.floor(F.col("n") / 100)).alias("tick"), (F.floor("l_extendedprice") % 65536).cast("int").alias("word"))
 
 
 #: The same tables in DuckDB's SQL, to stand after WITH.

@@ -1,8 +1,10 @@
 """Queries that must do their whole job: all rows of their tables, in no task of a whole group."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sparktrode.plans import base, registry
+from sparktrode.sources import intan
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,3 +14,34 @@ def test_phase_filter_keeps_all_recorded_phases(spark):
     every = registry.queries()["c1_tumbling_ceil"](spark, SF).select("recording_index").distinct().count()
     assert every == 5 and {r[0] for r in got.select("recording_index").distinct().collect()} == {1, 3, 5}
     assert {r[0] for r in got.select("comparisons").distinct().collect()} == {"Baseline,Post"}
+
+
+def tasks_of_groups(df):
+    """Windows of the plan that are dealt by `recording` alone, so that one task holds a whole recording."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in plan.splitlines() if "Window" in x and "row_number" in x]
+
+
+def test_raw_words_are_numbered_in_ranges(spark):
+    raw = base.raw_words(spark, SF)
+    assert not tasks_of_groups(raw)
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    rows = sorted(tuple(r) for r in base.table(spark, SF, "lineitem").select(*order).collect())
+    want, count = [], {}
+    for r in rows:
+        k = count[r[3] % 4] = count.get(r[3] % 4, -1) + 1
+        want.append((r[3] % 4, k, k + k // 100, int(r[4]) % 65536))
+    assert sorted(tuple(r) for r in raw.collect()) == sorted(want)
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    channels = [(0, "A-000")]
+    for k in range(300):
+        words = {"amplifier": np.full((1, 128), k)}
+        (tmp_path / f"r{k:03}.rhd").write_bytes(intan.write_recording(channels, words, np.arange(128)))
+    for kind in ("samples", "metadata"):
+        parts = intan.RecordingReader({"path": str(tmp_path), "table": kind}).partitions()
+        assert 64 <= len(parts) < 150
+    got = intan.read(spark, str(tmp_path)).groupBy("recording").agg(F.count("n").alias("c"), F.max("raw").alias("raw")).collect()
+    assert {(r["recording"], r["c"], r["raw"]) for r in got} == {(f"r{k:03}", 128, k) for k in range(300)}
+    assert intan.read(spark, str(tmp_path), table="metadata").count() == 300
