@@ -51,7 +51,7 @@ def write_files(spark, sf_dir, variant: str, most: int | None = None) -> str:
 
 def read_files(spark, folder, **options):
     intan.register(spark)
-    reader = spark.read.format("recording").option("path", folder).option("bytesPerTask", 1 << 16)
+    reader = spark.read.format("recording").option("path", folder)
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.load()

@@ -125,8 +125,10 @@ def layout(h: dict) -> dict[str, tuple[int, int, int]]:
     return out | {"size": (at, 0, 0)}
 
 
-#: Bytes of a file in one task, bytes of blocks turned into a batch together, and of holes read along.
+#: Bytes of files in one task, bytes of blocks turned into a batch together, and of holes read along.
 SPLIT_BYTES, READ_BYTES, MERGE_BYTES = 64 << 20, 4 << 20, 4096
+#: Bytes that opening a file counts for, and the tasks below which small files have one each.
+OPEN_BYTES, LEAST_TASKS = 1 << 16, 64
 
 
 def stem(path: str) -> str:
@@ -141,6 +143,13 @@ class Bytes(InputPartition):
         self.path, self.begin, self.end = path, begin, end
 
 
+class Ranges(InputPartition):
+    """Ranges of several small files."""
+
+    def __init__(self, ranges: list[Bytes]):
+        self.ranges = ranges
+
+
 class RecordingReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = {k.lower(): v for k, v in options.items()}
@@ -178,12 +187,12 @@ class RecordingReader(DataSourceReader):
         per = layout(h).get(self.signal, (0, h["per_block"], 0))[1]
         return min(self.low // per, blocks), blocks if self.high is None else min(max(self.high // per + 1, 0), blocks)
 
-    def partitions(self) -> list[Bytes]:
-        """One task a file for headers; else ranges of bytes. Only the tasks open files, unless a
-        range of n is asked for: then headers tell where in the files it is."""
-        if self.table != "samples":
-            return [Bytes(f, 0, 0) for f, _ in self.files()]
+    def partitions(self) -> list[Bytes | Ranges]:
+        """Headers or ranges of bytes; small ones are put together. Only the tasks open files, unless
+        a range of n is asked for: then headers tell where in the files it is."""
         step = int(self.options.get("bytespertask", SPLIT_BYTES))
+        if self.table != "samples":
+            return self.together([Bytes(f, 0, 0) for f, _ in self.files()], step)
         out = []
         for f, size in self.files():
             low, high = 0, size
@@ -195,9 +204,27 @@ class RecordingReader(DataSourceReader):
                 if low >= high:
                     continue
             out += [Bytes(f, b, min(b + step, high)) for b in range(low, max(high, low + 1), step)]
-        return out
+        return self.together(out, step)
 
-    def read(self, part: Bytes | None) -> Iterator[pa.RecordBatch]:
+    @staticmethod
+    def together(ranges: list[Bytes], step: int) -> list[Bytes | Ranges]:
+        """Neighbours in one task up to `step` bytes, what opening costs counted, but no fewer than
+        LEAST_TASKS tasks for that."""
+        costs = [x.end - x.begin + OPEN_BYTES for x in ranges]
+        most, size, lots = min(step, sum(costs) // LEAST_TASKS), 0, []
+        for x, cost in zip(ranges, costs, strict=True):
+            if not lots or size + cost > most:
+                lots.append([])
+                size = 0
+            lots[-1].append(x)
+            size += cost
+        return [Ranges(x) if len(x) > 1 else x[0] for x in lots]
+
+    def read(self, part: Bytes | Ranges | None) -> Iterator[pa.RecordBatch]:
+        if isinstance(part, Ranges):
+            for x in part.ranges:
+                yield from self.read(x)
+            return
         if part is None:  # no file
             return
         h, blocks = self.header(part.path)
