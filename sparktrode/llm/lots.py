@@ -140,9 +140,13 @@ def buckets_for(table: DataFrame, size: float, bucket_bytes: int = 8 << 20) -> i
 
 
 def with_replies(table: DataFrame, replies: DataFrame, order: str = "bucket") -> DataFrame:
-    """lots with `replies`, an array of the rows of (lot, bucket, ...) for it by bucket; null without any."""
+    """lots with `replies`, an array of the rows of (lot, bucket, ...) for it by bucket; null without any.
+
+    Both are dealt by lot whatever their size: a broadcast of a small corpus's replies would make the
+    work of a larger one another than that of the small one.
+    """
     by_lot = replies.groupBy("lot").agg(F.sort_array(F.collect_list(F.struct(order, *[c for c in replies.columns if c not in ("lot", order)]))).alias("replies"))
-    return table.join(by_lot, "lot", "left")
+    return table.hint("merge").join(by_lot, "lot", "left")
 
 
 def by_bucket(hashes: np.ndarray, n: int) -> np.ndarray:

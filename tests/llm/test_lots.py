@@ -264,3 +264,12 @@ def test_queries_equal_their_sql(spark, name):
     got = registry.queries()[name](spark, SF)
     assert sorted(rel.columns) == sorted(got.columns)
     assert plain(got.select(*rel.columns).collect()) == plain(rel.fetchall())
+
+
+def test_replies_are_dealt_by_lot_at_any_size(spark):
+    table = spark.createDataFrame([(k, "x" * k) for k in range(5)], "lot long, held string")
+    replies = spark.createDataFrame([(3, 1, "b"), (3, 0, "a"), (1, 0, "c")], "lot long, bucket int, told string")
+    out = lots.with_replies(table, replies)
+    got = {r["lot"]: r["replies"] and [x["told"] for x in r["replies"]] for r in out.collect()}
+    assert got == {0: None, 1: ["c"], 2: None, 3: ["a", "b"], 4: None}
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
