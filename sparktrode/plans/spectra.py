@@ -11,7 +11,7 @@ from sparktrode.operators import spikes as K
 
 from . import dsp_sql as Q
 from .base import query, r, signal, signal_sql, values
-from .trains import FS, PEAKS, fast, found
+from .trains import BLOCK, FS, PEAKS, fast, found
 
 FS_HZ = 100.0
 BANDS = [("delta", 1.0, 4.0), ("theta", 4.0, 8.0), ("alpha", 8.0, 13.0), ("beta", 13.0, 20.0), ("none", 60.0, 70.0)]
@@ -72,7 +72,7 @@ _SECTIONS, _PAD = Fl.zero_phase_design((5.0, 20.0), FS_HZ, 4, "A")
 
 @query(f"with recursive {signal_sql()}, {Q.zero_phase('fl', 'fx_signal', _SECTIONS, _PAD)} select recording_index, channel, n, round(x_uv,6) as x_uv from fl")
 def f2_zero_phase(spark, sf_dir):
-    out = Fl.zero_phase(signal(spark, sf_dir), (5.0, 20.0), FS_HZ, 4, "A", 128)
+    out = Fl.zero_phase(signal(spark, sf_dir), (5.0, 20.0), FS_HZ, 4, "A", BLOCK)
     return out.select("recording_index", "channel", "n", r("x_uv").alias("x_uv"))
 
 
@@ -85,7 +85,7 @@ rec(recording_index, channel, n, y, yp) as (select recording_index, channel, n,
 select recording_index, channel, n, round(y,6) as x_uv from rec union all select recording_index, channel, n, round(x_uv,6) from fx_signal where recording_index not in (select recording_index from co)""")
 def f3_notch(spark, sf_dir):
     meta = values(spark, _META, "recording_index int, fs_hz double, notch_hz int, version_major int")
-    return Fl.notch_filter(signal(spark, sf_dir), meta, block=128).select("recording_index", "channel", "n", r("x_uv").alias("x_uv"))
+    return Fl.notch_filter(signal(spark, sf_dir), meta, block=BLOCK).select("recording_index", "channel", "n", r("x_uv").alias("x_uv"))
 
 
 _TUKEY = "case when j <= 24 then 0.5e0*(1+cos(pi()*(j/24e0-1))) when j >= 72 then 0.5e0*(1+cos(pi()*((96-j)/24e0-1))) else 1e0 end"

@@ -12,7 +12,8 @@ from . import dsp_sql as Q
 from .base import EV, query, r, signal, signal_sql, spikes
 from .signals import ZA
 
-B, BLOCK = 64, 128  # small blocks, so that blocks matter on small data too
+#: Samples in a block: a group of rows in Python costs milliseconds, however few they are.
+B = BLOCK = 1 << 14
 FS = 20000.0
 PEAKS = ZA + ", " + Q.peaks("pk", "zz", "abs(z)", 1.2)
 

@@ -3,7 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from sparktrode.plans import base, registry
+from sparktrode.operators import samples as P
+from sparktrode.operators import spikes as K
+from sparktrode.plans import base, registry, trains
 from sparktrode.sources import intan
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +47,12 @@ def test_small_files_share_tasks(spark, tmp_path):
     got = intan.read(spark, str(tmp_path)).groupBy("recording").agg(F.count("n").alias("c"), F.max("raw").alias("raw")).collect()
     assert {(r["recording"], r["c"], r["raw"]) for r in got} == {(f"r{k:03}", 128, k) for k in range(300)}
     assert intan.read(spark, str(tmp_path), table="metadata").count() == 300
+
+
+def test_blocks_of_spike_queries_are_long_and_change_no_result(spark):
+    assert min(trains.B, trains.BLOCK) >= 1 << 14
+    x = trains.fast(spark, SF)
+    rows = lambda df: sorted((r[0], r[1], r["n"], round(r["width"], 6)) for r in df.collect())
+    at = K.peaks(P.robust_z(x), 1.2, ends=K.series_ends(x), block=16)
+    whole = K.half_prominence_width(trains.found(spark, SF), x, trains.B)
+    assert rows(K.half_prominence_width(at, x, 16)) == rows(whole)
