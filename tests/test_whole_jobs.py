@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sparktrode.operators import samples as P
+from sparktrode.operators import spectral
 from sparktrode.operators import spikes as K
 from sparktrode.plans import base, registry, trains
 from sparktrode.sources import intan
@@ -56,3 +57,14 @@ def test_blocks_of_spike_queries_are_long_and_change_no_result(spark):
     at = K.peaks(P.robust_z(x), 1.2, ends=K.series_ends(x), block=16)
     whole = K.half_prominence_width(trains.found(spark, SF), x, trains.B)
     assert rows(K.half_prominence_width(at, x, 16)) == rows(whole)
+
+
+def test_welch_takes_all_segments(spark):
+    """More than 2000 segments, over more than one block."""
+    n = 300_000
+    rows = spark.range(n).select(F.lit(1).alias("recording_index"), F.lit("a").alias("channel"), F.col("id").alias("n"), ((F.col("id") * 7919 % 1013) * F.col("id") / n).alias("x_uv"))
+    got = [r["pxx"] for r in spectral.welch(rows, 100.0).orderBy("f_hz").collect()]
+    x = (np.arange(n) * 7919 % 1013) * np.arange(n) / n
+    parts = np.lib.stride_tricks.sliding_window_view(x, 200)[::100]
+    assert len(parts) == 2999 and np.allclose(got, spectral.density(parts, 100.0).mean(0), rtol=1e-9)
+    assert not np.allclose(got, spectral.density(parts[:2000], 100.0).mean(0), rtol=1e-3)
