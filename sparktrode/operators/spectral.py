@@ -178,21 +178,30 @@ def db_range(psd: DataFrame) -> DataFrame:
 
 
 def triggered_spectrogram(windows: DataFrame, fs_hz: float, f_max: float = 200.0) -> DataFrame:
-    """Mean dB spectrogram of arrays around spikes (column wave), time from the middle."""
-    spec = windows.select(*SERIES, F.col("wave").alias("x"))
-    n = F.size("x")
-
-    def db(xs: pd.Series) -> pd.Series:
-        out = []
-        for x in xs:
-            x = np.asarray(x, dtype=float)
-            m = min(len(x), max(64, int(0.25 * fs_hz)))
-            starts = np.arange(0, len(x) - m + 1, m - m // 2)
-            p = density(np.stack([x[s : s + m] for s in starts]), fs_hz, "tukey")
-            f = np.arange(p.shape[1]) * fs_hz / m
-            d = 10 * np.log10(p + EPS)
-            out.append([{"t": float((s + m / 2 - len(x) / 2) / fs_hz), "f": float(g), "v": float(d[i, j])} for i, s in enumerate(starts) for j, g in enumerate(f) if g <= f_max])
-        return pd.Series(out)
-
-    cells = spec.filter(n > 1).select(*SERIES, F.explode(F.pandas_udf(db, "array<struct<t:double,f:double,v:double>>")("x")).alias("c"))
-    return cells.groupBy(*SERIES, F.col("c.t").alias("t_s"), F.col("c.f").alias("f_hz")).agg(F.avg("c.v").alias("db"))
+    """Mean dB spectrogram of arrays around spikes (column wave), time from the middle.
+
+    A row for each series, time and frequency leaves a batch of windows: the sum of its dB and their
+    number. Cells that are missing, as a sample is, don't count.
+    """
+    spec = windows.filter(F.size("wave") > 1).select(*SERIES, "wave", F.size("wave").alias("size"))
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for (recording, channel, n), waves in pdf.groupby([*SERIES, "size"], sort=False, dropna=False)["wave"]:
+                m = min(n, max(64, int(0.25 * fs_hz)))
+                starts = np.arange(0, n - m + 1, m - m // 2)
+                f = np.arange(m // 2 + 1) * fs_hz / m
+                f = f[f <= f_max]
+                total, count = np.zeros((2, len(starts), len(f)))
+                for i in range(0, len(waves), some := max(1, (1 << 20) // n)):
+                    x = np.stack(waves.iloc[i : i + some].to_list()).astype(float)
+                    for k, s in enumerate(starts):
+                        d = 10 * np.log10(density(x[:, s : s + m], fs_hz, "tukey")[:, : len(f)] + EPS)
+                        total[k] += np.nansum(d, axis=0)
+                        count[k] += (~np.isnan(d)).sum(axis=0)
+                t = np.repeat((starts + m / 2 - n / 2) / fs_hz, len(f))
+                yield pd.DataFrame({SERIES[0]: recording, SERIES[1]: channel, "t_s": t, "f_hz": np.tile(f, len(starts)), "total": total.ravel(), "c": count.ravel()})
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in windows.select(*SERIES).schema)
+    cells = spec.mapInPandas(sums, f"{kinds}, t_s double, f_hz double, total double, c double")
+    return cells.groupBy(*SERIES, "t_s", "f_hz").agg((F.sum("total") / F.nullif(F.sum("c"), F.lit(0.0))).alias("db"))

@@ -22,6 +22,8 @@ from .samples import BLOCK, SERIES, blocked, in_cells, quantiles, robust_z
 #: Suppression looks so many distances beyond a block's borders; what that leaves open is settled
 #: in further rounds.
 HALO = 32
+#: Samples in a block from which waveforms are cut, so few that all its waveforms fit a task.
+WAVE_BLOCK = 1 << 14
 #: Bins of a spike train that are worked on as one array.
 BINS = 1 << 16
 
@@ -175,18 +177,32 @@ def refractory(rows: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
     return rows.join(opens, [*SERIES, "block"]).groupBy(*SERIES, "block").applyInPandas(keep, rows.drop("block").schema)
 
 
-def waveforms(spikes: DataFrame, samples: DataFrame, pre: int, post: int) -> DataFrame:
-    """Adds wave: x from n - pre to n + post - 1; spikes too near an end go.
+def waveforms(spikes: DataFrame, samples: DataFrame, pre: int, post: int, block: int = WAVE_BLOCK) -> DataFrame:
+    """Adds wave: x from n - pre to n + post - 1, null where missing; spikes too near an end go.
 
-    Spikes meet samples on equal cells of the window's length.
+    A block meets all its spikes at once, with the samples that their windows take beyond its borders.
     """
-    n, m = F.col("n"), F.col("m")
-    hit = in_cells(spikes, samples, pre, post).filter((m >= n - pre) & (m < n + post))
-    keys = [*SERIES, *[c for c in spikes.columns if c not in SERIES]]
-    out = hit.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("m", "x_uv"))).alias("w"))
+    keys = [*SERIES, "block"]
     length = samples.groupBy(*SERIES).agg(F.max("n").alias("n1"))
-    out = out.join(length, SERIES).filter((n - pre >= 0) & (n + post <= F.col("n1")))
-    return out.select(*keys, F.col("w.x_uv").alias("wave"))
+    inside = spikes.join(length, SERIES).filter((F.col("n") - pre >= 0) & (F.col("n") + post <= F.col("n1"))).drop("n1")
+    line = blocked(samples.select(*SERIES, "n", "x_uv"), max(pre, post), block).select(*keys, F.col("n").alias("m"), "x_uv")
+
+    def cut(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(found):
+            return pdf.iloc[:0].drop(columns="block").assign(wave=pd.Series([], dtype=object))
+        found = found.sort_values("m", kind="stable")
+        m, x, n = found["m"].to_numpy(), found["x_uv"].to_numpy(float), pdf["n"].to_numpy()
+        first, size = np.searchsorted(m, n - pre), pre + post
+        if len(x) < size or not np.array_equal(m[np.minimum(first + size - 1, len(m) - 1)], n + post - 1):  # some n have no sample
+            waves = [x[i:j] for i, j in zip(first, np.searchsorted(m, n + post), strict=True)]
+        else:
+            waves = list(x[first[:, None] + np.arange(size)])
+        out = pdf.drop(columns="block").assign(wave=pd.Series(waves, index=pdf.index, dtype=object))
+        return out[out["wave"].map(len) > 0]
+
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spikes.schema)
+    at = inside.select(*spikes.columns, F.floor(F.col("n") / block).alias("block"))
+    return at.groupBy(*keys).cogroup(line.groupBy(*keys)).applyInPandas(cut, f"{names}, wave array<double>").select(*SERIES, *[c for c in spikes.columns if c not in SERIES], "wave")
 
 
 def mean_waveform(waves: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sparktrode.operators import samples as P
 from sparktrode.operators import spectral
 from sparktrode.operators import spikes as K
-from sparktrode.plans import base, registry, trains
+from sparktrode.plans import base, files, registry, trains
 from sparktrode.sources import intan
 
 SF = "/root/testdata/sf0.001"
@@ -68,3 +68,36 @@ def test_welch_takes_all_segments(spark):
     parts = np.lib.stride_tricks.sliding_window_view(x, 200)[::100]
     assert len(parts) == 2999 and np.allclose(got, spectral.density(parts, 100.0).mean(0), rtol=1e-9)
     assert not np.allclose(got, spectral.density(parts[:2000], 100.0).mean(0), rtol=1e-3)
+
+
+def test_files_are_dealt_by_the_rows_of_the_table(spark, monkeypatch):
+    few = base.table(spark, SF, "lineitem").count() // 30
+    monkeypatch.setattr(base, "RANGE_ROWS", few)
+    words = files.words_of_files(spark, SF)
+    assert words.rdd.getNumPartitions() >= 30 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert words.select("file", F.spark_partition_id()).distinct().count() == words.select("file").distinct().count()
+
+
+def test_triggered_spectrogram_sums_in_batches(spark):
+    missing = (F.col("id") % 500 == 77) | (F.col("id") == 1400)
+    line = spark.range(3000).select(F.lit(1).alias("recording_index"), F.lit("a").alias("channel"), F.col("id").alias("n"), F.when(~missing, F.cos(F.col("id") * 0.37)).alias("x_uv"))
+    at = [5, 47, 48, 80, 500, 880, 1100, 1390, 2000, 2951, 2952, 2999]
+    found = spark.createDataFrame([(1, "a", n) for n in at], "recording_index int, channel string, n long")
+    waves = K.waveforms(found, line, 48, 48)
+    got = spectral.triggered_spectrogram(waves, 200.0, 10.0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(pythonUDF" not in plan and "collect_list" not in plan  # a row each cell, or sample, of each spike
+    x = np.where([k % 500 == 77 or k == 1400 for k in range(3000)], np.nan, np.cos(np.arange(3000) * 0.37))
+    cut = {r["n"]: [np.nan if v is None else v for v in r["wave"]] for r in waves.collect()}
+    assert sorted(cut) == [n for n in at if n >= 48 and n + 48 <= 2999]
+    for n, wave in cut.items():
+        np.testing.assert_allclose(wave, x[n - 48 : n + 48])
+    rows = np.array([x[n - 48 : n + 48] for n in cut])
+    want = {}
+    for s in (0, 32):
+        p = 10 * np.log10(spectral.density(rows[:, s : s + 64], 200.0, "tukey") + spectral.EPS)
+        want |= {(round((s + 32 - 48) / 200, 9), k * 200 / 64): np.nanmean(p[:, k]) for k in range(4)}
+    have = {(round(r["t_s"], 9), r["f_hz"]): r["db"] for r in got.collect()}
+    assert have.keys() == want.keys()
+    for k in want:
+        assert abs(have[k] - want[k]) < 1e-9
