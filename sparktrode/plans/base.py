@@ -65,13 +65,17 @@ def signal(spark: SparkSession, sf_dir: str, rate: float = 100.0, holes: bool =
     return events(spark, sf_dir).withColumn("n", n).select("recording_index", "recording_name", "channel", "n", (F.col("n") / F.lit(rate)).alias("t_s"), x.alias("x_uv"))
 
 
+def ranges(spark: SparkSession, sf_dir: str) -> int:
+    """Ranges of RANGE_ROWS that hold all raw words, by the files' own counts."""
+    return -(-table(spark, sf_dir, "lineitem").count() // RANGE_ROWS)
+
+
 def raw_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """recording, n, tick, word from lineitem; the four recordings are numbered by ranges of rows."""
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     lines = table(spark, sf_dir, "lineitem").select(*order)
     base = lines.withColumn("recording", (F.col("l_suppkey") % 4).cast("int"))
-    parts = -(-lines.count() // RANGE_ROWS)  # the files' own counts
-    n = ranked(base, *order, keys=["recording"], parts=parts, few=True).withColumn("n", F.col("rank") - 1)
+    n = ranked(base, *order, keys=["recording"], parts=ranges(spark, sf_dir), few=True).withColumn("n", F.col("rank") - 1)
     return n.select("recording", "n", (F.col("n") + F.floor(F.col("n") / 100)).alias("tick"), (F.floor("l_extendedprice") % 65536).cast("int").alias("word"))
 
 

@@ -10,7 +10,7 @@ from sparktrode.operators import decode as D
 from sparktrode.operators import statistics as S
 from sparktrode.sources import intan, tables
 
-from .base import RAW, query, r, raw_words, signal, signal_sql, spikes
+from .base import RAW, query, r, ranges, raw_words, signal, signal_sql, spikes
 from .counts import KEYS as SERIES_KEYS
 from .counts import WINDOWS, windows
 from .stats import GROUP, KEYS, RATES, rates
@@ -24,6 +24,13 @@ CHANNELS_RHS = [(0, "A-000"), (0, "A-001"), (3, "ADC-00"), (4, "DAC-00"), (5, "D
 FILE_SAMPLES = 4096
 
 
+def words_of_files(spark, sf_dir):
+    """The raw words with their file; whole files, in tasks of as many rows at any size."""
+    name = F.format_string("rec-%d-%05d", "recording", F.floor(F.col("n") / FILE_SAMPLES))
+    parts = max(ranges(spark, sf_dir), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return raw_words(spark, sf_dir).withColumn("file", name).repartition(parts, "file")
+
+
 def write_files(spark, sf_dir, variant: str, most: int | None = None) -> str:
     """Recording files of the raw words, each of one range of a recording, written by the executors."""
     folder = tables.shared_folder(spark, variant)
@@ -44,8 +51,7 @@ def write_files(spark, sf_dir, variant: str, most: int | None = None) -> str:
             out.write(data)
         return pdf[["file"]].head(1).assign(bytes=len(data))
 
-    name = F.format_string("rec-%d-%05d", "recording", F.floor(F.col("n") / FILE_SAMPLES))
-    raw_words(spark, sf_dir).withColumn("file", name).groupBy("file").applyInPandas(write, "file string, bytes long").count()
+    words_of_files(spark, sf_dir).groupBy("file").applyInPandas(write, "file string, bytes long").count()
     return folder
 
 
