@@ -37,9 +37,9 @@ COSINE = 0.3
 COPY, PARAPHRASE, ANSWER = 0.75, 0.45, 0.8
 SHORT_ITEM = 8
 SEED = 5
-#: Words of regions looked at together, characters of items in one block of them, and words of texts
-#: whose factors are held at once.
-CELLS, ITEM_CHARS, SPAN = 2_000_000, 4_000_000, 1 << 14
+#: Regions looked at together, characters of items in one block of them, most words of a span of a
+#: text, and words of short texts whose factors are held at once, so few that they stay in the cache.
+REGIONS, ITEM_CHARS, SPAN, HELD = 1 << 13, 4_000_000, 1 << 14, 1 << 12
 #: Characters handled at once, so few that the arrays stay in the cache; a text is never cut, so a longer one makes a longer group.
 GROUP_CHARS = 100_000
 FOUND = "item_id string, cosine double, lcs double, kind string"
@@ -71,6 +71,32 @@ def _runs(starts: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(at % width == 0)
 
 
+def _laid(terms: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The terms of passages, a row each, filled up with TERMS."""
+    at = first[:, None] + np.arange(PASSAGE)
+    return np.where(at < np.r_[first[1:], len(terms)][:, None], terms[np.minimum(at, len(terms) - 1)], TERMS)
+
+
+def _sums(rows: np.ndarray, index: np.ndarray, starts: np.ndarray, most: int = 32) -> np.ndarray:
+    """Sums of rows[index] by runs that begin at starts, none empty: np.add.reduceat, but a place of
+    all runs at once. Runs longer than `most` are cut, and their parts are summed in turn."""
+    lengths = np.diff(np.r_[starts, len(index)])
+    parts = -(-lengths // most)
+    if (parts > 1).any():
+        begin = np.cumsum(np.r_[0, parts])
+        inner = np.repeat(starts, parts) + (np.arange(begin[-1]) - np.repeat(begin[:-1], parts)) * most
+        return _sums(_sums(rows, index, inner, most), np.arange(begin[-1]), begin[:-1], most)
+    order = np.argsort(-lengths, kind="stable")
+    count = len(order) - np.cumsum(np.bincount(lengths, minlength=most + 1))  # runs longer than k
+    at = starts[order]
+    total = rows.take(index[at], axis=0)
+    for k in range(1, int(lengths.max(initial=0))):
+        total[: count[k]] += rows.take(index[at[: count[k]] + k], axis=0)
+    out = np.empty_like(total)
+    out[order] = total
+    return out
+
+
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for batch in batches:
@@ -122,8 +148,9 @@ def fit(docs: DataFrame) -> Latent:
     """
 
     def count(total: np.ndarray, terms: np.ndarray, first: np.ndarray) -> None:
-        passage = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(terms)]))
-        total[:TERMS] += np.bincount(np.unique(passage * TERMS + terms) % TERMS, minlength=TERMS)
+        laid = np.sort(_laid(terms, first).astype(np.uint16), axis=1)
+        laid[:, 1:][laid[:, 1:] == laid[:, :-1]] = TERMS  # once a passage
+        total[:TERMS] += np.bincount(laid.ravel(), minlength=TERMS + 1)[:TERMS]
         total[TERMS] += len(first)
 
     df = summed(docs, (TERMS + 1,), count)
@@ -134,13 +161,13 @@ def fit(docs: DataFrame) -> Latent:
 
     def spread(total: np.ndarray, terms: np.ndarray, first: np.ndarray) -> None:
         square = np.maximum(np.add.reduceat(idf[terms] ** 2, first), 1e-12)
-        rows = np.add.reduceat(weighted[terms], first, axis=0) / square[:, None]  # unit rows, twice
+        rows = _sums(weighted, terms, first) / square[:, None]  # unit rows, twice
         passage = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(terms)]))
         order = np.argsort(terms.astype(np.uint16), kind="stable")
         sorted_terms = terms[order]
         at = np.flatnonzero(np.r_[True, sorted_terms[1:] != sorted_terms[:-1]])
         found = sorted_terms[at]
-        total[found] += np.add.reduceat(rows[passage[order]], at, axis=0) * idf[found][:, None]
+        total[found] += _sums(rows, passage[order], at) * idf[found][:, None]
 
     product = summed(docs, weighted.shape, spread)  # A'A times the sketch
     core = sketch.T.astype(float) @ product
@@ -182,44 +209,72 @@ def common_subsequence(masks: dict[int, int], length: int, region: list[int]) ->
     return length - v.bit_count()
 
 
-def _common(bits: np.ndarray, size: np.ndarray, item: np.ndarray, region: np.ndarray) -> np.ndarray:
+def _common(bits: np.ndarray, size: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray, word: np.ndarray) -> np.ndarray:
     """common_subsequence of many (item, region of words) at once, for items of up to 64 words.
 
-    bits holds the masks, a row an item and a column a word, the last column for any other word;
-    region has a row for each place and a column for each pair.
+    bits holds the masks, a row an item and a column a word, the last column for any other word; a region is word[begin:end].
     """
-    full = np.where(size[item] == 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (size[item] % 64).astype(np.uint64)) - np.uint64(1))
-    v = full.copy()
-    row, flat = item * bits.shape[1], bits.ravel()
-    with np.errstate(over="ignore"):
-        for words in region:
-            u = v & flat[row + words]
-            v = (v + u) | (v - u)
-    v &= full
-    return size[item] - np.bitwise_count(v).astype(np.int64)
-
-
-def _stepped(sums: dict[int, np.ndarray], size: int) -> np.ndarray:
+    size = size[item]
+    full = np.where(size == 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (size % 64).astype(np.uint64)) - np.uint64(1))
+    order = np.argsort(begin - end, kind="stable")  # the longest region first
+    longer = len(order) - np.cumsum(np.bincount(end - begin))  # regions longer than k
+    v, at, row, flat = full[order], begin[order], item[order] * bits.shape[1], bits.ravel()
+    for n in longer[:-1]:
+        now, place = v[:n], at[:n]
+        u = flat.take(row[:n] + word.take(place))
+        u &= now
+        more = now + u
+        np.subtract(now, u, out=now)
+        now |= more
+        place += 1
+    v &= full[order]
+    out = np.empty(len(order), np.int64)
+    out[order] = size[order] - np.bitwise_count(v).astype(np.int64)
+    return out
+
+
+class Room:
+    """Arrays of float32 that are used again, by name: new ones cost more than the sums put into them."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, rows: int, columns: int) -> np.ndarray:
+        need = rows * columns
+        if name not in self.held or len(self.held[name]) < need:
+            self.held[name] = np.empty(need + need // 4, np.float32)
+        return self.held[name][:need].reshape(rows, columns)
+
+
+def _stepped(sums: dict[int, np.ndarray], size: int, room: Room) -> np.ndarray:
     """Sums of each `size` rows; sums holds those of other sizes, the rows themselves for 1."""
     if size not in sums:
         part = 2 if size % 2 == 0 else 3
-        of = _stepped(sums, size // part)
-        sums[size] = sum((of[k::part] for k in range(1, part)), of[0::part])
+        of = _stepped(sums, size // part, room)
+        sums[size] = total = np.add(of[0::part], of[1::part], out=room(f"step {size}", len(of) // part, of.shape[1]))
+        for k in range(2, part):
+            total += of[k::part]
     return sums[size]
 
 
-def _rolled(rows: np.ndarray, many: int) -> np.ndarray:
-    """Sums of `many` rows from each row on, by doubling."""
-    n, sums, span = len(rows) - many + 1, {1: rows}, 1
+def _rolled(rows: np.ndarray, many: int, room: Room) -> np.ndarray:
+    """Sums of `many` rows from each row on, by doubling; zeros for the last ones, which have fewer."""
+    out, n, sums, span = room("rolled", *rows.shape), len(rows) - many + 1, {1: rows}, 1
+    out[max(n, 0) :] = 0
     if n <= 0:
-        return rows[:0]
-    while 2 * span <= many:
-        sums[2 * span] = sums[span][: len(sums[span]) - span] + sums[span][span:]
+        return out
+    while 4 * span <= many:
+        of = sums[span]
+        sums[2 * span] = np.add(of[:-span], of[span:], out=room(f"rolled {2 * span}", len(of) - span, rows.shape[1]))
         span *= 2
-    out, have = sums[span][:n], span
+    have, whole = span, out[:n]
+    if have == many:
+        whole[:] = sums[span][:n]
+    first = sums[span][:n]
     while have < many:
-        span = 1 << ((many - have).bit_length() - 1)
-        out = out + sums[span][have : have + n]
+        span = min(span, 1 << ((many - have).bit_length() - 1))
+        np.add(first, sums[span][have : have + n], out=whole)
+        first = whole
         have += span
     return out
 
@@ -228,7 +283,7 @@ class Search:
     """All windows of a group of texts against all items of a block."""
 
     def __init__(self, latent: Latent, items: list[Item], cosine: float = COSINE):
-        self.latent, self.items, self.cosine = latent, items, cosine
+        self.latent, self.items, self.cosine, self.room = latent, items, cosine, Room()
         words = [np.array(i.words, dtype=np.uint64) for i in items]
         self.size = np.array([len(w) for w in words])
         self.factors = np.r_[latent.factors, np.zeros((1, latent.factors.shape[1]), np.float32)]
@@ -253,8 +308,8 @@ class Search:
         self.masks = {k: (masks(i.words), masks(self.answers[k])) for k, i in enumerate(items) if self.row[k] < 0}
 
     def spans(self, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(text, begin, end) of spans of about SPAN words at a time. A longer text has several, which
-        overlap by the widest window, so that it has the same windows as in one."""
+        """(text, begin, end) of spans of about HELD words at a time. A text longer than SPAN has several,
+        which overlap by the widest window, so that it has the same windows as in one."""
         over = -(-int(self.width.max()) // self.lcm) * self.lcm
         hop = -(-SPAN // self.lcm) * self.lcm
         lengths = np.diff(starts)
@@ -262,7 +317,7 @@ class Search:
         text = np.repeat(np.arange(len(lengths)), parts)
         low = starts[text] + (np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)) * hop
         high = np.minimum(low + hop + over, starts[text + 1])
-        some = np.cumsum(high - low) // SPAN
+        some = np.cumsum(high - low) // HELD
         for lot in np.split(np.arange(len(text)), np.flatnonzero(np.diff(some)) + 1):
             yield text[lot], low[lot], high[lot]
 
@@ -281,30 +336,36 @@ class Search:
             term = np.full(base[-1], TERMS)  # the row of zeros
             # one word many times in a row must not drown its window
             term[np.arange(len(place)) + np.repeat(base[:-1] - np.cumsum(lengths) + lengths, lengths)] = np.where(again, TERMS, terms_of(hashes[place]))
-            rows = self.factors[term]
+            rows = self.factors.take(term, axis=0, out=self.room("rows", len(term), self.factors.shape[1]), mode="clip")
             sums = {1: rows}
             for width, items in self.by_width.items():
                 step, margin = int(self.step[items[0]]), int(self.margin[items[0]])
-                of, many = _stepped(sums, step), width // step
-                windows = _rolled(of, many)
+                of, many = _stepped(sums, step, self.room), width // step
+                windows = _rolled(of, many, self.room)
                 count = -(-lengths // step)  # steps of each span
                 last = np.maximum(count - many, 0)  # its last window
                 span = np.repeat(np.arange(len(lengths)), np.diff(base) // step)
                 number = np.arange(len(span)) - base[span] // step
-                if len(windows) < len(span) or (count < many).any():  # a span that is shorter than a window is one
-                    windows = np.r_[windows, np.zeros((len(span) - len(windows), rows.shape[1]), np.float32)]
+                if (count < many).any():  # a span that is shorter than a window is one
                     for k in np.flatnonzero((count > 0) & (count < many)):
                         windows[base[k] // step] = of[base[k] // step : base[k] // step + count[k]].sum(0)
-                cosine = windows @ self.query[items].T
+                cosine = np.matmul(windows, self.query[items].T, out=self.room("cosine", len(windows), len(items)))
                 norm = np.sqrt(np.einsum("ij,ij->i", windows, windows))
                 norm[number > last[span]] = np.inf  # reaches into the next span
                 cosine /= np.maximum(norm, 1e-12)[:, None]
-                k, j = np.divmod(np.flatnonzero(cosine >= self.cosine), len(items))
-                for by in (-2, -1, 1, 2):  # the best of windows that are up to a quarter apart: its region holds theirs
-                    near = np.clip(k + by, 0, len(span) - 1)
-                    other = cosine[near, j]
-                    best = (span[near] != span[k]) | (near == k) | ((cosine[k, j] >= other) if by > 0 else (cosine[k, j] > other))
-                    k, j = k[best], j[best]
+                best = cosine >= self.cosine
+                for by in (1, 2):  # the best of windows that are up to a quarter apart: its region holds theirs
+                    if by < len(span):
+                        apart = np.flatnonzero(span[by:] != span[:-by])
+                        better = cosine[by:] > cosine[:-by]
+                        better[apart] = True
+                        best[by:] &= better
+                        np.logical_not(better, out=better)
+                        better[apart] = True
+                        best[:-by] &= better
+                at = np.flatnonzero(best)
+                k = at // len(items)
+                j = at - k * len(items)
                 if not len(k):
                     continue
                 text, begin = text_of[span[k]], low[span[k]] + number[k] * step
@@ -318,12 +379,9 @@ class Search:
         size = (self.answer_size if answers else self.size)[self.row >= 0]
         short = np.argsort(row, kind="stable")
         short = short[row[short] >= 0]
-        if len(short):
-            longest = int((end - begin)[short].max())
-            for lot in np.array_split(short, -(-len(short) * longest // CELLS)):
-                place = begin[lot] + np.arange(longest)[:, None]
-                region = np.where(place < end[lot], word[np.minimum(place, len(word) - 1)], len(self.words))
-                out[lot] = _common(self.answer_bits if answers else self.bits, size, row[lot], region)
+        for lot in np.split(short, range(REGIONS, len(short), REGIONS)):
+            if len(lot):
+                out[lot] = _common(self.answer_bits if answers else self.bits, size, row[lot], begin[lot], end[lot], word)
         for k in np.flatnonzero(row < 0):
             whole, answer = self.masks[int(item[k])]
             length = int(self.answer_size[item[k]] if answers else self.size[item[k]])
@@ -333,13 +391,17 @@ class Search:
     def __call__(self, hashes: np.ndarray, starts: np.ndarray) -> dict[tuple[int, int], tuple[float, float, str]]:
         """(share, cosine, kind) of the best region of each (text, item) that passes the checks."""
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        word = np.where(self.words[at] == hashes, at, len(self.words))
-        best: dict[tuple[int, int], tuple[float, float, str]] = {}
         by_width: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for found in self.candidates(hashes, starts):
             by_width.setdefault(int(self.width[found[1][0]]), []).append(found)
+        known = self.words[at] == hashes  # the other words are in no item, nor in a common subsequence
+        word, hashes, before = at[known], hashes[known], np.r_[0, np.cumsum(known)]
+        best: dict[tuple[int, int], tuple[float, float, str]] = {}
         for parts in by_width.values():
-            text, item, begin, end, cosine = found = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            text, item, begin, end, cosine = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            found = text, item, before[begin], before[end], cosine
+            enough = found[3] - found[2] >= self.needed[item]  # a region of fewer of the items' words holds no item
+            text, item, begin, end, cosine = found = [x[enough] for x in found]
             shared = self._shared(item, begin, end, word, hashes, answers=False)
             ok = shared >= self.needed[item]
             text, item, begin, end, cosine, shared = (x[ok] for x in (*found, shared))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparktrode.llm import labelled, quality, toxicity
+from sparktrode.llm import decontaminate, labelled, quality, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -119,3 +119,24 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
         kept = out.collect()
         texts = [r["text"] for r in kept if r["text"]]
         assert len(texts) == len(set(texts)) <= len(data)
+
+
+@pytest.mark.parametrize("most", [1, 2, 32])
+def test_sums_of_runs_equal_reduceat(most):
+    rng = np.random.default_rng(4)
+    if most == 1:
+        lengths = np.ones(50, int)
+    else:
+        lengths = np.r_[rng.integers(1, 40, 60), 1, most, most + 1, 3000]
+    rows, index, starts = rng.normal(size=(200, 5)), rng.integers(0, 200, lengths.sum()), np.cumsum(lengths) - lengths
+    np.testing.assert_allclose(decontaminate._sums(rows, index, starts, max(most, 2)), np.add.reduceat(rows[index], starts, axis=0), atol=1e-9)
+
+
+@pytest.mark.parametrize("many", [8, 12, 7, 1])
+def test_rolled_sums_in_arrays_used_again(many):
+    room, rng = decontaminate.Room(), np.random.default_rng(2)
+    for n in (40, 5, 90):
+        rows = rng.normal(size=(n, 3)).astype(np.float32)
+        got = decontaminate._rolled(rows, many, room)
+        want = [rows[k : k + many].sum(0) if k + many <= n else np.zeros(3) for k in range(n)]
+        np.testing.assert_allclose(got, want, atol=1e-5)
