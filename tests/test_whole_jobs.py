@@ -1,6 +1,7 @@
 """Queries that must do their whole job: all rows of their tables, in no task of a whole group."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sparktrode.operators import samples as P
@@ -78,6 +79,18 @@ def test_files_are_dealt_by_the_rows_of_the_table(spark, monkeypatch):
     assert words.select("file", F.spark_partition_id()).distinct().count() == words.select("file").distinct().count()
 
 
+@pytest.mark.parametrize("name", ["d2_auxiliary", "d3_board_adc", "d4_dc_amplifier", "d5_digital", "d6_stim_word", "d7_stim_current", "d9_seconds"])
+def test_tasks_of_word_queries_hold_a_range(spark, monkeypatch, name):
+    """A task numbers a range of rows, of four recordings or not, so its memory doesn't grow with the table."""
+    rows = base.table(spark, SF, "lineitem").count()
+    monkeypatch.setattr(base, "RANGE_ROWS", rows // 30)
+    got = registry.queries()[name](spark, SF)
+    assert not tasks_of_groups(got)
+    numbered = spark.read.parquet(*got.inputFiles())  # a file a task
+    held = [r["count"] for r in numbered.groupBy(F.input_file_name()).count().collect()]
+    assert sum(held) == rows and len(held) >= 30 and max(held) < 2 * base.RANGE_ROWS
+
+
 def test_triggered_spectrogram_sums_in_batches(spark):
     missing = (F.col("id") % 500 == 77) | (F.col("id") == 1400)
     line = spark.range(3000).select(F.lit(1).alias("recording_index"), F.lit("a").alias("channel"), F.col("id").alias("n"), F.when(~missing, F.cos(F.col("id") * 0.37)).alias("x_uv"))
