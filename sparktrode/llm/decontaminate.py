@@ -9,6 +9,7 @@ subsequence of words, and a paraphrase also with the item's answer.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -41,7 +42,8 @@ SEED = 5
 #: text, and words of short texts whose factors are held at once, so few that they stay in the cache.
 REGIONS, ITEM_CHARS, SPAN, HELD = 1 << 13, 4_000_000, 1 << 14, 1 << 12
 #: Characters handled at once, so few that the arrays stay in the cache; a text is never cut, so a longer one makes a longer group.
-GROUP_CHARS = 100_000
+#: Groups whose sums are put into the SVD's array at once, and items whose words are counted at once.
+GROUP_CHARS, TOGETHER, COUNTED = 100_000, 8, 256
 FOUND = "item_id string, cosine double, lcs double, kind string"
 
 
@@ -77,7 +79,21 @@ def _laid(terms: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(at < np.r_[first[1:], len(terms)][:, None], terms[np.minimum(at, len(terms) - 1)], TERMS)
 
 
-def _sums(rows: np.ndarray, index: np.ndarray, starts: np.ndarray, most: int = 32) -> np.ndarray:
+class Room:
+    """Arrays that are used again, by name: new ones cost more than the sums put into them."""
+
+    def __init__(self, kind: type = np.float32) -> None:
+        self.held: dict[str, np.ndarray] = {}
+        self.kind = kind
+
+    def __call__(self, name: str, rows: int, columns: int) -> np.ndarray:
+        need = rows * columns
+        if name not in self.held or len(self.held[name]) < need:
+            self.held[name] = np.empty(need + need // 4, self.kind)
+        return self.held[name][:need].reshape(rows, columns)
+
+
+def _sums(rows: np.ndarray, index: np.ndarray, starts: np.ndarray, most: int = 32, room: Room | None = None) -> np.ndarray:
     """Sums of rows[index] by runs that begin at starts, none empty: np.add.reduceat, but a place of
     all runs at once. Runs longer than `most` are cut, and their parts are summed in turn."""
     lengths = np.diff(np.r_[starts, len(index)])
@@ -85,13 +101,15 @@ def _sums(rows: np.ndarray, index: np.ndarray, starts: np.ndarray, most: int = 3
     if (parts > 1).any():
         begin = np.cumsum(np.r_[0, parts])
         inner = np.repeat(starts, parts) + (np.arange(begin[-1]) - np.repeat(begin[:-1], parts)) * most
-        return _sums(_sums(rows, index, inner, most), np.arange(begin[-1]), begin[:-1], most)
+        return _sums(_sums(rows, index, inner, most, room), np.arange(begin[-1]), begin[:-1], most, room)
+    room = room or Room(rows.dtype)
     order = np.argsort(-lengths, kind="stable")
     count = len(order) - np.cumsum(np.bincount(lengths, minlength=most + 1))  # runs longer than k
     at = starts[order]
-    total = rows.take(index[at], axis=0)
+    total = rows.take(index[at], axis=0, out=room("total", len(at), rows.shape[1]), mode="clip")
     for k in range(1, int(lengths.max(initial=0))):
-        total[: count[k]] += rows.take(index[at[: count[k]] + k], axis=0)
+        n = count[k]
+        total[:n] += rows.take(index[at[:n] + k], axis=0, out=room("place", n, rows.shape[1]), mode="clip")
     out = np.empty_like(total)
     out[order] = total
     return out
@@ -115,10 +133,11 @@ def summed(docs: DataFrame, shape: tuple[int, ...], add: Callable[[np.ndarray, n
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
-        for _, texts in groups(batches):
-            hashes, starts = tokens(texts)
-            if len(hashes):
-                add(total, terms_of(hashes), _runs(starts, PASSAGE))
+        for lot in itertools.batched(groups(batches), TOGETHER):
+            parts = [(terms_of(hashes), _runs(starts, PASSAGE)) for hashes, starts in (tokens(texts) for _, texts in lot)]
+            before = np.cumsum([0, *(len(terms) for terms, _ in parts)])
+            if before[-1]:
+                add(total, np.concatenate([terms for terms, _ in parts]), np.concatenate([first + n for (_, first), n in zip(parts, before, strict=False)]))
         yield pa.RecordBatch.from_pydict({"part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
     parts, n = docs.select("text").mapInArrow(partial, "part binary"), docs.rdd.getNumPartitions()
@@ -157,19 +176,19 @@ def fit(docs: DataFrame) -> Latent:
     idf = np.log((1 + df[TERMS]) / (1 + df[:TERMS])).astype(np.float32)
     sketch = np.random.default_rng(SEED).normal(size=(TERMS, RANK + OVERSAMPLE)).astype(np.float32)
 
-    weighted = idf[:, None] * sketch
+    weighted, room = idf[:, None] * sketch, Room()
 
     def spread(total: np.ndarray, terms: np.ndarray, first: np.ndarray) -> None:
         square = np.maximum(np.add.reduceat(idf[terms] ** 2, first), 1e-12)
-        rows = _sums(weighted, terms, first) / square[:, None]  # unit rows, twice
+        rows = _sums(weighted, terms, first, room=room)
+        rows /= square[:, None]  # unit rows, twice
         passage = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(terms)]))
         order = np.argsort(terms.astype(np.uint16), kind="stable")
         sorted_terms = terms[order]
         at = np.flatnonzero(np.r_[True, sorted_terms[1:] != sorted_terms[:-1]])
-        found = sorted_terms[at]
-        total[found] += _sums(rows, passage[order], at) * idf[found][:, None]
+        total[sorted_terms[at]] += _sums(rows, passage[order], at, room=room)
 
-    product = summed(docs, weighted.shape, spread)  # A'A times the sketch
+    product = summed(docs, weighted.shape, spread) * idf[:, None]  # A'A times the sketch
     core = sketch.T.astype(float) @ product
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     keep = values > 1e-9 * max(values.max(), 1e-300)
@@ -233,19 +252,6 @@ def _common(bits: np.ndarray, size: np.ndarray, item: np.ndarray, begin: np.ndar
     return out
 
 
-class Room:
-    """Arrays of float32 that are used again, by name: new ones cost more than the sums put into them."""
-
-    def __init__(self) -> None:
-        self.held: dict[str, np.ndarray] = {}
-
-    def __call__(self, name: str, rows: int, columns: int) -> np.ndarray:
-        need = rows * columns
-        if name not in self.held or len(self.held[name]) < need:
-            self.held[name] = np.empty(need + need // 4, np.float32)
-        return self.held[name][:need].reshape(rows, columns)
-
-
 def _stepped(sums: dict[int, np.ndarray], size: int, room: Room) -> np.ndarray:
     """Sums of each `size` rows; sums holds those of other sizes, the rows themselves for 1."""
     if size not in sums:
@@ -257,9 +263,9 @@ def _stepped(sums: dict[int, np.ndarray], size: int, room: Room) -> np.ndarray:
     return sums[size]
 
 
-def _rolled(rows: np.ndarray, many: int, room: Room) -> np.ndarray:
+def _rolled(rows: np.ndarray, many: int, room: Room, name: str = "rolled") -> np.ndarray:
     """Sums of `many` rows from each row on, by doubling; zeros for the last ones, which have fewer."""
-    out, n, sums, span = room("rolled", *rows.shape), len(rows) - many + 1, {1: rows}, 1
+    out, n, sums, span = room(name, *rows.shape), len(rows) - many + 1, {1: rows}, 1
     out[max(n, 0) :] = 0
     if n <= 0:
         return out
@@ -279,6 +285,14 @@ def _rolled(rows: np.ndarray, many: int, room: Room) -> np.ndarray:
     return out
 
 
+def _joined(half: np.ndarray, step: int, apart: int, room: Room, name: str) -> np.ndarray:
+    """Each `step`th window of half the width and the one `apart` rows on, added; zeros for the last ones."""
+    out, n = room(name, -(-len(half) // step), half.shape[1]), max(0, -(-(len(half) - apart) // step))
+    out[n:] = 0
+    np.add(half[::step][:n], half[apart::step], out=out[:n])
+    return out
+
+
 class Search:
     """All windows of a group of texts against all items of a block."""
 
@@ -298,6 +312,13 @@ class Search:
         self.words, place = np.unique(np.concatenate(words), return_inverse=True)
         at = np.cumsum(np.r_[0, self.size])
         self.place = [place[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]  # of each item's words
+        self.member = []  # which items have a word, COUNTED items at once; the last row for no word
+        for i in range(0, len(items), COUNTED):
+            self.member.append(np.zeros((len(self.words) + 1, len(items[i : i + COUNTED])), np.uint8))
+            for k, own in enumerate(self.place[i : i + COUNTED]):
+                self.member[-1][own, k] = 1
+        self.low = np.zeros(1 << 16, bool)  # the words' last 16 bits
+        self.low[self.words & np.uint64(0xFFFF)] = True
         short = np.flatnonzero(self.size <= 64)
         self.row = np.full(len(items), -1)
         self.row[short] = np.arange(len(short))
@@ -326,7 +347,7 @@ class Search:
         their item of the windows next to them, a width at a time.
 
         Spans are laid out in rows of factors, each filled up with zeros to a whole number of steps; a
-        step is the sum of its words' rows, and a window that of its steps.
+        step is the sum of its words' rows, and a window that of its steps, or of two windows of half the width.
         """
         for text_of, low, high in self.spans(starts):
             lengths = high - low
@@ -337,18 +358,23 @@ class Search:
             # one word many times in a row must not drown its window
             term[np.arange(len(place)) + np.repeat(base[:-1] - np.cumsum(lengths) + lengths, lengths)] = np.where(again, TERMS, terms_of(hashes[place]))
             rows = self.factors.take(term, axis=0, out=self.room("rows", len(term), self.factors.shape[1]), mode="clip")
-            sums = {1: rows}
+            sums, done = {1: rows}, {}
             for width, items in self.by_width.items():
                 step, margin = int(self.step[items[0]]), int(self.margin[items[0]])
-                of, many = _stepped(sums, step, self.room), width // step
-                windows = _rolled(of, many, self.room)
+                many, half, name = width // step, width // 2, f"windows {width}"
+                if half in done:
+                    had = int(self.step[self.by_width[half][0]])
+                    windows = _joined(done[half], step // had, half // had, self.room, name)
+                else:
+                    windows = _rolled(_stepped(sums, step, self.room), many, self.room, name)
+                done[width] = windows
                 count = -(-lengths // step)  # steps of each span
                 last = np.maximum(count - many, 0)  # its last window
                 span = np.repeat(np.arange(len(lengths)), np.diff(base) // step)
                 number = np.arange(len(span)) - base[span] // step
                 if (count < many).any():  # a span that is shorter than a window is one
                     for k in np.flatnonzero((count > 0) & (count < many)):
-                        windows[base[k] // step] = of[base[k] // step : base[k] // step + count[k]].sum(0)
+                        windows[base[k] // step] = rows[base[k] : base[k + 1]].sum(0)
                 cosine = np.matmul(windows, self.query[items].T, out=self.room("cosine", len(windows), len(items)))
                 norm = np.sqrt(np.einsum("ij,ij->i", windows, windows))
                 norm[number > last[span]] = np.inf  # reaches into the next span
@@ -372,6 +398,24 @@ class Search:
                 end = np.minimum(begin + width, starts[text + 1])
                 yield text, items[j], np.maximum(begin - margin, starts[text]), np.minimum(end + margin, starts[text + 1]), cosine[k, j]
 
+    def _in_item(self, item: np.ndarray, begin: np.ndarray, end: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """How many words of each region, out to whole fours, its item has: no common subsequence is longer."""
+        out = np.zeros(len(item), np.int64)
+        word = np.r_[word, np.full(-len(word) % 4, len(self.words))]
+        begin, end = begin // 4, -(-end // 4)
+        kind = np.min_scalar_type(4 * int((end - begin).max(initial=0)))  # sums may wrap round, but differences don't
+        for i, member in enumerate(self.member):
+            own = np.flatnonzero((item >= i * COUNTED) & (item < (i + 1) * COUNTED)) if len(self.member) > 1 else slice(None)
+            has = member.take(word, axis=0).reshape(-1, 4, member.shape[1])
+            four = has[:, 0] + has[:, 1]
+            four += has[:, 2]
+            four += has[:, 3]
+            upto = np.zeros((member.shape[1], len(four) + 1), kind)
+            np.cumsum(np.ascontiguousarray(four.T), axis=1, dtype=kind, out=upto[:, 1:])
+            row = item[own] - i * COUNTED
+            out[own] = upto[row, end[own]] - upto[row, begin[own]]
+        return out
+
     def _shared(self, item: np.ndarray, begin: np.ndarray, end: np.ndarray, word: np.ndarray, hashes: np.ndarray, answers: bool) -> np.ndarray:
         """The longest common subsequence of each region with its item, or with the item's answer."""
         out = np.zeros(len(item), np.int64)
@@ -390,27 +434,29 @@ class Search:
 
     def __call__(self, hashes: np.ndarray, starts: np.ndarray) -> dict[tuple[int, int], tuple[float, float, str]]:
         """(share, cosine, kind) of the best region of each (text, item) that passes the checks."""
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        by_width: dict[int, list[tuple[np.ndarray, ...]]] = {}
-        for found in self.candidates(hashes, starts):
-            by_width.setdefault(int(self.width[found[1][0]]), []).append(found)
-        known = self.words[at] == hashes  # the other words are in no item, nor in a common subsequence
-        word, hashes, before = at[known], hashes[known], np.r_[0, np.cumsum(known)]
+        found = list(self.candidates(hashes, starts))
+        if not found:
+            return {}
+        maybe = np.flatnonzero(self.low[hashes & np.uint64(0xFFFF)])
+        at = np.minimum(np.searchsorted(self.words, hashes[maybe]), len(self.words) - 1)
+        is_known = self.words[at] == hashes[maybe]
+        word, known = at[is_known], np.zeros(len(hashes), bool)  # the other words are in no item, nor in a common subsequence
+        known[maybe[is_known]] = True
+        hashes, before = hashes[known], np.r_[0, np.cumsum(known)]
+        text, item, begin, end, cosine = [np.concatenate(x) for x in zip(*found, strict=True)]
+        begin, end = before[begin], before[end]
+        enough = self._in_item(item, begin, end, word) >= self.needed[item]  # a region of fewer of the item's words doesn't hold it
+        text, item, begin, end, cosine = found = [x[enough] for x in (text, item, begin, end, cosine)]
+        shared = self._shared(item, begin, end, word, hashes, answers=False)
+        ok = shared >= self.needed[item]
+        text, item, begin, end, cosine, shared = (x[ok] for x in (*found, shared))
+        copy = shared >= COPY * self.size[item]
+        answered = self._shared(item, begin, end, word, hashes, answers=True) >= ANSWER * self.answer_size[item]
         best: dict[tuple[int, int], tuple[float, float, str]] = {}
-        for parts in by_width.values():
-            text, item, begin, end, cosine = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            found = text, item, before[begin], before[end], cosine
-            enough = found[3] - found[2] >= self.needed[item]  # a region of fewer of the items' words holds no item
-            text, item, begin, end, cosine = found = [x[enough] for x in found]
-            shared = self._shared(item, begin, end, word, hashes, answers=False)
-            ok = shared >= self.needed[item]
-            text, item, begin, end, cosine, shared = (x[ok] for x in (*found, shared))
-            copy = shared >= COPY * self.size[item]
-            answered = self._shared(item, begin, end, word, hashes, answers=True) >= ANSWER * self.answer_size[item]
-            for k in np.flatnonzero(copy | answered):
-                key = int(text[k]), int(item[k])
-                now = (float(shared[k] / self.size[item[k]]), float(cosine[k]), "copy" if copy[k] else "paraphrase")
-                best[key] = max(best.get(key, now), now)
+        for k in np.flatnonzero(copy | answered):
+            key = int(text[k]), int(item[k])
+            now = (float(shared[k] / self.size[item[k]]), float(cosine[k]), "copy" if copy[k] else "paraphrase")
+            best[key] = max(best.get(key, now), now)
         return best
 
 

@@ -132,6 +132,37 @@ def test_sums_of_runs_equal_reduceat(most):
     np.testing.assert_allclose(decontaminate._sums(rows, index, starts, max(most, 2)), np.add.reduceat(rows[index], starts, axis=0), atol=1e-9)
 
 
+def test_joined_windows_equal_sums_of_rows():
+    room, rng = decontaminate.Room(), np.random.default_rng(6)
+    for n in (48, 96, 12):
+        rows = rng.normal(size=(n, 3)).astype(np.float32)
+        half = decontaminate._rolled(decontaminate._stepped({1: rows}, 2, room), 8, room, "half")  # 16 words, 2 apart
+        got = decontaminate._joined(half, 2, 8, room, "whole")
+        assert len(got) == n // 4
+        for k in range(len(got)):
+            if 4 * k + 32 <= n:
+                np.testing.assert_allclose(got[k], rows[4 * k : 4 * k + 32].sum(0), atol=1e-5)
+
+
+def test_words_of_an_item_bound_the_common_subsequence(monkeypatch):
+    """Regions that are dropped by their count of an item's words hold no item; counted in lots of items too."""
+    rng = random.Random(9)
+    items = [decontaminate.Item(str(k), [rng.randrange(40) + 1 for _ in range(rng.choice([9, 20, 70]))]) for k in range(7)]
+    latent = decontaminate.Latent(np.ones((decontaminate.TERMS, 4), np.float32), np.zeros(decontaminate.TERMS))
+    for many in (3, 256):
+        monkeypatch.setattr(decontaminate, "COUNTED", many)
+        look = decontaminate.Search(latent, items)
+        text = np.array([rng.randrange(len(look.words)) for _ in range(700)])
+        regions = [(rng.randrange(7), *sorted((rng.randrange(701), rng.randrange(701)))) for _ in range(60)] + [(2, 5, 5), (6, 0, 700)]
+        item, begin, end = (np.array(x) for x in zip(*regions, strict=True))
+        got = look._in_item(item, begin, end, text)
+        for k, (i, a, b) in enumerate(regions):
+            own = set(items[i].words)
+            wide = text[a // 4 * 4 : -(-b // 4) * 4]
+            assert got[k] == sum(int(look.words[w]) in own for w in wide)
+            assert got[k] >= decontaminate.common_subsequence(decontaminate.masks(items[i].words), len(items[i].words), look.words[text[a:b]].tolist())
+
+
 @pytest.mark.parametrize("many", [8, 12, 7, 1])
 def test_rolled_sums_in_arrays_used_again(many):
     room, rng = decontaminate.Room(), np.random.default_rng(2)
