@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import discard, written
@@ -15,22 +15,25 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     joins, written to the shared folder; only its row count and a checksum reach the driver.
     """
 
-    def star(edges: DataFrame, large: bool) -> DataFrame:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both if large else both.filter("v < u")
-        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        if large:
-            out = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            out = near.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        return out.filter("u <> v").distinct()
+    def joined(edges: DataFrame) -> DataFrame:
+        """edges with m, the least node next to u or u itself."""
+        least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        return edges.join(least, "u")
+
+    def pairs(*of: tuple[str, str]) -> Column:
+        return F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in of])).alias("edge")
+
+    def round_of(edges: DataFrame) -> DataFrame:
+        """A large-star and a small-star step. In edges u > v, also between the two steps."""
+        large = joined(edges.select(pairs(("u", "v"), ("v", "u"))).select("edge.*")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = joined(large).select(pairs(("v", "m"), ("u", "m"))).select("edge.*")
+        return small.filter("u <> v").distinct()
 
     edges = written(links.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = None
     for _ in range(most_rounds):
         seen = Observation()  # counted while the round is written; a task run twice only makes a round more
-        new = star(star(edges, True), False)
-        new = written(new.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "links")
+        new = written(round_of(edges).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "links")
         discard(edges)
         edges, found = new, seen.get
         if found == mark or not found["n"]:

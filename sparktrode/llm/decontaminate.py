@@ -144,7 +144,10 @@ def summed(docs: DataFrame, shape: tuple[int, ...], add: Callable[[np.ndarray, n
     while n > fan_in:
         n = -(-n // fan_in)
         parts = parts.repartition(n).mapInArrow(_added, "part binary")
-    return sum((np.frombuffer(r["part"], dtype=np.float32).reshape(shape).astype(float) for r in parts.toLocalIterator()), np.zeros(shape))
+    total = np.zeros(shape)
+    for r in parts.toLocalIterator():
+        total += np.frombuffer(r["part"], dtype=np.float32).reshape(shape)
+    return total
 
 
 @dataclass(frozen=True)
@@ -159,6 +162,27 @@ class Latent:
         return total / max(float(np.linalg.norm(total)), 1e-12)
 
 
+def factors_of(product: np.ndarray, idf: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """The weighted factors, from the product of the passages' terms with the weighted sketch.
+
+    The driver holds two arrays of the product's size at once: small products take rows a block at
+    a time, and the left factors come from the eigenvectors of the square of the sketched rows.
+    """
+    blocks = [slice(at, at + 1024) for at in range(0, len(product), 1024)]
+    product *= idf[:, None]  # A'A times the sketch
+    core = sum(sketch[b].T.astype(float) @ product[b] for b in blocks)
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    keep = values > 1e-9 * max(values.max(), 1e-300)
+    rows = product @ (vectors[:, keep] / np.sqrt(values[keep]))
+    square, right = np.linalg.eigh(rows.T @ rows)
+    order = np.argsort(-square, kind="stable")[SKIPPED:RANK]
+    right = right[:, order] / np.sqrt(np.maximum(square[order], 1e-300))
+    out = np.empty((len(rows), len(order)), np.float32)
+    for b in blocks:
+        out[b] = idf[b, None] * (rows[b] @ right)
+    return out
+
+
 def fit(docs: DataFrame) -> Latent:
     """Idf over all passages, then a randomised SVD of them in one pass (Nystrom's form).
 
@@ -188,12 +212,9 @@ def fit(docs: DataFrame) -> Latent:
         at = np.flatnonzero(np.r_[True, sorted_terms[1:] != sorted_terms[:-1]])
         total[sorted_terms[at]] += _sums(rows, passage[order], at, room=room)
 
-    product = summed(docs, weighted.shape, spread) * idf[:, None]  # A'A times the sketch
-    core = sketch.T.astype(float) @ product
-    values, vectors = np.linalg.eigh((core + core.T) / 2)
-    keep = values > 1e-9 * max(values.max(), 1e-300)
-    factors, _, _ = np.linalg.svd(product @ vectors[:, keep] / np.sqrt(values[keep]), full_matrices=False)
-    return Latent((idf[:, None] * factors[:, SKIPPED:RANK]).astype(np.float32), df[:TERMS])
+    product = summed(docs, weighted.shape, spread)
+    del weighted
+    return Latent(factors_of(product, idf, sketch), df[:TERMS])
 
 
 @dataclass(frozen=True)

@@ -3,13 +3,14 @@
 import collections
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparktrode.llm import decontaminate, labelled, quality, toxicity
+from sparktrode.llm import components, decontaminate, labelled, quality, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -171,3 +172,47 @@ def test_rolled_sums_in_arrays_used_again(many):
         got = decontaminate._rolled(rows, many, room)
         want = [rows[k : k + many].sum(0) if k + many <= n else np.zeros(3) for k in range(n)]
         np.testing.assert_allclose(got, want, atol=1e-5)
+
+
+def test_round_of_components_has_few_exchanges(spark, monkeypatch):
+    """A round's plan, whose tasks the driver keeps account of, deals its links a few times only (15 exchanges before, 4 now)."""
+    plans, written = [], components.written
+
+    def seen(df, tag):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        if "CollectMetrics" in plan:
+            plans.append(plan.count("Exchange hashpartitioning"))
+        return written(df, tag)
+
+    monkeypatch.setattr(components, "written", seen)
+    rng = random.Random(21)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)] + [(7, 7), (None, 3), (500, None)]
+    links += [(1000, k) for k in range(1001, 1040)]  # a hub
+    found = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
+    least = {k: k for u, v in links if u is not None and v is not None and u != v for k in (u, v)}
+    for _ in range(500):
+        for u, v in links:
+            if u in least and v in least and u != v:
+                least[u] = least[v] = min(least[u], least[v])
+    assert found == least
+    assert 0 < max(plans) <= 6
+
+
+def test_factors_equal_numpys_in_little_memory():
+    """The driver's step of the SVD: the same factors but for signs, with few arrays of the product's size."""
+    rng = np.random.default_rng(3)
+    shape = decontaminate.TERMS, decontaminate.RANK + decontaminate.OVERSAMPLE
+    texts = rng.normal(size=(300, shape[0])) * (rng.random((300, shape[0])) < 0.01)
+    idf, sketch = rng.uniform(1, 5, shape[0]).astype(np.float32), rng.normal(size=shape).astype(np.float32)
+    product = texts.T @ (texts @ sketch)
+    whole = product * idf[:, None]
+    values, vectors = np.linalg.eigh((lambda x: (x + x.T) / 2)(sketch.T.astype(float) @ whole))
+    keep = values > 1e-9 * values.max()
+    expected = np.linalg.svd(whole @ vectors[:, keep] / np.sqrt(values[keep]), full_matrices=False)[0][:, decontaminate.SKIPPED : decontaminate.RANK] * idf[:, None]
+    size = product.nbytes
+    tracemalloc.start()
+    got = decontaminate.factors_of(product, idf, sketch)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.dtype == np.float32 and np.abs(np.abs(got) - np.abs(expected)).max() < 1e-5
+    assert most < 1.7 * size
